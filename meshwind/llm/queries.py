@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, near_dup, secrets, toxicity
+from . import decontaminate, near_dup, pii, secrets, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op7_wu_manber_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.contamination_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op10_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data_report(_table(spark, sf_dir, "documents"))
+
+
 SQL: dict[str, str] = {}
 
 SQL["op7_wu_manber_decontamination"] = r"""
