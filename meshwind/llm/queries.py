@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, near_dup, pii, secrets, toxicity
+from . import decontaminate, near_dup, pii, secrets, toxicity, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(_table(spark, sf_dir, "pages"))
+
+
 def op2_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -21,6 +25,10 @@ def op3_minhash_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op4_url_bloom_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(_table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
+
+
 def op6_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(_table(spark, sf_dir, "documents"))
 
@@ -35,6 +43,26 @@ def op10_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL: dict[str, str] = {}
 
+SQL["op1_warc_round_trip"] = """
+with p as (select page_id, encode(coalesce(html, '')) as b from pages),
+d as (select page_id, cast(octet_length(b) as bigint) as payload_bytes, sha256(b) as payload_digest from p),
+f as (select *, min(page_id) over (partition by payload_digest) as low from d)
+select page_id, payload_bytes, payload_digest, case when payload_bytes >= 100 and page_id <> low then 'revisit' else 'response' end as record_type,
+  case when payload_bytes >= 100 and page_id <> low then low end as refers_to
+from f
+"""
+
+SQL["op4_url_bloom_cascade"] = r"""
+with h as (select page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+  coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') as path from pages),
+r(verdict, domain, start) as (values ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('block', 'net', '/de/'), ('allow', 'example.net', '/de/8'), ('block', 'org', '/es/')),
+l as (select n || '.example.' || t as domain from (values ('casino-win'), ('cheap-pills'), ('spam-farm')) a(n), (values ('com'), ('net'), ('org')) b(t)),
+m as (select h.page_id, host, path, (select struct_pack(rule := r.domain || r.start, verdict := r.verdict) from r
+    where (host = r.domain or ends_with(host, '.' || r.domain)) and starts_with(path, r.start) order by length(r.domain || r.start) desc limit 1) as best,
+  exists (select 1 from l where host = l.domain or ends_with(host, '.' || l.domain)) as hit from h)
+select page_id, host, path, best.rule as rule, coalesce(best.verdict, case when hit then 'block' else 'allow' end) as verdict from m
+"""
+
 SQL["op7_wu_manber_decontamination"] = r"""
 with dw as (select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
 bw as (select item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
