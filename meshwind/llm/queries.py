@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, near_dup, pii, secrets, toxicity, url_filter, warc
+from . import decontaminate, near_dup, pieces, pii, secrets, toxicity, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op7_wu_manber_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.contamination_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op9_suffix_array_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_documents(_table(spark, sf_dir, "documents"), ids=False).withColumnRenamed("id", "doc_id")
+
+
 def op10_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data_report(_table(spark, sf_dir, "documents"))
 
