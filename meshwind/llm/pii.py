@@ -192,10 +192,11 @@ class Field:
 
 def train(docs: DataFrame, *, id_col="doc_id", text_col="text") -> Field:
     """Fit on pattern labels of at most TRAIN_DOCS documents with digits or @, those with the smallest text hashes."""
-    some = picked(docs, text=text_col).where(F.col("text").rlike("[0-9@]") & (F.octet_length("text") <= TRAIN_BYTES))
-    texts = [r[0] for r in some.orderBy(F.xxhash64("text"), "text").limit(TRAIN_DOCS).collect()]
+    some = picked(docs, text=text_col).where(F.col("text").rlike("[0-9@]") & (F.octet_length("text") <= TRAIN_BYTES)).withColumn("h", F.xxhash64("text"))
+    cut = some.select("h").distinct().orderBy("h").limit(TRAIN_DOCS).agg(F.max("h")).first()[0]
+    texts = [] if cut is None else [r[0] for r in some.where(F.col("h") <= cut).groupBy("h").agg(F.min("text").alias("text")).orderBy("h").select("text").collect()]
     graph, spans = Graph(), {}
-    for i, text in enumerate(dict.fromkeys(texts)):
+    for i, text in enumerate(texts):
         graph.add(i, text)
         spans[i] = base_spans(text)
     return Field().fit(graph, weak_labels(graph.places, spans))

@@ -199,11 +199,9 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col="doc_id", text_col="text
     shares = {r["y"]: r["count"] for r in marks.groupBy("y").count().collect()}
     wanted = marks.where(F.col("y") == 1).orderBy(F.xxhash64("id"), "id").limit(2 * TRAIN_ROWS).unionAll(marks.where(F.col("y") == 0).orderBy(F.xxhash64("id"), "id").limit(2 * TRAIN_ROWS))
     texts = picked(docs, id=id_col, text=text_col).where(F.coalesce(F.octet_length("text"), F.lit(0)) <= TRAIN_BYTES)
-    found = texts.join(F.broadcast(wanted), "id").withColumn("h", F.xxhash64("id")).collect()  # at most 4 * TRAIN_ROWS ids of 12 bytes
-    rows = {}
-    for r in sorted(found, key=lambda r: (r["h"], r["id"], r["text"] or "")):
-        rows.setdefault(r["id"], r)
-    by = [[r for r in rows.values() if r["y"] == y][:TRAIN_ROWS] for y in (0, 1)]
+    found = texts.join(F.broadcast(wanted), "id").groupBy("id").agg(F.min("text").alias("text"), F.max("y").alias("y")).withColumn("h", F.xxhash64("id"))  # wanted: at most 4 * TRAIN_ROWS ids
+    rows = found.orderBy("h", "id").collect()
+    by = [[r for r in rows if r["y"] == y][:TRAIN_ROWS] for y in (0, 1)]
     rows = sorted(by[0] + by[1], key=lambda r: (r["h"], r["id"]))
     shift = math.log(shares[1] / shares[0]) - math.log(len(by[1]) / len(by[0])) if by[0] and by[1] else 0.0
     return fit([r["text"] or "" for r in rows], [r["y"] for r in rows], shift)
