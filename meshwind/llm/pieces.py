@@ -41,13 +41,17 @@ class Vocabulary:
 
     def merge(self, text: str) -> list[str]:
         """BPE by definition: join the neighbours whose union has the best score, leftmost among equals, until none is a piece."""
-        parts = list(text)
-        while True:
-            best = max(((self.scores[a + b], -k) for k, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in self.scores), default=None)
-            if best is None:
-                return parts
-            k = -best[1]
+        parts, get, none = list(text), self.scores.get, -float("inf")
+        scores = [get(a + b, none) for a, b in zip(parts, parts[1:])]
+        while scores and (best := max(scores)) > none:
+            k = scores.index(best)
             parts[k : k + 2] = [parts[k] + parts[k + 1]]
+            del scores[k]
+            if k < len(scores):
+                scores[k] = get(parts[k] + parts[k + 1], none)
+            if k:
+                scores[k - 1] = get(parts[k - 1] + parts[k], none)
+        return parts
 
     def decode(self, ids) -> bytes:
         text = b"".join([self.out[i] for i in ids])
@@ -101,7 +105,12 @@ class Encoder:
         chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
         alphabet, code = np.unique(chars, return_inverse=True)
         place = {chr(c): k + 1 for k, c in enumerate(alphabet.tolist())}
-        n, rank, span = len(chars), code.astype(np.int64) + 1, 1
+        n, bits = len(chars), (len(alphabet) + 1).bit_length()
+        span = min(self.longest, max(1, 62 // bits))  # as many characters as one number holds; then ranks double their reach
+        padded, rank = np.concatenate([code.astype(np.int64) + 1, np.zeros(span, np.int64)]), np.zeros(n, np.int64)
+        for k in range(span):
+            rank = rank << bits | padded[k : k + n]
+        rank = np.unique(rank, return_inverse=True)[1].astype(np.int64) + 1
         while span < self.longest:
             after = np.zeros(n, np.int64)
             after[: n - span] = rank[span:] if span < n else 0
@@ -146,16 +155,24 @@ class Encoder:
             good = self._whole(t)
             good[good & ~head] = self._apart(last[i][good & ~head], t[good & ~head])
             last[j[good]], came[j[good]] = t[good], i[good]
-        for unit, start in zip(units, starts.tolist()):
-            at, found = start + len(unit), []
-            while at > start:
-                t = int(last[at])
-                if t < 0:
-                    raise AssertionError(f"no piece ends at {at - start} of {unit[:80]!r}")
-                back = int(came[at])
-                found += [t] if t < self.v.size else [self.v.byte_ids[x] for x in reversed(text[back:at].encode())]
-                at = back
-            self.known[unit] = tuple(reversed(found))
+        ends = starts + np.array([len(u) for u in units])
+        if (last[ends] < 0).any():
+            raise AssertionError(f"no piece ends {units[int(np.flatnonzero(last[ends] < 0)[0])][:80]!r}")
+        at, which, steps = ends, np.arange(len(units)), []
+        while len(at):  # back from every unit's end, a piece at a time
+            steps.append((which, last[at], at))
+            at = came[at]
+            on = at > starts[which]
+            at, which = at[on], which[on]
+        which, ids, at = (np.concatenate([s[k] for s in reversed(steps)]) for k in range(3))
+        order = np.argsort(which, kind="stable")
+        ids, at, cuts = ids[order].tolist(), at[order], np.concatenate([[0], np.cumsum(np.bincount(which, minlength=len(units)))]).tolist()
+        lone = set(np.unique(which[order][np.array(ids) == self.v.size]).tolist())
+        for k, (unit, lo, hi) in enumerate(zip(units, cuts, cuts[1:])):
+            found = ids[lo:hi]
+            if k in lone:
+                found = [x for t, e in zip(found, at[lo:hi].tolist()) for x in ([t] if t < self.v.size else [self.v.byte_ids[y] for y in text[e - 1].encode()])]
+            self.known[unit] = tuple(found)
 
     def _spaced(self, unit: str) -> tuple[int, ...]:
         """A unit that starts with two or more spaces. Runs of spaces have the least score, so the word and its own space are
