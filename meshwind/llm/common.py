@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of a batch that a Python worker holds as objects at once.
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,16 +35,16 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def slices(batch: pa.RecordBatch):
-    """Parts of a batch of about SLICE_BYTES, so that a few long texts don't fill a worker."""
+def slices(batch: pa.RecordBatch, size: int):
+    """Parts of a batch of about ``size`` bytes, so that a few long texts don't fill a worker."""
     if not batch.num_rows:
         return
-    step = max(1, batch.num_rows * SLICE_BYTES // max(1, batch.nbytes))
+    step = max(1, batch.num_rows * size // max(1, batch.nbytes))
     for at in range(0, batch.num_rows, step):
         yield batch.slice(at, step)
 
 
-def arrow_map(df: DataFrame, make, schema: str) -> DataFrame:
+def arrow_map(df: DataFrame, make, schema: str, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """mapInArrow with ``make()`` called once a task; it returns a function from RecordBatch to dict of columns."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
@@ -54,7 +54,7 @@ def arrow_map(df: DataFrame, make, schema: str) -> DataFrame:
     def run(batches):
         work = make()
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, slice_bytes):
                 out = work(part)
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in target], schema=target)
 

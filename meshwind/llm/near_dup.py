@@ -18,7 +18,7 @@ N_HASH, N_TREES, MIN_DEPTH, REGION, FORESTS = 128, 16, 4, 1024, 3
 #: Equal signature bytes (of N_HASH) from which a pair is confirmed on full sets: 3.7 standard errors below 0.85.
 LEAST_EQUAL = 94
 #: Documents of a candidate component that one task confirms; larger components are dealt out as pairs of blocks.
-CELL = 2048
+CELL = 512
 #: Rows of the id-to-cell table up to which it is broadcast (about 40 bytes each); beyond, Spark shuffles.
 BROADCAST_ROWS = 500_000
 _A = (np.random.RandomState(11).randint(1, 2**62, N_HASH).astype(np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -31,7 +31,7 @@ class WordHashes(dict):
     """64-bit hashes of words, kept while few."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 150_000:
             self.clear()
         value = self[word] = xxhash.xxh64_intdigest(word)
         return value

@@ -13,8 +13,8 @@ from .common import arrow_map, picked
 
 #: The vocabulary file's place; its bytes (bounded by MODEL_BYTES) are broadcast.
 MODEL_PATH, MODEL_BYTES = "/opt/tokenizers/piece_bpe_32k.model", 32 << 20
-#: Units whose ids a worker keeps, characters that one suffix array indexes.
-KEPT_UNITS, INDEX_CHARS = 300_000, 1 << 20
+#: Units whose ids a worker keeps, characters that one suffix array indexes, bytes of texts encoded at once.
+KEPT_UNITS, INDEX_CHARS, AT_ONCE = 300_000, 1 << 20, 12 << 20
 #: Stands between units of an indexed text; no text has a lone surrogate.
 BETWEEN = "\ud800"
 _UNITS = re.compile("▁*[^▁]+|▁+")
@@ -70,6 +70,11 @@ class Encoder:
         self.v = Vocabulary(proto)
         self.names = sorted(p for p in self.v.ids if "▁" not in p[1:])
         self.longest = max(map(len, self.names))
+        spelled = np.array([[ord(c) + 1 for c in p] + [0] * (self.longest - len(p)) for p in self.names], ">u4")
+        self.sizes = np.array([len(p) for p in self.names], np.int64)
+        self.low = self._keys(spelled)
+        self.high = self._keys(np.where(np.arange(self.longest) < self.sizes[:, None], spelled, 0xFFFFFFFF).astype(">u4"))
+        self.name_ids = np.array([self.v.ids[p] for p in self.names], np.int64)
         self.known: dict[str, tuple[int, ...]] = {}
         self.whole = np.full(self.v.size + 1, -1, np.int8)  # pieces that encode to themselves: -1 not yet known
         self.whole[self.v.size] = 1  # stands for a character without a piece
@@ -77,6 +82,10 @@ class Encoder:
         for p, i in self.v.ids.items():
             self.text[i] = p
 
+    def _keys(self, rows: np.ndarray) -> np.ndarray:
+        """Rows of characters as byte strings, which sort alike."""
+        return np.ascontiguousarray(rows).view(f"S{4 * self.longest}")[:, 0]
+
     def _apart(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """For each pair of pieces, whether they stay apart side by side."""
         unk = self.v.size
@@ -104,7 +113,6 @@ class Encoder:
         and a binary search gives each piece its range of suffixes. The separator \\0 and unknown characters have no piece."""
         chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
         alphabet, code = np.unique(chars, return_inverse=True)
-        place = {chr(c): k + 1 for k, c in enumerate(alphabet.tolist())}
         n, bits = len(chars), (len(alphabet) + 1).bit_length()
         span = min(self.longest, max(1, 62 // bits))  # as many characters as one number holds; then ranks double their reach
         padded, rank = np.concatenate([code.astype(np.int64) + 1, np.zeros(span, np.int64)]), np.zeros(n, np.int64)
@@ -118,22 +126,15 @@ class Encoder:
             span *= 2
         order = np.argsort(rank, kind="stable")
         width = np.zeros((n + self.longest, 1), ">u4")
-        width[:n, 0] = code + 1
-        window = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(width[:, 0], self.longest)[:n][order]).view(f"S{4 * self.longest}")[:, 0]
-        names = [p for p in self.names if all(c in place for c in p)]
-        low = np.zeros((len(names), self.longest), ">u4")
-        high = np.full((len(names), self.longest), 0xFFFFFFFF, ">u4")
-        for k, p in enumerate(names):
-            low[k, : len(p)] = high[k, : len(p)] = [place[c] for c in p]
-        first = np.searchsorted(window, low.view(f"S{4 * self.longest}")[:, 0], "left")
-        last = np.searchsorted(window, high.view(f"S{4 * self.longest}")[:, 0], "right")
+        width[:n, 0] = chars + 1
+        window = self._keys(np.lib.stride_tricks.sliding_window_view(width[:, 0], self.longest)[:n][order])
+        first, last = np.searchsorted(window, self.low, "left"), np.searchsorted(window, self.high, "right")
         count = last - first
-        which = np.repeat(np.arange(len(names)), count)
+        which = np.repeat(np.arange(len(self.names)), count)
         start = order[np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count) + first[which]]
-        ids, sizes = np.array([self.v.ids[p] for p in names], np.int64), np.array([len(p) for p in names], np.int64)
         lone = np.array([chr(c) not in self.v.ids and chr(c) != BETWEEN for c in alphabet.tolist()])
         alone = np.flatnonzero(lone[code])
-        return np.r_[start, alone], np.r_[start + sizes[which], alone + 1], np.r_[ids[which], np.full(len(alone), self.v.size)]
+        return np.r_[start, alone], np.r_[start + self.sizes[which], alone + 1], np.r_[self.name_ids[which], np.full(len(alone), self.v.size)]
 
     def _encode_new(self, units: list[str]) -> None:
         starts = np.cumsum([0, *(len(u) + 1 for u in units[:-1])])
@@ -249,7 +250,7 @@ def encode_documents(docs: DataFrame, *, id_col="doc_id", text_col="text", model
         return work
 
     kinds = "".join(f", `c_{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return arrow_map(picked(docs, id=id_col, text=text_col, **{f"c_{c}": c for c in keep}), make, f"id {docs.schema[id_col].dataType.simpleString()}, n_tokens long, ids_sha256 string, round_trip boolean" + ", ids array<int>" * ids + kinds)
+    return arrow_map(picked(docs, id=id_col, text=text_col, **{f"c_{c}": c for c in keep}), make, f"id {docs.schema[id_col].dataType.simpleString()}, n_tokens long, ids_sha256 string, round_trip boolean" + ", ids array<int>" * ids + kinds, AT_ONCE)
 
 
 def decode_documents(encoded: DataFrame, *, id_col="id", ids_col="ids", model_path: str = MODEL_PATH) -> DataFrame:
