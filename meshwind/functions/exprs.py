@@ -82,24 +82,19 @@ def sign_name(c: Column) -> Column:
     return F.when(c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")) | (F.abs(c) <= CONSTANT), "zero_or_unstable").when(c > 0, "positive").otherwise("negative")
 
 
-def with_stats(df: DataFrame, by: Sequence[str], stats: Sequence[Column]) -> DataFrame:
-    """df with aggregates of its groups as columns: a small grouped table joined back, or one row for the whole."""
-    if by:
-        return df.join(df.groupBy(*by).agg(*stats), list(by))
-    return df.crossJoin(F.broadcast(df.agg(*stats)))
-
-
 def z_scores(df: DataFrame, columns: dict[str, str], by: Sequence[str] = (), *, fill: bool = True, over: Column | None = None) -> DataFrame:
     """Adds out = (x - mean) / population deviation for each out: x of ``columns``; zero where the deviation is zero or undefined.
 
+    Moments are window aggregates of each group, so that the plan holds df once however often scores are chained.
     fill: nulls become zero. over: rows that the moments are taken of (all, if none is given)."""
+    w = Window.partitionBy(*by)
     pick = (lambda x: F.when(over, F.col(x))) if over is not None else F.col
-    stats = [e for k, x in enumerate(columns.values()) for e in (F.avg(pick(x)).alias(f"_m{k}"), F.stddev_pop(pick(x)).alias(f"_s{k}"))]
-    out = with_stats(df, by, stats)
+    df = df.withColumns({f"_{s}{k}": f(pick(x)).over(w) for k, x in enumerate(columns.values()) for s, f in (("m", F.avg), ("s", F.stddev_pop))})
+    made = {}
     for k, (name, x) in enumerate(columns.items()):
         z = F.when(F.coalesce(F.col(f"_s{k}"), F.lit(0.0)) > 0, (F.col(x) - F.col(f"_m{k}")) / F.col(f"_s{k}")).otherwise(F.lit(0.0))
-        out = out.withColumn(name, F.coalesce(z, F.lit(0.0)) if fill else z)
-    return out.drop(*[f"_{s}{k}" for s in "ms" for k in range(len(columns))])
+        made[name] = F.coalesce(z, F.lit(0.0)) if fill else z
+    return df.withColumns(made).drop(*[f"_{s}{k}" for s in "ms" for k in range(len(columns))])
 
 
 def row_mean(columns: Sequence[str]) -> Column:

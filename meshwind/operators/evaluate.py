@@ -127,11 +127,11 @@ def regime_classes(indicator: DataFrame, high: float = 0.8, low: float = 0.2, co
     if not 0 <= low < high <= 1:
         raise ValueError("quantiles must satisfy 0 <= low < high <= 1")
     df = indicator.select("date", num(column).alias("x"))
-    cuts = df.agg(F.percentile("x", F.array(F.lit(low), F.lit(high))).alias("q"))
+    df = df.withColumn("q", F.percentile("x", F.array(F.lit(low), F.lit(high))).over(Window.partitionBy()))
     x, lo, hi = F.col("x"), F.col("q")[0], F.col("q")[1]
     flat = F.abs(hi - lo) <= CONSTANT + 1e-5 * F.abs(lo)
     name = F.when(x.isNull(), None).when(flat, "normal").when(x >= hi, "high_systemic_connectedness").when(x <= lo, "low_systemic_connectedness").otherwise("normal")
-    return df.crossJoin(F.broadcast(cuts)).select("date", name.alias("regime_class"))
+    return df.select("date", name.alias("regime_class"))
 
 
 def regime_summary(indicator: DataFrame, returns: DataFrame | None = None, high: float = 0.8, low: float = 0.2, column: str = RI) -> DataFrame:

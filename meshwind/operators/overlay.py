@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import before, melt, num, ordered, trailing, until
+from ..sources.panels import stored
 from .returns import portfolio_returns
 from .stress import BENCHMARKS
 
@@ -197,11 +198,11 @@ def evaluate_variants(returns: DataFrame, scores: DataFrame, columns: Sequence[s
     keys = list(keys)
     fixed = ("ri", "graph_components_equal_weight_score", "transition_score", "pca_first_eigenvalue_share", "pca_first_eigenvalue_change", "pca_plus_graph_score")
     columns = [c for c in (fixed if columns is None else columns) if c in scores.columns]
-    full = scores.select(*keys, "date", *[num(c).alias(c) for c in columns]).dropna(subset=columns).join(base.select("date"), "date", "left_semi")
+    full = stored(scores.select(*keys, "date", *[num(c).alias(c) for c in columns]).dropna(subset=columns).join(base.select("date"), "date", "left_semi"))
     long = melt(full, [*keys, "date"], columns, "score_name", "score")
     by = [*keys, "score_name", "variant"]
     parts = [exposure(long, [*keys, "score_name"], variant=v, **options).withColumn("variant", F.lit(v)) for v in variants]
-    e = reduce(DataFrame.unionAll, [p.select(*by, "date", "exposure") for p in parts])
+    e = stored(reduce(DataFrame.unionAll, [p.select(*by, "date", "exposure") for p in parts]))
     overlay = apply_overlay(base, e, by)
     own = turnover(e, by, days)
     comparison = performance(overlay, by, days).join(own, by).join(extreme_share(e, by), by).withColumnRenamed("score_name", "score")

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import correlation, melt, num, z_scores
+from ..sources.panels import stored
 from .components import COMPONENTS, mean_z
 from .evaluate import RI, robustness_summary
 from .graph import INDICATOR_PARTS, convergence_summary, network_grid, regime_indicator
@@ -210,19 +211,19 @@ def rolling_origin(returns: DataFrame, scores: DataFrame, specs: Sequence[tuple[
     spark = scores.sparkSession
     df = split_scores(scores, splits)
     enough = df.groupBy("test_year").agg(F.sum(F.col("selecting").cast("int")).alias("s"), F.sum(F.col("testing").cast("int")).alias("t")).where("s >= 20 and t >= 5").select("test_year")
-    df = df.join(enough, "test_year", "left_semi")
+    df = stored(df.join(enough, "test_year", "left_semi"))
     specs = [s for s in (CANDIDATES if specs is None else specs) if s[1] in df.columns]
     chosen = spark.createDataFrame([(x.test_year, c, s, v) for x in splits for c, s, v in specs], "test_year int, candidate string, score_name string, variant string")
     chosen = chosen.withColumns({"score": F.col("score_name"), "shown": F.col("variant"), "selected_score": F.lit(""), "selected_variant": F.lit("")})
     if dynamic:
         comparison, _ = evaluate_variants(base, df.where("selecting"), keys=["test_year"])
-        best = low_turnover_choice(comparison, ["test_year"])
+        best = stored(low_turnover_choice(comparison, ["test_year"]))
         chosen = chosen.unionAll(best.select("test_year", F.lit("best_low_turnover_score"), "score", "variant", F.lit("selection_period_best_low_turnover"), F.lit("dynamic"), "score", "variant"))
     names = [c for c in df.columns if c not in ("test_year", "date", "selecting", "testing")]
     long = melt(df, ["test_year", "date", "selecting", "testing"], names, "score_name", "score").join(chosen.select("test_year", "candidate", "score_name", "variant"), ["test_year", "score_name"])
     key = ["test_year", "candidate"]
     q = F.percentile(F.when(F.col("selecting"), F.col("score")), F.array(*map(F.lit, (0.8, 0.9, 0.6)))).over(Window.partitionBy(*key))
-    long = long.withColumn("q", q)
+    long = stored(long.withColumn("q", q))
     kinds = {v for _, _, v in specs} | ({"daily", "weekly", "smoothed_5d", "smoothed_10d", "hysteresis", "cooldown_5d", "smoothed_5d_hysteresis"} if dynamic else set())
     e = reduce(DataFrame.unionAll, [exposure(long.where(F.col("variant") == v).select(*key, "date", "score", F.col("q").alias("levels")), key, variant=v, thresholds=F.col("levels")) for v in sorted(kinds)])
     e = e.join(df.where("testing").select("test_year", "date"), ["test_year", "date"], "left_semi")

@@ -6,7 +6,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels
@@ -93,8 +93,9 @@ def stress_labels(vix: DataFrame | None = None, drawdown: DataFrame | None = Non
     frames = [f.select("date", num(next(c for c in f.columns if c != "date")).alias(n)) for n, f in given]
     df = outer_join(*frames)
     names = [n for n, _ in given]
-    cuts = [F.percentile(n, q).alias(f"_q_{n}") for n, q in (("realized_volatility", vol_quantile), ("average_correlation", correlation_quantile)) if n in names]
-    df = df.crossJoin(F.broadcast(df.agg(*cuts))) if cuts else df
+    for n, q in (("realized_volatility", vol_quantile), ("average_correlation", correlation_quantile)):
+        if n in names:
+            df = df.withColumn(f"_q_{n}", F.percentile(n, q).over(Window.partitionBy()))
     tests = {"vix": F.col("vix") >= vix_threshold, "drawdown": F.col("drawdown") <= drawdown_threshold} | {n: F.col(n) >= F.col(f"_q_{n}") for n in ("realized_volatility", "average_correlation") if n in names}
     out = {"average_correlation": "correlation"}
     made = [f"{out.get(n, n)}_stress_label" for n in names]

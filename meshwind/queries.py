@@ -27,13 +27,22 @@ class Data:
     """The panels and series that queries share, as lazy frames."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.dir = spark, sf_dir
+        self.spark, self.dir, self._kept = spark, sf_dir, {}
+
+    def _keep(self, name: str, make) -> DataFrame:
+        """Date-level frames that a query uses more than once are written, so that plans stay short."""
+        if name not in self._kept:
+            self._kept[name] = panels.stored(make().repartition(1))
+        return self._kept[name]
 
     def prices(self, which: str = "W4") -> DataFrame:
-        return panels.star_panel(self.spark, self.dir, which)
+        return self._keep(f"p{which}", lambda: panels.star_panel(self.spark, self.dir, which))
 
     def returns(self, which: str = "W4") -> DataFrame:
-        return ret.prices_to_returns(self.prices(which))
+        return self._keep(f"r{which}", lambda: ret.prices_to_returns(self.prices(which)))
+
+    def pca(self) -> DataFrame:
+        return self._keep("pca", lambda: graph.rolling_pca_features(self.returns(), WINDOW))
 
     def pair(self) -> DataFrame:
         return ret.prices_to_returns(self.prices().where("asset in ('s0', 's1')"))
@@ -45,10 +54,10 @@ class Data:
         return workflows.vix_proxy(self.spark.read.parquet(f"{self.dir}/orders.parquet"))
 
     def vol(self) -> DataFrame:
-        return stress.realized_volatility(self.returns())
+        return self._keep("vol", lambda: stress.realized_volatility(self.returns()))
 
     def labels(self) -> DataFrame:
-        return stress.stress_labels(self.vix(), stress.market_drawdown(self.index()), self.vol(), vix_threshold=140.0)
+        return self._keep("labels", lambda: stress.stress_labels(self.vix(), stress.market_drawdown(self.index()), self.vol(), vix_threshold=140.0))
 
     def signal(self) -> DataFrame:
         return self.vol().withColumnRenamed("realized_volatility", "regime_indicator")
@@ -57,14 +66,14 @@ class Data:
         return self.vol().withColumnRenamed("realized_volatility", "score")
 
     def portfolio(self) -> DataFrame:
-        return ret.portfolio_returns(self.returns())
+        return self._keep("portfolio", lambda: ret.portfolio_returns(self.returns()))
 
     def benchmarks(self) -> DataFrame:
-        return workflows.benchmark_table(self.index(), self.returns(), self.vix(), corr_window=WINDOW, vix_threshold=140.0).cache()
+        return self._keep("benchmarks", lambda: workflows.benchmark_table(self.index(), self.returns(), self.vix(), corr_window=WINDOW, vix_threshold=140.0))
 
     def ri(self, two: bool = False) -> DataFrame:
-        features = graph.rolling_graph_features(self.pair() if two else self.returns(), WINDOW, ALPHA, partial_corr_threshold=0.0, max_iter=1000)
-        return graph.regime_indicator(features).cache()
+        made = lambda: graph.rolling_graph_features(self.pair() if two else self.returns(), WINDOW, ALPHA, partial_corr_threshold=0.0, max_iter=1000)
+        return self._keep(f"ri{two}", lambda: graph.regime_indicator(self._keep(f"features{two}", made)))
 
 
 def rounded(df: DataFrame, *keep: str) -> DataFrame:
@@ -450,7 +459,7 @@ def _(d):
     return components.add_component_scores(d.ri(True)).select("date", "connectivity_score", "transition_score", "spectral_score", "graph_components_equal_weight_score")
 
 
-@query("residuals_on_one_control", sql("g vol", "select g.date, round(case when v is not null then average_graph_strength - (select regr_intercept(average_graph_strength, v) + regr_slope(average_graph_strength, v) * vol.v from g g2 join vol v2 on v2.date = g2.date) end, 6) as orthogonal_average_graph_strength from g left join vol on vol.date = g.date").replace("regr_intercept(average_graph_strength, v) + regr_slope(average_graph_strength, v) * vol.v", "regr_intercept(g2.average_graph_strength, v2.v) + regr_slope(g2.average_graph_strength, v2.v) * any_value(vol.v)"))
+@query("residuals_on_one_control", sql("g vol", "select g.date, round(average_graph_strength - a - b * v, 6) as orthogonal_average_graph_strength from g left join vol on vol.date = g.date cross join line", "line as (select regr_intercept(average_graph_strength, v) as a, regr_slope(average_graph_strength, v) as b from g join vol on vol.date = g.date)"))
 def _(d):
     return components.residualize(d.ri(True).select("date", "average_graph_strength"), d.vol(), "full_sample").select("date", "orthogonal_average_graph_strength")
 
@@ -488,13 +497,13 @@ def _(d):
 
 @query("candidate_scores")
 def _(d):
-    return components.candidate_scores(d.ri(), graph.rolling_pca_features(d.returns(), WINDOW))
+    return components.candidate_scores(d.ri(), d.pca())
 
 
 @query("algebraic_connectivity_diagnostics")
 def _(d):
     b = d.benchmarks()
-    return components.algebraic_diagnostics(d.ri(), b, models.targets(d.returns(), b, prefix="future"), graph.rolling_pca_features(d.returns(), WINDOW))
+    return components.algebraic_diagnostics(d.ri(), b, models.targets(d.returns(), b, prefix="future"), d.pca())
 
 
 @query("algebraic_connectivity_overlays")
@@ -504,7 +513,7 @@ def _(d):
 
 @query("component_overlays")
 def _(d):
-    return overlay.evaluate_signals(d.returns(), components.overlay_signals(d.ri(), graph.rolling_pca_features(d.returns(), WINDOW)))[0]
+    return overlay.evaluate_signals(d.returns(), components.overlay_signals(d.ri(), d.pca()))[0]
 
 
 @query("component_overlay_costs")
@@ -538,7 +547,7 @@ def _(d):
 @query("model_ladder")
 def _(d):
     ri, b = d.ri(), d.benchmarks()
-    return models.model_ladder(ri, b, d.returns(), graph.rolling_pca_features(d.returns(), WINDOW), components.add_component_scores(ri, b), SPLITS)
+    return models.model_ladder(ri, b, d.returns(), d.pca(), components.add_component_scores(ri, b), SPLITS)
 
 
 @query("component_ablation")
@@ -549,7 +558,7 @@ def _(d):
 
 @query("information_sets")
 def _(d):
-    return models.information_sets(d.ri(), d.benchmarks(), d.returns(), graph.rolling_pca_features(d.returns(), WINDOW), None, SPLITS)
+    return models.information_sets(d.ri(), d.benchmarks(), d.returns(), d.pca(), None, SPLITS)
 
 
 @query("information_set_ranking")
@@ -563,7 +572,8 @@ CONFIGS = selection.parameter_grid((0.05, 0.20), (52,), (0.0, 0.03))
 
 
 def _grid(d):
-    return selection.robustness_grid(d.returns(), d.benchmarks(), CONFIGS, SPLITS)
+    ri = d._keep("grid", lambda: selection.indicators(d.returns(), CONFIGS))
+    return selection.grid_tables(ri, d.returns(), d.benchmarks(), CONFIGS, SPLITS)
 
 
 @query("grid_overlay_metrics")
@@ -608,7 +618,7 @@ def _(d):
 
 
 def _scores(d):
-    return components.candidate_scores(d.ri(), graph.rolling_pca_features(d.returns(), WINDOW)).cache()
+    return d._keep("scores", lambda: components.candidate_scores(d.ri(), d.pca()))
 
 
 @query("turnover_reduction")
@@ -638,7 +648,7 @@ def _(d):
 
 @query("final_matrix")
 def _(d):
-    information = models.information_sets(d.ri(), d.benchmarks(), d.returns(), graph.rolling_pca_features(d.returns(), WINDOW), None, SPLITS)
+    information = models.information_sets(d.ri(), d.benchmarks(), d.returns(), d.pca(), None, SPLITS)
     return selection.final_matrix(information, selection.rolling_origin(d.returns(), _scores(d), splits=ORIGINS)[1])
 
 

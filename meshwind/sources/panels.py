@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
@@ -68,6 +70,16 @@ def write_tables(tables: dict[str, DataFrame], folder: str, fmt: str = "parquet"
         writer.parquet(f"{folder}/{name}") if fmt == "parquet" else writer.option("header", True).csv(f"{folder}/{name}")
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df written to a new folder under spark.checkpoint.dir and read back: later plans start from a short scan, and lost
+    executors lose nothing. Without that setting (tests) a temporary folder is used."""
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="meshwind-")
+    path = f"{root.rstrip('/')}/meshwind-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def to_long(wide: DataFrame, assets: Sequence[str] | None = None) -> DataFrame:
     """(date, asset, value) of a wide panel, nulls kept."""
     assets = list(assets or [c for c in wide.columns if c != "date"])
