@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -44,6 +47,14 @@ def slices(batch: pa.RecordBatch, size: int):
         yield batch.slice(at, step)
 
 
+def give_back() -> None:
+    """Freed memory goes back to the system, since Python workers live on after a task."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def arrow_map(df: DataFrame, make, schema: str, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """mapInArrow with ``make()`` called once a task; it returns a function from RecordBatch to dict of columns."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -57,6 +68,10 @@ def arrow_map(df: DataFrame, make, schema: str, slice_bytes: int = SLICE_BYTES)
             for part in slices(batch, slice_bytes):
                 out = work(part)
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in target], schema=target)
+                del out, part
+            del batch
+        del work
+        give_back()
 
     return df.mapInArrow(run, schema)
 

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, components, materialize, picked
+from .common import arrow_map, components, give_back, materialize, picked
 
 #: Signature bytes, sorted orders, least common prefix, rows of a region, forests kept of a region.
 N_HASH, N_TREES, MIN_DEPTH, REGION, FORESTS = 128, 16, 4, 1024, 3
@@ -191,6 +191,8 @@ def candidate_pairs(keys: DataFrame) -> DataFrame:
                 out = {"u": [], "v": [], "equal": []}
         if out["u"]:
             yield pa.RecordBatch.from_pydict(out, schema=schema)
+        del table, prefix, near, out
+        give_back()
 
     schema = pa.schema([("u", pa.binary()), ("v", pa.binary()), ("equal", pa.int32())])
     return keys.mapInArrow(run, "u binary, v binary, equal int").groupBy("u", "v").agg(F.max("equal").alias("equal"))
@@ -269,7 +271,7 @@ def near_duplicates(docs: DataFrame, *, id_col="doc_id", text_col="text", width:
     first = F.min(F.struct("id", "key"))
     nodes = rows.where("fp is not null").groupBy("fp").agg(F.min("id").alias("low"), first.alias("row"), F.first("sig").alias("sig"))
     nodes = materialize(nodes.select("fp", "low", "row.id", "row.key", "sig"))
-    parts = max(spark.sparkContext.defaultParallelism, -(-nodes.count() * N_TREES // 60_000))
+    parts = max(spark.sparkContext.defaultParallelism, -(-nodes.count() * N_TREES // 40_000))
     keys = materialize(ordered_keys(nodes.select("sig", "fp")))
     pairs = materialize(candidate_pairs(keys.repartitionByRange(parts, "key").sortWithinPartitions("key")))
     links = confirmed(pairs, base, nodes.select("fp", "id", "key"), width, percent)

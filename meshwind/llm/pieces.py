@@ -14,7 +14,7 @@ from .common import arrow_map, picked
 #: The vocabulary file's place; its bytes (bounded by MODEL_BYTES) are broadcast.
 MODEL_PATH, MODEL_BYTES = "/opt/tokenizers/piece_bpe_32k.model", 32 << 20
 #: Units whose ids a worker keeps, characters that one suffix array indexes, bytes of texts encoded at once.
-KEPT_UNITS, INDEX_CHARS, AT_ONCE = 300_000, 1 << 20, 12 << 20
+KEPT_UNITS, INDEX_CHARS, AT_ONCE = 150_000, 1 << 19, 8 << 20
 #: Stands between units of an indexed text; no text has a lone surrogate.
 BETWEEN = "\ud800"
 _UNITS = re.compile("▁*[^▁]+|▁+")
