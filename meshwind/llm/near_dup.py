@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from .common import arrow_map, components, give_back, materialize, picked
 
 #: Signature bytes, sorted orders, least common prefix, rows of a region, forests kept of a region.
-N_HASH, N_TREES, MIN_DEPTH, REGION, FORESTS = 128, 16, 4, 1024, 3
-#: Equal signature bytes (of N_HASH) from which a pair is confirmed on full sets: 3.7 standard errors below 0.85.
-LEAST_EQUAL = 94
+N_HASH, N_TREES, MIN_DEPTH, REGION, FORESTS = 128, 16, 4, 1024, 4
+#: Equal signature bytes (of N_HASH) from which a pair is confirmed on full sets: 4.2 standard errors below 0.85.
+LEAST_EQUAL = 92
 #: Documents of a candidate component that one task confirms; larger components are dealt out as pairs of blocks.
 CELL = 512
 #: Rows of the id-to-cell table up to which it is broadcast (about 40 bytes each); beyond, Spark shuffles.
@@ -31,7 +31,7 @@ class WordHashes(dict):
     """64-bit hashes of words, kept while few."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 150_000:
+        if len(self) > 60_000:
             self.clear()
         value = self[word] = xxhash.xxh64_intdigest(word)
         return value

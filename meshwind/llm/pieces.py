@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +16,7 @@ from .common import arrow_map, picked
 #: The vocabulary file's place; its bytes (bounded by MODEL_BYTES) are broadcast.
 MODEL_PATH, MODEL_BYTES = "/opt/tokenizers/piece_bpe_32k.model", 32 << 20
 #: Units whose ids a worker keeps, characters that one suffix array indexes, bytes of texts encoded at once.
-KEPT_UNITS, INDEX_CHARS, AT_ONCE = 150_000, 1 << 19, 8 << 20
+KEPT_UNITS, INDEX_CHARS, AT_ONCE = 80_000, 1 << 19, 6 << 20
 #: Stands between units of an indexed text; no text has a lone surrogate.
 BETWEEN = "\ud800"
 _UNITS = re.compile("▁*[^▁]+|▁+")
@@ -54,7 +56,7 @@ class Vocabulary:
         return parts
 
     def decode(self, ids) -> bytes:
-        text = b"".join([self.out[i] for i in ids])
+        text = b"".join(map(self.out.__getitem__, ids))
         return text[1:] if text[:1] == b" " else text
 
 
@@ -71,11 +73,13 @@ class Encoder:
         self.names = sorted(p for p in self.v.ids if "▁" not in p[1:])
         self.longest = max(map(len, self.names))
         spelled = np.array([[ord(c) + 1 for c in p] + [0] * (self.longest - len(p)) for p in self.names], ">u4")
-        self.sizes = np.array([len(p) for p in self.names], np.int64)
+        self.sizes = np.array([len(p) for p in self.names], np.int32)
         self.low = self._keys(spelled)
         self.high = self._keys(np.where(np.arange(self.longest) < self.sizes[:, None], spelled, 0xFFFFFFFF).astype(">u4"))
-        self.name_ids = np.array([self.v.ids[p] for p in self.names], np.int64)
+        self.name_ids = np.array([self.v.ids[p] for p in self.names], np.int32)
         self.known: dict[str, tuple[int, ...]] = {}
+        self.recent: dict[str, tuple[int, ...]] = {}
+        self.inside = {p[k : k + 2] for p in self.names for k in range(len(p) - 1)}  # neighbours within pieces
         self.whole = np.full(self.v.size + 1, -1, np.int8)  # pieces that encode to themselves: -1 not yet known
         self.whole[self.v.size] = 1  # stands for a character without a piece
         self.pair_keys, self.pair_ok, self.text = np.empty(0, np.int64), np.empty(0, bool), [""] * (self.v.size + 1)
@@ -97,7 +101,7 @@ class Encoder:
             ok = np.empty(len(fresh), bool)
             for k, key in enumerate(fresh.tolist()):
                 a, b = divmod(key, unk + 1)
-                ok[k] = a == unk or b == unk or self.v.merge(self.text[a] + self.text[b]) == [self.text[a], self.text[b]]
+                ok[k] = a == unk or b == unk or self.text[a][-1] + self.text[b][0] not in self.inside or self.v.merge(self.text[a] + self.text[b]) == [self.text[a], self.text[b]]
             into = np.searchsorted(self.pair_keys, fresh)
             self.pair_keys, self.pair_ok = np.insert(self.pair_keys, into, fresh), np.insert(self.pair_ok, into, ok)
             at = np.searchsorted(self.pair_keys, keys)
@@ -130,21 +134,24 @@ class Encoder:
         window = self._keys(np.lib.stride_tricks.sliding_window_view(width[:, 0], self.longest)[:n][order])
         first, last = np.searchsorted(window, self.low, "left"), np.searchsorted(window, self.high, "right")
         count = last - first
-        which = np.repeat(np.arange(len(self.names)), count)
-        start = order[np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count) + first[which]]
+        which = np.repeat(np.arange(len(self.names), dtype=np.int32), count)
+        at = np.arange(len(which), dtype=np.int32)
+        at -= np.repeat((np.cumsum(count) - count - first).astype(np.int32), count)
+        start = order.astype(np.int32)[at]
+        del window, at
         lone = np.array([chr(c) not in self.v.ids and chr(c) != BETWEEN for c in alphabet.tolist()])
-        alone = np.flatnonzero(lone[code])
-        return np.r_[start, alone], np.r_[start + self.sizes[which], alone + 1], np.r_[self.name_ids[which], np.full(len(alone), self.v.size)]
+        alone = np.flatnonzero(lone[code]).astype(np.int32)
+        return np.r_[start, alone], np.r_[start + self.sizes[which], alone + 1], np.r_[self.name_ids[which], np.full(len(alone), self.v.size, np.int32)]
 
     def _encode_new(self, units: list[str]) -> None:
-        starts = np.cumsum([0, *(len(u) + 1 for u in units[:-1])])
+        starts = np.cumsum([0, *(len(u) + 1 for u in units[:-1])]).astype(np.int32)
         text = BETWEEN.join(units) + BETWEEN
-        unit_at = np.repeat(np.arange(len(units)), [len(u) + 1 for u in units])
+        unit_at = np.repeat(np.arange(len(units), dtype=np.int32), [len(u) + 1 for u in units])
         a, b, piece = self.edges(text)
         step = b - starts[unit_at[a]]
         order = np.argsort(step, kind="stable")
         a, b, piece, step = a[order], b[order], piece[order], step[order]
-        last, came = np.full(len(text) + 1, -1, np.int64), np.zeros(len(text) + 1, np.int64)
+        last, came = np.full(len(text) + 1, -1, np.int32), np.zeros(len(text) + 1, np.int32)
         cuts = np.flatnonzero(np.diff(step, prepend=-1, append=-1)) if len(step) else np.empty(0, np.int64)
         begins = np.zeros(len(text) + 1, bool)
         begins[starts] = True
@@ -197,12 +204,19 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         split = [_UNITS.findall("▁" + t.replace(" ", "▁")) if t else [] for t in texts]
-        if len(self.known) > KEPT_UNITS:
-            self.known.clear()
-        fresh, size = [], 0
-        for unit in dict.fromkeys(u for units in split for u in units if u not in self.known):
+        known, recent = self.known, self.recent
+        if len(known) > KEPT_UNITS:
+            known.clear()
+        fresh, size, new = [], 0, []
+        for unit in dict.fromkeys(chain.from_iterable(split)):
+            if unit in known:
+                continue
+            if unit in recent:  # a unit that comes back is kept; one that is met once goes after the next call
+                known[unit] = recent[unit]
+                continue
+            new.append(unit)
             if unit.startswith("▁▁"):
-                self.known[unit] = self._spaced(unit)
+                known[unit] = self._spaced(unit)
                 continue
             fresh.append(unit)
             size += len(unit) + 1
@@ -211,8 +225,9 @@ class Encoder:
                 fresh, size = [], 0
         if fresh:
             self._encode_new(fresh)
-        known = self.known
-        return [[i for u in units for i in known[u]] for units in split]
+        out = [list(chain.from_iterable(map(known.__getitem__, units))) for units in split]
+        self.recent = {unit: known.pop(unit) for unit in new}
+        return out
 
 
 def encoder(proto: bytes) -> Encoder:
@@ -243,7 +258,7 @@ def encode_documents(docs: DataFrame, *, id_col="doc_id", text_col="text", model
             texts = [t or "" for t in batch.column("text").to_pylist()]
             found = use.encode(texts)
             return {
-                "id": batch.column("id"), "n_tokens": [len(x) for x in found], "ids_sha256": [hashlib.sha256(np.array(x, "<i4").tobytes()).hexdigest() for x in found],
+                "id": batch.column("id"), "n_tokens": [len(x) for x in found], "ids_sha256": [hashlib.sha256(np.frombuffer(array("i", x), np.int32).astype("<i4").tobytes()).hexdigest() for x in found],
                 "round_trip": [use.v.decode(x) == t.encode() for x, t in zip(found, texts)], "ids": found,
             } | {f"c_{c}": batch.column(f"c_{c}") for c in keep}
 

@@ -95,7 +95,7 @@ class Lexicon(dict):
         self.stems, self.closed = stems, {w: (k, 0.0) for k, ws in ((THREATS, THREAT), (TARGETS, TARGET), (NEG, NEGATION), (SAID, REPORT)) for w in ws}
 
     def __missing__(self, word: str):
-        if len(self) > 150_000:
+        if len(self) > 60_000:
             self.clear()
         found = self.closed.get(word)
         if found is None:
