@@ -9,14 +9,20 @@ from meshwind.llm import decontaminate, near_dup, pieces, secrets, toxicity
 from meshwind.llm.common import materialize
 
 
+def _rest(docs: DataFrame) -> tuple[str, ...]:
+    """What an operator carries along beside id and text, which it reads and returns once."""
+    return tuple(c for c in docs.columns if c not in ("doc_id", "text"))
+
+
 def _renamed(df: DataFrame, columns: list[str]) -> DataFrame:
-    return df.select(*[F.col(f"c_{c}").alias(c) for c in columns])
+    own = {"doc_id": F.col("id"), "text": F.col("text")}
+    return df.select(*[own[c].alias(c) if c in own else F.col(f"c_{c}").alias(c) for c in columns])
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the toxicity grammar predicts toxic; it learns from labels that are not held out."""
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), allowed=lambda c: ~toxicity.held_out(c))
-    return _renamed(toxicity.score_toxicity(docs, model, keep=tuple(docs.columns)).where("predicted = 0"), docs.columns)
+    return _renamed(toxicity.score_toxicity(docs, model, keep=_rest(docs), keep_text=True).where("predicted = 0"), docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,13 +37,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold ten words running of a benchmark item, or a shorter item whole."""
-    found = decontaminate.find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), carry=tuple(docs.columns))
+    found = decontaminate.find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), carry=_rest(docs), keep_text=True)
     return _renamed(found.where(F.size("spans") == 0), docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces each secret with a mark; all documents stay. n_chars follows the new text."""
-    rest = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
+    rest = _rest(docs)
     found = secrets.redacted(secrets.find_secrets(docs, keep=rest))
     own = {"doc_id": F.col("id"), "text": F.col("text"), "n_chars": F.length("text").cast("long")}
     return found.select(*[own.get(c, F.col(f"c_{c}")).alias(c) for c in docs.columns])
@@ -45,7 +51,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, with whether they decode to its text."""
-    rest = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
+    rest = _rest(docs)
     coded = pieces.encode_documents(docs, keep=rest)
     return coded.select(F.col("id").alias("doc_id"), *[F.col(f"c_{c}").alias(c) for c in rest], "n_tokens", "ids", "ids_sha256", "round_trip")
 
