@@ -16,7 +16,7 @@ from .common import arrow_map, picked
 #: The vocabulary file's place; its bytes (bounded by MODEL_BYTES) are broadcast.
 MODEL_PATH, MODEL_BYTES = "/opt/tokenizers/piece_bpe_32k.model", 32 << 20
 #: Units whose ids a worker keeps, characters that one suffix array indexes, bytes of texts encoded at once.
-KEPT_UNITS, INDEX_CHARS, AT_ONCE = 80_000, 1 << 19, 6 << 20
+KEPT_UNITS, INDEX_CHARS, AT_ONCE = 150_000, 1 << 19, 10 << 20
 #: Stands between units of an indexed text; no text has a lone surrogate.
 BETWEEN = "\ud800"
 _UNITS = re.compile("▁*[^▁]+|▁+")
@@ -77,8 +77,8 @@ class Encoder:
         self.low = self._keys(spelled)
         self.high = self._keys(np.where(np.arange(self.longest) < self.sizes[:, None], spelled, 0xFFFFFFFF).astype(">u4"))
         self.name_ids = np.array([self.v.ids[p] for p in self.names], np.int32)
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.recent: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, list[int]] = {}
+        self.recent: dict[str, list[int]] = {}
         self.inside = {p[k : k + 2] for p in self.names for k in range(len(p) - 1)}  # neighbours within pieces
         self.whole = np.full(self.v.size + 1, -1, np.int8)  # pieces that encode to themselves: -1 not yet known
         self.whole[self.v.size] = 1  # stands for a character without a piece
@@ -144,9 +144,10 @@ class Encoder:
         return np.r_[start, alone], np.r_[start + self.sizes[which], alone + 1], np.r_[self.name_ids[which], np.full(len(alone), self.v.size, np.int32)]
 
     def _encode_new(self, units: list[str]) -> None:
-        starts = np.cumsum([0, *(len(u) + 1 for u in units[:-1])]).astype(np.int32)
+        sizes = np.fromiter(map(len, units), np.int32, len(units)) + np.int32(1)
+        starts = np.cumsum(sizes, dtype=np.int32) - sizes
         text = BETWEEN.join(units) + BETWEEN
-        unit_at = np.repeat(np.arange(len(units), dtype=np.int32), [len(u) + 1 for u in units])
+        unit_at = np.repeat(np.arange(len(units), dtype=np.int32), sizes)
         a, b, piece = self.edges(text)
         step = b - starts[unit_at[a]]
         order = np.argsort(step, kind="stable")
@@ -163,7 +164,7 @@ class Encoder:
             good = self._whole(t)
             good[good & ~head] = self._apart(last[i][good & ~head], t[good & ~head])
             last[j[good]], came[j[good]] = t[good], i[good]
-        ends = starts + np.array([len(u) for u in units])
+        ends = starts + sizes - 1
         if (last[ends] < 0).any():
             raise AssertionError(f"no piece ends {units[int(np.flatnonzero(last[ends] < 0)[0])][:80]!r}")
         at, which, steps = ends, np.arange(len(units)), []
@@ -174,19 +175,20 @@ class Encoder:
             at, which = at[on], which[on]
         which, ids, at = (np.concatenate([s[k] for s in reversed(steps)]) for k in range(3))
         order = np.argsort(which, kind="stable")
-        ids, at, cuts = ids[order].tolist(), at[order], np.concatenate([[0], np.cumsum(np.bincount(which, minlength=len(units)))]).tolist()
-        lone = set(np.unique(which[order][np.array(ids) == self.v.size]).tolist())
-        for k, (unit, lo, hi) in enumerate(zip(units, cuts, cuts[1:])):
-            found = ids[lo:hi]
-            if k in lone:
-                found = [x for t, e in zip(found, at[lo:hi].tolist()) for x in ([t] if t < self.v.size else [self.v.byte_ids[y] for y in text[e - 1].encode()])]
-            self.known[unit] = tuple(found)
-
-    def _spaced(self, unit: str) -> tuple[int, ...]:
+        ids, at = ids[order], at[order]
+        cuts = np.concatenate([[0], np.cumsum(np.bincount(which, minlength=len(units)))]).tolist()
+        lone = np.unique(which[order][ids == self.v.size]).tolist()
+        ids = ids.tolist()
+        self.known.update(zip(units, map(ids.__getitem__, map(slice, cuts, cuts[1:]))))
+        for k in lone:  # characters without a piece become their bytes
+            found = zip(ids[cuts[k] : cuts[k + 1]], at[cuts[k] : cuts[k + 1]].tolist())
+            self.known[units[k]] = [x for t, e in found for x in ([t] if t < self.v.size else [self.v.byte_ids[y] for y in text[e - 1].encode()])]
+
+    def _spaced(self, unit: str) -> list[int]:
         """A unit that starts with two or more spaces. Runs of spaces have the least score, so the word and its own space are
         merged first; then spaces join from the left wherever the joined run is a piece."""
         word = unit.lstrip("▁")
-        n, rest = len(unit) - len(word), ()
+        n, rest = len(unit) - len(word), []
         if word:
             if "▁" + word not in self.known:
                 self._encode_new(["▁" + word])
@@ -200,7 +202,7 @@ class Encoder:
             runs.append(1)
             while len(runs) > 1 and "▁" * (runs[-2] + runs[-1]) in self.v.ids:
                 runs[-2:] = [runs[-2] + runs[-1]]
-        return (*(self.v.ids["▁" * k] for k in runs), *rest)
+        return [*(self.v.ids["▁" * k] for k in runs), *rest]
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         split = [_UNITS.findall("▁" + t.replace(" ", "▁")) if t else [] for t in texts]

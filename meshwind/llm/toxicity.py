@@ -207,11 +207,11 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col="doc_id", text_col="text
     return fit([r["text"] or "" for r in rows], [r["y"] for r in rows], shift)
 
 
-def score_toxicity(docs: DataFrame, model: Model, *, id_col="doc_id", text_col="text", keep: tuple[str, ...] = ()) -> DataFrame:
+def score_toxicity(docs: DataFrame, model: Model, *, id_col="doc_id", text_col="text", keep: tuple[str, ...] = (), keep_text: bool = False) -> DataFrame:
     """Per row: id, score (0 to 1), n_matches, predicted (score >= THRESHOLD), from the whole text alone.
 
     Null and empty texts score as texts without matches; repeated rows score alike; an empty table gives no rows;
-    other columns are ignored unless in ``keep`` (then they follow, prefixed ``c_``).
+    other columns are ignored unless in ``keep`` (then they follow, prefixed ``c_``); keep_text: the text follows too.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -222,12 +222,12 @@ def score_toxicity(docs: DataFrame, model: Model, *, id_col="doc_id", text_col="
         def work(batch: pa.RecordBatch) -> dict:
             found = [matches(t, lexicon) for t in batch.column("text").to_pylist()]
             score = fitted.score([features(*m) for m in found])
-            return {"id": batch.column("id"), "score": score, "n_matches": [len(m) for m, _ in found], "predicted": (score >= THRESHOLD).astype(np.int32)} | {f"c_{c}": batch.column(f"c_{c}") for c in keep}
+            return {"id": batch.column("id"), "score": score, "n_matches": [len(m) for m, _ in found], "predicted": (score >= THRESHOLD).astype(np.int32), "text": batch.column("text")} | {f"c_{c}": batch.column(f"c_{c}") for c in keep}
 
         return work
 
     kinds = "".join(f", `c_{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return arrow_map(picked(docs, id=id_col, text=text_col, **{f"c_{c}": c for c in keep}), make, f"id {docs.schema[id_col].dataType.simpleString()}, score double, n_matches int, predicted int{kinds}")
+    return arrow_map(picked(docs, id=id_col, text=text_col, **{f"c_{c}": c for c in keep}), make, f"id {docs.schema[id_col].dataType.simpleString()}, score double, n_matches int, predicted int{', text string' * keep_text}{kinds}")
 
 
 def held_out(id_):
