@@ -16,7 +16,7 @@ from .common import arrow_map, picked
 #: The vocabulary file's place; its bytes (bounded by MODEL_BYTES) are broadcast.
 MODEL_PATH, MODEL_BYTES = "/opt/tokenizers/piece_bpe_32k.model", 32 << 20
 #: Units whose ids a worker keeps, characters that one suffix array indexes, bytes of texts encoded at once.
-KEPT_UNITS, INDEX_CHARS, AT_ONCE = 150_000, 1 << 19, 10 << 20
+KEPT_UNITS, INDEX_CHARS, AT_ONCE = 150_000, 1 << 19, 16 << 20
 #: Stands between units of an indexed text; no text has a lone surrogate.
 BETWEEN = "\ud800"
 _UNITS = re.compile("▁*[^▁]+|▁+")
@@ -240,7 +240,7 @@ def encoder(proto: bytes) -> Encoder:
     return _WORKERS[key]
 
 
-def encode_documents(docs: DataFrame, *, id_col="doc_id", text_col="text", model_path: str = MODEL_PATH, ids: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
+def encode_documents(docs: DataFrame, *, id_col="doc_id", text_col="text", model_path: str = MODEL_PATH, ids: bool = True, keep: tuple[str, ...] = (), at_once: int = AT_ONCE) -> DataFrame:
     """Per row: id, n_tokens, ids_sha256 (of the ids as little-endian 32-bit numbers), round_trip, and the ids if asked for.
 
     round_trip: whether decoding the ids gives the text's bytes back; false only for texts with the character U+2581, which
@@ -267,7 +267,7 @@ def encode_documents(docs: DataFrame, *, id_col="doc_id", text_col="text", model
         return work
 
     kinds = "".join(f", `c_{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return arrow_map(picked(docs, id=id_col, text=text_col, **{f"c_{c}": c for c in keep}), make, f"id {docs.schema[id_col].dataType.simpleString()}, n_tokens long, ids_sha256 string, round_trip boolean" + ", ids array<int>" * ids + kinds, AT_ONCE)
+    return arrow_map(picked(docs, id=id_col, text=text_col, **{f"c_{c}": c for c in keep}), make, f"id {docs.schema[id_col].dataType.simpleString()}, n_tokens long, ids_sha256 string, round_trip boolean" + ", ids array<int>" * ids + kinds, at_once)
 
 
 def decode_documents(encoded: DataFrame, *, id_col="id", ids_col="ids", model_path: str = MODEL_PATH) -> DataFrame:
