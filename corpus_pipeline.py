@@ -52,7 +52,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, with whether they decode to its text."""
     rest = _rest(docs)
-    coded = pieces.encode_documents(docs, keep=rest)
+    coded = pieces.encode_documents(docs, keep=rest, at_once=6 << 20)
     return coded.select(F.col("id").alias("doc_id"), *[F.col(f"c_{c}").alias(c) for c in rest], "n_tokens", "ids", "ids_sha256", "round_trip")
 
 
