@@ -198,6 +198,98 @@ def candidate_pairs(keys: DataFrame) -> DataFrame:
     return keys.mapInArrow(run, "u binary, v binary, equal int").groupBy("u", "v").agg(F.max("equal").alias("equal"))
 
 
+def run_numbers(nodes: DataFrame) -> DataFrame:
+    """fp, comp and the runs of a node: one number a tree, of the tree and the first MIN_DEPTH bytes of its order."""
+
+    def make():
+        def work(batch: pa.RecordBatch) -> dict:
+            sigs = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint8).reshape(-1, N_HASH)
+            return {"fp": batch.column("fp"), "comp": batch.column("comp"), "runs": np.stack([_run(sigs, t) for t in range(N_TREES)], axis=1).tolist()}
+
+        return work
+
+    return arrow_map(nodes, make, "fp binary, comp binary, runs array<long>")
+
+
+def _run(sigs: np.ndarray, tree: int) -> np.ndarray:
+    out = np.full(len(sigs), tree, np.int64)
+    for k in _ORDERS[tree][:MIN_DEPTH]:
+        out = out << 8 | sigs[:, k]
+    return out
+
+
+def left_pairs(nodes: DataFrame, comp: DataFrame, known: DataFrame) -> DataFrame:
+    """All pairs (u, v, equal) of one run and two components with LEAST_EQUAL equal bytes that are not among the known pairs.
+
+    A run is all rows that share MIN_DEPTH bytes in a tree. It is cut into blocks of about REGION rows, a large component into
+    blocks of its own, and each pair of blocks is compared in a cell of its own unless both hold one and the same component.
+    """
+    labelled = materialize(nodes.select("fp", "sig").join(comp.withColumnRenamed("node", "fp"), "fp", "left").withColumn("comp", F.coalesce("comp", "fp")))
+    rows = materialize(run_numbers(labelled)).select("fp", "comp", F.explode("runs").alias("run"))
+    name = F.xxhash64("comp")
+    crowd = rows.groupBy("run").agg(F.count("*").alias("size"), F.min(name).alias("a"), F.max(name).alias("b"))
+    crowd = materialize(crowd.where((F.col("a") != F.col("b")) & (F.col("size") > REGION)).select("run"))
+    crowd = F.broadcast(crowd) if crowd.count() <= BROADCAST_ROWS else crowd
+    rows = materialize(rows.join(crowd, "run"))
+    sizes = rows.groupBy("run", "comp").agg(F.count("*").alias("m")).withColumn("big", F.col("m") > REGION // 2)
+    small = sizes.groupBy("run").agg(F.sum(F.when(F.col("big"), 0).otherwise(F.col("m"))).alias("rest"))
+    parts = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / REGION))
+    block = F.when(F.col("big"), F.concat_ws("/", F.hex("comp"), F.pmod(F.xxhash64("fp"), parts("m")))).otherwise(F.pmod(name, parts("rest")).cast("string"))
+    rows = rows.join(sizes, ["run", "comp"]).join(small, "run").select("fp", "run", block.alias("block"), F.when(F.col("big"), F.col("comp")).alias("own"))
+    rows = materialize(rows)
+    blocks = rows.select("run", "block", "own").distinct()
+    both = blocks.join(blocks.select("run", F.col("block").alias("other"), F.col("own").alias("others")), "run")
+    both = both.where((F.col("block") <= F.col("other")) & ~F.coalesce(F.col("own") == F.col("others"), F.lit(False)))
+    cell = F.concat_ws(":", "run", "block", "other")
+    dealt = both.select("run", cell.alias("cell"), F.explode(F.array_distinct(F.array("block", "other"))).alias("block"))
+    sent = rows.join(dealt, ["run", "block"]).select("cell", "run", "block", "fp").join(labelled, "fp")
+
+    def run(batches):
+        out, cell, held = {"u": [], "v": [], "equal": []}, None, []
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("cell", "run", "block", "fp", "comp", "sig"))):
+                if row[0] != cell:
+                    _compare(held, out)
+                    cell, held = row[0], []
+                    if len(out["u"]) > 20_000:
+                        yield pa.RecordBatch.from_pydict(out, schema=schema)
+                        out = {"u": [], "v": [], "equal": []}
+                held.append(row[1:])
+        _compare(held, out)
+        for at in range(0, len(out["u"]), 100_000):
+            yield pa.RecordBatch.from_pydict({c: x[at : at + 100_000] for c, x in out.items()}, schema=schema)
+        give_back()
+
+    schema = pa.schema([("u", pa.binary()), ("v", pa.binary()), ("equal", pa.int32())])
+    found = sent.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "u binary, v binary, equal int")
+    return found.join(known.select("u", "v"), ["u", "v"], "left_anti")
+
+
+def _compare(held: list[tuple], out: dict) -> None:
+    """Adds the pairs of a cell's rows (run, block, fp, comp, sig): of its two blocks, or within its only one; a pair only in its first common run."""
+    if len(held) < 2:
+        return
+    run, blocks, fps, comps, sigs = zip(*held)
+    tree = run[0] >> 8 * MIN_DEPTH
+    sigs = np.frombuffer(b"".join(sigs), np.uint8).reshape(-1, N_HASH)
+    comp, side = (np.unique(np.array(x, object), return_inverse=True)[1] for x in (comps, blocks))
+    one = side.max() == 0
+    left, right = (np.arange(len(held)),) * 2 if one else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+    step = max(1, (4 << 20) // (N_HASH * len(right)))
+    for at in range(0, len(left), step):
+        some = left[at : at + step]
+        equal = np.count_nonzero(sigs[some, None, :] == sigs[None, right, :], axis=2)
+        good = (equal >= LEAST_EQUAL) & (comp[some, None] != comp[None, right])
+        i, j = np.nonzero(good)
+        value, i, j = equal[i, j], some[i], right[j]
+        new = i < j if one else np.ones(len(i), bool)
+        for t in range(tree if len(i) else 0):
+            new &= _run(sigs[i], t) != _run(sigs[j], t)
+        for a, b, e in zip(i[new].tolist(), j[new].tolist(), value[new].tolist()):
+            u, v = sorted((fps[a], fps[b]))
+            out["u"].append(u), out["v"].append(v), out["equal"].append(e)
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, rep: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (u, v), or a spanning subset of them, whose full sets pass 100 * intersection >= percent * union.
 
@@ -274,8 +366,12 @@ def near_duplicates(docs: DataFrame, *, id_col="doc_id", text_col="text", width:
     parts = max(spark.sparkContext.defaultParallelism, -(-nodes.count() * N_TREES // 40_000))
     keys = materialize(ordered_keys(nodes.select("sig", "fp")))
     pairs = materialize(candidate_pairs(keys.repartitionByRange(parts, "key").sortWithinPartitions("key")))
-    links = confirmed(pairs, base, nodes.select("fp", "id", "key"), width, percent)
+    rep = nodes.select("fp", "id", "key")
+    links = materialize(confirmed(pairs, base, rep, width, percent))
     comp = materialize(components(links))
+    left = materialize(left_pairs(nodes, comp, pairs))
+    if left.limit(1).count():
+        comp = materialize(components(links.unionAll(confirmed(left, base, rep, width, percent))))
     named = nodes.select("fp", "low").join(comp.withColumnRenamed("node", "fp"), "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
     lowest = named.groupBy("comp").agg(F.min("low").alias("component"))
     of = named.join(lowest, "comp").select("fp", "component")

@@ -65,3 +65,22 @@ def test_regions_cover_neighbours_and_forests_connect(monkeypatch):
     equal[:3, 3:] = equal[3:, :3] = 90
     assert {frozenset(p) for p in N.forests(equal, 95, 1)} <= {frozenset((i, j)) for i in range(6) for j in range(6) if (i < 3) == (j < 3)}
     assert len(N.forests(equal, 80, 1)) == 5
+
+
+def test_crowded_runs_compare_all_pairs(spark, monkeypatch):
+    """Variants of a template link only through it; its run holds many more rows than a region."""
+    monkeypatch.setattr(N, "REGION", 8)
+    monkeypatch.setattr(N, "FORESTS", 1)
+    rnd = random.Random(7)
+    word = lambda: "".join(rnd.choice("abcdefghijk") for _ in range(6))
+    base = [word() for _ in range(400)]
+    rows = [(0, " ".join(base))]
+    for n in range(1, 90):
+        t = list(base)
+        for at in range(2 * n % 60, 400, 80):
+            t[at] = word()
+        rows.append((n, " ".join(t)))
+    want = sorted(brute(rows))
+    assert len({c for _, _, c in want}) == 1
+    got = N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.id, r.n_shingles, r.component_id) for r in got) == want
