@@ -227,10 +227,9 @@ def left_pairs(nodes: DataFrame, comp: DataFrame, known: DataFrame) -> DataFrame
     labelled = materialize(nodes.select("fp", "sig").join(comp.withColumnRenamed("node", "fp"), "fp", "left").withColumn("comp", F.coalesce("comp", "fp")))
     rows = materialize(run_numbers(labelled)).select("fp", "comp", F.explode("runs").alias("run"))
     name = F.xxhash64("comp")
-    crowd = rows.groupBy("run").agg(F.count("*").alias("size"), F.min(name).alias("a"), F.max(name).alias("b"))
-    crowd = materialize(crowd.where((F.col("a") != F.col("b")) & (F.col("size") > REGION)).select("run"))
-    crowd = F.broadcast(crowd) if crowd.count() <= BROADCAST_ROWS else crowd
-    rows = materialize(rows.join(crowd, "run"))
+    mixed = materialize(rows.groupBy("run").agg(F.min(name).alias("a"), F.max(name).alias("b")).where("a <> b").select("run"))
+    mixed = F.broadcast(mixed) if mixed.count() <= BROADCAST_ROWS else mixed
+    rows = materialize(rows.join(mixed, "run"))
     sizes = rows.groupBy("run", "comp").agg(F.count("*").alias("m")).withColumn("big", F.col("m") > REGION // 2)
     small = sizes.groupBy("run").agg(F.sum(F.when(F.col("big"), 0).otherwise(F.col("m"))).alias("rest"))
     parts = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / REGION))

@@ -84,3 +84,21 @@ def test_crowded_runs_compare_all_pairs(spark, monkeypatch):
     assert len({c for _, _, c in want}) == 1
     got = N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r.id, r.n_shingles, r.component_id) for r in got) == want
+
+
+def test_refuted_forest_edges_leave_no_pair_untested(spark, monkeypatch):
+    """Pairs scatter around the bound: the best estimates are often refuted, and the true links come after them."""
+    monkeypatch.setattr(N, "FORESTS", 1)
+    rnd = random.Random(11)
+    word = lambda: "".join(rnd.choice("abcdefghijk") for _ in range(6))
+    base = [word() for _ in range(300)]
+    rows = []
+    for n in range(70):
+        t = list(base)
+        for at in rnd.sample(range(0, 300, 6), 3):
+            t[at] = word()
+        rows.append((n, " ".join(t)))
+    want = sorted(brute(rows))
+    assert 5 < len({c for _, _, c in want}) < 66
+    got = N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.id, r.n_shingles, r.component_id) for r in got) == want
