@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 import zlib
 
 import numpy as np
@@ -12,22 +13,22 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, picked
+from .common import arrow_map, materialize, picked
 
-#: Words are hashed to 2^CLASS_BITS classes, whatever the corpus; so the table of class counts has a fixed size and is broadcast.
-CLASS_BITS = 22
-#: The backoff factor, the count of an unseen class, fixed-point units in a nat.
+#: Bits of a word's hash that name it: all of them, so that words share counts only where 64-bit hashes collide.
+CLASS_BITS = 64
+#: The backoff factor, the count of an unseen word, fixed-point units in a nat.
 ALPHA, UNSEEN, UNIT = 0.4, 0.5, 1_000_000
-#: Bigram occurrences a partition of the tables should hold, chunks of the class table, most bigrams that count as hot, least count of one.
-PER_PART, CHUNKS, MOST_HOT, LEAST_HOT = 1_500_000, 32, 1 << 20, 1000
+#: Occurrences a partition of the tables should hold. A slice of texts sends a key once, so frequent ones crowd no partition: LEAST_HOT is unused.
+PER_PART, LEAST_HOT = 1_500_000, 1000
 #: Bytes of text that a worker counts at once.
 AT_ONCE = 5 << 20
-_DOC_BITS = 64 - 2 * CLASS_BITS
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
+_MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
 
 
-class Classes(dict):
-    """Word to class, kept while few."""
+class Words(dict):
+    """Word to its hash, kept while few."""
 
     def __missing__(self, word: bytes) -> int:
         if len(self) > 400_000:
@@ -57,88 +58,34 @@ def unpack(blob: bytes) -> list[np.ndarray]:
 
 
 def _part(keys: np.ndarray, parts: int) -> np.ndarray:
-    mixed = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    mixed = keys.view(np.uint64) * _MIX[0]
     return ((mixed >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
 
 
-def _classes(texts, cache: Classes) -> tuple[np.ndarray, np.ndarray]:
-    """Classes of all words in turn, and each text's number of words."""
+def _codes(texts, cache: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words in turn, and each text's number of words."""
     words = [(t or "").encode("utf-8", "surrogatepass").translate(_FOLD).split() for t in texts]
     n = np.array([len(w) for w in words], np.int64)
-    return np.fromiter((cache[w] for ws in words for w in ws), np.int64, int(n.sum())), n
+    return np.fromiter((cache[w] for ws in words for w in ws), np.uint64, int(n.sum())).view(np.int64), n
 
 
-def _bigrams(classes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(document number, key) of every pair of neighbouring words."""
+def _bigrams(words: np.ndarray, at: np.ndarray, n: np.ndarray):
+    """Document and number of each pair of neighbouring words; numbers of its two words and key of each distinct pair."""
     doc = np.repeat(np.arange(len(n)), n)
     inside = doc[1:] == doc[:-1]
-    return doc[1:][inside], (classes[:-1] << CLASS_BITS | classes[1:])[inside]
+    both, where = np.unique((at[:-1] * len(words) + at[1:])[inside], return_inverse=True)
+    a, b = np.divmod(both, max(1, len(words)))
+    x, y = words.view(np.uint64)[a], words.view(np.uint64)[b]
+    key = (x ^ x >> np.uint64(32)) * _MIX[0] + (y ^ y >> np.uint64(29)) * _MIX[1]
+    return doc[1:][inside], where, a, b, (key ^ key >> np.uint64(31)).view(np.int64)
 
 
-class Counts:
-    """The class counts, the number of words, and the hot bigrams (sorted keys) with their counts."""
-
-    def __init__(self, table: np.ndarray, hot: np.ndarray, hot_counts: np.ndarray):
-        self.table, self.total, self.hot, self.hot_counts = table, max(1, int(table.sum())), hot, hot_counts
-
-    def gain(self, keys, times, own1, own2, together) -> tuple[np.ndarray, np.ndarray]:
-        """Fixed-point gains over backing off of each (document, bigram), and whether the bigram is seen elsewhere.
-
-        together: the bigram's count over all documents; times, own1, own2: the document's own counts, which are taken off."""
-        other = together - times
-        seen = other > 0
-        first = self.table[keys >> CLASS_BITS] - own1
-        second = np.maximum(self.table[keys & ((1 << CLASS_BITS) - 1)] - own2, UNSEEN)
-        value = np.log(np.maximum(other, 1)) - np.log(np.maximum(first, 1)) - math.log(ALPHA) - np.log(second / self.total)
-        return np.where(seen, np.rint(value * UNIT).astype(np.int64) * times, 0), seen
-
-
-def count_corpus(texts: DataFrame, parts: int) -> Counts:
-    """Class counts over all texts, and those bigrams that are so frequent that their rows would crowd one partition.
-
-    Tasks send counts already summed over a batch; at most MOST_HOT bigrams and 2^CLASS_BITS counts reach the driver.
-    """
-    chunk = (1 << CLASS_BITS) // CHUNKS
-
-    def make():
-        cache = Classes()
-
-        def work(batch: pa.RecordBatch) -> dict:
-            classes, n = _classes(batch.column("text").to_pylist(), cache)
-            out = {"part": [], "blob": []}
-            for keys, of, base in ((classes, classes // chunk, -1 - np.arange(CHUNKS)), (_bigrams(classes, n)[1], None, np.arange(parts))):
-                keys, times = np.unique(keys, return_counts=True)
-                at = keys // chunk if of is not None else _part(keys, parts)
-                order = np.argsort(at, kind="stable")
-                cuts = np.searchsorted(at[order], np.arange(len(base) + 1))
-                for k, (lo, hi) in enumerate(zip(cuts, cuts[1:])):
-                    if hi > lo:
-                        out["part"].append(int(base[k])), out["blob"].append(pack(keys[order[lo:hi]], times[order[lo:hi]]))
-            return out
-
-        return work
-
-    def total(frame: pd.DataFrame) -> pd.DataFrame:
-        part = int(frame["part"].iloc[0])
-        keys, times = (np.concatenate(x) for x in zip(*(unpack(b) for b in frame["blob"])))
-        keys, back = np.unique(keys, return_inverse=True)
-        times = np.bincount(back, weights=times).astype(np.int64)
-        if part >= 0:
-            hot = times >= max(LEAST_HOT, times.sum() * parts / MOST_HOT)
-            keys, times = keys[hot], times[hot]
-        return pd.DataFrame({"part": [part], "blob": [pack(keys, times)]})
-
-    sent = arrow_map(texts.select("text"), make, "part int, blob binary", AT_ONCE)
-    table, hot = np.zeros(1 << CLASS_BITS, np.int64), [(np.empty(0, np.int64), np.empty(0, np.int64))]
-    for row in sent.groupBy("part").applyInPandas(total, "part int, blob binary").toLocalIterator():
-        keys, times = unpack(row["blob"])
-        if row["part"] < 0:
-            table[keys] = times
-        else:
-            hot.append((keys, times))
-    keys, times = (np.concatenate(x) for x in zip(*hot))
-    order = np.argsort(keys)
-    return Counts(table, keys[order], times[order])
+def _dealt(keys: np.ndarray, parts: int):
+    """(partition, numbers of its keys by key) of every partition that has some."""
+    part = _part(keys, parts)
+    order = np.lexsort((keys, part))
+    cuts = np.searchsorted(part[order], np.arange(parts + 1))
+    return [(k, order[lo:hi]) for k, (lo, hi) in enumerate(zip(cuts, cuts[1:])) if hi > lo]
 
 
 def score_documents(docs: DataFrame, *, id_col="doc_id", text_col="text") -> DataFrame:
@@ -148,92 +95,75 @@ def score_documents(docs: DataFrame, *, id_col="doc_id", text_col="text") -> Dat
     its own share c(b) / N of all N words; the first word scores its share. The document's own counts are taken off c first, so
     copies help each other but a text does not help itself; an unseen word counts as UNSEEN times. Null, empty and wordless
     texts score 0. Repeated rows count as documents of their own; an empty table gives no rows; other columns are ignored.
+
+    Slices of texts send their distinct words and bigrams with counts to the partitions of both tables and get back
+    the counts over all texts; nothing of the tables is gathered or broadcast but N.
     """
-    spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
-    base = picked(docs, id=id_col, text=text_col).withColumn("key", F.xxhash64("id", "text"))
+    base = picked(docs, id=id_col, text=text_col)
     size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, size // (6 * PER_PART))
-    shared = spark.sparkContext.broadcast(count_corpus(base, parts))
 
     def make():
-        counts, cache = shared.value, Classes()
-
-        def one(batch: pa.RecordBatch, out: dict) -> None:
-            classes, n = _classes(batch.column("text").to_pylist(), cache)
-            name = xxhash.xxh64_intdigest(batch.column("key").to_numpy(zero_copy_only=False).tobytes()) >> 1
-            doc = np.repeat(np.arange(len(n)), n)
-            own, own_times = np.unique(doc << CLASS_BITS | classes, return_counts=True)
-            who, what = own >> CLASS_BITS, own & ((1 << CLASS_BITS) - 1)
-            share = np.log(np.maximum(counts.table[what] - own_times, UNSEEN) / counts.total)
-            low = np.zeros(len(n), np.int64)
-            np.add.at(low, who, np.rint(share * UNIT).astype(np.int64) * own_times)
-            low += np.maximum(n - 1, 0) * round(math.log(ALPHA) * UNIT)
-            d, key = _bigrams(classes, n)
-            pairs, times = np.unique(key.astype(np.uint64) << np.uint64(_DOC_BITS) | d.astype(np.uint64), return_counts=True)
-            key, d = (pairs >> np.uint64(_DOC_BITS)).astype(np.int64), (pairs & np.uint64((1 << _DOC_BITS) - 1)).astype(np.int64)
-            own_of = lambda c: own_times[np.searchsorted(own, d << CLASS_BITS | c)]
-            own1, own2 = own_of(key >> CLASS_BITS), own_of(key & ((1 << CLASS_BITS) - 1))
-            seen = np.zeros(len(n), np.int64)
-            if len(counts.hot):
-                at = np.minimum(np.searchsorted(counts.hot, key), len(counts.hot) - 1)
-                hot = counts.hot[at] == key
-                gain, good = counts.gain(key[hot], times[hot], own1[hot], own2[hot], counts.hot_counts[at[hot]])
-                np.add.at(low, d[hot], gain)
-                np.add.at(seen, d[hot], good * times[hot])
-                key, d, times, own1, own2 = (x[~hot] for x in (key, d, times, own1, own2))
-            at = _part(key, parts)
-            order = np.argsort(at, kind="stable")
-            cuts = np.searchsorted(at[order], np.arange(parts + 1))
-            for k, (lo, hi) in enumerate(zip(cuts, cuts[1:])):
-                if hi > lo or k == 0:
-                    use, first = order[lo:hi], k == 0
-                    out["part"].append(k), out["slice"].append(name)
-                    out["blob"].append(pack(key[use], d[use], times[use], own1[use], own2[use]))
-                    for c, value in (("ids", batch.column("id").to_pylist()), ("n", n.tolist()), ("low", low.tolist()), ("seen", seen.tolist())):
-                        out[c].append(value if first else None)
+        cache = Words()
 
         def work(batch: pa.RecordBatch) -> dict:
-            out = {c: [] for c in ("part", "slice", "blob", "ids", "n", "low", "seen")}
-            for at in range(0, batch.num_rows, 1 << (_DOC_BITS - 1)):
-                one(batch.slice(at, 1 << (_DOC_BITS - 1)), out)
+            codes, n = _codes(batch.column("text").to_pylist(), cache)
+            words, at, times = np.unique(codes, return_inverse=True, return_counts=True)
+            _, where, _, _, keys = _bigrams(words, at, n)
+            name = int.from_bytes(os.urandom(8), "little") >> 1
+            home = pack(words) + zlib.compress(np.ascontiguousarray(at.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+            out = {"part": [None], "slice": [name], "blob": [home], "ids": [batch.column("id").to_pylist()], "n": [n.tolist()]}
+            for table, (have, count) in enumerate(((words, times), (keys, np.bincount(where, minlength=len(keys))))):
+                for k, use in _dealt(have, parts):
+                    out["part"].append(2 * k + table), out["slice"].append(name), out["blob"].append(pack(have[use], count[use]))
+                    out["ids"].append(None), out["n"].append(None)
             return out
 
         return work
 
-    def target(frame: pd.DataFrame) -> pd.DataFrame:
-        counts = shared.value
+    def total(frame: pd.DataFrame) -> pd.DataFrame:
         blobs = [unpack(b) for b in frame["blob"]]
-        key, doc, times, own1, own2 = (np.concatenate(x) for x in zip(*blobs))
+        keys, times = (np.concatenate(x) for x in zip(*blobs))
+        _, back = np.unique(keys, return_inverse=True)
+        together = np.bincount(back, weights=times).astype(np.int64)[back]
         cuts = np.cumsum([0, *(len(b[0]) for b in blobs)])
-        del blobs
-        _, back = np.unique(key, return_inverse=True)
-        together = np.bincount(back, weights=times).astype(np.int64)[back] if len(key) else np.empty(0, np.int64)
-        gain, good = counts.gain(key, times, own1, own2, together)
-        sums = []
-        for lo, hi in zip(cuts, cuts[1:]):
-            use = lo + np.flatnonzero(good[lo:hi])
-            some, number = np.unique(doc[use], return_inverse=True)
-            score, seen = np.zeros(len(some), np.int64), np.zeros(len(some), np.int64)
-            np.add.at(score, number, gain[use])
-            np.add.at(seen, number, times[use])
-            sums.append(pack(some, score, seen))
-        return frame.assign(blob=sums)[["slice", "blob", "ids", "n", "low", "seen"]]
+        return frame[["part", "slice"]].assign(blob=[pack(together[lo:hi]) for lo, hi in zip(cuts, cuts[1:])], ids=None, n=None)
 
     def whole(frame: pd.DataFrame) -> pd.DataFrame:
-        named = frame[[x is not None for x in frame["ids"]]]  # as often as a slice of the same documents occurs; each adds the same gains
-        n, times = np.asarray(named["n"].iloc[0], np.int64), len(named)
+        home = frame[frame["part"].isna()].iloc[0]
+        n, blob = np.asarray(home["n"], np.int64), home["blob"]
+        end = 8 + int(np.frombuffer(blob, "<u4", 2)[1])
+        words = unpack(blob[:end])[0]
+        at = np.ascontiguousarray(np.frombuffer(zlib.decompress(blob[end:]), np.uint8).reshape(4, -1).T).view("<u4")[:, 0].astype(np.int64)
+        d, where, a, b, keys = _bigrams(words, at, n)
+        back = {int(p): x for p, x in zip(frame["part"], frame["blob"]) if p == p and p is not None}
+        one, two = np.zeros(len(words), np.int64), np.zeros(len(keys), np.int64)
+        for table, (have, counts) in enumerate(((words, one), (keys, two))):
+            for k, use in _dealt(have, parts):
+                counts[use] = unpack(back[2 * k + table])[0]
+        wide, deep = max(1, len(words)), max(1, len(keys))
+        own, own_times = np.unique(np.repeat(np.arange(len(n)), n) * wide + at, return_counts=True)
+        who, what = np.divmod(own, wide)
         score, seen = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
-        for blob in frame["blob"]:
-            some, gain, more = unpack(blob)
-            score[some] += gain
-            seen[some] += more
-        out = [pd.DataFrame({"id": list(r.ids), "n": n, "score": score // times + np.asarray(r.low, np.int64), "seen": seen // times + np.asarray(r.seen, np.int64)}) for r in named.itertuples()]
-        return pd.concat(out, ignore_index=True)
-
-    lists = f"ids array<{kind}>, n array<long>, low array<long>, seen array<long>"
-    sent = arrow_map(base, make, f"part int, slice long, blob binary, {lists}", AT_ONCE)
-    added = sent.groupBy("part").applyInPandas(target, f"slice long, blob binary, {lists}")
-    each = added.groupBy("slice").applyInPandas(whole, f"id {kind}, n long, score long, seen long")
+        np.add.at(score, who, np.rint(np.log(np.maximum(one[what] - own_times, UNSEEN) / n_all) * UNIT).astype(np.int64) * own_times)
+        score += np.maximum(n - 1, 0) * round(math.log(ALPHA) * UNIT)
+        pairs, times = np.unique(d * deep + where, return_counts=True)
+        d, p = np.divmod(pairs, deep)
+        other = two[p] - times
+        d, p, times, other = (x[other > 0] for x in (d, p, times, other))
+        own_of = lambda w: own_times[np.searchsorted(own, d * wide + w)]
+        first = one[a[p]] - own_of(a[p])
+        second = np.maximum(one[b[p]] - own_of(b[p]), UNSEEN)
+        gain = np.log(other) - np.log(np.maximum(first, 1)) - math.log(ALPHA) - np.log(second / n_all)
+        np.add.at(score, d, np.rint(gain * UNIT).astype(np.int64) * times)
+        np.add.at(seen, d, times)
+        return pd.DataFrame({"id": list(home["ids"]), "n": n, "score": score, "seen": seen})
+
+    lists = f"ids array<{kind}>, n array<long>"
+    sent = materialize(arrow_map(base, make, f"part int, slice long, blob binary, {lists}", AT_ONCE))
+    n_all = max(1, sent.agg(F.sum(F.aggregate("n", F.lit(0).cast("long"), lambda x, y: x + y))).first()[0] or 0)
+    back = sent.where("part is not null").groupBy("part").applyInPandas(total, f"part int, slice long, blob binary, {lists}")
+    each = sent.where("part is null").unionAll(back).groupBy("slice").applyInPandas(whole, f"id {kind}, n long, score long, seen long")
     score = F.col("score") / F.lit(float(UNIT))
     return each.select("id", F.col("n").alias("n_words"), F.col("seen").alias("n_seen"), score.alias("log_score"), F.when(F.col("n") > 0, score / F.col("n")).alias("mean_log_score"))

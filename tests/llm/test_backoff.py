@@ -43,3 +43,26 @@ def test_scores_equal_brute_force(spark, monkeypatch, per_part, least_hot):
         assert g[:3] == w[:3] and abs(g[3] - w[3]) < 1e-5 * max(1, w[1])
         assert (g[4] is None) == (w[1] == 0)
     assert B.score_documents(docs.limit(0)).count() == 0
+
+
+def test_words_do_not_share_counts(spark):
+    """Words whose hashes agree in their first 22 bits keep counts of their own; compared with counts of words themselves."""
+    first, alike = {}, []
+    for k in range(30_000):
+        other = first.setdefault(xxhash.xxh64_intdigest(f"v{k}".encode()) >> 42, k)
+        if other != k:
+            alike.append((f"v{other}", f"v{k}"))
+    rnd = random.Random(3)
+    texts = [" ".join(rnd.choice(alike[rnd.randrange(12)]) for _ in range(40)) for _ in range(60)]
+    words = [t.split() for t in texts]
+    one, two = Counter(w for t in words for w in t), Counter(p for t in words for p in zip(t, t[1:]))
+    got = {r.id: r for r in B.score_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(words):
+        own1, own2, score, seen = Counter(t), Counter(zip(t, t[1:])), 0.0, 0
+        for k, w in enumerate(t):
+            pair = (t[k - 1], w)
+            if k and two[pair] > own2[pair]:
+                score, seen = score + math.log((two[pair] - own2[pair]) / (one[pair[0]] - own1[pair[0]])), seen + 1
+            else:
+                score += math.log(max(one[w] - own1[w], B.UNSEEN) / sum(one.values()) * (B.ALPHA if k else 1))
+        assert (got[i].n_words, got[i].n_seen) == (len(t), seen) and abs(got[i].log_score - score) < 1e-3
