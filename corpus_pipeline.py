@@ -26,13 +26,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of near duplicates the document with the smallest doc_id; of repeated rows, one."""
-    found = materialize(near_dup.near_duplicates(docs))
-    gone = found.where(~F.col("kept")).select(F.col("id").alias("gone")).distinct()
+    """Keeps of each group of near duplicates the row with the smallest doc_id, and all rows without words."""
+    keyed = materialize(docs.withColumn("_row", F.monotonically_increasing_id()))
+    found = materialize(near_dup.near_duplicates(keyed, row_col="_row"))
+    gone = found.where(~F.col("stays")).select(F.col("row").alias("_row"))
     gone = F.broadcast(gone) if gone.count() <= near_dup.BROADCAST_ROWS else gone
-    out = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti")
-    repeated = found.where("kept and n_shingles > 0").groupBy("id").count().where("count > 1").limit(1).count()
-    return out.dropDuplicates() if repeated else out
+    return keyed.join(gone, "_row", "left_anti").drop("_row")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

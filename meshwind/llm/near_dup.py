@@ -69,11 +69,14 @@ def sketches(docs: DataFrame, width: int, kind: str) -> DataFrame:
                 out["n"].append(len(found))
                 out["fp"].append(hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None)
                 out["sig"].append(signature(found) if len(found) else None)
+            if "row" in batch.schema.names:
+                out["row"] = batch.column("row")
             return out
 
         return work
 
-    return arrow_map(docs, make, f"id {kind}, key long, n long, fp binary, sig binary")
+    more = ", row long" if "row" in docs.columns else ""
+    return arrow_map(docs, make, f"id {kind}, key long, n long, fp binary, sig binary{more}")
 
 
 def ordered_keys(nodes: DataFrame) -> DataFrame:
@@ -346,19 +349,22 @@ def confirmed(pairs: DataFrame, docs: DataFrame, rep: DataFrame, width: int, per
     return dealt.groupBy("cell").cogroup(sets.groupBy("cell")).applyInPandas(check, "u binary, v binary")
 
 
-def near_duplicates(docs: DataFrame, *, id_col="doc_id", text_col="text", width: int = 5, percent: int = 85) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col="doc_id", text_col="text", width: int = 5, percent: int = 85, row_col: str | None = None) -> DataFrame:
     """Per row of docs: id, n_shingles, component_id (smallest id of the linked group), kept.
 
     Rows with equal shingle sets collapse to one node; nodes are linked when 100 * intersection >=
     percent * union on full sets. Null, empty and blank texts have no shingles and link with nothing: their
     component is their own id. Repeated rows and ids each keep their row; a null id never is a component's
     smallest unless all its ids are null, and ``kept`` compares null-safely. An empty table gives no rows;
-    other columns are ignored.
+    other columns are ignored. With row_col, the column of a unique written row key, the result has it as ``row``, and
+    ``stays`` marks the one row of each component with the smallest id, then key, and every row without shingles.
     """
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
-    base = picked(docs, id=id_col, text=text_col).withColumn("key", F.xxhash64("text"))
+    own = {} if row_col is None else {"row": row_col}
+    base = picked(docs, id=id_col, text=text_col, **own).withColumn("key", F.xxhash64("text"))
     rows = materialize(sketches(base, width, kind))
+    base = base.drop("row")
     first = F.min(F.struct("id", "key"))
     nodes = rows.where("fp is not null").groupBy("fp").agg(F.min("id").alias("low"), first.alias("row"), F.first("sig").alias("sig"))
     nodes = materialize(nodes.select("fp", "low", "row.id", "row.key", "sig"))
@@ -375,5 +381,12 @@ def near_duplicates(docs: DataFrame, *, id_col="doc_id", text_col="text", width:
     lowest = named.groupBy("comp").agg(F.min("low").alias("component"))
     of = named.join(lowest, "comp").select("fp", "component")
     found = F.when(F.col("fp").isNull(), F.col("id")).otherwise(F.col("component"))
-    out = rows.select("id", "n", "fp").join(of, "fp", "left").withColumn("component_id", found)
-    return out.select("id", F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+    out = rows.select("id", "n", "fp", *own).join(of, "fp", "left").withColumn("component_id", found)
+    columns = ["id", F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept")]
+    if row_col is None:
+        return out.select(*columns)
+    order = F.struct(F.col("id").isNull(), "id", "row")
+    best = rows.where("fp is not null").groupBy("fp").agg(F.min(order).alias("best")).join(named.select("fp", "comp"), "fp")
+    best = best.groupBy("comp").agg(F.min("best").alias("best")).select(F.col("best.row").alias("first"))
+    out = out.select("row", "fp", *columns).join(best, F.col("row") == F.col("first"), "left")
+    return out.select("id", "row", "n_shingles", "component_id", "kept", (F.col("fp").isNull() | F.col("first").isNotNull()).alias("stays"))

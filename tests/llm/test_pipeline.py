@@ -54,3 +54,12 @@ def test_run_over_a_test_table(spark):
     out = P.run(spark, SF)
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     assert 0 < out.count() < docs.count() and out.where(~F.col("round_trip")).count() == 0
+
+
+def test_near_duplicates_are_dropped_by_row(spark):
+    """Null and repeated ids: one row of each component stays, and rows that only share an id with a copy stay."""
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(30))
+    rows = [(1, text(1)), (None, text(1)), (None, text(2)), (None, text(3)), (None, text(3)), (5, text(1)), (5, text(5)), (6, ""), (6, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.text) for r in P.drop_near_duplicates(spark, docs, "").collect()), key=str)
+    assert got == sorted([rows[0], rows[2], rows[3], rows[6], (6, ""), (6, "")], key=str)
