@@ -691,6 +691,22 @@ def _(d):
     return plotdata.heatmap(t, "returnflag", "y", "v", ["y1995", "y1996"])
 
 
+@query("residuals_on_one_control_all_assets")
+def _(d):
+    return components.residualize(d.ri().select("date", "average_graph_strength"), d.vol(), "full_sample").select("date", "orthogonal_average_graph_strength")
+
+
+@query("chart_features_all_assets")
+def _(d):
+    return plotdata.feature_panel(d.ri(), ["average_graph_strength", "modularity", "laplacian_frobenius_change"])
+
+
+@query("chart_heatmap_all_years")
+def _(d):
+    t = d.spark.read.parquet(f"{d.dir}/lineitem.parquet").select(F.col("l_returnflag").alias("returnflag"), F.concat(F.lit("y"), F.year("l_shipdate")).alias("y"), num("l_extendedprice").alias("v"))
+    return plotdata.heatmap(t, "returnflag", "y", "v", sorted(r[0] for r in t.where("y is not null").select("y").distinct().collect()))
+
+
 @query("chart_top", sql("m", "select date, round(ret, 6) as ret from m where ret is not null order by ret desc, date limit 8"))
 def _(d):
     return plotdata.top(d.portfolio().where("ret is not null"), "ret", 8, ["date"])

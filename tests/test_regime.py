@@ -165,3 +165,31 @@ def test_ranking_takes_the_first_of_ties(spark):
     assert (row.best_information_set, row.n_candidates) == ("ri_only", 2.0)
     with pytest.raises(ValueError, match="Both stress and non-stress"):
         plotdata.stress_boxes(series(spark, [1, 2], "regime_indicator").selectExpr("*", "0 as systemic_stress_label"))
+
+
+def test_heatmap_query_over_all_years(spark):
+    import pandas as pd
+
+    from meshwind import queries as Q
+
+    folder = "/root/testdata/sf0.001"
+    t = pd.read_parquet(f"{folder}/lineitem.parquet")
+    want = t.groupby(["l_returnflag", t["l_shipdate"].dt.year])["l_extendedprice"].mean().unstack()
+    rows = Q.queries()["chart_heatmap_all_years"](spark, folder).collect()
+    assert len(rows) == len(want) and rows[0].__fields__[1:] == [f"y{y}" for y in want.columns] and len(want.columns) == 7
+    for r in rows:
+        assert np.allclose(list(r)[1:], want.loc[r.returnflag], atol=1e-6, equal_nan=True)
+
+
+def test_network_queries_over_all_assets(spark):
+    from meshwind import queries as Q
+
+    folder, made = "/root/testdata/sf0.001", Q.queries()
+    ri = {r.date: r.average_graph_strength for r in Q.flagship(spark, folder).collect()}
+    got = [r for r in made["chart_features_all_assets"](spark, folder).collect() if r.feature == "average_graph_strength"]
+    assert len(got) > 100 and all(abs(r.value - ri[r.date]) < 1e-5 for r in got)
+    vol = {r.date: r.realized_volatility for r in made["realized_volatility"](spark, folder).collect() if r.realized_volatility is not None}
+    days = sorted(d for d, x in ri.items() if x is not None and d in vol)
+    slope, level = np.polyfit([vol[d] for d in days], [ri[d] for d in days], 1)
+    out = {r.date: r.orthogonal_average_graph_strength for r in made["residuals_on_one_control_all_assets"](spark, folder).collect()}
+    assert all(abs(out[d] - (ri[d] - level - slope * vol[d])) < 1e-4 for d in days)
