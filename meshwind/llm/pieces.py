@@ -3,9 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import re
-from array import array
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -15,11 +12,13 @@ from .common import arrow_map, picked
 
 #: The vocabulary file's place; its bytes (bounded by MODEL_BYTES) are broadcast.
 MODEL_PATH, MODEL_BYTES = "/opt/tokenizers/piece_bpe_32k.model", 32 << 20
-#: Units whose ids a worker keeps, characters that one suffix array indexes, bytes of texts encoded at once.
-KEPT_UNITS, INDEX_CHARS, AT_ONCE = 150_000, 1 << 19, 16 << 20
+#: Characters that one suffix array indexes, bytes of texts encoded at once, pairs of pieces whose verdict a worker keeps
+#: for long units, and slots for those of other units.
+INDEX_CHARS, AT_ONCE, KEPT_PAIRS, SLOTS = 1 << 19, 6 << 20, 500_000, 1 << 22
+#: Characters from which a unit is settled position by position; code points whose pairs are looked up in a table.
+LONG, NEAR = 64, 512
 #: Stands between units of an indexed text; no text has a lone surrogate.
 BETWEEN = "\ud800"
-_UNITS = re.compile("▁*[^▁]+|▁+")
 _WORKERS: dict[bytes, Encoder] = {}
 
 
@@ -41,11 +40,12 @@ class Vocabulary:
         for b, i in self.byte_ids.items():
             self.out[i] = bytes([b])
 
-    def merge(self, text: str) -> list[str]:
-        """BPE by definition: join the neighbours whose union has the best score, leftmost among equals, until none is a piece."""
+    def merge(self, text: str, least: int = 1) -> list[str]:
+        """BPE by definition: join the neighbours whose union has the best score, leftmost among equals, until none is a piece.
+        least: stop at so many parts."""
         parts, get, none = list(text), self.scores.get, -float("inf")
         scores = [get(a + b, none) for a, b in zip(parts, parts[1:])]
-        while scores and (best := max(scores)) > none:
+        while len(parts) > least and (best := max(scores)) > none:
             k = scores.index(best)
             parts[k : k + 2] = [parts[k] + parts[k + 1]]
             del scores[k]
@@ -61,7 +61,7 @@ class Vocabulary:
 
 
 class Encoder:
-    """Encodes units (a run of spaces and what follows up to the next space); pieces never cross units.
+    """Encodes texts by units: a run of spaces and what follows, cut further wherever no piece holds both neighbours.
 
     BPE has the prefix property: a prefix's last piece is the one piece t that ends there, whose start is reached by a
     piece s, such that s and t stay apart when s + t is encoded. So edges (occurrences of pieces), taken by end
@@ -69,167 +69,312 @@ class Encoder:
     """
 
     def __init__(self, proto: bytes):
-        self.v = Vocabulary(proto)
-        self.names = sorted(p for p in self.v.ids if "▁" not in p[1:])
-        self.longest = max(map(len, self.names))
-        spelled = np.array([[ord(c) + 1 for c in p] + [0] * (self.longest - len(p)) for p in self.names], ">u4")
-        self.sizes = np.array([len(p) for p in self.names], np.int32)
-        self.low = self._keys(spelled)
-        self.high = self._keys(np.where(np.arange(self.longest) < self.sizes[:, None], spelled, 0xFFFFFFFF).astype(">u4"))
-        self.name_ids = np.array([self.v.ids[p] for p in self.names], np.int32)
-        self.known: dict[str, list[int]] = {}
-        self.recent: dict[str, list[int]] = {}
-        self.inside = {p[k : k + 2] for p in self.names for k in range(len(p) - 1)}  # neighbours within pieces
-        self.whole = np.full(self.v.size + 1, -1, np.int8)  # pieces that encode to themselves: -1 not yet known
-        self.whole[self.v.size] = 1  # stands for a character without a piece
-        self.pair_keys, self.pair_ok, self.text = np.empty(0, np.int64), np.empty(0, bool), [""] * (self.v.size + 1)
-        for p, i in self.v.ids.items():
+        v = self.v = Vocabulary(proto)
+        self.unk = v.size  # stands for a character without a piece
+        names = sorted(p for p in v.ids if "▁" not in p[1:])
+        self.sizes = np.array([len(p) for p in names], np.int32)
+        self.longest = int(self.sizes.max())
+        self.spelled = np.array([[ord(c) for c in p] + [0] * (self.longest - len(p)) for p in names], np.int64)
+        self.name_ids = np.array([v.ids[p] for p in names], np.int32)
+        inside = {p[k : k + 2] for p in names for k in range(len(p) - 1)}  # neighbours within pieces
+        self.joined = np.unique(np.array([ord(x) << 21 | ord(y) for x, y in inside], np.int64))
+        self.near = np.zeros((NEAR, NEAR), bool)
+        for x, y in inside:
+            if ord(x) < NEAR and ord(y) < NEAR:
+                self.near[ord(x), ord(y)] = True
+        self.text = [""] * (v.size + 1)
+        for p, i in v.ids.items():
             self.text[i] = p
+        self.first = np.array([ord(t[0]) if t else 0 for t in self.text], np.int64)
+        self.last = np.array([ord(t[-1]) if t else 0 for t in self.text], np.int64)
+        self._history()
+        self.slots, self.verdict = np.full(SLOTS, -1, np.int32), np.zeros(SLOTS, bool)
+        self.apart_: dict[int, bool] = {}
+        self.out_at = np.concatenate([[0], np.cumsum([len(x) for x in v.out])]).astype(np.int64)
+        self.out_bytes = np.frombuffer(b"".join(v.out), np.uint8)
+
+    def _history(self) -> None:
+        """When and of which two parts each piece is merged, whether it encodes to itself, and every pair whose union is a piece."""
+        v, n = self.v, self.unk + 1
+        self.whole, self.when, self.parts = np.ones(n, bool), np.zeros(n, np.int32), np.full((n, 2), -1, np.int32)
+        order = sorted(v.ids, key=lambda p: (-v.scores[p], v.ids[p]))
+        at, turn, before = {}, 0, None
+        for p in order:  # equal scores are equally early
+            turn += v.scores[p] != before
+            at[p], before = turn, v.scores[p]
+        pairs = {}
+        for p, i in v.ids.items():
+            for k in range(1, len(p)):
+                if p[:k] in v.ids and p[k:] in v.ids:
+                    pairs[v.ids[p[:k]] * n + v.ids[p[k:]]] = at[p]
+            if len(p) > 1:
+                left = v.merge(p, 2)
+                self.whole[i] = len(left) == 2
+                if len(left) == 2:
+                    self.when[i], self.parts[i] = at[p], [v.ids[x] for x in left]
+        self.pairs = np.array(sorted(pairs), np.int64)
+        self.pair_when = np.array([pairs[k] for k in self.pairs.tolist()], np.int32)
+
+    def _stays(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Whether pieces stay apart side by side: their merges are undone, the later first, and at each state the two that
+        touch must not have been merged sooner than the merge that was just undone."""
+        n = self.unk + 1
+        out, go = np.ones(len(left), bool), np.arange(len(left))
+        x, y, limit = left.astype(np.int64), right.astype(np.int64), np.full(len(left), 1 << 30)
+        while len(go):
+            keys = x * n + y
+            at = np.minimum(np.searchsorted(self.pairs, keys), len(self.pairs) - 1)
+            joined = (self.pairs[at] == keys) & (self.pair_when[at] < limit)
+            out[go[joined]] = False
+            a, b = self.when[x], self.when[y]
+            first = a > b
+            on = ~joined & (first | (b > 0))
+            limit = np.where(first, a, b + 1)[on]
+            x, y = np.where(first, self.parts[x, 1], x)[on], np.where(first, y, self.parts[y, 0])[on]
+            go = go[on]
+        return out
+
+    def _within(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """For each pair of neighbouring characters, whether some piece holds them so."""
+        near = (x < NEAR) & (y < NEAR)
+        out = self.near[np.where(near, x, 0), np.where(near, y, 0)] & near
+        far = np.flatnonzero(~near)
+        if len(far):
+            keys = x[far].astype(np.int64) << 21 | y[far]
+            out[far] = self.joined[np.minimum(np.searchsorted(self.joined, keys), len(self.joined) - 1)] == keys
+        return out
 
-    def _keys(self, rows: np.ndarray) -> np.ndarray:
-        """Rows of characters as byte strings, which sort alike."""
-        return np.ascontiguousarray(rows).view(f"S{4 * self.longest}")[:, 0]
+    def _stay(self, key: int) -> bool:
+        """Whether two pieces stay apart side by side; key: left * (unk + 1) + right."""
+        ok = self.apart_.get(key)
+        if ok is None:
+            if len(self.apart_) > KEPT_PAIRS:
+                self.apart_.clear()
+            a, b = divmod(key, self.unk + 1)
+            ok = self.apart_[key] = a == self.unk or b == self.unk or self.v.merge(self.text[a] + self.text[b]) == [self.text[a], self.text[b]]
+        return ok
 
     def _apart(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """For each pair of pieces, whether they stay apart side by side."""
-        unk = self.v.size
-        keys = left.astype(np.int64) * (unk + 1) + right
-        at = np.searchsorted(self.pair_keys, keys)
-        new = np.ones(len(keys), bool) if not len(self.pair_keys) else self.pair_keys[np.minimum(at, len(self.pair_keys) - 1)] != keys
-        if new.any():
-            fresh = np.unique(keys[new])
-            ok = np.empty(len(fresh), bool)
-            for k, key in enumerate(fresh.tolist()):
-                a, b = divmod(key, unk + 1)
-                ok[k] = a == unk or b == unk or self.text[a][-1] + self.text[b][0] not in self.inside or self.v.merge(self.text[a] + self.text[b]) == [self.text[a], self.text[b]]
-            into = np.searchsorted(self.pair_keys, fresh)
-            self.pair_keys, self.pair_ok = np.insert(self.pair_keys, into, fresh), np.insert(self.pair_ok, into, ok)
-            at = np.searchsorted(self.pair_keys, keys)
-        return self.pair_ok[at]
-
-    def _whole(self, pieces: np.ndarray) -> np.ndarray:
-        for t in np.unique(pieces[self.whole[pieces] < 0]).tolist():
-            self.whole[t] = self.v.merge(self.text[t]) == [self.text[t]]
-        return self.whole[pieces] == 1
-
-    def edges(self, text: str):
-        """(start, end, piece) of every occurrence of a piece: the text's suffixes are sorted by their first characters,
-        and a binary search gives each piece its range of suffixes. The separator \\0 and unknown characters have no piece."""
-        chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        keys = left * np.int32(self.unk + 1) + right
+        at = (keys.astype(np.uint32) * np.uint32(0x9E3779B1)) >> np.uint32(32 - SLOTS.bit_length() + 1)
+        new = np.flatnonzero(self.slots[at] != keys)
+        out = self.verdict[at]
+        if len(new):
+            fresh, first, back = np.unique(keys[new], return_index=True, return_inverse=True)
+            said = self._stays(left[new[first]], right[new[first]])
+            out[new] = said[back]
+            self.slots[at[new[first]]] = fresh
+            self.verdict[at[new[first]]] = said
+            clash = self.slots[at[new[first]]] != fresh  # two in one slot: the last one's key and verdict belong together
+            self.slots[at[new[first]][clash]] = -1
+        return out
+
+    def edges(self, chars: np.ndarray):
+        """(start, end, piece) of every occurrence of a piece that encodes to itself, and of every character without a piece.
+
+        The suffixes of chars are sorted by their first ``longest`` characters, held as a few numbers each; a binary search in
+        each number's column in turn narrows every piece to its range of suffixes. BETWEEN has no piece.
+        """
         alphabet, code = np.unique(chars, return_inverse=True)
-        n, bits = len(chars), (len(alphabet) + 1).bit_length()
-        span = min(self.longest, max(1, 62 // bits))  # as many characters as one number holds; then ranks double their reach
-        padded, rank = np.concatenate([code.astype(np.int64) + 1, np.zeros(span, np.int64)]), np.zeros(n, np.int64)
+        n, bits = len(chars), int(len(alphabet) + 1).bit_length()
+        span = min(self.longest, 62 // bits)  # characters a number holds
+        padded = np.concatenate([code.astype(np.int64) + 1, np.zeros(self.longest + span, np.int64)])
+        one = np.zeros(n + self.longest, np.int64)
         for k in range(span):
-            rank = rank << bits | padded[k : k + n]
-        rank = np.unique(rank, return_inverse=True)[1].astype(np.int64) + 1
-        while span < self.longest:
-            after = np.zeros(n, np.int64)
-            after[: n - span] = rank[span:] if span < n else 0
-            rank = np.unique(rank * (rank.max() + n + 2) + after, return_inverse=True)[1].astype(np.int64) + 1
-            span *= 2
-        order = np.argsort(rank, kind="stable")
-        width = np.zeros((n + self.longest, 1), ">u4")
-        width[:n, 0] = chars + 1
-        window = self._keys(np.lib.stride_tricks.sliding_window_view(width[:, 0], self.longest)[:n][order])
-        first, last = np.searchsorted(window, self.low, "left"), np.searchsorted(window, self.high, "right")
-        count = last - first
-        which = np.repeat(np.arange(len(self.names), dtype=np.int32), count)
-        at = np.arange(len(which), dtype=np.int32)
-        at -= np.repeat((np.cumsum(count) - count - first).astype(np.int32), count)
-        start = order.astype(np.int32)[at]
-        del window, at
-        lone = np.array([chr(c) not in self.v.ids and chr(c) != BETWEEN for c in alphabet.tolist()])
-        alone = np.flatnonzero(lone[code]).astype(np.int32)
-        return np.r_[start, alone], np.r_[start + self.sizes[which], alone + 1], np.r_[self.name_ids[which], np.full(len(alone), self.v.size, np.int32)]
-
-    def _encode_new(self, units: list[str]) -> None:
-        sizes = np.fromiter(map(len, units), np.int32, len(units)) + np.int32(1)
-        starts = np.cumsum(sizes, dtype=np.int32) - sizes
-        text = BETWEEN.join(units) + BETWEEN
-        unit_at = np.repeat(np.arange(len(units), dtype=np.int32), sizes)
-        a, b, piece = self.edges(text)
+            one = one << bits | padded[k : k + len(one)]
+        levels = range(0, self.longest, span)
+        order = np.lexsort([one[k : k + n] for k in reversed(levels)])
+        at = np.searchsorted(alphabet, self.spelled)
+        spelled = np.where(self.spelled > 0, at + 1, 0)
+        known = ((self.spelled == 0) | (alphabet[np.minimum(at, len(alphabet) - 1)] == self.spelled)).all(axis=1)
+        use = np.flatnonzero(known & self.whole[self.name_ids])
+        spelled, sizes = spelled[use], self.sizes[use]
+        low, high = np.zeros(len(use), np.int64), np.full(len(use), n, np.int64)
+        for k in levels:
+            column, go = one[k : k + n][order], np.flatnonzero(sizes > k)
+            least, most = np.zeros(len(go), np.int64), np.zeros(len(go), np.int64)
+            for j in range(k, k + span):
+                c = spelled[go, j] if j < self.longest else 0
+                open_ = sizes[go] <= j
+                least, most = least << bits | np.where(open_, 0, c), most << bits | np.where(open_, (1 << bits) - 1, c)
+            low[go], high[go] = _search(column, least, low[go], high[go], False), _search(column, most, low[go], high[go], True)
+        count = high - low
+        which = np.repeat(np.arange(len(use)), count)
+        place = np.arange(len(which)) - np.repeat(np.cumsum(count) - count - low, count)
+        start = order[place].astype(np.int32)
+        alone = np.flatnonzero(np.array([chr(c) not in self.v.ids and c != ord(BETWEEN) for c in alphabet.tolist()], bool)[code]).astype(np.int32)
+        return np.r_[start, alone], np.r_[start + sizes[which], alone + 1], np.r_[self.name_ids[use][which], np.full(len(alone), self.unk, np.int32)]
+
+    def _units(self, chars: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces of units within chars, each unit's followed by the next's, and how many each has."""
+        a, b, piece = self.edges(chars)
+        last, came = np.full(len(chars) + 1, -1, np.int32), np.zeros(len(chars) + 1, np.int32)
+        unit_at = np.full(len(chars), -1, np.int32)
+        unit_at[_spread(starts, sizes)] = np.repeat(np.arange(len(starts), dtype=np.int32), sizes)
+        short = (sizes <= LONG)[unit_at[a]]
         step = b - starts[unit_at[a]]
-        order = np.argsort(step, kind="stable")
-        a, b, piece, step = a[order], b[order], piece[order], step[order]
-        last, came = np.full(len(text) + 1, -1, np.int32), np.zeros(len(text) + 1, np.int32)
-        cuts = np.flatnonzero(np.diff(step, prepend=-1, append=-1)) if len(step) else np.empty(0, np.int64)
-        begins = np.zeros(len(text) + 1, bool)
-        begins[starts] = True
+        order = np.flatnonzero(short)
+        order = order[np.argsort(step[order].astype(np.int16), kind="stable")]
+        head = a == starts[unit_at[a]]
+        i, j, t, h, s = a[order], b[order], piece[order], head[order], step[order]
+        cuts = np.flatnonzero(np.diff(s, prepend=-1, append=-1)) if len(s) else np.empty(0, np.int64)
         for lo, hi in zip(cuts, cuts[1:]):  # edges that end at the same place of their units
-            i, j, t = a[lo:hi], b[lo:hi], piece[lo:hi]
-            head = begins[i]
-            ok = head | (last[i] >= 0)
-            i, j, t, head = i[ok], j[ok], t[ok], head[ok]
-            good = self._whole(t)
-            good[good & ~head] = self._apart(last[i][good & ~head], t[good & ~head])
-            last[j[good]], came[j[good]] = t[good], i[good]
-        ends = starts + sizes - 1
+            good = h[lo:hi].copy()
+            rest = np.flatnonzero(~good)
+            good[rest] = self._apart(last[i[lo:hi][rest]], t[lo:hi][rest])
+            last[j[lo:hi][good]], came[j[lo:hi][good]] = t[lo:hi][good], i[lo:hi][good]
+        rest = np.flatnonzero(~short)
+        rest = rest[np.argsort(b[rest], kind="stable")]
+        settled: dict[int, int] = {}
+        for i, j, t, h in zip(a[rest].tolist(), b[rest].tolist(), piece[rest].tolist(), head[rest].tolist()):  # long units, by end position
+            if j not in settled and (h or self._stay(settled[i] * (self.unk + 1) + t)):
+                settled[j] = t
+                last[j], came[j] = t, i
+        ends = starts + sizes
         if (last[ends] < 0).any():
-            raise AssertionError(f"no piece ends {units[int(np.flatnonzero(last[ends] < 0)[0])][:80]!r}")
-        at, which, steps = ends, np.arange(len(units)), []
+            raise AssertionError("a unit has an end that no piece reaches")
+        on_path = np.zeros(len(chars) + 1, bool)
+        at, begin = ends, starts
         while len(at):  # back from every unit's end, a piece at a time
-            steps.append((which, last[at], at))
+            on_path[at] = True
             at = came[at]
-            on = at > starts[which]
-            at, which = at[on], which[on]
-        which, ids, at = (np.concatenate([s[k] for s in reversed(steps)]) for k in range(3))
-        order = np.argsort(which, kind="stable")
-        ids, at = ids[order], at[order]
-        cuts = np.concatenate([[0], np.cumsum(np.bincount(which, minlength=len(units)))]).tolist()
-        lone = np.unique(which[order][ids == self.v.size]).tolist()
-        ids = ids.tolist()
-        self.known.update(zip(units, map(ids.__getitem__, map(slice, cuts, cuts[1:]))))
-        for k in lone:  # characters without a piece become their bytes
-            found = zip(ids[cuts[k] : cuts[k + 1]], at[cuts[k] : cuts[k + 1]].tolist())
-            self.known[units[k]] = [x for t, e in found for x in ([t] if t < self.v.size else [self.v.byte_ids[y] for y in text[e - 1].encode()])]
-
-    def _spaced(self, unit: str) -> list[int]:
-        """A unit that starts with two or more spaces. Runs of spaces have the least score, so the word and its own space are
-        merged first; then spaces join from the left wherever the joined run is a piece."""
-        word = unit.lstrip("▁")
-        n, rest = len(unit) - len(word), []
-        if word:
-            if "▁" + word not in self.known:
-                self._encode_new(["▁" + word])
-            rest = self.known["▁" + word]
-            if rest[0] == self.v.ids["▁"]:
-                rest = rest[1:]
-            else:
-                n -= 1
+            more = at > begin
+            at, begin = at[more], begin[more]
+        places = np.flatnonzero(on_path)
+        return self._bytes(last[places], chars[places - 1], unit_at[places - 1], len(starts))
+
+    def _bytes(self, ids: np.ndarray, char: np.ndarray, unit: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Characters without a piece become their bytes."""
+        lone = np.flatnonzero(ids == self.unk)
+        if len(lone):
+            spelled = [[self.v.byte_ids[y] for y in chr(c).encode()] for c in char[lone].tolist()]
+            wide = np.ones(len(ids), np.int64)
+            wide[lone] = [len(x) for x in spelled]
+            ids, unit = np.repeat(ids, wide), np.repeat(unit, wide)
+            ids[ids == self.unk] = np.concatenate(spelled)
+        return ids, np.bincount(unit, minlength=n)
+
+    def _spaced(self, n: int, headed: bool) -> list[int]:
+        """Pieces of n spaces before a unit. Runs of spaces have the least score, so a word and its own space are merged first;
+        then spaces join from the left wherever the joined run is a piece."""
         runs: list[int] = []
-        for _ in range(n):
+        for _ in range(n - headed):
             runs.append(1)
             while len(runs) > 1 and "▁" * (runs[-2] + runs[-1]) in self.v.ids:
                 runs[-2:] = [runs[-2] + runs[-1]]
-        return [*(self.v.ids["▁" * k] for k in runs), *rest]
+        return [self.v.ids["▁" * k] for k in runs]
+
+    def encode_flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in turn, and where each text's begin (one more entry than texts)."""
+        full = [t for t in texts if t]
+        text = BETWEEN.join("▁" + t for t in full).replace(" ", "▁") + BETWEEN
+        chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int32)
+        space, gap = chars == ord("▁"), chars == ord(BETWEEN)
+        before = np.r_[True, ~space[:-1]]  # what stands before is no space, or the text's beginning
+        new = space & before
+        new[0] = True
+        new[1:] |= ~space[1:] & ~gap[1:] & ~space[:-1] & ~self._within(chars[:-1], chars[1:])
+        new[1:] |= gap[1:]  # the separator is a unit of its own, so that each ends before it
+        starts = np.flatnonzero(new).astype(np.int32)
+        sizes = np.diff(starts, append=np.int32(len(chars)))
+        number, reps = self._distinct(chars, starts, sizes)
+        ids, count = self._encode_distinct(chars, starts[reps], sizes[reps])
+        first = np.cumsum(count) - count
+        flat = ids[_spread(first[number], count[number])]
+        doc = (np.cumsum(gap, dtype=np.int32) - gap)[starts]  # texts that have ended before each unit
+        per = np.zeros(len(texts), np.int64)
+        per[[k for k, t in enumerate(texts) if t]] = np.bincount(doc, weights=count[number], minlength=len(full)).astype(np.int64) if full else 0
+        return flat, np.concatenate([[0], np.cumsum(per)])
+
+    def _distinct(self, chars: np.ndarray, starts: np.ndarray, sizes: np.ndarray):
+        """Number of each unit among the distinct ones, and one unit of each: by hashes, which are checked character by character."""
+        seed, place = 0x9E3779B97F4A7C15, np.arange(len(chars), dtype=np.int32) - np.repeat(starts, sizes)
+        while True:
+            power = np.cumprod(np.full(int(sizes.max()), seed, np.uint64))
+            mixed = power[place]
+            mixed *= chars.astype(np.uint64) + np.uint64(0x5851F42D4C957F2D)
+            name = np.add.reduceat(mixed, starts)
+            del mixed
+            name ^= name >> np.uint64(31)
+            _, reps, number = np.unique(name, return_index=True, return_inverse=True)
+            other = reps[number]
+            if (sizes[other] == sizes).all() and (chars[np.repeat(starts[other], sizes) + place] == chars).all():
+                return number, reps
+            seed = (seed * 6364136223846793005 + 1442695040888963407) % 2**64 | 1
+
+    def _encode_distinct(self, chars: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces of distinct units, some INDEX_CHARS of them indexed at once, and how many each has: none of the separator."""
+        sizes = np.where(chars[starts] == ord(BETWEEN), 0, sizes)
+        spaces = np.zeros(len(starts), np.int64)
+        second = np.flatnonzero((sizes > 1) & (chars[starts] == ord("▁")))
+        second = second[chars[starts[second] + 1] == ord("▁")]
+        for k in second.tolist():
+            run = chars[starts[k] : starts[k] + sizes[k]] != ord("▁")
+            spaces[k] = int(run.argmax()) if run.any() else sizes[k]
+        skip = np.maximum(spaces - 1, 0)  # of several spaces the word's own stays with it
+        skip[spaces == sizes] = sizes[spaces == sizes]
+        own, wide = starts + skip, sizes - skip
+        out, count = [], np.zeros(len(starts), np.int64)
+        some = np.flatnonzero(wide)
+        load = np.cumsum(wide[some] + 1)
+        for lo, hi in _blocks(load, INDEX_CHARS):
+            use = some[lo:hi]
+            padded = np.full(int((wide[use] + 1).sum()), ord(BETWEEN), np.int32)
+            begins = np.cumsum(wide[use] + 1) - wide[use] - 1
+            padded[_spread(begins, wide[use])] = chars[_spread(own[use], wide[use])]
+            ids, n = self._units(padded, begins, wide[use])
+            count[use] = n
+            out.append(ids)
+        ids = np.concatenate(out) if out else np.empty(0, np.int32)
+        if not len(second):
+            return ids, count
+        first, parts = np.cumsum(count) - count, []
+        at = 0
+        for k in second.tolist():  # a lone space before a word joins the spaces before it
+            lo, hi = int(first[k]), int(first[k] + count[k])
+            parts.append(ids[at:lo])
+            alone = hi > lo and ids[lo] == self.v.ids["▁"]
+            lead = self._spaced(int(spaces[k]), hi > lo and not alone)
+            parts.append(np.array(lead, np.int32))
+            at = lo + alone
+            count[k] += len(lead) - alone
+        return np.concatenate([*parts, ids[at:]]).astype(np.int32), count
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        split = [_UNITS.findall("▁" + t.replace(" ", "▁")) if t else [] for t in texts]
-        known, recent = self.known, self.recent
-        if len(known) > KEPT_UNITS:
-            known.clear()
-        fresh, size, new = [], 0, []
-        for unit in dict.fromkeys(chain.from_iterable(split)):
-            if unit in known:
-                continue
-            if unit in recent:  # a unit that comes back is kept; one that is met once goes after the next call
-                known[unit] = recent[unit]
-                continue
-            new.append(unit)
-            if unit.startswith("▁▁"):
-                known[unit] = self._spaced(unit)
-                continue
-            fresh.append(unit)
-            size += len(unit) + 1
-            if size >= INDEX_CHARS:
-                self._encode_new(fresh)
-                fresh, size = [], 0
-        if fresh:
-            self._encode_new(fresh)
-        out = [list(chain.from_iterable(map(known.__getitem__, units))) for units in split]
-        self.recent = {unit: known.pop(unit) for unit in new}
-        return out
+        flat, at = self.encode_flat(texts)
+        return [flat[a:b].tolist() for a, b in zip(at, at[1:])]
+
+    def spelled_out(self, flat: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes that the ids decode to, and where each text's begin, the space before it included."""
+        wide = np.diff(self.out_at)[flat]
+        ends = np.concatenate([[0], np.cumsum(wide)])
+        return self.out_bytes[_spread(self.out_at[flat], wide)], ends[at]
+
+
+def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of all ranges in turn."""
+    ends = np.cumsum(sizes)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
+
+
+def _blocks(load: np.ndarray, size: int):
+    """Ranges of entries whose running total ``load`` grows by about size; at least one entry each."""
+    lo = 0
+    while lo < len(load):
+        hi = max(lo + 1, int(np.searchsorted(load, (load[lo - 1] if lo else 0) + size, "right")))
+        yield lo, hi
+        lo = hi
+
+
+def _search(column: np.ndarray, value: np.ndarray, low: np.ndarray, high: np.ndarray, right: bool) -> np.ndarray:
+    """Binary search for each value in its own sorted range low..high of the column."""
+    low, high = low.copy(), high.copy()
+    while (go := np.flatnonzero(low < high)).size:
+        mid = (low[go] + high[go]) // 2
+        up = column[mid] <= value[go] if right else column[mid] < value[go]
+        low[go] = np.where(up, mid + 1, low[go])
+        high[go] = np.where(up, high[go], mid)
+    return low
 
 
 def encoder(proto: bytes) -> Encoder:
@@ -258,11 +403,13 @@ def encode_documents(docs: DataFrame, *, id_col="doc_id", text_col="text", model
 
         def work(batch: pa.RecordBatch) -> dict:
             texts = [t or "" for t in batch.column("text").to_pylist()]
-            found = use.encode(texts)
-            return {
-                "id": batch.column("id"), "n_tokens": [len(x) for x in found], "ids_sha256": [hashlib.sha256(np.frombuffer(array("i", x), np.int32).astype("<i4").tobytes()).hexdigest() for x in found],
-                "round_trip": [use.v.decode(x) == t.encode() for x, t in zip(found, texts)], "ids": found,
-            } | {f"c_{c}": batch.column(f"c_{c}") for c in keep}
+            flat, at = use.encode_flat(texts)
+            said, ends = use.spelled_out(flat, at)
+            flat = flat.astype("<i4")
+            same = [said[lo + 1 : hi].tobytes() == t.encode() for t, lo, hi in zip(texts, ends.tolist(), ends[1:].tolist())]
+            digests = [hashlib.sha256(flat[lo:hi]).hexdigest() for lo, hi in zip(at.tolist(), at[1:].tolist())]
+            lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(flat))
+            return {"id": batch.column("id"), "n_tokens": np.diff(at), "ids_sha256": digests, "round_trip": same, "ids": lists} | {f"c_{c}": batch.column(f"c_{c}") for c in keep}
 
         return work
 

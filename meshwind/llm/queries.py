@@ -46,7 +46,7 @@ def op8_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_suffix_array_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.encode_documents(_table(spark, sf_dir, "documents"), ids=False).withColumnRenamed("id", "doc_id")
+    return pieces.encode_documents(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
 def op10_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,11 +26,32 @@ def test_ids_equal_the_library(model):
 
 def test_edges_are_all_occurrences(model):
     text = "▁the▁cat" + pieces.BETWEEN + "thethe" + pieces.BETWEEN
-    a, b, t = model[0].edges(text)
-    want = {(i, j, model[0].v.ids[text[i:j]]) for i in range(len(text)) for j in range(i + 1, len(text) + 1) if text[i:j] in model[0].v.ids and "▁" not in text[i + 1 : j]}
+    a, b, t = model[0].edges(np.array([ord(c) for c in text], np.int32))
+    want = {(i, j, model[0].v.ids[text[i:j]]) for i in range(len(text)) for j in range(i + 1, len(text) + 1) if text[i:j] in model[0].v.ids and "▁" not in text[i + 1 : j] and model[0].v.merge(text[i:j]) == [text[i:j]]}
     assert set(zip(a.tolist(), b.tolist(), t.tolist())) == want
 
 
+def test_wide_alphabet_needs_several_numbers_a_suffix(model):
+    rnd = random.Random(2)
+    text = "".join(chr(rnd.randint(0x4E00, 0x9FFF)) for _ in range(20_000)) + " international" * 3
+    assert model[0].encode([text]) == [model[1].encode(text)]
+
+
+def test_pairs_stay_apart_as_in_the_merge_itself(model):
+    own, rnd = model[0], np.random.RandomState(3)
+    left, right = (rnd.choice(own.name_ids[own.whole[own.name_ids]], 3000) for _ in range(2))
+    want = [own.v.merge(own.text[a] + own.text[b]) == [own.text[a], own.text[b]] for a, b in zip(left, right)]
+    assert own._stays(left, right).tolist() == want
+    assert own._apart(left, right).tolist() == want and own._apart(left, right).tolist() == want
+
+
+@pytest.mark.parametrize("alphabet", ["abcdefghijklmnopqrstuvwxyz", "ACGT", "abcdefXYZ0123456789+/", "日本語中国", "z"])
+def test_long_text_without_spaces(model, alphabet):
+    rnd = random.Random(4)
+    text = "".join(rnd.choice(alphabet) for _ in range(100_000))
+    assert model[0].encode([text, "a", text[:70]]) == model[1].encode([text, "a", text[:70]], num_threads=1)
+
+
 def test_query_on_odd_rows(spark, model):
     texts = [None, "", "a  b", "▁", "word " * 20_000, "z" * 20_000]
     docs = spark.createDataFrame([(i, t, "k") for i, t in enumerate(texts)] + [(2, "a  b", "k"), (None, "x", "k")], "doc_id long, text string, ids string")
