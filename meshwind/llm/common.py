@@ -7,25 +7,32 @@ import ctypes
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of a batch that a Python worker holds as objects at once.
 SLICE_BYTES = 4 << 20
+#: Bytes of a batch that Spark sends to a Python worker.
+BATCH_BYTES = 8 << 20
+#: Edges that one task joins at most; more are first drawn together by rounds of grouped minima.
+EDGES_AT_ONCE = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
     """A new folder name under spark.checkpoint.dir, which all executors share.
 
-    Only where the session has no such setting (single-machine tests) a temporary folder is used.
+    Only a session on one machine (tests) may go without the setting; then a temporary folder is used.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
         root = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = root.get() if root.isDefined() else None
     if not root:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="meshwind-")
         spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/meshwind-{uuid.uuid4().hex}"
@@ -61,6 +68,7 @@ def arrow_map(df: DataFrame, make, schema: str, slice_bytes: int = SLICE_BYTES)
     from pyspark.sql.types import _parse_datatype_string
 
     target = to_arrow_schema(_parse_datatype_string(schema))
+    small_batches(df.sparkSession)
 
     def run(batches):
         work = make()
@@ -76,30 +84,106 @@ def arrow_map(df: DataFrame, make, schema: str, slice_bytes: int = SLICE_BYTES)
     return df.mapInArrow(run, schema)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Workers get batches of about BATCH_BYTES, unless the session asks for less."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    size = spark.conf.get(name, None)
+    if size is None or not size.isdigit() or int(size) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
+def arrow_column(spark: SparkSession, make, schema: str, *columns: Column) -> Column:
+    """A struct column of ``schema`` from columns, by ``make()``, called once a task: it returns a function from arrays to a
+    dict of columns. Spark holds the rows meanwhile, so that only these columns go to the worker."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    kind = _parse_datatype_string(schema)
+    target = to_arrow_schema(kind)
+    small_batches(spark)
+
+    def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        work = make()
+        for arrays in batches:
+            arrays = (arrays,) if isinstance(arrays, pa.Array) else arrays  # one column comes without a tuple
+            batch, parts = pa.RecordBatch.from_arrays(list(arrays), [str(k) for k in range(len(arrays))]), []
+            for part in slices(batch, SLICE_BYTES):
+                out = work(*part.columns)
+                parts.append(pa.StructArray.from_arrays([pa.array(out[f.name], type=f.type) for f in target], fields=list(target)))
+            yield pa.concat_arrays(parts) if parts else pa.array([], pa.struct(list(target)))
+            del batch, arrays, parts
+        del work
+        give_back()
+
+    return F.arrow_udf(run, kind)(*columns)
+
+
 def picked(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns under internal names, so that other columns can't clash."""
     return df.select(*[df[f"`{c}`"].alias(name) for name, c in columns.items()])
 
 
+def contracted(edges: DataFrame, roots: bool) -> DataFrame:
+    """(u, v) of each partition's edges, drawn together: every node with the smallest node it is linked to within the
+    partition; roots: those nodes with themselves too."""
+
+    def run(batches):
+        parent: dict = {}
+
+        def root(x):
+            while (up := parent[x]) != x:
+                parent[x] = parent[up]
+                x = up
+            return x
+
+        def stars():
+            found = [(x, root(x)) for x in parent]
+            found = [(x, r) for x, r in found if roots or x != r]
+            for at in range(0, len(found), 50_000):
+                u, v = zip(*found[at : at + 50_000])
+                yield pa.RecordBatch.from_arrays([pa.array(u, kind), pa.array(v, kind)], ["u", "v"])
+
+        for batch in batches:
+            for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                a, b = root(parent.setdefault(u, u)), root(parent.setdefault(v, v))
+                if a != b:
+                    parent[max(a, b)] = min(a, b)
+            if not roots and len(parent) > EDGES_AT_ONCE:
+                yield from stars()
+                parent.clear()
+        yield from stars()
+        parent.clear()
+        give_back()
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    name, kind = edges.schema["u"].dataType.simpleString(), to_arrow_type(edges.schema["u"].dataType)
+    return edges.select("u", "v").mapInArrow(run, f"u {name}, v {name}")
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of (u, v): rows (node, comp) where comp is the component's smallest node.
 
-    Alternates large-star and small-star steps (Kiveris et al. 2014); every step is a grouped
-    minimum and an equi-join, and its result is written, so nothing is gathered in one place.
+    Each partition draws its own edges together. Up to EDGES_AT_ONCE that are left are joined in one task of bounded size;
+    more go through rounds of large-star and small-star steps (Kiveris et al. 2014), each a grouped minimum and an equi-join
+    whose result is written, until they are that few or settled.
     """
-    cur = materialize(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
+    cur = materialize(contracted(edges.where("u <> v"), False))
     seen = None
     for _ in range(max_rounds):
+        now = tuple(cur.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        if now[0] <= EDGES_AT_ONCE:
+            return contracted(cur.coalesce(1), True).toDF("node", "comp")
+        if now == seen:
+            break
+        seen = now
+        cur = cur.distinct()
         both = cur.unionAll(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(low.select("u", F.col("m").alias("v")))
         cur = materialize(small.where("u <> v").distinct())
-        now = tuple(cur.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == seen:
-            break
-        seen = now
     else:
         raise RuntimeError("components did not settle")
     return cur.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionAll(cur.select(F.col("v").alias("node"), F.col("v").alias("comp"))).distinct()

@@ -6,13 +6,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, materialize, picked
+from .common import arrow_column, materialize, picked
 
 #: Bytes of benchmark text whose patterns are broadcast at once; a larger benchmark is searched in such blocks.
 BLOCK_BYTES = 8 << 20
 #: Bytes 0-47, 58-96 and 123-127 separate words once A-Z are lower-cased; bytes of non-ASCII characters belong to words.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-RESULT = "id {id}, n_words long, spans array<struct<start:int,end:int>>, items array<string>"
+RESULT = "struct<n_words:long,spans:array<struct<start:int,end:int>>,items:array<string>>"
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -76,44 +76,38 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, *, id_col="doc_id", text_col="text", item_col="item_id", item_text_col="text", window: int = 10, keep_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, *, id_col="doc_id", text_col="text", item_col="item_id", item_text_col="text", window: int = 10, keep: bool = False) -> DataFrame:
     """Per row of docs: id, n_words, spans (merged word ranges that occurrences cover), items (sorted ids as strings).
 
     Texts are lower-cased (A-Z) and cut into words; a pattern is each run of ``window`` consecutive
     words of an item, or all words of a shorter item. Null or empty texts have no words and no hits;
     an item without words matches nothing; a null item id counts as the id "null"; repeated rows and
-    ids keep one result row each; an empty table of either kind gives no hits. Other columns are ignored
-    unless listed in ``carry`` (then they follow under their names, prefixed ``c_``).
+    ids keep one result row each; an empty table of either kind gives no hits. Other columns are ignored;
+    keep: the row itself follows, as a struct ``doc``.
     """
     spark = docs.sparkSession
     bench = picked(benchmark, item=item_col, text=item_text_col).select(F.coalesce(F.col("item").cast("string"), F.lit("null")).alias("item"), "text")
     total = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // BLOCK_BYTES))
-    kind = docs.schema[id_col].dataType.simpleString()
-    kinds = {f"c_{c}": docs.schema[c].dataType.simpleString() for c in carry}
-    cur = picked(docs, id=id_col, text=text_col, **{f"c_{c}": c for c in carry})
+    cur = docs.select(docs[f"`{id_col}`"].alias("id"), docs[f"`{text_col}`"].alias("text"), *([F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("doc")] if keep else []))
     for block in range(blocks):
         part = bench if blocks == 1 else bench.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block)
         shared = spark.sparkContext.broadcast(compile_patterns([tuple(r) for r in part.collect()], window))
-        last = block == blocks - 1
-        schema = RESULT.format(id=kind) + "".join(f", `{c}` {k}" for c, k in kinds.items()) + ("" if last and not keep_text else ", text string")
-        cur = arrow_map(cur, _scan(shared, block > 0, tuple(kinds)), schema)
-        if not last:
+        cur = cur.withColumn("found", arrow_column(spark, _scan(shared), RESULT, F.col("text"), *([F.col("found")] if block else [])))
+        if block < blocks - 1:
             cur = materialize(cur)
-    return cur
+    return cur.select("id", "found.*", *(["doc"] if keep else []))
 
 
-def _scan(shared, earlier: bool, carried: tuple[str, ...]):
+def _scan(shared):
     def make():
         machines = shared.value
 
-        def work(batch: pa.RecordBatch) -> dict:
-            texts = batch.column("text").to_pylist()
-            before = zip(batch.column("spans").to_pylist(), batch.column("items").to_pylist()) if earlier else [((), ())] * len(texts)
+        def work(texts: pa.Array, earlier: pa.Array | None = None) -> dict:
             counts, spans, items = [], [], []
-            for text, (old, had) in zip(texts, before):
+            for text, old in zip(texts.to_pylist(), earlier.to_pylist() if earlier is not None else [None] * len(texts)):
                 words = words_of(text)
-                hits, names = [(s["start"], s["end"]) for s in old], set(had)
+                hits, names = [(s["start"], s["end"]) for s in old["spans"]] if old else [], set(old["items"] if old else ())
                 for machine in machines:
                     size = machine.length
                     for end, found in machine.search(words):
@@ -125,7 +119,7 @@ def _scan(shared, earlier: bool, carried: tuple[str, ...]):
                 counts.append(len(words))
                 spans.append([{"start": a, "end": b} for a, b in merged(hits)])
                 items.append(sorted(names))
-            return {"id": batch.column("id"), "n_words": counts, "spans": spans, "items": items, "text": batch.column("text"), **{c: batch.column(c) for c in carried}}
+            return {"n_words": counts, "spans": spans, "items": items}
 
         return work
 

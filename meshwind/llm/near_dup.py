@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pandas as pd
@@ -13,12 +14,10 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map, components, give_back, materialize, picked
 
-#: Signature bytes, sorted orders, least common prefix, rows of a region, forests kept of a region.
-N_HASH, N_TREES, MIN_DEPTH, REGION, FORESTS = 128, 16, 4, 1024, 4
-#: Equal signature bytes (of N_HASH) from which a pair is confirmed on full sets: 4.2 standard errors below 0.85.
-LEAST_EQUAL = 92
-#: Documents of a candidate component that one task confirms; larger components are dealt out as pairs of blocks.
-CELL = 512
+#: Signature bytes, sorted orders, rows of a region, forests of a region that are confirmed before the pairs left.
+N_HASH, N_TREES, REGION, FORESTS = 128, 16, 1024, 4
+#: Documents, and shingles of them, that a block of a candidate component holds; larger components are dealt out as pairs of blocks.
+CELL, CELL_SHINGLES = 512, 1_000_000
 #: Rows of the id-to-cell table up to which it is broadcast (about 40 bytes each); beyond, Spark shuffles.
 BROADCAST_ROWS = 500_000
 _A = (np.random.RandomState(11).randint(1, 2**62, N_HASH).astype(np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -27,6 +26,13 @@ _ORDERS = [np.random.RandomState(100 + t).permutation(N_HASH) for t in range(N_T
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
 
+def bounds(percent: int) -> tuple[int, int]:
+    """Equal signature bytes from which a pair is confirmed on full sets, 4.2 standard errors below those expected at the
+    similarity asked for, and the bytes that the rows of a run share: a pair at that similarity shares them in about half of the orders."""
+    p = percent / 100
+    return math.floor(N_HASH * (p + (1 - p) / 256) - 4.2 * math.sqrt(N_HASH * p * (1 - p))), max(1, round(math.log(0.52) / math.log(min(p, 0.99))))
+
+
 class WordHashes(dict):
     """64-bit hashes of words, kept while few."""
 
@@ -75,7 +81,7 @@ def sketches(docs: DataFrame, width: int, kind: str) -> DataFrame:
 
         return work
 
-    more = ", row long" if "row" in docs.columns else ""
+    more = f", row {docs.schema['row'].dataType.simpleString()}" if "row" in docs.columns else ""
     return arrow_map(docs, make, f"id {kind}, key long, n long, fp binary, sig binary{more}")
 
 
@@ -152,8 +158,9 @@ def regions(prefix: np.ndarray, lo: int, hi: int, depth: int):
         yield start, hi
 
 
-def candidate_pairs(keys: DataFrame) -> DataFrame:
+def candidate_pairs(keys: DataFrame, percent: int) -> DataFrame:
     """Pairs of fingerprints whose signatures nearly agree, from longest-common-prefix neighbours in each sorted order."""
+    least, depth = bounds(percent)
 
     def run(batches):
         rows = [k for batch in batches for k in batch.column(0).to_pylist()]
@@ -166,26 +173,26 @@ def candidate_pairs(keys: DataFrame) -> DataFrame:
             end = min(len(prefix), at + 8192)
             differ = table[at : end, : N_HASH + 1] != table[at + 1 : end + 1, : N_HASH + 1]
             prefix[at:end] = np.where(differ.any(axis=1), differ.argmax(axis=1) - 1, N_HASH)  # byte 0 is the tree
-        near = np.flatnonzero(prefix >= MIN_DEPTH)
+        near = np.flatnonzero(prefix >= depth)
         breaks = np.flatnonzero(np.diff(near) > 1) if len(near) else []
         ends = [*(near[breaks] + 2), near[-1] + 2] if len(near) else []
         starts = [near[0], *near[np.asarray(breaks) + 1]] if len(near) else []
         out = {"u": [], "v": [], "equal": []}
         for first, last in zip(starts, ends):
-            for lo, hi in regions(prefix, int(first), int(last), MIN_DEPTH):
+            for lo, hi in regions(prefix, int(first), int(last), depth):
                 if hi - lo < 2:
                     continue
                 sigs = table[lo:hi, 1 : N_HASH + 1]
                 if hi - lo == 2:
                     pairs, equal = [(0, 1)], np.array([[0, (sigs[0] == sigs[1]).sum()]])
-                    if equal[0, 1] < LEAST_EQUAL:
+                    if equal[0, 1] < least:
                         continue
                 else:
                     equal = np.empty((hi - lo, hi - lo), np.int16)
                     step = max(1, (4 << 20) // (N_HASH * (hi - lo)))
                     for r in range(0, hi - lo, step):
                         equal[r : r + step] = np.count_nonzero(sigs[r : r + step, None, :] == sigs[None, :, :], axis=2)
-                    pairs = forests(equal, LEAST_EQUAL, FORESTS)
+                    pairs = forests(equal, least, FORESTS)
                 for i, j in pairs:
                     u, v = sorted((table[lo + i, N_HASH + 1 :].tobytes(), table[lo + j, N_HASH + 1 :].tobytes()))
                     out["u"].append(u), out["v"].append(v), out["equal"].append(int(equal[i, j]))
@@ -201,38 +208,40 @@ def candidate_pairs(keys: DataFrame) -> DataFrame:
     return keys.mapInArrow(run, "u binary, v binary, equal int").groupBy("u", "v").agg(F.max("equal").alias("equal"))
 
 
-def run_numbers(nodes: DataFrame) -> DataFrame:
-    """fp, comp and the runs of a node: one number a tree, of the tree and the first MIN_DEPTH bytes of its order."""
+def run_numbers(nodes: DataFrame, depth: int) -> DataFrame:
+    """fp, comp, sig and the runs of a node: one number a tree, of the tree and the first ``depth`` bytes of its order."""
 
     def make():
         def work(batch: pa.RecordBatch) -> dict:
             sigs = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint8).reshape(-1, N_HASH)
-            return {"fp": batch.column("fp"), "comp": batch.column("comp"), "runs": np.stack([_run(sigs, t) for t in range(N_TREES)], axis=1).tolist()}
+            return {"fp": batch.column("fp"), "comp": batch.column("comp"), "sig": batch.column("sig"), "runs": np.stack([_run(sigs, t, depth) for t in range(N_TREES)], axis=1).tolist()}
 
         return work
 
-    return arrow_map(nodes, make, "fp binary, comp binary, runs array<long>")
+    return arrow_map(nodes, make, "fp binary, comp binary, sig binary, runs array<long>")
 
 
-def _run(sigs: np.ndarray, tree: int) -> np.ndarray:
+def _run(sigs: np.ndarray, tree: int, depth: int) -> np.ndarray:
     out = np.full(len(sigs), tree, np.int64)
-    for k in _ORDERS[tree][:MIN_DEPTH]:
+    for k in _ORDERS[tree][:depth]:
         out = out << 8 | sigs[:, k]
     return out
 
 
-def left_pairs(nodes: DataFrame, comp: DataFrame, known: DataFrame) -> DataFrame:
-    """All pairs (u, v, equal) of one run and two components with LEAST_EQUAL equal bytes that are not among the known pairs.
+def left_pairs(nodes: DataFrame, comp: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """All pairs (u, v, equal) of one run and two components with enough equal bytes that are not among the known pairs.
 
-    A run is all rows that share MIN_DEPTH bytes in a tree. It is cut into blocks of about REGION rows, a large component into
+    A run is all rows that share the first bytes in a tree. It is cut into blocks of about REGION rows, a large component into
     blocks of its own, and each pair of blocks is compared in a cell of its own unless both hold one and the same component.
     """
-    labelled = materialize(nodes.select("fp", "sig").join(comp.withColumnRenamed("node", "fp"), "fp", "left").withColumn("comp", F.coalesce("comp", "fp")))
-    rows = materialize(run_numbers(labelled)).select("fp", "comp", F.explode("runs").alias("run"))
+    least, depth = bounds(percent)
+    labelled = nodes.select("fp", "sig").join(comp.withColumnRenamed("node", "fp"), "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
+    labelled = materialize(run_numbers(labelled, depth))
+    rows = labelled.select("fp", "comp", F.explode("runs").alias("run"))
     name = F.xxhash64("comp")
     mixed = materialize(rows.groupBy("run").agg(F.min(name).alias("a"), F.max(name).alias("b")).where("a <> b").select("run"))
     mixed = F.broadcast(mixed) if mixed.count() <= BROADCAST_ROWS else mixed
-    rows = materialize(rows.join(mixed, "run"))
+    rows = rows.join(mixed, "run")
     sizes = rows.groupBy("run", "comp").agg(F.count("*").alias("m")).withColumn("big", F.col("m") > REGION // 2)
     small = sizes.groupBy("run").agg(F.sum(F.when(F.col("big"), 0).otherwise(F.col("m"))).alias("rest"))
     parts = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / REGION))
@@ -244,20 +253,20 @@ def left_pairs(nodes: DataFrame, comp: DataFrame, known: DataFrame) -> DataFrame
     both = both.where((F.col("block") <= F.col("other")) & ~F.coalesce(F.col("own") == F.col("others"), F.lit(False)))
     cell = F.concat_ws(":", "run", "block", "other")
     dealt = both.select("run", cell.alias("cell"), F.explode(F.array_distinct(F.array("block", "other"))).alias("block"))
-    sent = rows.join(dealt, ["run", "block"]).select("cell", "run", "block", "fp").join(labelled, "fp")
+    sent = rows.join(dealt, ["run", "block"]).select("cell", "run", "block", "fp").join(labelled.drop("runs"), "fp")
 
     def run(batches):
         out, cell, held = {"u": [], "v": [], "equal": []}, None, []
         for batch in batches:
             for row in zip(*(batch.column(c).to_pylist() for c in ("cell", "run", "block", "fp", "comp", "sig"))):
                 if row[0] != cell:
-                    _compare(held, out)
+                    _compare(held, out, least, depth)
                     cell, held = row[0], []
                     if len(out["u"]) > 20_000:
                         yield pa.RecordBatch.from_pydict(out, schema=schema)
                         out = {"u": [], "v": [], "equal": []}
                 held.append(row[1:])
-        _compare(held, out)
+        _compare(held, out, least, depth)
         for at in range(0, len(out["u"]), 100_000):
             yield pa.RecordBatch.from_pydict({c: x[at : at + 100_000] for c, x in out.items()}, schema=schema)
         give_back()
@@ -267,12 +276,12 @@ def left_pairs(nodes: DataFrame, comp: DataFrame, known: DataFrame) -> DataFrame
     return found.join(known.select("u", "v"), ["u", "v"], "left_anti")
 
 
-def _compare(held: list[tuple], out: dict) -> None:
+def _compare(held: list[tuple], out: dict, least: int, depth: int) -> None:
     """Adds the pairs of a cell's rows (run, block, fp, comp, sig): of its two blocks, or within its only one; a pair only in its first common run."""
     if len(held) < 2:
         return
     run, blocks, fps, comps, sigs = zip(*held)
-    tree = run[0] >> 8 * MIN_DEPTH
+    tree = run[0] >> 8 * depth
     sigs = np.frombuffer(b"".join(sigs), np.uint8).reshape(-1, N_HASH)
     comp, side = (np.unique(np.array(x, object), return_inverse=True)[1] for x in (comps, blocks))
     one = side.max() == 0
@@ -281,12 +290,12 @@ def _compare(held: list[tuple], out: dict) -> None:
     for at in range(0, len(left), step):
         some = left[at : at + step]
         equal = np.count_nonzero(sigs[some, None, :] == sigs[None, right, :], axis=2)
-        good = (equal >= LEAST_EQUAL) & (comp[some, None] != comp[None, right])
+        good = (equal >= least) & (comp[some, None] != comp[None, right])
         i, j = np.nonzero(good)
         value, i, j = equal[i, j], some[i], right[j]
         new = i < j if one else np.ones(len(i), bool)
         for t in range(tree if len(i) else 0):
-            new &= _run(sigs[i], t) != _run(sigs[j], t)
+            new &= _run(sigs[i], t, depth) != _run(sigs[j], t, depth)
         for a, b, e in zip(i[new].tolist(), j[new].tolist(), value[new].tolist()):
             u, v = sorted((fps[a], fps[b]))
             out["u"].append(u), out["v"].append(v), out["equal"].append(e)
@@ -295,14 +304,15 @@ def _compare(held: list[tuple], out: dict) -> None:
 def confirmed(pairs: DataFrame, docs: DataFrame, rep: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (u, v), or a spanning subset of them, whose full sets pass 100 * intersection >= percent * union.
 
-    Each candidate component is confirmed in one task, or by pairs of blocks of it if it has over CELL
-    members, so that a set travels once rather than once a pair; pairs already joined within a task are skipped.
+    Each candidate component is confirmed in one task, or by pairs of blocks of it if it has over CELL members or CELL_SHINGLES
+    shingles, so that a set travels once rather than once a pair; pairs already joined within a task are skipped.
     """
-    comp = materialize(components(pairs))
-    wide = comp.groupBy("comp").agg(F.count("*").alias("size"))
-    cells = comp.join(wide, "comp").select("node", "comp", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / CELL)).cast("int").alias("block"))
-    at = lambda side: cells.select(F.col("node").alias(side), "comp", F.col("block").alias(f"b_{side}"))
+    comp = materialize(components(pairs).join(rep.select(F.col("fp").alias("node"), "n"), "node"))
+    wide = comp.groupBy("comp").agg(F.greatest(F.ceil(F.count("*") / CELL), F.ceil(F.sum("n") / CELL_SHINGLES)).alias("blocks"))
+    cells = comp.join(wide, "comp").select("node", "comp", "n", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
+    at = lambda side: cells.select(F.col("node").alias(side), "comp", F.col("n").alias(f"n_{side}"), F.col("block").alias(f"b_{side}"))
     dealt = pairs.join(at("u"), "u").join(at("v").drop("comp"), "v")
+    dealt = dealt.where(100 * F.least("n_u", "n_v") >= percent * F.greatest("n_u", "n_v"))  # else the sets can't be similar enough
     dealt = materialize(dealt.select("u", "v", "equal", F.concat_ws(":", F.hex("comp"), F.least("b_u", "b_v"), F.greatest("b_u", "b_v")).alias("cell")))
     sent = dealt.select(F.col("u").alias("fp"), "cell").unionAll(dealt.select(F.col("v").alias("fp"), "cell")).groupBy("fp").agg(F.collect_set("cell").alias("cells"))
     to = materialize(sent.join(rep, "fp").select(F.col("id").alias("to_id"), F.col("key").alias("to_key"), "fp", "cells"))
@@ -356,7 +366,7 @@ def near_duplicates(docs: DataFrame, *, id_col="doc_id", text_col="text", width:
     percent * union on full sets. Null, empty and blank texts have no shingles and link with nothing: their
     component is their own id. Repeated rows and ids each keep their row; a null id never is a component's
     smallest unless all its ids are null, and ``kept`` compares null-safely. An empty table gives no rows;
-    other columns are ignored. With row_col, the column of a unique written row key, the result has it as ``row``, and
+    other columns are ignored. With row_col, the column of a unique, stable row key, the result has it as ``row``, and
     ``stays`` marks the one row of each component with the smallest id, then key, and every row without shingles.
     """
     spark = docs.sparkSession
@@ -366,15 +376,15 @@ def near_duplicates(docs: DataFrame, *, id_col="doc_id", text_col="text", width:
     rows = materialize(sketches(base, width, kind))
     base = base.drop("row")
     first = F.min(F.struct("id", "key"))
-    nodes = rows.where("fp is not null").groupBy("fp").agg(F.min("id").alias("low"), first.alias("row"), F.first("sig").alias("sig"))
-    nodes = materialize(nodes.select("fp", "low", "row.id", "row.key", "sig"))
+    nodes = rows.where("fp is not null").groupBy("fp").agg(F.min("id").alias("low"), first.alias("row"), F.first("sig").alias("sig"), F.first("n").alias("n"))
+    nodes = materialize(nodes.select("fp", "low", "row.id", "row.key", "sig", "n"))
     parts = max(spark.sparkContext.defaultParallelism, -(-nodes.count() * N_TREES // 40_000))
     keys = materialize(ordered_keys(nodes.select("sig", "fp")))
-    pairs = materialize(candidate_pairs(keys.repartitionByRange(parts, "key").sortWithinPartitions("key")))
-    rep = nodes.select("fp", "id", "key")
+    pairs = materialize(candidate_pairs(keys.repartitionByRange(parts, "key").sortWithinPartitions("key"), percent))
+    rep = nodes.select("fp", "id", "key", "n")
     links = materialize(confirmed(pairs, base, rep, width, percent))
     comp = materialize(components(links))
-    left = materialize(left_pairs(nodes, comp, pairs))
+    left = materialize(left_pairs(nodes, comp, pairs, percent))
     if left.limit(1).count():
         comp = materialize(components(links.unionAll(confirmed(left, base, rep, width, percent))))
     named = nodes.select("fp", "low").join(comp.withColumnRenamed("node", "fp"), "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))

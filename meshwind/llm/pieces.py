@@ -7,14 +7,15 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import arrow_map, picked
+from .common import arrow_column, arrow_map, picked
 
 #: The vocabulary file's place; its bytes (bounded by MODEL_BYTES) are broadcast.
 MODEL_PATH, MODEL_BYTES = "/opt/tokenizers/piece_bpe_32k.model", 32 << 20
-#: Characters that one suffix array indexes, bytes of texts encoded at once, pairs of pieces whose verdict a worker keeps
+#: Characters that one suffix array indexes, pairs of pieces whose verdict a worker keeps
 #: for long units, and slots for those of other units.
-INDEX_CHARS, AT_ONCE, KEPT_PAIRS, SLOTS = 1 << 19, 6 << 20, 500_000, 1 << 22
+INDEX_CHARS, KEPT_PAIRS, SLOTS = 1 << 19, 500_000, 1 << 22
 #: Characters from which a unit is settled position by position; code points whose pairs are looked up in a table.
 LONG, NEAR = 64, 512
 #: Stands between units of an indexed text; no text has a lone surrogate.
@@ -385,7 +386,7 @@ def encoder(proto: bytes) -> Encoder:
     return _WORKERS[key]
 
 
-def encode_documents(docs: DataFrame, *, id_col="doc_id", text_col="text", model_path: str = MODEL_PATH, ids: bool = True, keep: tuple[str, ...] = (), at_once: int = AT_ONCE) -> DataFrame:
+def encode_documents(docs: DataFrame, *, id_col="doc_id", text_col="text", model_path: str = MODEL_PATH, ids: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
     """Per row: id, n_tokens, ids_sha256 (of the ids as little-endian 32-bit numbers), round_trip, and the ids if asked for.
 
     round_trip: whether decoding the ids gives the text's bytes back; false only for texts with the character U+2581, which
@@ -401,20 +402,20 @@ def encode_documents(docs: DataFrame, *, id_col="doc_id", text_col="text", model
     def make():
         use = encoder(shared.value)
 
-        def work(batch: pa.RecordBatch) -> dict:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
+        def work(column: pa.Array) -> dict:
+            texts = [t or "" for t in column.to_pylist()]
             flat, at = use.encode_flat(texts)
             said, ends = use.spelled_out(flat, at)
             flat = flat.astype("<i4")
             same = [said[lo + 1 : hi].tobytes() == t.encode() for t, lo, hi in zip(texts, ends.tolist(), ends[1:].tolist())]
             digests = [hashlib.sha256(flat[lo:hi]).hexdigest() for lo, hi in zip(at.tolist(), at[1:].tolist())]
-            lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(flat))
-            return {"id": batch.column("id"), "n_tokens": np.diff(at), "ids_sha256": digests, "round_trip": same, "ids": lists} | {f"c_{c}": batch.column(f"c_{c}") for c in keep}
+            return {"n_tokens": np.diff(at), "ids_sha256": digests, "round_trip": same, "ids": pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(flat))}
 
         return work
 
-    kinds = "".join(f", `c_{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return arrow_map(picked(docs, id=id_col, text=text_col, **{f"c_{c}": c for c in keep}), make, f"id {docs.schema[id_col].dataType.simpleString()}, n_tokens long, ids_sha256 string, round_trip boolean" + ", ids array<int>" * ids + kinds, at_once)
+    base = docs.select(docs[f"`{id_col}`"].alias("id"), docs[f"`{text_col}`"].alias("text"), *[docs[f"`{c}`"].alias(f"c_{c}") for c in keep])
+    coded = base.withColumn("t", arrow_column(docs.sparkSession, make, "struct<n_tokens:bigint,ids_sha256:string,round_trip:boolean,ids:array<int>>", F.col("text")))
+    return coded.select("id", *[f"t.{c}" for c in ("n_tokens", "ids_sha256", "round_trip", *(["ids"] if ids else []))], *[f"c_{c}" for c in keep])
 
 
 def decode_documents(encoded: DataFrame, *, id_col="id", ids_col="ids", model_path: str = MODEL_PATH) -> DataFrame:

@@ -9,10 +9,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, picked
+from .common import arrow_column, picked
 
 #: Fixed seed words of the closed classes, in English, German, French and Spanish.
 THREAT = "kill killed hurt destroy shoot stab beat burn attack murder töten schlagen vernichten tuer frapper détruire matar golpear destruir".split()
@@ -207,27 +207,32 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col="doc_id", text_col="text
     return fit([r["text"] or "" for r in rows], [r["y"] for r in rows], shift)
 
 
-def score_toxicity(docs: DataFrame, model: Model, *, id_col="doc_id", text_col="text", keep: tuple[str, ...] = (), keep_text: bool = False) -> DataFrame:
-    """Per row: id, score (0 to 1), n_matches, predicted (score >= THRESHOLD), from the whole text alone.
-
-    Null and empty texts score as texts without matches; repeated rows score alike; an empty table gives no rows;
-    other columns are ignored unless in ``keep`` (then they follow, prefixed ``c_``); keep_text: the text follows too.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def score_column(spark: SparkSession, model: Model, text: Column) -> Column:
+    """Struct of score (0 to 1), n_matches and predicted (score >= THRESHOLD) of a whole text; null is scored as empty."""
+    shared = spark.sparkContext.broadcast(model)
 
     def make():
         fitted = shared.value
         lexicon = Lexicon(fitted.stems)
 
-        def work(batch: pa.RecordBatch) -> dict:
-            found = [matches(t, lexicon) for t in batch.column("text").to_pylist()]
+        def work(texts: pa.Array) -> dict:
+            found = [matches(t, lexicon) for t in texts.to_pylist()]
             score = fitted.score([features(*m) for m in found])
-            return {"id": batch.column("id"), "score": score, "n_matches": [len(m) for m, _ in found], "predicted": (score >= THRESHOLD).astype(np.int32), "text": batch.column("text")} | {f"c_{c}": batch.column(f"c_{c}") for c in keep}
+            return {"score": score, "n_matches": [len(m) for m, _ in found], "predicted": (score >= THRESHOLD).astype(np.int32)}
 
         return work
 
-    kinds = "".join(f", `c_{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return arrow_map(picked(docs, id=id_col, text=text_col, **{f"c_{c}": c for c in keep}), make, f"id {docs.schema[id_col].dataType.simpleString()}, score double, n_matches int, predicted int{', text string' * keep_text}{kinds}")
+    return arrow_column(spark, make, "struct<score:double,n_matches:int,predicted:int>", text)
+
+
+def score_toxicity(docs: DataFrame, model: Model, *, id_col="doc_id", text_col="text") -> DataFrame:
+    """Per row: id, score (0 to 1), n_matches, predicted (score >= THRESHOLD), from the whole text alone.
+
+    Null and empty texts score as texts without matches; repeated rows score alike; an empty table gives no rows;
+    other columns are ignored.
+    """
+    base = picked(docs, id=id_col, text=text_col)
+    return base.select("id", score_column(docs.sparkSession, model, F.col("text")).alias("t")).select("id", "t.*")
 
 
 def held_out(id_):

@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 
+from meshwind.llm import common
 from meshwind.llm import near_dup as N
 
 
@@ -102,3 +103,38 @@ def test_refuted_forest_edges_leave_no_pair_untested(spark, monkeypatch):
     assert 5 < len({c for _, _, c in want}) < 66
     got = N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r.id, r.n_shingles, r.component_id) for r in got) == want
+
+
+def test_components_in_one_task_and_in_rounds(spark, monkeypatch):
+    rnd = random.Random(5)
+    edges = [(rnd.randrange(400), rnd.randrange(400)) for _ in range(230)] + [(k, k + 1) for k in range(500, 560)] + [(7, 7), (1000, 900)]
+    parent = {x: x for e in edges if e[0] != e[1] for x in e}
+
+    def root(x):
+        return x if parent[x] == x else root(parent[x])
+
+    for u, v in edges:
+        if u != v:
+            a, b = root(u), root(v)
+            parent[max(a, b)] = min(a, b)
+    want = {x: root(x) for x in parent}
+    df = spark.createDataFrame(edges, "u long, v long").repartition(5)
+    for bound in (1_000_000, 3):
+        monkeypatch.setattr(common, "EDGES_AT_ONCE", bound)
+        got = [tuple(r) for r in common.components(df).collect()]
+        assert len(got) == len(want) and dict(got) == want
+    assert common.components(df.limit(0)).count() == 0
+
+
+def test_lower_similarity_finds_its_links(spark):
+    rnd = random.Random(6)
+    word = lambda: "".join(rnd.choice("abcdefghijk") for _ in range(6))
+    rows = []
+    for n in range(60):
+        base = [word() for _ in range(300)]
+        t = list(base)
+        for at in rnd.sample(range(5, 290, 6), 6):
+            t[at] = word()
+        rows += [(2 * n, " ".join(base)), (2 * n + 1, " ".join(t))]
+    assert len({r.component_id for r in N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=80).collect()}) == 60
+    assert len({r.component_id for r in N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}) == 120

@@ -38,7 +38,7 @@ def test_stages_against_brute_force(spark, tables):
         assert name == P.STAGES[-1][0] or docs.columns == columns
     assert seen[0] == {i for i in texts if not (i < 300 and i % 5 == 0)}
     keep = {i: grams(t or "") for i, t in texts.items() if i in seen[0]}
-    root = {i: min([j for j, b in keep.items() if a and b and 100 * len(a & b) >= 85 * len(a | b)] or [i]) for i, a in keep.items()}
+    root = {i: min([j for j, b in keep.items() if a and b and 100 * len(a & b) >= 80 * len(a | b)] or [i]) for i, a in keep.items()}
     assert seen[1] == {i for i in keep if root[i] == i}
     assert seen[2] == seen[1] - {403} and seen[3] == seen[2] and seen[4] == seen[3]
     rows = {r.doc_id: r for r in docs.collect()}
