@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,38 +11,55 @@ from meshwind.llm.common import materialize
 
 
 def _rest(docs: DataFrame) -> tuple[str, ...]:
-    """What an operator carries along beside id and text, which it reads and returns once."""
+    """What an operator carries along beside id and text."""
     return tuple(c for c in docs.columns if c not in ("doc_id", "text"))
 
 
-def _renamed(df: DataFrame, columns: list[str]) -> DataFrame:
-    own = {"doc_id": F.col("id"), "text": F.col("text")}
-    return df.select(*[own[c].alias(c) if c in own else F.col(f"c_{c}").alias(c) for c in columns])
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that the toxicity grammar predicts toxic; it learns from labels that are not held out."""
+    """Drops documents that the toxicity grammar predicts toxic; it learns from labels that are not held out.
+
+    Null and empty texts are scored as texts without matches; repeated rows fare alike; an empty table, or one without
+    labels, loses nothing; all columns are kept as they are.
+    """
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), allowed=lambda c: ~toxicity.held_out(c))
-    return _renamed(toxicity.score_toxicity(docs, model, keep=_rest(docs), keep_text=True).where("predicted = 0"), docs.columns)
+    return docs.where(toxicity.score_column(spark, model, F.col("text"))["predicted"] == 0)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of near duplicates the row with the smallest doc_id, and all rows without words."""
-    keyed = materialize(docs.withColumn("_row", F.monotonically_increasing_id()))
-    found = materialize(near_dup.near_duplicates(keyed, row_col="_row"))
-    gone = found.where(~F.col("stays")).select(F.col("row").alias("_row"))
+    """Keeps of each group of near duplicates (similarity of 0.8 or more) the row with the smallest doc_id, and all rows without words.
+
+    Decided by row: ids may be null or repeat, rows that only share an id with a copy stay, and of repeated rows one stays.
+    Null and empty texts stay; an empty table gives no rows; all columns are kept as they are.
+    """
+    name = "_row"
+    while name in docs.columns:
+        name += "_"
+    place = F.struct("_metadata.file_path", "_metadata.row_index").alias(name)
+    try:
+        keyed = docs.select("*", place)
+    except AnalysisException:  # not read from files
+        keyed = materialize(docs).select("*", place)
+    found = materialize(near_dup.near_duplicates(keyed, percent=80, row_col=name))
+    gone = found.where(~F.col("stays")).select(F.col("row").alias(name))
     gone = F.broadcast(gone) if gone.count() <= near_dup.BROADCAST_ROWS else gone
-    return keyed.join(gone, "_row", "left_anti").drop("_row")
+    return keyed.join(gone, name, "left_anti").drop(name)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold ten words running of a benchmark item, or a shorter item whole."""
-    found = decontaminate.find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), carry=_rest(docs), keep_text=True)
-    return _renamed(found.where(F.size("spans") == 0), docs.columns)
+    """Drops documents that hold ten words running of a benchmark item, or a shorter item whole.
+
+    Null and empty texts have no words and stay; repeated rows fare alike; an empty table of either kind drops nothing; all
+    columns are kept as they are.
+    """
+    found = decontaminate.find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=True)
+    return found.where(F.size("spans") == 0).select("doc.*")
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces each secret with a mark; all documents stay. n_chars follows the new text."""
+    """Replaces each secret with a mark; all documents stay. n_chars follows the new text.
+
+    Null texts become empty; repeated rows fare alike; an empty table gives no rows; other columns are kept as they are.
+    """
     rest = _rest(docs)
     found = secrets.redacted(secrets.find_secrets(docs, keep=rest))
     own = {"doc_id": F.col("id"), "text": F.col("text"), "n_chars": F.length("text").cast("long")}
@@ -49,7 +67,11 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, with whether they decode to its text."""
+    """Token ids of each document, with whether they decode to its text.
+
+    Null and empty texts have no ids; repeated rows fare alike; an empty table gives no rows; columns other than the text
+    are kept as they are.
+    """
     rest = _rest(docs)
     coded = pieces.encode_documents(docs, keep=rest)
     return coded.select(F.col("id").alias("doc_id"), *[F.col(f"c_{c}").alias(c) for c in rest], "n_tokens", "ids", "ids_sha256", "round_trip")
