@@ -1,67 +1,36 @@
-"""Stupid-backoff language-model scores of documents against the rest of their corpus, by hash-partitioned count tables."""
+"""Stupid-backoff language-model scores of documents against the rest of their corpus: n-gram count tables joined to exploded n-grams."""
 
 from __future__ import annotations
 
 import math
-import os
-import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, materialize, picked
+from .common import give_back, materialize, picked, small_batches
 
-#: Bits of a word's hash that name it: all of them, so that words share counts only where 64-bit hashes collide.
-CLASS_BITS = 64
 #: The backoff factor, the count of an unseen word, fixed-point units in a nat.
 ALPHA, UNSEEN, UNIT = 0.4, 0.5, 1_000_000
-#: Occurrences a partition of the tables should hold. A slice of texts sends a key once, so frequent ones crowd no partition: LEAST_HOT is unused.
-PER_PART, LEAST_HOT = 1_500_000, 1000
-#: Bytes of text that a worker counts at once.
-AT_ONCE = 5 << 20
+#: Bytes of text whose n-grams a worker counts before they are sent, and bytes of text a partition of the tables.
+AT_ONCE, PART_BYTES = 10 << 20, 6 << 20
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
 
 
 class Words(dict):
-    """Word to its hash, kept while few."""
+    """Word to its 64-bit hash, kept while few."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 200_000:
             self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word) >> (64 - CLASS_BITS)
+        value = self[word] = xxhash.xxh64_intdigest(word)
         return value
 
 
-def pack(*arrays: np.ndarray) -> bytes:
-    """Integer arrays, each as compressed byte planes; the first is sorted and stored as steps."""
-    out = []
-    for k, a in enumerate(arrays):
-        a = np.diff(a.astype("<i8"), prepend=0) if k == 0 else a.astype("<i8")
-        out.append(zlib.compress(np.ascontiguousarray(a.view(np.uint8).reshape(-1, 8).T).tobytes(), 1))
-    return b"".join([np.array([len(arrays), *map(len, out)], "<u4").tobytes(), *out])
-
-
-def unpack(blob: bytes) -> list[np.ndarray]:
-    n = int(np.frombuffer(blob, "<u4", 1)[0])
-    sizes, at, out = np.frombuffer(blob, "<u4", n, 4), 4 + 4 * n, []
-    for k, size in enumerate(sizes.tolist()):
-        planes = np.frombuffer(zlib.decompress(blob[at : at + size]), np.uint8).reshape(8, -1)
-        a = np.ascontiguousarray(planes.T).view("<i8")[:, 0]
-        out.append(np.cumsum(a) if k == 0 else a)
-        at += size
-    return out
-
-
-def _part(keys: np.ndarray, parts: int) -> np.ndarray:
-    mixed = keys.view(np.uint64) * _MIX[0]
-    return ((mixed >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
-
-
 def _codes(texts, cache: Words) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words in turn, and each text's number of words."""
     words = [(t or "").encode("utf-8", "surrogatepass").translate(_FOLD).split() for t in texts]
@@ -73,19 +42,116 @@ def _bigrams(words: np.ndarray, at: np.ndarray, n: np.ndarray):
     """Document and number of each pair of neighbouring words; numbers of its two words and key of each distinct pair."""
     doc = np.repeat(np.arange(len(n)), n)
     inside = doc[1:] == doc[:-1]
-    both, where = np.unique((at[:-1] * len(words) + at[1:])[inside], return_inverse=True)
+    both, where = np.unique((at[:-1].astype(np.int64) * len(words) + at[1:])[inside], return_inverse=True)
     a, b = np.divmod(both, max(1, len(words)))
     x, y = words.view(np.uint64)[a], words.view(np.uint64)[b]
     key = (x ^ x >> np.uint64(32)) * _MIX[0] + (y ^ y >> np.uint64(29)) * _MIX[1]
     return doc[1:][inside], where, a, b, (key ^ key >> np.uint64(31)).view(np.int64)
 
 
-def _dealt(keys: np.ndarray, parts: int):
-    """(partition, numbers of its keys by key) of every partition that has some."""
-    part = _part(keys, parts)
+def _dealt(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the keys by partition, and the partition of each in that order."""
+    part = ((keys.view(np.uint64) * _MIX[0] >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
     order = np.lexsort((keys, part))
-    cuts = np.searchsorted(part[order], np.arange(parts + 1))
-    return [(k, order[lo:hi]) for k, (lo, hi) in enumerate(zip(cuts, cuts[1:])) if hi > lo]
+    return order, part[order]
+
+
+def _sent(parts: int, kind: pa.DataType):
+    """Batches of texts to rows: for each partition of a table (``to``, from 0 on: twice its number, and one more for bigrams) the
+    slice's distinct n-grams with their counts, and one row (``to`` below 0) with the slice's words for the way back."""
+    schema = pa.schema([("to", pa.int64()), ("slice", pa.int64()), ("keys", pa.list_(pa.int64())), ("times", pa.list_(pa.int32())), ("ids", pa.list_(kind)), ("n", pa.list_(pa.int32())), ("at", pa.list_(pa.int32()))])
+
+    def lists(values: np.ndarray, ends: np.ndarray, nulls: int) -> pa.Array:
+        """Lists that end there, and so many nulls after them."""
+        return pa.concat_arrays([pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(values)), pa.nulls(nulls, pa.list_(pa.array(values).type))])
+
+    def rows(codes: np.ndarray, n: np.ndarray, ids: pa.Array, name: int) -> pa.RecordBatch:
+        words, at, times = np.unique(codes, return_inverse=True, return_counts=True)
+        _, where, _, _, keys = _bigrams(words, at, n)
+        to, ends, have, counts = [], [], [], []
+        for table, (grams, count) in enumerate(((words, times), (keys, np.bincount(where, minlength=len(keys))))):
+            order, part = _dealt(grams, parts)
+            stops = np.flatnonzero(np.diff(part, append=-1)) + 1 if len(part) else np.empty(0, np.int64)
+            to.append(2 * part[stops - 1] + table), ends.append(stops + sum(map(len, have))), have.append(grams[order]), counts.append(count[order])
+        own = np.concatenate(ends)
+        k, total = len(own), sum(map(len, have))
+        back = lambda a, of: pa.concat_arrays([pa.nulls(k, pa.list_(of)), pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)])
+        return pa.RecordBatch.from_arrays([
+            pa.array(np.r_[np.concatenate(to), -1 - name]), pa.array(np.full(k + 1, name)), lists(np.concatenate([*have, words]), np.r_[own, total + len(words)], 0), lists(np.concatenate(counts).astype(np.int32), own, 1),
+            back(ids.cast(kind), kind), back(pa.array(n, pa.int32()), pa.int32()), back(pa.array(at, pa.int32()), pa.int32()),
+        ], schema=schema)
+
+    def run(batches):
+        cache, task, number = Words(), TaskContext.get().partitionId() << 24, 0
+        codes, n, ids, size = [], [], [], 0
+        for batch in batches:
+            step = max(1, batch.num_rows * (2 << 20) // max(1, batch.nbytes))
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                c, m = _codes(part.column("text").to_pylist(), cache)
+                codes.append(c), n.append(m), ids.append(part.column("id"))
+                size += part.nbytes
+                if size >= AT_ONCE:
+                    yield rows(np.concatenate(codes), np.concatenate(n), pa.concat_arrays(ids), task + number)
+                    codes, n, ids, size, number = [], [], [], 0, number + 1
+        if ids:
+            yield rows(np.concatenate(codes), np.concatenate(n), pa.concat_arrays(ids), task + number)
+        del codes, n, ids, cache
+        give_back()
+
+    return run
+
+
+def _runs(batches):
+    """Joined n-grams (to, slice, pos, c) to lists: one a run of neighbouring places of a slice's part."""
+    schema = pa.schema([("to", pa.int64()), ("part", pa.int64()), ("first", pa.int32()), ("counts", pa.list_(pa.int64()))])
+    for batch in batches:
+        to, name, pos, c = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
+        if not len(to):
+            continue
+        new = np.r_[True, (to[1:] != to[:-1]) | (name[1:] != name[:-1]) | (pos[1:] != pos[:-1] + 1)]
+        starts = np.flatnonzero(new)
+        yield pa.RecordBatch.from_arrays([pa.array(-1 - name[starts]), pa.array(to[starts]), pa.array(pos[starts].astype(np.int32)), pa.ListArray.from_arrays(pa.array(np.r_[starts, len(to)].astype(np.int32)), pa.array(c))], schema=schema)
+    give_back()
+
+
+def _summed(parts: int):
+    """A slice's words and the counts that came back, to its documents' sums."""
+    units = lambda x: np.rint(np.log(x) * UNIT).astype(np.int64)
+    backed_off = round(math.log(ALPHA) * UNIT)
+
+    def run(home: pa.Table, back: pa.Table) -> pa.Table:
+        words, n, at = (home.column(c)[0].values.to_numpy().astype(np.int64) for c in ("keys", "n", "at"))
+        d, where, a, b, keys = _bigrams(words, at, n)
+        one, two = np.zeros(len(words), np.int64), np.zeros(len(keys), np.int64)
+        part_of, first, counts = back.column("part").to_numpy(), back.column("first").to_numpy(), back.column("counts").combine_chunks()
+        sizes = np.diff(counts.offsets.to_numpy()) if len(counts) else np.empty(0, np.int64)
+        values = counts.values.to_numpy()[counts.offsets[0].as_py() : counts.offsets[-1].as_py()] if len(counts) else np.empty(0, np.int64)
+        for table, (grams, into) in enumerate(((words, one), (keys, two))):
+            order, part = _dealt(grams, parts)
+            use = part_of % 2 == table
+            begin = np.searchsorted(part, part_of[use] // 2) + first[use]
+            ends = np.cumsum(sizes[use])
+            place = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(begin - (ends - sizes[use]), sizes[use])
+            into[order[place]] = values[np.repeat(use, sizes)]
+        wide, deep = max(1, len(words)), max(1, len(keys))
+        own, own_times = np.unique(np.repeat(np.arange(len(n)), n) * wide + at, return_counts=True)
+        others = lambda doc, word: one[word] - own_times[np.searchsorted(own, doc * wide + word)]
+        pairs, times = np.unique(d * deep + where, return_counts=True)
+        doc, pair = np.divmod(pairs, deep)
+        left = two[pair] - times
+        known = left > 0
+        term = units(np.where(known, left, ALPHA)) - np.where(known, units(np.maximum(others(doc, a[pair]), 1)), 0)
+        term = np.where(known, term, backed_off + units(np.maximum(others(doc, b[pair]), UNSEEN)))
+        begins = np.flatnonzero(n > 0)
+        head = at[(np.cumsum(n) - n)[begins]]
+        score, seen = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
+        np.add.at(score, doc, term * times)
+        score[begins] += units(np.maximum(others(begins, head), UNSEEN))
+        np.add.at(seen, doc[known], times[known])
+        return pa.table({"id": home.column("ids")[0].values, "n": n, "seen": seen, "score": score})
+
+    return run
 
 
 def score_documents(docs: DataFrame, *, id_col="doc_id", text_col="text") -> DataFrame:
@@ -93,77 +159,37 @@ def score_documents(docs: DataFrame, *, id_col="doc_id", text_col="text") -> Dat
 
     A word scores its bigram's share of its predecessor, c(ab) / c(a), if other documents have the bigram, else ALPHA times
     its own share c(b) / N of all N words; the first word scores its share. The document's own counts are taken off c first, so
-    copies help each other but a text does not help itself; an unseen word counts as UNSEEN times. Null, empty and wordless
-    texts score 0. Repeated rows count as documents of their own; an empty table gives no rows; other columns are ignored.
+    copies help each other but a text does not help itself; an unseen word counts as UNSEEN times. Logarithms are summed in
+    millionths of a nat. Null, empty and wordless texts score 0. Repeated rows count as documents of their own; an empty
+    table gives no rows; other columns are ignored.
 
-    Slices of texts send their distinct words and bigrams with counts to the partitions of both tables and get back
-    the counts over all texts; nothing of the tables is gathered or broadcast but N.
+    The distinct n-grams of each slice of texts, under 64-bit hashes, are dealt by hash and exploded; their sums are the
+    count tables of words and bigrams, which are joined to the exploded n-grams where they are; the counts go back to their
+    slices, whose documents sum them. A frequent n-gram is one row a slice, so that it crowds no partition.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
-    base = picked(docs, id=id_col, text=text_col)
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    spark, field = docs.sparkSession, docs.schema[id_col].dataType
+    kind, base = field.simpleString(), picked(docs, id=id_col, text=text_col)
     size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, size // (6 * PER_PART))
-
-    def make():
-        cache = Words()
-
-        def work(batch: pa.RecordBatch) -> dict:
-            codes, n = _codes(batch.column("text").to_pylist(), cache)
-            words, at, times = np.unique(codes, return_inverse=True, return_counts=True)
-            _, where, _, _, keys = _bigrams(words, at, n)
-            name = int.from_bytes(os.urandom(8), "little") >> 1
-            home = pack(words) + zlib.compress(np.ascontiguousarray(at.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
-            out = {"part": [None], "slice": [name], "blob": [home], "ids": [batch.column("id").to_pylist()], "n": [n.tolist()]}
-            for table, (have, count) in enumerate(((words, times), (keys, np.bincount(where, minlength=len(keys))))):
-                for k, use in _dealt(have, parts):
-                    out["part"].append(2 * k + table), out["slice"].append(name), out["blob"].append(pack(have[use], count[use]))
-                    out["ids"].append(None), out["n"].append(None)
-            return out
-
-        return work
-
-    def total(frame: pd.DataFrame) -> pd.DataFrame:
-        blobs = [unpack(b) for b in frame["blob"]]
-        keys, times = (np.concatenate(x) for x in zip(*blobs))
-        _, back = np.unique(keys, return_inverse=True)
-        together = np.bincount(back, weights=times).astype(np.int64)[back]
-        cuts = np.cumsum([0, *(len(b[0]) for b in blobs)])
-        return frame[["part", "slice"]].assign(blob=[pack(together[lo:hi]) for lo, hi in zip(cuts, cuts[1:])], ids=None, n=None)
-
-    def whole(frame: pd.DataFrame) -> pd.DataFrame:
-        home = frame[frame["part"].isna()].iloc[0]
-        n, blob = np.asarray(home["n"], np.int64), home["blob"]
-        end = 8 + int(np.frombuffer(blob, "<u4", 2)[1])
-        words = unpack(blob[:end])[0]
-        at = np.ascontiguousarray(np.frombuffer(zlib.decompress(blob[end:]), np.uint8).reshape(4, -1).T).view("<u4")[:, 0].astype(np.int64)
-        d, where, a, b, keys = _bigrams(words, at, n)
-        back = {int(p): x for p, x in zip(frame["part"], frame["blob"]) if p == p and p is not None}
-        one, two = np.zeros(len(words), np.int64), np.zeros(len(keys), np.int64)
-        for table, (have, counts) in enumerate(((words, one), (keys, two))):
-            for k, use in _dealt(have, parts):
-                counts[use] = unpack(back[2 * k + table])[0]
-        wide, deep = max(1, len(words)), max(1, len(keys))
-        own, own_times = np.unique(np.repeat(np.arange(len(n)), n) * wide + at, return_counts=True)
-        who, what = np.divmod(own, wide)
-        score, seen = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
-        np.add.at(score, who, np.rint(np.log(np.maximum(one[what] - own_times, UNSEEN) / n_all) * UNIT).astype(np.int64) * own_times)
-        score += np.maximum(n - 1, 0) * round(math.log(ALPHA) * UNIT)
-        pairs, times = np.unique(d * deep + where, return_counts=True)
-        d, p = np.divmod(pairs, deep)
-        other = two[p] - times
-        d, p, times, other = (x[other > 0] for x in (d, p, times, other))
-        own_of = lambda w: own_times[np.searchsorted(own, d * wide + w)]
-        first = one[a[p]] - own_of(a[p])
-        second = np.maximum(one[b[p]] - own_of(b[p]), UNSEEN)
-        gain = np.log(other) - np.log(np.maximum(first, 1)) - math.log(ALPHA) - np.log(second / n_all)
-        np.add.at(score, d, np.rint(gain * UNIT).astype(np.int64) * times)
-        np.add.at(seen, d, times)
-        return pd.DataFrame({"id": list(home["ids"]), "n": n, "score": score, "seen": seen})
-
-    lists = f"ids array<{kind}>, n array<long>"
-    sent = materialize(arrow_map(base, make, f"part int, slice long, blob binary, {lists}", AT_ONCE))
-    n_all = max(1, sent.agg(F.sum(F.aggregate("n", F.lit(0).cast("long"), lambda x, y: x + y))).first()[0] or 0)
-    back = sent.where("part is not null").groupBy("part").applyInPandas(total, f"part int, slice long, blob binary, {lists}")
-    each = sent.where("part is null").unionAll(back).groupBy("slice").applyInPandas(whole, f"id {kind}, n long, score long, seen long")
-    score = F.col("score") / F.lit(float(UNIT))
+    parts = max(1, size // PART_BYTES)
+    tasks = max(2 * parts, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    small_batches(spark)
+    sent = base.mapInArrow(_sent(parts, to_arrow_type(field)), f"to long, slice long, keys array<long>, times array<int>, ids array<{kind}>, n array<int>, at array<int>")
+    dealt = sent.repartition(tasks, "to")
+    grams = dealt.where("to >= 0").select("to", "slice", F.posexplode(F.arrays_zip("keys", "times")).alias("pos", "g")).select("to", "slice", "pos", F.col("g.keys").alias("key"), F.col("g.times").alias("times"))
+    table = grams.groupBy("to", "key").agg(F.sum("times").alias("c"))
+    joined = grams.join(table.hint("shuffle_hash"), ["to", "key"]).select("to", "slice", "pos", "c")
+    back = joined.mapInArrow(_runs, "to long, part long, first int, counts array<long>")
+    each = dealt.where("to < 0").groupBy("to").cogroup(back.groupBy("to")).applyInArrow(_summed(parts), f"id {kind}, n long, seen long, score long")
+    name = "spark.sql.requireAllClusterKeysForCoPartition"  # rows dealt by ``to`` are where (to, key) is needed
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        each = materialize(each)
+    finally:
+        spark.conf.set(name, before)
+    total = each.agg(F.sum("n")).first()[0] or 1
+    shares = (F.col("n") - F.col("seen")) * round(math.log(max(total, 1)) * UNIT)
+    score = (F.col("score") - shares) / F.lit(float(UNIT))
     return each.select("id", F.col("n").alias("n_words"), F.col("seen").alias("n_seen"), score.alias("log_score"), F.when(F.col("n") > 0, score / F.col("n")).alias("mean_log_score"))

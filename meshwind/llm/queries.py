@@ -91,6 +91,22 @@ from dw left join pos on dw.doc_id = pos.doc_id left join its on dw.doc_id = its
 """
 
 
+SQL["op8_stupid_backoff"] = r"""
+with d as (select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+t as (select r, i, w[i] as b, case when i > 1 then w[i - 1] end as a from d, unnest(generate_series(1, len(w))) as g(i)),
+n as (select count(*) as n from t),
+o1 as (select r, b as w, count(*) as k from t group by all), c1 as (select w, sum(k) as c from o1 group by w),
+o2 as (select r, a, b, count(*) as k from t where a is not null group by all), c2 as (select a, b, sum(k) as c from o2 group by a, b),
+l1 as (select r, w, c - k as c from o1 join c1 using (w)),
+s as (select o2.r, k, case when c2.c > k then k else 0 end as seen, k * case when c2.c > k then round(ln(c2.c - k) * 1e6) - round(ln(x.c) * 1e6) else round(ln(0.4) * 1e6) + round(ln(greatest(y.c, 0.5)) * 1e6) end as v
+  from o2 join c2 on c2.a = o2.a and c2.b = o2.b join l1 x on x.r = o2.r and x.w = o2.a join l1 y on y.r = o2.r and y.w = o2.b
+  union all select t.r, 1, 0, round(ln(greatest(l1.c, 0.5)) * 1e6) from t join l1 on l1.r = t.r and l1.w = t.b where t.i = 1),
+e as (select r, sum(seen) as seen, sum(v) as v from s group by r),
+f as (select doc_id, cast(coalesce(len(w), 0) as bigint) as n_words, cast(coalesce(seen, 0) as bigint) as n_seen, (coalesce(v, 0) - (coalesce(len(w), 0) - coalesce(seen, 0)) * (select round(ln(n) * 1e6) from n)) / 1e6 as log_score from d left join e on e.r = d.r)
+select doc_id, n_words, n_seen, log_score, case when n_words > 0 then log_score / n_words end as mean_log_score from f
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in sorted(globals().items(), key=lambda x: int(x[0][2:].split("_")[0]) if x[0].startswith("op") else 0) if name.startswith("op")}
 

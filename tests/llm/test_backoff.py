@@ -10,7 +10,7 @@ from meshwind.llm import backoff as B
 
 
 def brute(rows):
-    word = lambda t: [xxhash.xxh64_intdigest(w.encode()) >> (64 - B.CLASS_BITS) for w in re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))]
+    word = lambda t: [w for w in re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))]
     texts = [word(t) for _, t in rows]
     one, two = Counter(w for t in texts for w in t), Counter(p for t in texts for p in zip(t, t[1:]))
     total, out = sum(one.values()), []
@@ -27,10 +27,10 @@ def brute(rows):
     return out
 
 
-@pytest.mark.parametrize("per_part, least_hot", [(10**9, 10**9), (200, 5)])
-def test_scores_equal_brute_force(spark, monkeypatch, per_part, least_hot):
-    monkeypatch.setattr(B, "PER_PART", per_part)
-    monkeypatch.setattr(B, "LEAST_HOT", least_hot)
+@pytest.mark.parametrize("part_bytes, at_once", [(10**9, 10**9), (2000, 500)])
+def test_scores_equal_brute_force(spark, monkeypatch, part_bytes, at_once):
+    monkeypatch.setattr(B, "PART_BYTES", part_bytes)
+    monkeypatch.setattr(B, "AT_ONCE", at_once)
     rnd = random.Random(1)
     words = [f"w{k}" for k in range(60)] + ["Éa", "the", "of"]
     rows = [(i, " ".join(rnd.choice(words[: 4 + i % 60]) for _ in range(rnd.randint(0, 60)))) for i in range(150)]
