@@ -12,83 +12,66 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_column, picked
+from .common import arrow_column, arrow_map, materialize, picked
 
 #: Fixed seed words of the closed classes, in English, German, French and Spanish.
 THREAT = "kill killed hurt destroy shoot stab beat burn attack murder töten schlagen vernichten tuer frapper détruire matar golpear destruir".split()
 TARGET = "you your yours he she they them him her people everyone du dich dein ihr euch er sie vous toi ton tu il elle ils eux usted ustedes él ella ellos".split()
 NEGATION = "not no never neither nor without nicht kein keine nie ohne ne pas jamais sans nunca sin ni".split()
 REPORT = "said says wrote called quoted claimed reported allegedly sagte schrieb nannte dit écrit appelé dijo escribió llamó".split()
-#: Labelled rows a class that training reads at most, texts of at most so many bytes, and stems of the lexicon.
-TRAIN_ROWS, TRAIN_BYTES, STEMS = 3000, 32_768, 600
+#: Labelled rows a class that training reads, whole texts each, and stems of the lexicon.
+TRAIN_ROWS, STEMS = 3000, 600
 THRESHOLD = 0.3
 _TOKENS = re.compile(r"[^\W\d_]+|[.,;:!?\n|]")
 _BREAKS = frozenset(".,;:!?\n|")
-OTHER, INSULT, THREATS, TARGETS, NEG, SAID = "o", "I", "K", "T", "N", "R"
+OTHER, INSULT, THREATS, TARGETS, NEG, SAID = range(6)
+#: Symbols that a negation and a target reach.
+NEG_WIDTH, TARGET_WIDTH = 4, 3
+NEGATED, REPORTED, TARGETED, CLASSES = 1, 2, 4, 16
 
 
 @dataclass(frozen=True)
 class Transducer:
-    """Deterministic: step(state, symbol) gives (symbols out, next state); start is its first state."""
-
-    start: object
-    step: object
-
-    def __matmul__(self, after: Transducer) -> Transducer:
-        """Composition: what this one emits is what ``after`` reads."""
-
-        def step(state, symbol):
-            out, left = self.step(state[0], symbol)
-            right, said = state[1], []
-            for s in out:
-                more, right = after.step(right, s)
-                said += more
-            return said, (left, right)
-
-        return Transducer((self.start, after.start), step)
-
-    def run(self, symbols):
-        state, out = self.start, []
+    """Finite and deterministic: arcs[state][symbol] is (next state, marks); state 0 is the first."""
+
+    arcs: tuple[tuple[tuple[int, int], ...], ...]
+
+    def __matmul__(self, other: Transducer) -> Transducer:
+        """Composition: both read each symbol, and it gets the marks of both. States are the pairs that can be reached."""
+        number, todo, arcs = {(0, 0): 0}, [(0, 0)], []
+        for left, right in todo:
+            row = []
+            for (a, m), (b, k) in zip(self.arcs[left], other.arcs[right]):
+                if (a, b) not in number:
+                    number[a, b] = len(number)
+                    todo.append((a, b))
+                row.append((number[a, b], m | k))
+            arcs.append(tuple(row))
+        return Transducer(tuple(arcs))
+
+    def run(self, symbols) -> list[int]:
+        state, out = 0, []
         for s in symbols:
-            more, state = self.step(state, s)
-            out += more
+            state, marks = self.arcs[state][s]
+            out.append(marks)
         return out
 
 
-def scope(opener: str, width: int, mark: str) -> Transducer:
-    """Marks insults and threats that follow an opener within ``width`` symbols (0: to the clause's end)."""
-
-    def step(left, symbol):
-        if symbol[0] == opener:
-            return [symbol], width or 10**9
-        if left and symbol[0] in (INSULT, THREATS):
-            return [(symbol[0], symbol[1], symbol[2] | {mark})], left - 1
-        return [symbol], max(0, left - 1)
-
-    return Transducer(0, step)
-
-
-def matcher() -> Transducer:
-    """Turns insults and threats into matches: with a target close before, with marks, or bare."""
-
-    def step(since, symbol):
-        kind, weight, marks = symbol
-        if kind == TARGETS:
-            return [], 0
-        if kind in (INSULT, THREATS):
-            return [(kind, weight, marks | ({"target"} if since <= 3 else set()))], since + 1
-        return [], since + 1
+def scope(opener: int, width: int, mark: int) -> Transducer:
+    """Marks insults and threats among the ``width`` symbols after an opener (0: all after it); a state is what is left to reach."""
+    after = lambda left, s: (width or 1) if s == opener else left if not width else max(0, left - 1)
+    return Transducer(tuple(tuple((after(left, s), mark if left and s in (INSULT, THREATS) else 0) for s in range(6)) for left in range((width or 1) + 1)))
 
-    return Transducer(99, step)
 
-
-#: Negation reaches four symbols, reported speech the clause; then matches are formed.
-GRAMMAR = scope(NEG, 4, "negated") @ scope(SAID, 0, "reported") @ matcher()
-FEATURES = ("log_weight", "log_matches", "density", "targets", "threats", "negated", "reported", "best")
+#: Read forwards: negation, reported speech and a target before; read backwards: a target after.
+FORWARDS = scope(NEG, NEG_WIDTH, NEGATED) @ scope(SAID, 0, REPORTED) @ scope(TARGETS, TARGET_WIDTH, TARGETED)
+BACKWARDS = scope(TARGETS, TARGET_WIDTH, TARGETED)
+#: Weights of the arcs into a clause's class are learned: class = 8 for a threat, and its marks.
+FEATURES = tuple(f"clauses_{k}" for k in range(CLASSES)) + ("log_weight", "best", "density")
 
 
 class Lexicon(dict):
-    """Word to (class, weight); stems match word beginnings, longest first; classes of words are kept while few."""
+    """Word to (symbol, weight); stems match word beginnings, longest first; symbols of words are kept while few."""
 
     def __init__(self, stems: dict[str, float]):
         super().__init__()
@@ -99,54 +82,60 @@ class Lexicon(dict):
             self.clear()
         found = self.closed.get(word)
         if found is None:
-            found = next(((INSULT, self.stems[word[:k]]) for k in range(min(12, len(word)), 2, -1) if word[:k] in self.stems), None)
+            found = next(((INSULT, self.stems[word[:k]]) for k in range(min(12, len(word)), 2, -1) if word[:k] in self.stems), (OTHER, 0.0))
         self[word] = found
         return found
 
 
-def matches(text: str | None, lexicon: Lexicon) -> tuple[list[tuple], int]:
-    """(kind, weight, marks) of each match, and the number of words."""
-    found, clause, hot, n = [], [], False, 0
-    for token in _TOKENS.findall((text or "").lower()):
-        if token in _BREAKS:
-            if hot:
-                found += GRAMMAR.run(clause)
-                hot = False
-            clause = []
+def clause_match(symbols: list[int], weights: list[float]) -> tuple[int, float] | None:
+    """Class and weight of a clause: its heaviest match gives the class, all give weight. Insults match with any marks, threats
+    only with a target before or after them."""
+    marks = [m | k for m, k in zip(FORWARDS.run(symbols), reversed(BACKWARDS.run(reversed(symbols))))]
+    found = [(w, m | 8 * (s == THREATS)) for s, w, m in zip(symbols, weights, marks) if s == INSULT or s == THREATS and m & TARGETED]
+    return (max(found)[1], sum(w for w, _ in found)) if found else None
+
+
+def matches(text: str | None, lexicon: Lexicon) -> tuple[list[tuple[int, float]], int]:
+    """(class, weight) of each matched clause, and the number of clauses."""
+    found, symbols, weights, hot, n = [], [], [], False, 0
+    for token in [*_TOKENS.findall((text or "").lower()), "."]:
+        if token not in _BREAKS:
+            kind, weight = lexicon[token]
+            symbols.append(kind), weights.append(weight)
+            hot = hot or kind in (INSULT, THREATS)
             continue
-        n += 1
-        known = lexicon[token]
-        if known is None:
-            clause.append((OTHER, 0.0, frozenset()))
-        else:
-            clause.append((known[0], known[1], frozenset()))
-            hot = hot or known[0] in (INSULT, THREATS)
-    return found + (GRAMMAR.run(clause) if hot else []), n
-
-
-def features(found: list[tuple], n: int) -> list[float]:
-    insults = [m for m in found if m[0] == INSULT]
-    total = sum(w * (0.3 if "negated" in marks else 0.6 if "reported" in marks else 1.0) for _, w, marks in insults)
-    count = lambda mark: math.log1p(sum(mark in m[2] for m in found))
-    return [math.log1p(total), math.log1p(len(insults)), math.log1p(100 * len(insults) / max(n, 1)), count("target"), math.log1p(len(found) - len(insults)), count("negated"), count("reported"), max([0.0, *(m[1] for m in insults)])]
-
-
-def learn_stems(texts: list[str], labels: list[int]) -> dict[str, float]:
-    """Word beginnings of 4 to 12 letters far likelier in toxic documents, with their log odds as weights."""
-    df = (Counter(), Counter())
-    for text, label in zip(texts, labels):
-        df[label].update({w[:k] for w in set(_TOKENS.findall(text.lower())) for k in {*range(4, min(12, len(w)) + 1)}})
-    size = [max(1, labels.count(0)), max(1, labels.count(1))]
-    odds = {}
-    for stem, b in df[1].items():
-        if b >= max(4, 0.004 * size[1]):
-            weight = math.log((b + 0.5) / (size[1] + 1)) - math.log((df[0][stem] + 0.5) / (size[0] + 1))
+        n += bool(symbols)
+        if hot and (match := clause_match(symbols, weights)):
+            found.append(match)
+        symbols, weights, hot = [], [], False
+    return found, n
+
+
+def features(found: list[tuple[int, float]], n: int) -> list[float]:
+    each = [0] * CLASSES
+    for kind, _ in found:
+        each[kind] += 1
+    weights = [w for _, w in found]
+    return [*map(math.log1p, each), math.log1p(sum(weights)), max(weights, default=0.0), math.log1p(100 * len(found) / max(n, 1))]
+
+
+def stems_of(text: str | None) -> set[str]:
+    """Beginnings of 4 to 12 letters of a text's words."""
+    return {w[:k] for w in set(_TOKENS.findall((text or "").lower())) for k in range(4, min(12, len(w)) + 1)}
+
+
+def best_stems(counts: list[tuple[str, int, int]], clean: int, toxic: int) -> dict[str, float]:
+    """Of (stem, clean texts, toxic texts) those far likelier in toxic ones, with their log odds as weights."""
+    odds, seen = {}, {}
+    for stem, a, b in counts:
+        if b >= max(4, 0.004 * toxic):
+            weight = math.log((b + 0.5) / (toxic + 1)) - math.log((a + 0.5) / (clean + 1))
             if weight >= 1.5:
-                odds[stem] = weight
+                odds[stem], seen[stem] = weight, (a, b)
     for stem in list(odds):  # of beginnings that mark the same documents only the longest stays
-        if stem[:-1] in odds and df[1][stem[:-1]] == df[1][stem] and df[0][stem[:-1]] == df[0][stem]:
-            del odds[stem[:-1]]
-    best = sorted(odds, key=lambda s: (-odds[s] * math.sqrt(df[1][s]), s))[:STEMS]
+        if seen.get(stem[:-1]) == seen[stem]:
+            odds.pop(stem[:-1], None)
+    best = sorted(odds, key=lambda s: (-odds[s] * math.sqrt(seen[s][1]), s))[:STEMS]
     return {s: round(odds[s], 4) for s in best}
 
 
@@ -162,49 +151,69 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z @ self.weights[1:] + self.weights[0], -30, 30)))
 
 
-def fit(texts: list[str], labels: list[int], shift: float = 0.0) -> Model:
-    """Lexicon from the even rows and the odd rows in turn, so that each row's features come from stems of the other half;
-    then logistic regression. shift: added to the intercept, to undo sampling by class."""
-    rows = np.zeros((len(texts), len(FEATURES)))
-    for half in (0, 1):
-        other = [i for i in range(len(texts)) if i // 2 % 2 != half]
-        lexicon = Lexicon(learn_stems([texts[i] for i in other], [labels[i] for i in other]))
-        for i in range(len(texts)):
-            if i // 2 % 2 == half:
-                rows[i] = features(*matches(texts[i], lexicon))
-    center, scale = (rows.mean(0), rows.std(0) + 1e-6) if len(rows) else (np.zeros(len(FEATURES)), np.ones(len(FEATURES)))
-    x, y = np.c_[np.ones(len(rows)), (rows - center) / scale], np.array(labels, float)
-    w = np.zeros(x.shape[1])
-    for _ in range(25 if len(rows) else 0):  # Newton steps with a ridge
+def fit(rows: list[list[float]], labels: list[int], shift: float = 0.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Center, scale and weights of a logistic regression. shift: added to the intercept, to undo sampling by class."""
+    x, y = np.array(rows, float).reshape(-1, len(FEATURES)), np.array(labels, float)
+    w = np.zeros(1 + len(FEATURES))
+    if not len(x) or not 0 < y.mean() < 1:
+        w[0] = 30.0 if len(x) and y.mean() else -30.0
+        return np.zeros(len(FEATURES)), np.ones(len(FEATURES)), w
+    center, scale = x.mean(0), x.std(0) + 1e-6
+    x = np.c_[np.ones(len(x)), (x - center) / scale]
+    for _ in range(25):  # Newton steps with a ridge
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         h = x.T @ (x * (p * (1 - p))[:, None]) + np.eye(len(w))
         w += np.linalg.solve(h, x.T @ (y - p) - w)
-    if not len(rows) or not 0 < y.mean() < 1:
-        w[:] = 0
-        w[0] = -30.0 if not len(rows) or y.mean() == 0 else 30.0
-        shift = 0.0
     w[0] += shift
-    return Model(learn_stems(texts, labels), center, scale, w)
+    return center, scale, w
 
 
 def train(docs: DataFrame, labels: DataFrame, *, id_col="doc_id", text_col="text", label_col="toxic", allowed=None) -> Model:
-    """Fit on at most TRAIN_ROWS labelled rows a class, those with the smallest hashes, of texts up to TRAIN_BYTES bytes.
+    """Learn stems and weights from at most TRAIN_ROWS labelled documents a class, those with the smallest id hashes, whole texts.
 
-    allowed: function from the id column to a boolean column, for rows that may be learned from. The share of
-    each class is counted over all allowed rows, so that scores keep their meaning.
+    allowed: function from the id column to a boolean column, for rows that may be learned from. The share of each class is
+    counted over all allowed documents, so that scores keep their meaning. Stems are counted and features computed where the
+    texts are; the driver gets counts of likely stems and one short row a document. Features of either half of the sample
+    come from stems of the other half. A null label or id teaches nothing; of repeated ids the largest label and text count.
     """
     marks = picked(labels, id=id_col, y=label_col).where("id is not null and y in (0, 1)")
     marks = marks.where(allowed(F.col("id"))) if allowed else marks
     marks = marks.groupBy("id").agg(F.max("y").cast("int").alias("y"))
+    texts = picked(docs, id=id_col, text=text_col)
+    marks = materialize(marks.join(texts.select("id"), "id", "left_semi"))
     shares = {r["y"]: r["count"] for r in marks.groupBy("y").count().collect()}
-    wanted = marks.where(F.col("y") == 1).orderBy(F.xxhash64("id"), "id").limit(2 * TRAIN_ROWS).unionAll(marks.where(F.col("y") == 0).orderBy(F.xxhash64("id"), "id").limit(2 * TRAIN_ROWS))
-    texts = picked(docs, id=id_col, text=text_col).where(F.coalesce(F.octet_length("text"), F.lit(0)) <= TRAIN_BYTES)
-    found = texts.join(F.broadcast(wanted), "id").groupBy("id").agg(F.min("text").alias("text"), F.max("y").alias("y")).withColumn("h", F.xxhash64("id"))  # wanted: at most 4 * TRAIN_ROWS ids
-    rows = found.orderBy("h", "id").collect()
-    by = [[r for r in rows if r["y"] == y][:TRAIN_ROWS] for y in (0, 1)]
-    rows = sorted(by[0] + by[1], key=lambda r: (r["h"], r["id"]))
-    shift = math.log(shares[1] / shares[0]) - math.log(len(by[1]) / len(by[0])) if by[0] and by[1] else 0.0
-    return fit([r["text"] or "" for r in rows], [r["y"] for r in rows], shift)
+    wanted = [marks.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(TRAIN_ROWS) for y in (0, 1)]
+    sample = texts.join(F.broadcast(wanted[0].unionAll(wanted[1])), "id").groupBy("id").agg(F.max("text").alias("text"), F.max("y").alias("y"))  # at most 2 * TRAIN_ROWS ids
+    sample = materialize(sample.withColumn("half", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(2)).cast("int")))
+    sizes = {(r["half"], r["y"]): r["count"] for r in sample.groupBy("half", "y").count().collect()}
+    size = lambda y, *halves: sum(sizes.get((h, y), 0) for h in halves)
+    counted = arrow_map(sample, lambda: _stem_counts, "half int, y int, stem string, n long").groupBy("stem")
+    of = lambda h, y: F.sum(F.when((F.col("half") == h) & (F.col("y") == y), F.col("n")).otherwise(0)).alias(f"n{h}{y}")
+    counted = counted.agg(of(0, 0), of(0, 1), of(1, 0), of(1, 1))
+    likely = lambda *halves: sum(F.col(f"n{h}1") for h in halves) >= 4.4 * size(1, *halves) / max(size(0, *halves), 1) * sum(F.col(f"n{h}0") for h in halves)
+    counted = counted.where((F.col("n01") + F.col("n11") >= 4) & (likely(0) | likely(1) | likely(0, 1))).collect()
+    stems = [best_stems([(r["stem"], sum(r[f"n{h}0"] for h in halves), sum(r[f"n{h}1"] for h in halves)) for r in counted], size(0, *halves), size(1, *halves)) for halves in ((1,), (0,), (0, 1))]
+    rows = arrow_map(sample, lambda: _featured(stems), "id " + docs.schema[id_col].dataType.simpleString() + ", y int, x array<double>").orderBy(F.xxhash64("id"), "id").collect()
+    shift = math.log(shares[1] / shares[0]) - math.log(size(1, 0, 1) / size(0, 0, 1)) if size(0, 0, 1) and size(1, 0, 1) else 0.0
+    return Model(stems[2], *fit([r["x"] for r in rows], [r["y"] for r in rows], shift))
+
+
+def _stem_counts(batch: pa.RecordBatch) -> dict:
+    seen: Counter = Counter()
+    for half, y, text in zip(*(batch.column(c).to_pylist() for c in ("half", "y", "text"))):
+        seen.update((half, y, stem) for stem in stems_of(text))
+    half, y, stem = zip(*seen) if seen else ((), (), ())
+    return {"half": half, "y": y, "stem": stem, "n": list(seen.values())}
+
+
+def _featured(stems: list[dict[str, float]]):
+    lexicons = [Lexicon(s) for s in stems[:2]]
+
+    def work(batch: pa.RecordBatch) -> dict:
+        x = [features(*matches(t, lexicons[h])) for t, h in zip(batch.column("text").to_pylist(), batch.column("half").to_pylist())]
+        return {"id": batch.column("id"), "y": batch.column("y"), "x": x}
+
+    return work
 
 
 def score_column(spark: SparkSession, model: Model, text: Column) -> Column:

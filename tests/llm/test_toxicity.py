@@ -16,14 +16,41 @@ def corpus(n=600):
     return rows, labels
 
 
-def test_grammar_marks_scopes():
-    lexicon = T.Lexicon({"idiot": 2.0})
-    marks = lambda text: [sorted(m[2]) for m in T.matches(text, lexicon)[0]]
-    assert marks("you idiot") == [["target"]]
-    assert marks("not an idiot.") == [["negated"]]
-    assert marks("he said something, idiot") == [[]]
-    assert marks("she wrote that you idiots came") == [["reported", "target"]]
-    assert marks("clear sky") == [] and T.matches(None, lexicon) == ([], 0)
+def test_grammar_scores_clauses():
+    lexicon = T.Lexicon({"idiot": 2.0, "fool": 1.0})
+    kinds = lambda text: [k for k, _ in T.matches(text, lexicon)[0]]
+    assert kinds("you idiot") == [T.TARGETED] and kinds("idiot you are") == [T.TARGETED]
+    assert kinds("not an idiot.") == [T.NEGATED] and kinds("he said something, idiot") == [0]
+    assert kinds("she wrote that you idiots came") == [T.REPORTED | T.TARGETED]
+    assert kinds("i will kill you") == kinds("you will kill") == [8 | T.TARGETED] and kinds("kill the process") == []
+    assert T.matches("idiot and fool. a fool", lexicon) == ([(0, 3.0), (0, 1.0)], 2)
+    assert T.matches("clear sky", lexicon) == ([], 1) and T.matches(None, lexicon) == ([], 0)
+
+
+def test_machines_equal_windows_over_all_places():
+    rnd = random.Random(8)
+    assert len(T.FORWARDS.arcs) <= (T.NEG_WIDTH + 1) * 2 * (T.TARGET_WIDTH + 1)  # the pairs of states that can be reached
+    for _ in range(300):
+        s = [rnd.choice((T.OTHER, T.OTHER, T.INSULT, T.THREATS, T.TARGETS, T.NEG, T.SAID)) for _ in range(rnd.randint(1, 25))]
+        w = [float(rnd.randint(1, 9)) if x == T.INSULT else 0.0 for x in s]
+        found = []
+        for k, x in enumerate(s):
+            near = [j for j, y in enumerate(s) if y == T.TARGETS and 0 < abs(j - k) <= T.TARGET_WIDTH]
+            mark = T.TARGETED * bool(near) | T.NEGATED * (T.NEG in s[max(0, k - T.NEG_WIDTH) : k]) | T.REPORTED * (T.SAID in s[:k])
+            if x == T.INSULT or x == T.THREATS and near:
+                found.append((w[k], mark | 8 * (x == T.THREATS)))
+        assert T.clause_match(s, w) == ((max(found)[1], sum(f[0] for f in found)) if found else None)
+
+
+def test_stem_weights_equal_counts(spark, monkeypatch):
+    """Stems and weights of a small table against counts over all of its texts."""
+    rows, labels = corpus(200)
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = T.train(docs, marks)
+    df = {y: [T.stems_of(t) for (_, t), (_, v) in zip(rows, labels) if v == y] for y in (0, 1)}
+    every = set().union(*df[0], *df[1])
+    assert model.stems == T.best_stems([(x, sum(x in d for d in df[0]), sum(x in d for d in df[1])) for x in every], len(df[0]), len(df[1]))
+    assert set(model.stems) == {"grobblin", "snarfwit", "zugnut"}
 
 
 def test_held_out_accuracy_and_odd_rows(spark):
