@@ -78,6 +78,8 @@ def arrow_map(df: DataFrame, make, schema: str, slice_bytes: int = SLICE_BYTES)
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in target], schema=target)
                 del out, part
             del batch
+        if hasattr(work, "close"):
+            work.close()
         del work
         give_back()
 

@@ -14,10 +14,12 @@ from .common import arrow_map, picked
 
 #: Kinds in the order that breaks ties; the field's own spans have these names with crf_ before them.
 KINDS = ("email", "ip", "card", "phone")
-#: Bounds on the training sample: documents, and bytes of each.
-TRAIN_DOCS, TRAIN_BYTES = 1500, 65_536
-#: Feature slots, message rounds, damping, least probability of an added span, words apart up to which neighbours chain.
-SLOTS, ROUNDS, DAMPING, LEAST, NEAR = 1024, 10, 0.5, 0.9, 2
+#: Documents of the training sample.
+TRAIN_DOCS = 1500
+#: Feature slots, damping, least probability of an added span, words apart up to which neighbours chain.
+SLOTS, DAMPING, LEAST, NEAR = 1024, 0.5, 0.9, 2
+#: Message passing ends when no message moves by more than SETTLED (in nats), or after ROUNDS rounds (loops may not settle).
+SETTLED, ROUNDS = 1e-3, 500
 LABELS = 1 + len(KINDS)
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]++(\.[A-Za-z0-9-]+)+")
@@ -108,8 +110,8 @@ class Graph:
 
 
 def _shape(word: str) -> str:
-    short = re.sub(r"[A-Za-z\u0080-￿]+", "a", word[:200])
-    return re.sub(r"(.)\1+", r"\1", re.sub(r"[0-9]+", "d", short))[:24]
+    short = re.sub(r"[A-Za-z\u0080-￿]+", "a", word)
+    return re.sub(r"(.)\1+", r"\1", re.sub(r"[0-9]+", "d", short))
 
 
 N_FEATURES = 8
@@ -117,7 +119,7 @@ N_FEATURES = 8
 
 def _features(core: str, before: str) -> list[int]:
     digits = sum(map(str.isdigit, core))
-    long_run = max([0, *map(len, re.findall("[0-9]+", core[:400]))])
+    long_run = max([0, *map(len, re.findall("[0-9]+", core))])
     said = ("bias", f"s{_shape(core)}", f"l{min(len(core), 32) // 2}", f"d{min(digits, 20)}", f"r{min(long_run, 20)}", f"p{min(core.count('.'), 4)}@{core.count('@') > 0}+{core[:1] == '+'}", f"b{before.lower().strip('.,;:!?|')[:12]}", f"f{core[:1]}{core[-1:]}" if not core[:1].isdigit() else "fd")
     return [zlib.crc32(f"{k}{x}".encode("utf-8", "surrogatepass")) % SLOTS for k, x in enumerate(said)]
 
@@ -183,7 +185,10 @@ class Field:
                     top = s.max(axis=1)
                     new[:, y] = top + np.log(np.exp(s - top[:, None]).sum(axis=1))
                 new -= new.max(axis=1, keepdims=True)
+                moved = np.abs(new - message).max()
                 message = DAMPING * message + (1 - DAMPING) * new
+                if moved <= SETTLED:
+                    break
             node = node.copy()
             np.add.at(node, dst, message)
         p = np.exp(node - node.max(axis=1, keepdims=True))
@@ -191,15 +196,32 @@ class Field:
 
 
 def train(docs: DataFrame, *, id_col="doc_id", text_col="text") -> Field:
-    """Fit on pattern labels of at most TRAIN_DOCS documents with digits or @, those with the smallest text hashes."""
-    some = picked(docs, text=text_col).where(F.col("text").rlike("[0-9@]") & (F.octet_length("text") <= TRAIN_BYTES)).withColumn("h", F.xxhash64("text"))
+    """Fit on pattern labels of at most TRAIN_DOCS different texts with digits or @, those with the smallest hashes, whole.
+
+    Their graphs are made where the texts are; the driver gets numbers only: features, edges and labels of tokens."""
+    some = picked(docs, text=text_col).where(F.col("text").rlike("[0-9@]")).withColumn("h", F.xxhash64("text"))
     cut = some.select("h").distinct().orderBy("h").limit(TRAIN_DOCS).agg(F.max("h")).first()[0]
-    texts = [] if cut is None else [r[0] for r in some.where(F.col("h") <= cut).groupBy("h").agg(F.min("text").alias("text")).orderBy("h").select("text").collect()]
-    graph, spans = Graph(), {}
-    for i, text in enumerate(texts):
-        graph.add(i, text)
-        spans[i] = base_spans(text)
-    return Field().fit(graph, weak_labels(graph.places, spans))
+    graph, labels = Graph(), []
+    if cut is None:
+        return Field()
+
+    def work(batch: pa.RecordBatch) -> dict:
+        out = {"h": batch.column("h"), "x": [], "e": [], "k": [], "y": []}
+        for text in batch.column("text").to_pylist():
+            own = Graph()
+            own.add(0, text)
+            x, edges, kinds = own.arrays()
+            out["x"].append(x.ravel()), out["e"].append(edges.ravel()), out["k"].append(kinds), out["y"].append(weak_labels(own.places, {0: base_spans(text)}))
+        return out
+
+    parts = arrow_map(some.where(F.col("h") <= cut).select("h", "text"), lambda: work, "h long, x array<int>, e array<int>, k array<int>, y array<int>")
+    for r in parts.groupBy("h").agg(*[F.first(c).alias(c) for c in "xeky"]).orderBy("h").collect():
+        first = len(graph.features)
+        graph.features += np.array(r["x"], np.int64).reshape(-1, N_FEATURES).tolist()
+        graph.edges += (np.array(r["e"], np.int64).reshape(-1, 2) + first).tolist()
+        graph.kinds += r["k"]
+        labels += r["y"]
+    return Field().fit(graph, np.array(labels, np.int64))
 
 
 def find_personal_data(docs: DataFrame, *, id_col="doc_id", text_col="text", field: Field | None = None) -> DataFrame:

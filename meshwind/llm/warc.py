@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 import zlib
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyarrow import fs
@@ -39,11 +40,11 @@ def assign_types(pages: DataFrame, *, id_col="page_id", url_col="url", payload_c
 def _record(kind: str, name: str, url: str | None, payload: bytes, digest: str, refers: str | None) -> bytes:
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
     block = http + (payload if kind == "response" else b"")
-    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{name}>", "WARC-Date: 2000-01-01T00:00:00Z", "Content-Type: application/http; msgtype=response", f"WARC-Payload-Digest: sha256:{digest}", f"X-Payload-Length: {len(payload)}"]
+    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{quote(name, safe='')}>", "WARC-Date: 2000-01-01T00:00:00Z", "Content-Type: application/http; msgtype=response", f"WARC-Payload-Digest: sha256:{digest}", f"X-Payload-Length: {len(payload)}"]
     if url is not None:
         lines.append("WARC-Target-URI: " + "".join(c if c.isprintable() else "".join(f"%{b:02X}" for b in c.encode("utf-8", "surrogatepass")) for c in url))
     if kind == "revisit":
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers}>"]
+        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{quote(refers, safe='')}>"]
     text = "\r\n".join([*lines, f"Content-Length: {len(block)}"]).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
     deflate = zlib.compressobj(1, zlib.DEFLATED, 31)
     return deflate.compress(text) + deflate.flush()
@@ -70,13 +71,18 @@ def write_archives(typed: DataFrame, folder: str) -> DataFrame:
         store, path = fs.FileSystem.from_uri(folder)
         store.create_dir(path, recursive=True)
 
+        name, at, sink = "", SEGMENT, None
+
+        def close() -> None:
+            if sink:
+                sink.close()
+
         def work(batch: pa.RecordBatch) -> dict:
+            nonlocal name, at, sink  # an archive goes on from one batch of a task to the next
             out = {n: [] for n in ("record_type", "refers_to", "payload_bytes", "file", "offset", "length")}
-            name, at, sink = "", SEGMENT, None
             for page, url, payload, digest, low in zip(*(batch.column(c).to_pylist() for c in ("id", "url", "payload", "digest", "low"))):
                 if at >= SEGMENT:
-                    if sink:
-                        sink.close()
+                    close()
                     name, at = f"{uuid.uuid4().hex}.warc.gz", 0
                     sink = store.open_output_stream(f"{path}/{name}", compression=None)
                 repeat = low is not None and page != low
@@ -85,10 +91,9 @@ def write_archives(typed: DataFrame, folder: str) -> DataFrame:
                 for k, v in zip(out, ("revisit" if repeat else "response", low if repeat else None, len(payload), name, at, len(data))):
                     out[k].append(v)
                 at += len(data)
-            if sink:
-                sink.close()
             return out | {c: batch.column(c) for c in ("id", "url", "digest")}
 
+        work.close = close
         return work
 
     return materialize(arrow_map(typed.select("id", "url", "payload", "digest", "low"), make, INDEX.format(id=kind)))
@@ -98,7 +103,7 @@ def read_records(index: DataFrame, folder: str, *, payloads: bool = False) -> Da
     """Read the index rows' records: id, payload_bytes, payload_digest, record_type, refers_to, and the payload if asked for.
 
     Rows are dealt by archive and piece, sorted by offset, and neighbouring ranges are read at once. A response's
-    payload is hashed again; a difference from its header or the index is an error.
+    payload is hashed again; a difference from its header or the index is an error. refers_to is what the record's header says.
     """
     kind = index.schema["id"].dataType.simpleString()
     parts = max(index.sparkSession.sparkContext.defaultParallelism, -(-index.count() // 20_000))
@@ -108,7 +113,7 @@ def read_records(index: DataFrame, folder: str, *, payloads: bool = False) -> Da
         store, path = fs.FileSystem.from_uri(folder)
 
         def work(batch: pa.RecordBatch) -> dict:
-            out = {n: [] for n in ("payload_bytes", "payload_digest", "record_type", "payload")}
+            out = {n: [] for n in ("payload_bytes", "payload_digest", "record_type", "refers_to", "payload")}
             where = list(zip(*(batch.column(c).to_pylist() for c in ("file", "offset", "length"))))
             digests = batch.column("digest").to_pylist()
             at = 0
@@ -127,14 +132,17 @@ def read_records(index: DataFrame, folder: str, *, payloads: bool = False) -> Da
                         raise ValueError(f"{file} at {offset}: the record's digest differs")
                     out["record_type"].append(headers["warc-type"])
                     out["payload_digest"].append(digest)
+                    refers = headers.get("warc-refers-to")
+                    out["refers_to"].append(refers and unquote(refers.removeprefix("<urn:page:").removesuffix(">")))
                     out["payload_bytes"].append(len(payload) if headers["warc-type"] == "response" else int(headers["x-payload-length"]))
                     out["payload"].append(payload if payloads and headers["warc-type"] == "response" else None)
                 at = to
-            return out | {"id": batch.column("id"), "refers_to": batch.column("refers_to")}
+            return out | {"id": batch.column("id")}
 
         return work
 
-    return arrow_map(dealt.select("id", "refers_to", "digest", "file", "offset", "length"), make, f"id {kind}, payload_bytes long, payload_digest string, record_type string, refers_to {kind}" + ", payload binary" * payloads)
+    found = arrow_map(dealt.select("id", "digest", "file", "offset", "length"), make, "id " + kind + ", payload_bytes long, payload_digest string, record_type string, refers_to string" + ", payload binary" * payloads)
+    return found.withColumn("refers_to", F.col("refers_to").cast(kind))
 
 
 def archive_round_trip(pages: DataFrame) -> DataFrame:

@@ -47,6 +47,31 @@ def test_messages_spread_labels_along_skip_edges():
     assert abs(p[1, 4] - exact.sum(0)[4] / exact.sum()) < 1e-2
 
 
+def test_messages_reach_the_end_of_a_long_chain():
+    """Evidence at the first of many like tokens reaches all of them; a chain is a tree, so sum-product is exact."""
+    graph, n = pii.Graph(), 40
+    graph.add(0, " x y z ".join(["555-0101"] * n))
+    field = pii.Field()
+    field.edge[1] = 4 * np.eye(pii.LABELS)
+    x, edges, _ = graph.arrays()
+    field.node[:, 0] = 0.0
+    node = np.zeros((n, pii.LABELS))
+    first = graph.features[0][6]
+    field.node[first, 4] = 6.0
+    node += field.node[x].sum(axis=1)
+    exact, pair = [], np.exp(field.edge[1])
+    ahead, back = [np.ones(pii.LABELS)], [np.ones(pii.LABELS)]
+    for k in range(n - 1):
+        m = (ahead[-1] * np.exp(node[k])) @ pair
+        ahead.append(m / m.sum())
+        m = (back[-1] * np.exp(node[n - 1 - k])) @ pair
+        back.append(m / m.sum())
+    for k in range(n):
+        p = ahead[k] * np.exp(node[k]) * back[n - 1 - k]
+        exact.append(p / p.sum())
+    assert len(edges) == n - 1 and np.abs(field.marginals(graph) - np.array(exact)).max() < 0.02
+
+
 def test_query_on_odd_rows(spark):
     texts = [None, "", "mail bob@example.com or +1 (555) 010-1234 x", "é 10.0.0.1 and 4111-1111-1111-1111", "1" * 30_000, "a" * 50_000 + "@", "10.0.0.1 " * 3000]
     docs = spark.createDataFrame([(i, t, "k") for i, t in enumerate(texts)] + [(2, texts[2], "k"), (None, texts[3], "k")], "doc_id long, text string, spans string")

@@ -51,5 +51,22 @@ def test_verdicts_on_odd_urls(spark, monkeypatch):
     assert len(rows) == len(urls) + 1 and {r.id: (r.rule, r.verdict) for r in rows} == want
     assert {r.id: (r.host, r.path) for r in rows}[9] == ("é.org", "/es/\ny")
     assert U.judge_urls(pages.limit(0)).count() == 0
-    monkeypatch.setattr(U, "MOST_BITS", 0)
+    monkeypatch.setattr(U, "MOST_BITS", 100)  # several cascades
     assert {r.id: (r.rule, r.verdict) for r in U.judge_urls(pages).collect()} == want
+
+
+def test_hosts_of_many_labels(spark):
+    pages = spark.createDataFrame([(0, "http://" + "a." * 50_000 + "spam-farm.example.net/"), (1, "http://" + "b." * 50_000 + "farm.example.net/"), (2, "http://" + "." * 9000)], "page_id long, url string")
+    assert {r.id: r.verdict for r in U.judge_urls(pages).collect()} == {0: "block", 1: "allow", 2: "allow"}
+
+
+def test_archives_outgrow_batches(spark, monkeypatch):
+    """One task, one archive, whatever the number of batches; string ids come back from the records' headers."""
+    monkeypatch.setattr(warc, "LEAST_REVISIT", 10)
+    pages = spark.createDataFrame([(f"p <{i}> é", "u", f"page {i % 30} " * 2000) for i in range(1200)], "page_id string, url string, html string").coalesce(1)
+    folder = warc.shared_dir(spark)
+    index = warc.write_archives(warc.assign_types(pages).coalesce(1), folder)
+    assert index.select("file").distinct().count() == 1
+    got = warc.read_records(index, folder).collect()
+    low = {k: min(f"p <{i}> é" for i in range(k, 1200, 30)) for k in range(30)}
+    assert len(got) == 1200 and all((r.refers_to or r.id) == low[int(r.id[3:].split(">")[0]) % 30] and (r.record_type == "revisit") == (r.refers_to is not None) for r in got)
