@@ -209,16 +209,16 @@ def candidate_pairs(keys: DataFrame, percent: int) -> DataFrame:
 
 
 def run_numbers(nodes: DataFrame, depth: int) -> DataFrame:
-    """fp, comp, sig and the runs of a node: one number a tree, of the tree and the first ``depth`` bytes of its order."""
+    """fp, comp, n, sig and the runs of a node: one number a tree, of the tree and the first ``depth`` bytes of its order."""
 
     def make():
         def work(batch: pa.RecordBatch) -> dict:
             sigs = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint8).reshape(-1, N_HASH)
-            return {"fp": batch.column("fp"), "comp": batch.column("comp"), "sig": batch.column("sig"), "runs": np.stack([_run(sigs, t, depth) for t in range(N_TREES)], axis=1).tolist()}
+            return {"fp": batch.column("fp"), "comp": batch.column("comp"), "n": batch.column("n"), "sig": batch.column("sig"), "runs": np.stack([_run(sigs, t, depth) for t in range(N_TREES)], axis=1).tolist()}
 
         return work
 
-    return arrow_map(nodes, make, "fp binary, comp binary, sig binary, runs array<long>")
+    return arrow_map(nodes, make, "fp binary, comp binary, n long, sig binary, runs array<long>")
 
 
 def _run(sigs: np.ndarray, tree: int, depth: int) -> np.ndarray:
@@ -228,94 +228,118 @@ def _run(sigs: np.ndarray, tree: int, depth: int) -> np.ndarray:
     return out
 
 
-def left_pairs(nodes: DataFrame, comp: DataFrame, known: DataFrame, percent: int) -> DataFrame:
-    """All pairs (u, v, equal) of one run and two components with enough equal bytes that are not among the known pairs.
+MEMBER = "cell string, run long, block string, fp binary, comp binary, sig binary"
+
+
+def left_links(nodes: DataFrame, comp: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (u, v) between different components: every pair of a run with enough equal bytes is confirmed on full sets.
 
     A run is all rows that share the first bytes in a tree. It is cut into blocks of about REGION rows, a large component into
     blocks of its own, and each pair of blocks is compared in a cell of its own unless both hold one and the same component.
+    A first pass over the cells only names the rows that have a near row there; those rows' sets go to the cells, where
+    pairs are found again and confirmed. So no pair is written but the links, and those of a cell are a spanning set.
     """
     least, depth = bounds(percent)
-    labelled = nodes.select("fp", "sig").join(comp.withColumnRenamed("node", "fp"), "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
+    labelled = nodes.select("fp", "sig", "n").join(comp.withColumnRenamed("node", "fp"), "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
     labelled = materialize(run_numbers(labelled, depth))
-    rows = labelled.select("fp", "comp", F.explode("runs").alias("run"))
+    rows = labelled.select("fp", "comp", "n", F.explode("runs").alias("run"))
     name = F.xxhash64("comp")
     mixed = materialize(rows.groupBy("run").agg(F.min(name).alias("a"), F.max(name).alias("b")).where("a <> b").select("run"))
     mixed = F.broadcast(mixed) if mixed.count() <= BROADCAST_ROWS else mixed
     rows = rows.join(mixed, "run")
-    sizes = rows.groupBy("run", "comp").agg(F.count("*").alias("m")).withColumn("big", F.col("m") > REGION // 2)
-    small = sizes.groupBy("run").agg(F.sum(F.when(F.col("big"), 0).otherwise(F.col("m"))).alias("rest"))
-    parts = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / REGION))
-    block = F.when(F.col("big"), F.concat_ws("/", F.hex("comp"), F.pmod(F.xxhash64("fp"), parts("m")))).otherwise(F.pmod(name, parts("rest")).cast("string"))
-    rows = rows.join(sizes, ["run", "comp"]).join(small, "run").select("fp", "run", block.alias("block"), F.when(F.col("big"), F.col("comp")).alias("own"))
-    rows = materialize(rows)
+    sizes = rows.groupBy("run", "comp").agg(F.count("*").alias("m"), F.sum("n").alias("w")).withColumn("big", (F.col("m") > REGION // 2) | (F.col("w") > CELL_SHINGLES // 2))
+    small = sizes.groupBy("run").agg(*[F.sum(F.when(F.col("big"), 0).otherwise(F.col(c))).alias(f"{c}_rest") for c in "mw"])
+    parts = lambda m, w: F.greatest(F.lit(1), F.ceil(F.col(m) / REGION), F.ceil(F.col(w) / CELL_SHINGLES))
+    block = F.when(F.col("big"), F.concat_ws("/", F.hex("comp"), F.pmod(F.xxhash64("fp"), parts("m", "w")))).otherwise(F.pmod(name, parts("m_rest", "w_rest")).cast("string"))
+    rows = materialize(rows.join(sizes, ["run", "comp"]).join(small, "run").select("fp", "run", block.alias("block"), F.when(F.col("big"), F.col("comp")).alias("own")))
     blocks = rows.select("run", "block", "own").distinct()
     both = blocks.join(blocks.select("run", F.col("block").alias("other"), F.col("own").alias("others")), "run")
     both = both.where((F.col("block") <= F.col("other")) & ~F.coalesce(F.col("own") == F.col("others"), F.lit(False)))
     cell = F.concat_ws(":", "run", "block", "other")
     dealt = both.select("run", cell.alias("cell"), F.explode(F.array_distinct(F.array("block", "other"))).alias("block"))
-    sent = rows.join(dealt, ["run", "block"]).select("cell", "run", "block", "fp").join(labelled.drop("runs"), "fp")
+    sent = rows.join(dealt, ["run", "block"]).select("cell", "run", "block", "fp").join(labelled.select("fp", "comp", "sig"), "fp")
 
     def run(batches):
-        out, cell, held = {"u": [], "v": [], "equal": []}, None, []
+        cell, held = None, []
         for batch in batches:
             for row in zip(*(batch.column(c).to_pylist() for c in ("cell", "run", "block", "fp", "comp", "sig"))):
                 if row[0] != cell:
-                    _compare(held, out, least, depth)
+                    yield from named(held)
                     cell, held = row[0], []
-                    if len(out["u"]) > 20_000:
-                        yield pa.RecordBatch.from_pydict(out, schema=schema)
-                        out = {"u": [], "v": [], "equal": []}
-                held.append(row[1:])
-        _compare(held, out, least, depth)
-        for at in range(0, len(out["u"]), 100_000):
-            yield pa.RecordBatch.from_pydict({c: x[at : at + 100_000] for c, x in out.items()}, schema=schema)
+                held.append(row)
+        yield from named(held)
         give_back()
 
-    schema = pa.schema([("u", pa.binary()), ("v", pa.binary()), ("equal", pa.int32())])
-    found = sent.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "u binary, v binary, equal int")
-    return found.join(known.select("u", "v"), ["u", "v"], "left_anti")
+    def named(held: list[tuple]):
+        _, runs, sides, _, comps, sigs = zip(*held) if held else [()] * 6
+        i, j, _ = near_pairs(runs, sides, comps, sigs, least, depth)
+        if len(i):
+            yield pa.RecordBatch.from_pydict(dict(zip(schema.names, zip(*(held[k] for k in np.unique(np.r_[i, j]).tolist())))), schema=schema)
 
+    schema = pa.schema([("cell", pa.string()), ("run", pa.int64()), ("block", pa.string()), ("fp", pa.binary()), ("comp", pa.binary()), ("sig", pa.binary())])
+    members = materialize(sent.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, MEMBER))
+    sets = sent_sets(members.select("fp", "cell"), nodes, docs, width)
 
-def _compare(held: list[tuple], out: dict, least: int, depth: int) -> None:
-    """Adds the pairs of a cell's rows (run, block, fp, comp, sig): of its two blocks, or within its only one; a pair only in its first common run."""
-    if len(held) < 2:
-        return
-    run, blocks, fps, comps, sigs = zip(*held)
-    tree = run[0] >> 8 * depth
+    def check(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        have, fps, comps = {fp: np.frombuffer(x, np.uint64) for fp, x in zip(right["fp"], right["found"])}, left["fp"].tolist(), left["comp"].tolist()
+        i, j, equal = near_pairs(left["run"].tolist(), left["block"].tolist(), comps, left["sig"].tolist(), least, depth)
+        order = np.argsort(-equal, kind="stable")
+        return spanning(((fps[a], fps[b], comps[a], comps[b]) for a, b in zip(i[order].tolist(), j[order].tolist())), have, percent)
+
+    return members.groupBy("cell").cogroup(sets.groupBy("cell")).applyInPandas(check, "u binary, v binary")
+
+
+def near_pairs(runs, sides, comps, sigs, least: int, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the pairs of a cell's rows, of its two blocks or within its only one, with enough equal bytes and different
+    components, and their equal bytes; a pair only in its first common run."""
+    none = np.empty(0, np.int64)
+    if len(runs) < 2:
+        return none, none, none
+    tree = runs[0] >> 8 * depth
     sigs = np.frombuffer(b"".join(sigs), np.uint8).reshape(-1, N_HASH)
-    comp, side = (np.unique(np.array(x, object), return_inverse=True)[1] for x in (comps, blocks))
+    comp, side = (np.unique(np.array(x, object), return_inverse=True)[1] for x in (comps, sides))
     one = side.max() == 0
-    left, right = (np.arange(len(held)),) * 2 if one else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
-    step = max(1, (4 << 20) // (N_HASH * len(right)))
+    left, right = (np.arange(len(runs)),) * 2 if one else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+    step, found = max(1, (4 << 20) // (N_HASH * len(right))), []
     for at in range(0, len(left), step):
         some = left[at : at + step]
         equal = np.count_nonzero(sigs[some, None, :] == sigs[None, right, :], axis=2)
-        good = (equal >= least) & (comp[some, None] != comp[None, right])
-        i, j = np.nonzero(good)
+        i, j = np.nonzero((equal >= least) & (comp[some, None] != comp[None, right]))
         value, i, j = equal[i, j], some[i], right[j]
         new = i < j if one else np.ones(len(i), bool)
         for t in range(tree if len(i) else 0):
             new &= _run(sigs[i], t, depth) != _run(sigs[j], t, depth)
-        for a, b, e in zip(i[new].tolist(), j[new].tolist(), value[new].tolist()):
-            u, v = sorted((fps[a], fps[b]))
-            out["u"].append(u), out["v"].append(v), out["equal"].append(e)
-
+        found.append((i[new], j[new], value[new]))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def spanning(pairs, have: dict, percent: int) -> pd.DataFrame:
+    """Of (u, v, group of u, group of v) in turn those that are similar enough on full sets and join two groups."""
+    parent: dict = {}
+
+    def root(x):
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = parent[up]
+            x = up
+        return x
+
+    out = []
+    for u, v, g, h in pairs:
+        a, b = root(g), root(h)
+        if a != b:
+            x, y = have[u], have[v]
+            if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)):
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if 100 * both >= percent * (len(x) + len(y) - both):
+                    parent[max(a, b)] = min(a, b)
+                    out.append((u, v))
+    return pd.DataFrame(out, columns=["u", "v"])
 
-def confirmed(pairs: DataFrame, docs: DataFrame, rep: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (u, v), or a spanning subset of them, whose full sets pass 100 * intersection >= percent * union.
 
-    Each candidate component is confirmed in one task, or by pairs of blocks of it if it has over CELL members or CELL_SHINGLES
-    shingles, so that a set travels once rather than once a pair; pairs already joined within a task are skipped.
-    """
-    comp = materialize(components(pairs).join(rep.select(F.col("fp").alias("node"), "n"), "node"))
-    wide = comp.groupBy("comp").agg(F.greatest(F.ceil(F.count("*") / CELL), F.ceil(F.sum("n") / CELL_SHINGLES)).alias("blocks"))
-    cells = comp.join(wide, "comp").select("node", "comp", "n", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
-    at = lambda side: cells.select(F.col("node").alias(side), "comp", F.col("n").alias(f"n_{side}"), F.col("block").alias(f"b_{side}"))
-    dealt = pairs.join(at("u"), "u").join(at("v").drop("comp"), "v")
-    dealt = dealt.where(100 * F.least("n_u", "n_v") >= percent * F.greatest("n_u", "n_v"))  # else the sets can't be similar enough
-    dealt = materialize(dealt.select("u", "v", "equal", F.concat_ws(":", F.hex("comp"), F.least("b_u", "b_v"), F.greatest("b_u", "b_v")).alias("cell")))
-    sent = dealt.select(F.col("u").alias("fp"), "cell").unionAll(dealt.select(F.col("v").alias("fp"), "cell")).groupBy("fp").agg(F.collect_set("cell").alias("cells"))
-    to = materialize(sent.join(rep, "fp").select(F.col("id").alias("to_id"), F.col("key").alias("to_key"), "fp", "cells"))
+def sent_sets(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """(cell, fp, found): the shingle set of each wanted (fp, cell), made from the text of one document of the node."""
+    cells = wanted.groupBy("fp").agg(F.collect_set("cell").alias("cells"))
+    to = materialize(cells.join(nodes.select("fp", "id", "key"), "fp").select(F.col("id").alias("to_id"), F.col("key").alias("to_key"), "fp", "cells"))
     to = F.broadcast(to) if to.count() <= BROADCAST_ROWS else to
     texts = docs.join(to, (F.col("key") == F.col("to_key")) & F.col("id").eqNullSafe(F.col("to_id")))
 
@@ -332,29 +356,28 @@ def confirmed(pairs: DataFrame, docs: DataFrame, rep: DataFrame, width: int, per
 
         return work
 
-    sets = arrow_map(texts.select("fp", "cells", "text"), make, "cell string, fp binary, found binary")
+    return arrow_map(texts.select("fp", "cells", "text"), make, "cell string, fp binary, found binary")
 
-    def check(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        have = {fp: np.frombuffer(x, np.uint64) for fp, x in zip(right["fp"], right["found"])}
-        parent = {fp: fp for fp in have}
 
-        def root(x):
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
+def confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (u, v), or a spanning subset of them, whose full sets pass 100 * intersection >= percent * union.
 
-        out = []
+    Each candidate component is confirmed in one task, or by pairs of blocks of it if it has over CELL members or CELL_SHINGLES
+    shingles, so that a set travels once rather than once a pair; pairs already joined within a task are skipped.
+    """
+    comp = materialize(components(pairs).join(nodes.select(F.col("fp").alias("node"), "n"), "node"))
+    wide = comp.groupBy("comp").agg(F.greatest(F.ceil(F.count("*") / CELL), F.ceil(F.sum("n") / CELL_SHINGLES)).alias("blocks"))
+    cells = comp.join(wide, "comp").select("node", "comp", "n", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
+    at = lambda side: cells.select(F.col("node").alias(side), "comp", F.col("n").alias(f"n_{side}"), F.col("block").alias(f"b_{side}"))
+    dealt = pairs.join(at("u"), "u").join(at("v").drop("comp"), "v")
+    dealt = dealt.where(100 * F.least("n_u", "n_v") >= percent * F.greatest("n_u", "n_v"))  # else the sets can't be similar enough
+    dealt = materialize(dealt.select("u", "v", "equal", F.concat_ws(":", F.hex("comp"), F.least("b_u", "b_v"), F.greatest("b_u", "b_v")).alias("cell")))
+    sets = sent_sets(dealt.select(F.col("u").alias("fp"), "cell").unionAll(dealt.select(F.col("v").alias("fp"), "cell")), nodes, docs, width)
+
+    def check(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        have = {fp: np.frombuffer(x, np.uint64) for fp, x in zip(right["fp"], right["found"])}
         left = left.sort_values(["equal", "u", "v"], ascending=[False, True, True])
-        for u, v in zip(left["u"], left["v"]):
-            a, b = root(u), root(v)
-            if a != b:
-                x, y = have[u], have[v]
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * both >= percent * (len(x) + len(y) - both):
-                    parent[max(a, b)] = min(a, b)
-                    out.append((u, v))
-        return pd.DataFrame(out, columns=["u", "v"])
+        return spanning(zip(left["u"], left["v"], left["u"], left["v"]), have, percent)
 
     return dealt.groupBy("cell").cogroup(sets.groupBy("cell")).applyInPandas(check, "u binary, v binary")
 
@@ -381,12 +404,9 @@ def near_duplicates(docs: DataFrame, *, id_col="doc_id", text_col="text", width:
     parts = max(spark.sparkContext.defaultParallelism, -(-nodes.count() * N_TREES // 40_000))
     keys = materialize(ordered_keys(nodes.select("sig", "fp")))
     pairs = materialize(candidate_pairs(keys.repartitionByRange(parts, "key").sortWithinPartitions("key"), percent))
-    rep = nodes.select("fp", "id", "key", "n")
-    links = materialize(confirmed(pairs, base, rep, width, percent))
+    links = materialize(confirmed(pairs, base, nodes, width, percent))
     comp = materialize(components(links))
-    left = materialize(left_pairs(nodes, comp, pairs, percent))
-    if left.limit(1).count():
-        comp = materialize(components(links.unionAll(confirmed(left, base, rep, width, percent))))
+    comp = materialize(components(links.unionAll(left_links(nodes, comp, base, width, percent))))
     named = nodes.select("fp", "low").join(comp.withColumnRenamed("node", "fp"), "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
     lowest = named.groupBy("comp").agg(F.min("low").alias("component"))
     of = named.join(lowest, "comp").select("fp", "component")

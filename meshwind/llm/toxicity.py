@@ -124,11 +124,16 @@ def stems_of(text: str | None) -> set[str]:
     return {w[:k] for w in set(_TOKENS.findall((text or "").lower())) for k in range(4, min(12, len(w)) + 1)}
 
 
+def least_texts(toxic: int) -> float:
+    """Toxic texts that a stem has to occur in."""
+    return max(4, 0.004 * toxic)
+
+
 def best_stems(counts: list[tuple[str, int, int]], clean: int, toxic: int) -> dict[str, float]:
     """Of (stem, clean texts, toxic texts) those far likelier in toxic ones, with their log odds as weights."""
     odds, seen = {}, {}
     for stem, a, b in counts:
-        if b >= max(4, 0.004 * toxic):
+        if b >= least_texts(toxic):
             weight = math.log((b + 0.5) / (toxic + 1)) - math.log((a + 0.5) / (clean + 1))
             if weight >= 1.5:
                 odds[stem], seen[stem] = weight, (a, b)
@@ -190,8 +195,9 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col="doc_id", text_col="text
     counted = arrow_map(sample, lambda: _stem_counts, "half int, y int, stem string, n long").groupBy("stem")
     of = lambda h, y: F.sum(F.when((F.col("half") == h) & (F.col("y") == y), F.col("n")).otherwise(0)).alias(f"n{h}{y}")
     counted = counted.agg(of(0, 0), of(0, 1), of(1, 0), of(1, 1))
-    likely = lambda *halves: sum(F.col(f"n{h}1") for h in halves) >= 4.4 * size(1, *halves) / max(size(0, *halves), 1) * sum(F.col(f"n{h}0") for h in halves)
-    counted = counted.where((F.col("n01") + F.col("n11") >= 4) & (likely(0) | likely(1) | likely(0, 1))).collect()
+    seen = lambda y, halves: sum(F.col(f"n{h}{y}") for h in halves)
+    likely = lambda *halves: (seen(1, halves) >= least_texts(size(1, *halves))) & (seen(1, halves) >= 4.4 * size(1, *halves) / max(size(0, *halves), 1) * (seen(0, halves) - 1))
+    counted = counted.where(likely(0) | likely(1) | likely(0, 1)).collect()
     stems = [best_stems([(r["stem"], sum(r[f"n{h}0"] for h in halves), sum(r[f"n{h}1"] for h in halves)) for r in counted], size(0, *halves), size(1, *halves)) for halves in ((1,), (0,), (0, 1))]
     rows = arrow_map(sample, lambda: _featured(stems), "id " + docs.schema[id_col].dataType.simpleString() + ", y int, x array<double>").orderBy(F.xxhash64("id"), "id").collect()
     shift = math.log(shares[1] / shares[0]) - math.log(size(1, 0, 1) / size(0, 0, 1)) if size(0, 0, 1) and size(1, 0, 1) else 0.0
