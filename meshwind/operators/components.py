@@ -38,9 +38,9 @@ def add_component_scores(features: DataFrame, benchmarks: DataFrame | None = Non
 
 def _check(method: str, min_history: int) -> None:
     if method not in ("expanding", "full_sample"):
-        raise ValueError("residualization_method must be 'expanding' or 'full_sample'.")
+        raise ValueError("unknown method of residuals: choose expanding or full_sample")
     if min_history <= 1:
-        raise ValueError("min_history must be greater than one.")
+        raise ValueError("min_history: two rows or more")
 
 
 def residualize(features: DataFrame, benchmarks: DataFrame, method: str = "expanding", min_history: int = 60) -> DataFrame:
@@ -74,7 +74,7 @@ def overlay_signals(features: DataFrame, pca: DataFrame | None = None) -> DataFr
         df = df.join(pca.select("date", *[F.col(c).alias(f"{c}_pca" if c in df.columns else c) for c in pca.columns if c != "date"]), "date", "left")
     found = [c for c in SIGNALS if c in df.columns]
     if not found:
-        raise ValueError("No supported component overlay signals are available.")
+        raise ValueError("none of the known overlay signals is a column")
     return df.select("date", *[num(c).alias(c) for c in found])
 
 
@@ -139,5 +139,5 @@ def algebraic_overlays(features: DataFrame, returns: DataFrame, bps: Sequence[fl
     scores = candidate_scores(features)
     wanted = [c for c in ("graph_components_equal_weight_score", "excluding_algebraic_connectivity_score", "algebraic_connectivity_only", "connectivity_block_with_algebraic_connectivity", "connectivity_block_without_algebraic_connectivity") if c in scores.columns]
     if not wanted:
-        raise ValueError("No algebraic-connectivity overlay scores are available.")
+        raise ValueError("none of the scores on algebraic connectivity is there")
     return evaluate_variants(returns, scores, wanted, ("daily",), bps, **options)

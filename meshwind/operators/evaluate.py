@@ -66,11 +66,11 @@ def forward_targets(returns: DataFrame, horizons: Sequence[int] = (5, 21, 63), m
     """(date, forward_<target>_<h>d): over the h rows after each date, null unless all have a return. The drawdown is that of the
     arithmetic path that starts at 1."""
     if not horizons:
-        raise ValueError("horizons must contain at least one positive integer.")
+        raise ValueError("name a horizon")
     if any(h <= 0 for h in horizons):
-        raise ValueError("all horizons must be positive integers.")
+        raise ValueError("a horizon is a whole number of rows from 1 on")
     if trading_days <= 0:
-        raise ValueError("trading_days must be positive.")
+        raise ValueError("a year has one trading day or more")
     m = market_return(returns, market)
     out, r = ["date"], F.col("ret")
     for h in horizons:
@@ -112,7 +112,7 @@ def predictive_power(indicator: DataFrame, targets: DataFrame, column: str = RI)
 def event_study(indicator: DataFrame, events: Sequence, before: int = 60, after: int = 60, column: str = RI) -> DataFrame:
     """(event_date, matched_date, relative_day, regime_indicator): rows around the last row at or before each event (the first row, if none is)."""
     if before < 0 or after < 0:
-        raise ValueError("window_before and window_after must be non-negative")
+        raise ValueError("an event's window can't have fewer than zero rows on a side")
     spark = indicator.sparkSession
     rows = indicator.select("date", num(column).alias(RI), F.row_number().over(ordered([])).alias("n"))
     ev = spark.createDataFrame([(str(e),) for e in events], "e string").select(F.col("e").cast("date").alias("event_date")).distinct()
@@ -125,7 +125,7 @@ def event_study(indicator: DataFrame, events: Sequence, before: int = 60, after:
 def regime_classes(indicator: DataFrame, high: float = 0.8, low: float = 0.2, column: str = RI) -> DataFrame:
     """(date, regime_class): by full-sample quantiles; high wins over low, equal quantiles make all normal, nulls stay null."""
     if not 0 <= low < high <= 1:
-        raise ValueError("quantiles must satisfy 0 <= low < high <= 1")
+        raise ValueError("quantiles have to rise from low to high within 0 and 1")
     df = indicator.select("date", num(column).alias("x"))
     df = df.withColumn("q", F.percentile("x", F.array(F.lit(low), F.lit(high))).over(Window.partitionBy()))
     x, lo, hi = F.col("x"), F.col("q")[0], F.col("q")[1]

@@ -135,7 +135,7 @@ def rank_information_sets(comparison: DataFrame) -> DataFrame:
     """The best set per target and metric; the first set wins ties."""
     missing = {"target", "information_set", "target_type"} - set(comparison.columns)
     if missing:
-        raise KeyError(f"comparison is missing columns: {sorted(missing)}")
+        raise KeyError(f"the ranking lacks {sorted(missing)}")
     rules = [r for r in RANKED if r[1] in comparison.columns]
     place = F.coalesce(F.array_position(F.array(*map(F.lit, SETS)), F.col("information_set")), F.lit(0))
     each = comparison.select("target", "target_type", "information_set", place.alias("place"), F.explode(F.array(*[F.struct(F.lit(t).alias("of"), F.lit(m).alias("metric"), F.lit(d).alias("rank_direction"), F.lit(o).alias("diagnostics_only"), num(m).alias("v")) for t, m, d, o in rules])).alias("r")).select("*", "r.*").where("of = target_type and v is not null")

@@ -23,20 +23,20 @@ DIFFERENCES = ("annualized_return", "annualized_volatility", "sharpe", "sortino"
 
 def check_exposure(high_q: float, extreme_q: float, normal: float, high: float, extreme: float, method: str, min_history: int, variant: str = "daily", exit_q: float = 0.6) -> None:
     if not 0 <= high_q < extreme_q <= 1:
-        raise ValueError("quantiles must satisfy 0 <= high_quantile < extreme_quantile <= 1.")
+        raise ValueError("quantiles have to rise from high to extreme within 0 and 1")
     if variant in ("hysteresis", "smoothed_5d_hysteresis") and not 0 <= exit_q < high_q:
-        raise ValueError("hysteresis_exit_quantile must be lower than high_quantile.")
+        raise ValueError("the hysteresis leaves at a quantile below the one it enters at")
     if method not in ("expanding", "full_sample"):
-        raise ValueError("method must be either 'expanding' or 'full_sample'.")
+        raise ValueError("unknown method: choose expanding or full_sample")
     if min_history <= 0:
-        raise ValueError("min_history must be positive.")
+        raise ValueError("min_history: one row or more")
     for name, v in (("normal_exposure", normal), ("high_exposure", high), ("extreme_exposure", extreme)):
         if v < 0 or not math.isfinite(v):
-            raise ValueError(f"{name} must be a finite non-negative value.")
+            raise ValueError(f"{name}: a finite number from 0 on")
     if not normal >= high >= extreme:
-        raise ValueError("exposures must satisfy normal_exposure >= high_exposure >= extreme_exposure.")
+        raise ValueError("normal_exposure, high_exposure and extreme_exposure have to fall in this order")
     if variant not in VARIANTS:
-        raise ValueError(f"Unsupported overlay variant: {variant}")
+        raise ValueError(f"unknown rule {variant!r}")
 
 
 def exposure(scores: DataFrame, by: Sequence[str] = (), *, variant: str = "daily", method: str = "expanding", high_q: float = 0.8, extreme_q: float = 0.9, exit_q: float = 0.6, normal: float = 1.0, high: float = 0.7, extreme: float = 0.5, min_history: int = 20, cooldown: int = 5, thresholds: Column | None = None) -> DataFrame:
@@ -93,7 +93,7 @@ def benchmark_exposures(benchmarks: DataFrame, columns: Sequence[str] | None = N
     """(signal, date, exposure) for each benchmark column; drawdown counts negated."""
     found = [c for c in (columns or BENCHMARKS) if c in benchmarks.columns]
     if not found:
-        raise ValueError("No requested benchmark columns are available.")
+        raise ValueError("none of the benchmarks asked for is a column")
     scores = melt(benchmarks, ["date"], found, "signal", "score")
     return exposure(scores.withColumn("score", F.when(F.col("signal") == "drawdown", -F.col("score")).otherwise(F.col("score"))), ["signal"], **options)
 
@@ -115,7 +115,7 @@ def apply_overlay(base: DataFrame, exposures: DataFrame, by: Sequence[str] = ())
 def with_costs(overlay: DataFrame, by: Sequence[str] = (), bps: Sequence[float] = (0.0, 5.0, 10.0)) -> DataFrame:
     """(by, cost_bps, date, ret): overlay returns less costs on each change of exposure between joined rows."""
     if any(b < 0 for b in bps):
-        raise ValueError("cost_bps must be non-negative")
+        raise ValueError("costs can't be below zero basis points")
     change = F.coalesce(F.abs(F.col("exposure") - F.lag("exposure").over(ordered(by))), F.lit(0.0))
     return overlay.withColumn("c", change).select(*by, F.explode(F.array(*[F.lit(float(b)) for b in bps])).alias("cost_bps"), "date", "ret", "c").withColumn("ret", F.col("ret") - F.col("c") * F.col("cost_bps") / 10_000).drop("c")
 
@@ -123,7 +123,7 @@ def with_costs(overlay: DataFrame, by: Sequence[str] = (), bps: Sequence[float]
 def performance(returns: DataFrame, by: Sequence[str] = (), days: int = 252) -> DataFrame:
     """PERFORMANCE of (by, date, ret) for each group; wealth compounds from the first row on."""
     if days <= 0:
-        raise ValueError("trading_days must be positive.")
+        raise ValueError("a year has one trading day or more")
     r = returns.select(*by, "date", num("ret").alias("r")).where("r is not null")
     r = r.withColumn("w", F.product(1 + F.greatest(F.col("r"), F.lit(-0.999999))).over(until(by)))
     r = r.withColumn("d", F.col("w") / F.max("w").over(until(by)) - 1)
@@ -144,7 +144,7 @@ def performance(returns: DataFrame, by: Sequence[str] = (), days: int = 252) ->
 def turnover(exposures: DataFrame, by: Sequence[str] = (), days: int = 252) -> DataFrame:
     """TURNOVER of each group's own known exposures."""
     if days <= 0:
-        raise ValueError("trading_days must be positive.")
+        raise ValueError("a year has one trading day or more")
     e = exposures.select(*by, "date", num("exposure").alias("e")).where("e is not null")
     e = e.withColumn("c", F.coalesce(F.abs(F.col("e") - F.lag("e").over(ordered(by))), F.lit(0.0)))
     return e.groupBy(*by).agg(F.avg("e").alias(TURNOVER[0]), F.avg((F.col("e") < 1).cast("double")).alias(TURNOVER[1]), F.sum((F.col("c") > 1e-12).cast("double")).alias(TURNOVER[2]), (F.sum("c") * days / F.count("c")).alias(TURNOVER[3]), F.avg("c").alias(TURNOVER[4]))

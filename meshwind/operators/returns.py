@@ -19,7 +19,7 @@ def dense(panel: DataFrame) -> DataFrame:
 def prices_to_returns(prices: DataFrame, method: str = "log") -> DataFrame:
     """Returns against the row before (a missing neighbour gives null); dates without any return go, and assets without any price."""
     if method not in ("log", "simple"):
-        raise ValueError("method must be 'log' or 'simple'")
+        raise ValueError("unknown method: choose log or simple")
     usable = prices.select("date", "asset", num("value").alias("value"))
     grid = dense(usable.join(usable.groupBy("asset").agg(F.count("value").alias("n")).where("n > 0").select("asset"), "asset", "left_semi"))
     grid = grid.withColumn("value", F.when(F.col("value") <= 0, F.raise_error(F.lit("prices must be positive"))).otherwise(F.col("value")))
@@ -33,13 +33,13 @@ def prices_to_returns(prices: DataFrame, method: str = "log") -> DataFrame:
 def check_prices(prices: DataFrame) -> None:
     """Raises ValueError before any plan is built if a price is not positive."""
     if prices.where(num("value") <= 0).limit(1).count():
-        raise ValueError("prices must be positive to compute returns")
+        raise ValueError("prices have to be positive before returns are taken")
 
 
 def clean_returns(returns: DataFrame, min_non_missing: float = 0.95) -> DataFrame:
     """Assets with at least that share of dates, then only dates on which all of those have a return."""
     if not 0 < min_non_missing <= 1:
-        raise ValueError("min_non_missing must be in the interval (0, 1].")
+        raise ValueError("min_non_missing is a share above 0 and up to 1")
     r = returns.select("date", "asset", num("value").alias("value"))
     dates = r.agg(F.countDistinct("date").alias("n_dates"))
     kept = r.groupBy("asset").agg(F.count("value").alias("n")).crossJoin(F.broadcast(dates)).where(F.col("n") >= min_non_missing * F.col("n_dates")).select("asset")
@@ -61,11 +61,11 @@ def portfolio_returns(returns: DataFrame, weights: str | Mapping[str, float] = "
     """(date, ret): equal weight over the assets present, or given weights scaled to sum to one; those are not scaled again for missing cells."""
     if isinstance(weights, str):
         if weights != "equal_weight":
-            raise ValueError("weights must be 'equal_weight' or a mapping of asset to weight")
+            raise ValueError("weights: equal_weight, or a mapping from assets")
         return returns.select("date", num("value").alias("value")).groupBy("date").agg(F.avg("value").alias("ret"))
     total = float(sum(weights.values()))
     if abs(total) <= 1e-8:
-        raise ValueError("weights must not sum to zero")
+        raise ValueError("weights that sum to nothing can't be scaled")
     w = F.coalesce(F.create_map(*[x for k, v in weights.items() for x in (F.lit(k), F.lit(float(v) / total))])[F.col("asset")], F.lit(0.0))
     return returns.select("date", "asset", num("value").alias("value")).groupBy("date").agg(F.sum(F.col("value") * w).alias("ret"))
 

@@ -39,11 +39,11 @@ SAMPLES = ("all", "development", "validation", "test")
 
 def parameter_grid(alphas: Sequence[float] = (0.05, 0.10, 0.15, 0.20), windows: Sequence[int] = (63, 126, 252), thresholds: Sequence[float] = (0.0, 0.03)) -> list[GridConfig]:
     if not alphas or any(a <= 0 for a in alphas):
-        raise ValueError("alpha_values must contain positive values.")
+        raise ValueError("the grid's alphas: one or more, all above zero")
     if not windows or any(w <= 1 for w in windows):
-        raise ValueError("windows must contain values greater than one.")
+        raise ValueError("the grid's windows: one or more, of two rows at least")
     if not thresholds or any(t < 0 for t in thresholds):
-        raise ValueError("partial_corr_thresholds must contain non-negative values.")
+        raise ValueError("the grid's thresholds: one or more, none below zero")
     return [GridConfig(f"alpha{a:.2f}_window{w}_threshold{t:.2f}", float(a), int(w), float(t)) for a, w, t in product(alphas, windows, thresholds)]
 
 
@@ -58,7 +58,7 @@ def _configs(spark, configs: Sequence[GridConfig]) -> DataFrame:
 def indicators(returns: DataFrame, configs: Sequence[GridConfig], **fit) -> DataFrame:
     """(config_id, date, features, regime_indicator) of every configuration in one plan."""
     if not configs:
-        raise ValueError("configs must contain at least one configuration.")
+        raise ValueError("a grid needs one configuration or more")
     grid = [{"config_id": c.config_id, "window": c.window, "alpha": c.alpha, "threshold": c.partial_corr_threshold, "with_modularity": c.compute_modularity} for c in configs]
     return regime_indicator(network_grid(returns, grid, **fit), ["config_id"])
 
@@ -124,7 +124,7 @@ def run_robustness_grid(returns: DataFrame, benchmarks: DataFrame, alphas: Seque
     """One summary row per alpha, window, threshold and modularity choice."""
     grid = parameter_grid(alphas, windows, thresholds)
     if not modularity:
-        raise ValueError("compute_modularity_values must not be empty.")
+        raise ValueError("the grid's choices of modularity: one or more")
     configs = [GridConfig(f"{k}", c.alpha, c.window, c.partial_corr_threshold, compute_modularity=bool(m)) for k, (c, m) in enumerate(product(grid, modularity))]
     ri = indicators(returns, configs, **fit)
     return _configs(returns.sparkSession, configs).select("config_id", "alpha", "window", "partial_corr_threshold", "compute_modularity").join(robustness_summary(ri, benchmarks, returns, horizon, by=["config_id"]), "config_id").drop("config_id")
@@ -150,7 +150,7 @@ def select_configuration(metrics: DataFrame) -> DataFrame:
 def oos_outputs(metrics: DataFrame, comparison: DataFrame, selection: DataFrame) -> dict[str, DataFrame]:
     """Test rows of the selected configuration."""
     if "selected" not in selection.columns:
-        raise KeyError("oos_selection_summary is missing selected.")
+        raise KeyError("the selection has no column selected")
     chosen = F.broadcast(selection.where("selected").select("config_id"))  # one row
     test = lambda df: df.where("sample = 'test'").join(chosen, "config_id", "left_semi")
     return {"oos_selection_summary": selection, "oos_test_performance": test(metrics), "oos_overlay_comparison": test(comparison)}

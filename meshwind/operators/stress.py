@@ -9,7 +9,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import kernels
 from ..functions.exprs import finite, full_only, label, num, ordered, trailing, until
 from .returns import dense, market_return
 
@@ -20,9 +19,9 @@ BENCHMARKS = ("vix", "realized_volatility", "average_correlation", "average_abso
 def realized_volatility(returns: DataFrame, window: int = 21, annualize: bool = True, trading_days: int = 252) -> DataFrame:
     """(date, realized_volatility): deviation of the equal-weight mean return over full windows."""
     if window <= 1:
-        raise ValueError("window must be greater than one")
+        raise ValueError("a window has two rows or more")
     if trading_days <= 0:
-        raise ValueError("trading_days must be positive")
+        raise ValueError("a year has one trading day or more")
     vol = full_only(F.stddev_samp("ret"), F.col("ret"), trailing([], window), window)
     return market_return(returns).select("date", (vol * float(np.sqrt(trading_days)) if annualize else vol).alias("realized_volatility"))
 
@@ -30,48 +29,58 @@ def realized_volatility(returns: DataFrame, window: int = 21, annualize: bool =
 def market_drawdown(prices: DataFrame, value: str = "value") -> DataFrame:
     """(date, drawdown): price against its maximum so far, null where the price is."""
     p = prices.select("date", num(value).alias("p"))
+    if p.where("p is not null").isEmpty():
+        raise ValueError("a drawdown needs at least one known price")
     p = p.withColumn("p", F.when(F.col("p") <= 0, F.raise_error(F.lit("prices must be positive"))).otherwise(F.col("p")))
     return p.select("date", (F.col("p") / F.max("p").over(until([])) - 1).alias("drawdown"))
 
 
-def correlation_score(returns: DataFrame, window: int = 126, use_absolute: bool = False) -> DataFrame:
-    """(date, average_correlation or average_absolute_correlation): mean pairwise-complete correlation of each full window of dates."""
+def correlation_scores(returns: DataFrame, window: int = 126) -> DataFrame:
+    """(date, average_correlation, average_absolute_correlation): means over pairs of assets of the pairwise-complete
+    correlations of each full window of dates, by windowed moments; the pairs are what is spread over tasks."""
     if window <= 1:
-        raise ValueError("window must be greater than one")
-    name = "average_absolute_correlation" if use_absolute else "average_correlation"
-    rows = windows(returns, window, window)
+        raise ValueError("a correlation window needs two dates at least")
+    if returns.where(num("value").isNotNull()).select("asset").distinct().limit(2).count() < 2:
+        raise ValueError("average correlation needs returns of two assets at least")
+    d = dense(returns)
+    pairs = d.alias("a").join(d.alias("b"), (F.col("a.date") == F.col("b.date")) & (F.col("a.asset") < F.col("b.asset"))).select(F.col("a.date").alias("date"), F.concat_ws("~", "a.asset", "b.asset").alias("pair"), F.col("a.value").alias("x"), F.col("b.value").alias("y"))
+    both = F.col("x").isNotNull() & F.col("y").isNotNull()
+    pairs = pairs.select("date", "pair", F.when(both, F.col("x")).alias("x"), F.when(both, F.col("y")).alias("y"))
+    over = trailing(["pair"], window)
+    sx, sy = F.stddev_pop("x").over(over), F.stddev_pop("y").over(over)
+    c = F.when((sx > 1e-9) & (sy > 1e-9), F.try_divide(F.covar_pop("x", "y").over(over), sx * sy))
+    each = pairs.select("date", c.alias("c"), F.row_number().over(ordered(["pair"])).alias("n")).where(F.col("n") >= window)
+    return each.groupBy("date").agg(F.avg("c").alias("average_correlation"), F.avg(F.abs("c")).alias("average_absolute_correlation"))
 
-    def run(frames):
-        for f in frames:
-            yield pd.DataFrame({"date": f["date"], name: [kernels.mean_pair_correlation(matrix(w), use_absolute) for w in f["w"]]})
 
-    out = rows.mapInPandas(run, f"date {rows.schema['date'].dataType.simpleString()}, {name} double")
-    return out.select("date", finite(name).alias(name))
+def correlation_score(returns: DataFrame, window: int = 126, use_absolute: bool = False) -> DataFrame:
+    """(date, average_correlation or average_absolute_correlation) of correlation_scores."""
+    return correlation_scores(returns, window).select("date", "average_absolute_correlation" if use_absolute else "average_correlation")
 
 
-def windows(returns: DataFrame, window: int, min_periods: int) -> DataFrame:
-    """(date, w): the last rows of values by asset name, as an array of arrays; from ``min_periods`` rows on."""
+def over_windows(returns: DataFrame, window: int, min_periods: int, run, schema: str) -> DataFrame:
+    """What ``run`` makes of frames (date, w), w being the matrix (rows, assets by name) of the last ``window`` dates, from
+    ``min_periods`` dates on.
+
+    Dates go out in blocks with the window before each block, so that a row travels about twice whatever the window."""
     rows = dense(returns).groupBy("date").agg(F.transform(F.array_sort(F.collect_list(F.struct("asset", F.coalesce("value", F.lit(float("nan"))).alias("v")))), lambda s: s["v"]).alias("row"))
-    over = trailing([], window)
-    return rows.select("date", F.collect_list("row").over(over).alias("w"), F.row_number().over(ordered([])).alias("n")).where(F.col("n") >= min_periods).drop("n").repartition("date")
+    size = max(window, 64)
+    rows = rows.withColumn("n", F.row_number().over(ordered([])) - 1)
+    blocks = rows.withColumn("block", F.explode(F.sequence(F.floor(F.col("n") / size), F.floor((F.col("n") + window - 1) / size))))
 
+    def work(key, f):
+        f = f.sort_values("n")
+        values, n = matrix(f["row"]), f["n"].to_numpy()
+        own = np.flatnonzero((n // size == key[0]) & (n + 1 >= min_periods))
+        frame = pd.DataFrame({"date": f["date"].to_numpy()[own], "w": [values[max(0, k - window + 1) : k + 1] for k in own]})
+        made = list(run([frame])) if len(own) else []
+        return pd.concat(made) if made else pd.DataFrame({c.strip().split(" ")[0]: pd.Series([], dtype=object) for c in schema.split(",")})
 
-def matrix(w) -> np.ndarray:
-    return np.array([np.asarray(r, float) for r in w])
+    return blocks.groupBy("block").applyInPandas(work, schema)
 
 
-def correlation_score_native(returns: DataFrame, window: int, use_absolute: bool = False) -> DataFrame:
-    """correlation_score by windowed sums over pairs of assets; for few assets."""
-    d = dense(returns)
-    pairs = d.alias("a").join(d.alias("b"), (F.col("a.date") == F.col("b.date")) & (F.col("a.asset") < F.col("b.asset"))).select(F.col("a.date").alias("date"), F.concat_ws("~", "a.asset", "b.asset").alias("pair"), F.col("a.value").alias("x"), F.col("b.value").alias("y"))
-    both = F.col("x").isNotNull() & F.col("y").isNotNull()
-    pairs = pairs.select("date", "pair", F.when(both, F.col("x")).alias("x"), F.when(both, F.col("y")).alias("y"))
-    over = trailing(["pair"], window)
-    sx, sy = F.stddev_pop("x").over(over), F.stddev_pop("y").over(over)
-    c = F.when((sx > 1e-9) & (sy > 1e-9), F.try_divide(F.covar_pop("x", "y").over(over), sx * sy))
-    name = "average_absolute_correlation" if use_absolute else "average_correlation"
-    each = pairs.select("date", (F.abs(c) if use_absolute else c).alias("c"), F.row_number().over(ordered(["pair"])).alias("n")).where(F.col("n") >= window)
-    return each.groupBy("date").agg(F.avg("c").alias(name))
+def matrix(w) -> np.ndarray:
+    return np.array([np.asarray(r, float) for r in w])
 
 
 def outer_join(*frames: DataFrame) -> DataFrame:
@@ -86,7 +95,7 @@ def stress_labels(vix: DataFrame | None = None, drawdown: DataFrame | None = Non
     """The given series by date with their labels and the systemic label, the greatest of them (missing counts as 0)."""
     for q, name in ((vol_quantile, "vol_quantile"), (correlation_quantile, "correlation_quantile")):
         if not 0 <= q <= 1:
-            raise ValueError(f"{name} must be between 0 and 1")
+            raise ValueError(f"{name} is a share from 0 to 1")
     given = [(n, f) for n, f in (("vix", vix), ("drawdown", drawdown), ("realized_volatility", realized_vol), ("average_correlation", correlation)) if f is not None]
     if not given:
         raise ValueError("At least one benchmark series is required")
@@ -109,11 +118,11 @@ def stress_labels(vix: DataFrame | None = None, drawdown: DataFrame | None = Non
 def stress_onsets(labels: DataFrame, min_gap: int = 20, column: str = "systemic_stress_label") -> DataFrame:
     """(date, stress_onset_label): 1 where stress starts after at least min_gap calm rows in a run."""
     if min_gap < 0:
-        raise ValueError("min_gap must be non-negative.")
+        raise ValueError("min_gap counts rows, from 0 on")
     if column not in labels.columns:
         rest = [c for c in labels.columns if c != "date"]
         if len(rest) != 1:
-            raise KeyError(f"stress_labels is missing {column!r}.")
+            raise KeyError(f"no column {column!r} to find onsets in")
         column = rest[0]
     w = ordered([])
     df = labels.select("date", F.coalesce(num(column).cast("int"), F.lit(0)).alias("l"), F.row_number().over(w).alias("n"))
@@ -126,5 +135,5 @@ def benchmark_changes(benchmarks: DataFrame) -> DataFrame:
     """(date, <benchmark>_change): differences to the row before."""
     found = [c for c in BENCHMARKS if c in benchmarks.columns]
     if not found:
-        raise ValueError("benchmarks contains none of the supported columns.")
+        raise ValueError("none of the known benchmarks is a column")
     return benchmarks.select("date", *[(num(c) - F.lag(num(c)).over(ordered([]))).alias(f"{c}_change") for c in found])

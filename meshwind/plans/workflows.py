@@ -13,8 +13,9 @@ from ..operators import components, evaluate, graph, models, overlay, returns as
 
 def benchmark_table(prices: DataFrame, returns: DataFrame, vix: DataFrame, vol_window: int = 21, corr_window: int = 126, vix_threshold: float = 30.0, drawdown_threshold: float = -0.10) -> DataFrame:
     """Stress benchmarks and labels by date, with the average absolute correlation, which gets no label. prices: (date, value)."""
-    labels = stress.stress_labels(vix, stress.market_drawdown(prices), stress.realized_volatility(returns, vol_window), stress.correlation_score(returns, corr_window), vix_threshold, drawdown_threshold)
-    return stress.outer_join(labels, stress.correlation_score(returns, corr_window, True)).where("date is not null")
+    both = stress.correlation_scores(returns, corr_window)
+    labels = stress.stress_labels(vix, stress.market_drawdown(prices), stress.realized_volatility(returns, vol_window), both.select("date", "average_correlation"), vix_threshold, drawdown_threshold)
+    return stress.outer_join(labels, both.select("date", "average_absolute_correlation")).where("date is not null")
 
 
 def empirical(returns: DataFrame, benchmarks: DataFrame, window: int = 126, alpha: float = 0.10, threshold: float = 1e-6, horizons: Sequence[int] = (5, 21, 63), max_iter: int = 1000) -> dict[str, DataFrame]:

@@ -1,7 +1,7 @@
 """The regime engine's operators as queries over a folder of tables, with equivalent SQL where SQL can express them.
 
 Prices are weekly panels of the star schema; a series of realized volatility stands in for the indicator where only
-relational operators are shown, and a panel of two assets where the network has a closed form.
+relational operators are shown, and a panel of two assets (suppliers by parity) where the network has a closed form.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .functions.exprs import num
 from .operators import components, evaluate, graph, models, overlay, selection, stress
 from .operators import returns as ret
+from . import sql_twins as twin
 from .plans import plotdata, workflows
 from .sources import panels
 
@@ -32,7 +33,7 @@ class Data:
     def _keep(self, name: str, make) -> DataFrame:
         """Date-level frames that a query uses more than once are written, so that plans stay short."""
         if name not in self._kept:
-            self._kept[name] = panels.stored(make().repartition(1))
+            self._kept[name] = panels.stored(make())
         return self._kept[name]
 
     def prices(self, which: str = "W4") -> DataFrame:
@@ -42,10 +43,13 @@ class Data:
         return self._keep(f"r{which}", lambda: ret.prices_to_returns(self.prices(which)))
 
     def pca(self) -> DataFrame:
-        return self._keep("pca", lambda: graph.rolling_pca_features(self.returns(), WINDOW))
+        return self._keep("pca", lambda: graph.rolling_pca_features(self.pair(), WINDOW))
+
+    def two(self, *columns: str) -> DataFrame:
+        return self.ri(True).select("date", *columns)
 
     def pair(self) -> DataFrame:
-        return ret.prices_to_returns(self.prices().where("asset in ('s0', 's1')"))
+        return self._keep("rpair", lambda: ret.prices_to_returns(self.prices("W2")))
 
     def index(self) -> DataFrame:
         return self.prices().groupBy("date").agg(F.avg("value").alias("value"))
@@ -121,15 +125,31 @@ CTES = {
     "e": "select date, cast(lag(raw, 1, 1.0) over (order by date) as double) as exposure from e1",
     "o": "select m.date, coalesce(exposure, 1.0) as exposure, ret * coalesce(exposure, 1.0) as oret, ret from m join e on e.date = m.date where ret is not null",
     "t": "select date, " + ", ".join(f"case when count(ret) over w{h} = {h} then stddev_samp(ret) over w{h} end as vol{h}, case when count(ret) over w{h} = {h} then sum(ret) over w{h} end as sum{h}" for h in (5, 21)) + " from m window " + ", ".join(f"w{h} as (order by date rows between 1 following and {h} following)" for h in (5, 21)),
-    "pr0": "select date, max(case when asset = 's0' then value end) as a, max(case when asset = 's1' then value end) as c from (select date, asset, ln(value / lag(value) over (partition by asset order by date)) as value from d where asset in ('s0', 's1')) group by date",
+    "p2": "select cast(date_trunc('week', l_shipdate) as date) as date, 's' || cast(l_suppkey % 2 as varchar) as asset, avg(l_extendedprice) as value from lineitem group by all",
+    "pr0": "select date, max(case when asset = 's0' then value end) as a, max(case when asset = 's1' then value end) as c from (select date, asset, ln(value / lag(value) over (partition by asset order by date)) as value from (select x.date, y.asset, p2.value from (select distinct date from p2) x cross join (select distinct asset from p2) y left join p2 on p2.date = x.date and p2.asset = y.asset)) group by date",
     "pr": "select * from pr0 where a is not null or c is not null",
     "prc": "select * from pr where a is not null and c is not null",
     "g0": "select date, row_number() over (order by date) as n, covar_pop(a, c) over w / (stddev_pop(a) over w * stddev_pop(c) over w) as rho from prc window w as (order by date rows between 51 preceding and current row)",
     "g1": "select date, greatest(abs(rho) - 0.05, 0.0) as a from g0 where n >= 52",
-    "g": "select date, a as average_graph_strength, a as weighted_edge_density, 2 * a as algebraic_connectivity, 2 * a as largest_laplacian_eigenvalue, case when a > 0 then 1.0 else 0.0 end as largest_laplacian_eigenvalue_share, 2 * abs(a - lag(a) over (order by date)) as laplacian_frobenius_change, case when a > 0 then 1.0 else 0.0 end as number_of_edges from g1",
+    "g": "select date, a as average_graph_strength, a as weighted_edge_density, 2 * a as algebraic_connectivity, 2 * a as largest_laplacian_eigenvalue, case when a > 0 then 1.0 else 0.0 end as largest_laplacian_eigenvalue_share, 2 * abs(a - lag(a) over (order by date)) as laplacian_frobenius_change, case when a > 0 then 1.0 else 0.0 end as number_of_edges, a as average_node_strength, case when a > 0 then 0.0 end as modularity from g1",
+    "zs": "select g.*, " + twin.z({f"z_{c}": c for c in components.COMPONENTS}) + " from g",
+    "ri": "select *, z_average_graph_strength + z_algebraic_connectivity + z_largest_laplacian_eigenvalue_share + z_laplacian_frobenius_change as regime_indicator from zs",
+    "sco": "select *, z_average_graph_strength + z_algebraic_connectivity + z_weighted_edge_density as connectivity_score, z_laplacian_frobenius_change as transition_score, z_largest_laplacian_eigenvalue_share as spectral_score, (" + " + ".join(f"z_{c}" for c in components.COMPONENTS) + ") / 6 as graph_components_equal_weight_score from ri",
+    "pc0": "select date, case when ca >= 42 and cc >= 42 then abs(coalesce(rho, 0)) end as q from (select date, row_number() over (order by date) as n, count(a) over v as ca, count(c) over v as cc, corr(a, c) over v as rho from pr window v as (order by date rows between 51 preceding and current row)) where n >= 52",
+    "pc1": "select date, 1 + q as e, (1 + q) / 2 as s, exp(-((1 + q) / 2 * ln((1 + q) / 2) + case when q < 1 then (1 - q) / 2 * ln((1 - q) / 2) else 0 end)) as k from pc0",
+    "pc": "select date, e as pca_first_eigenvalue, s as pca_first_eigenvalue_share, k as pca_effective_rank, e - last_value(e ignore nulls) over w as pca_first_eigenvalue_change, k - last_value(k ignore nulls) over w as pca_effective_rank_change from pc1 window w as (order by date rows between unbounded preceding and 1 preceding)",
+    "gd": "select x.date, y.asset, r.value from (select distinct date from r) x cross join (select distinct asset from r) y left join r on r.date = x.date and r.asset = y.asset",
+    "co0": "select a.date, a.asset || '~' || b.asset as pair, case when b.value is not null then a.value end as x, case when a.value is not null then b.value end as y from gd a join gd b on a.date = b.date and a.asset < b.asset",
+    "co1": "select date, row_number() over (partition by pair order by date) as n, covar_pop(x, y) over w / nullif(stddev_pop(x) over w * stddev_pop(y) over w, 0) as c from co0 window w as (partition by pair order by date rows between 51 preceding and current row)",
+    "co": "select date, avg(c) as average_correlation, avg(abs(c)) as average_absolute_correlation from co1 where n >= 52 group by date",
+    "bm0": "select coalesce(labs.date, co.date) as date, vix, drawdown, realized_volatility, average_correlation, average_absolute_correlation, vix_stress_label, drawdown_stress_label, realized_volatility_stress_label, systemic_stress_label from labs full join co on co.date = labs.date",
+    "bm": "select * replace (greatest(coalesce(systemic_stress_label, 0), case when average_correlation >= (select quantile_cont(average_correlation, 0.8) from bm0) then 1 else 0 end) as systemic_stress_label), case when average_correlation is null then null when average_correlation >= (select quantile_cont(average_correlation, 0.8) from bm0) then 1 else 0 end as correlation_stress_label from bm0",
+    "fw": "select a.date, h, b.n - a.n as k, sum(b.ret) over (partition by h, a.n order by b.n) as c from (select *, row_number() over (order by date) as n from m) a cross join (values (5), (21)) as hs(h) join (select *, row_number() over (order by date) as n from m) b on b.n between a.n + 1 and a.n + h",
+    "fd": "select h, date, case when count(c) = h then least(0, min(d)) end as v from (select *, (1 + c) / greatest(1, max(1 + c) over (partition by h, date order by k)) - 1 as d from fw) group by h, date",
+    "tg": "select date, 'realized_volatility_5d' as target, vol5 as y from t union all select date, 'realized_volatility_21d', vol21 from t union all select date, 'max_drawdown_' || h || 'd', v from fd union all select date, 'stress_onset_label', stress_onset_label from ons",
 }
 _NEEDS = {
-    "p": "", "d": "p", "r0": "d", "r": "r0", "m": "r", "vol": "m", "idx": "p", "dd": "idx", "vx": "", "b": "vx dd vol", "lab": "b", "labs": "lab", "ons0": "labs", "ons": "ons0", "e0": "vol", "e1": "e0", "e": "e1", "o": "m e", "t": "m", "pr0": "d", "pr": "pr0", "prc": "pr", "g0": "prc", "g1": "g0", "g": "g1",
+    "p": "", "d": "p", "r0": "d", "r": "r0", "m": "r", "vol": "m", "idx": "p", "dd": "idx", "vx": "", "b": "vx dd vol", "lab": "b", "labs": "lab", "ons0": "labs", "ons": "ons0", "e0": "vol", "e1": "e0", "e": "e1", "o": "m e", "t": "m", "pr0": "p2", "pr": "pr0", "prc": "pr", "g0": "prc", "g1": "g0", "g": "g1", "p2": "", "zs": "g", "ri": "zs", "sco": "ri", "pc0": "pr", "pc1": "pc0", "pc": "pc1", "gd": "r", "co0": "gd", "co1": "co0", "co": "co1", "bm0": "labs co", "bm": "bm0", "fw": "m", "fd": "fw", "tg": "t fd ons",
 }
 
 
@@ -144,26 +164,8 @@ def sql(needs: str, body: str, extra: str = "", recursive: bool = False) -> str:
     return f"with {'recursive ' if recursive else ''}" + ",\n".join(parts) + "\n" + body
 
 
-def _perf(source: str, by: str = "") -> str:
-    """CTEs that end in perf: the performance metrics of ``source`` (by, date, r)."""
-    b, part = (f"{by}, ", f"partition by {by} ") if by else ("", "")
-    return f"""w1 as (select {b}date, r, product(1 + greatest(r, -0.999999)) over ({part}order by date rows between unbounded preceding and current row) as w from {source} where r is not null),
-w2 as (select *, w / max(w) over ({part}order by date rows between unbounded preceding and current row) - 1 as d from w1),
-w3 as (select {b}arg_max(w, date) as w, count(r) as n, stddev_samp(r) * sqrt(252) as vol, stddev_samp(r) filter (where r < 0) * sqrt(252) as down, min(d) as mdd, avg(r) as mean, avg(abs(r)) as mabs, quantile_cont(r, 0.01) as q1, quantile_cont(r, 0.05) as q5, avg(case when r > 0 then 1.0 else 0.0 end) as hit from w2 {f'group by {by}' if by else ''}),
-perf as (select {b}case when w > 0 then w ** (252.0 / n) - 1 end as annualized_return, vol as annualized_volatility, case when vol > 0 then (w ** (252.0 / n) - 1) / vol end as sharpe, case when down > 0 then (w ** (252.0 / n) - 1) / down end as sortino, mdd as max_drawdown, case when mdd < 0 then (w ** (252.0 / n) - 1) / abs(mdd) end as calmar,
-  mean as mean_return, mabs as mean_absolute_return, q1 as worst_1pct_return, q5 as worst_5pct_return, hit as hit_rate, cast(n as double) as n_obs from w3)"""
-
-
-PERF = ", ".join(f"round({c}, 6) as {c}" for c in overlay.PERFORMANCE)
-
-
-def _turn(source: str, by: str = "") -> str:
-    b, part = (f"{by}, ", f"partition by {by} ") if by else ("", "")
-    return f"""t1 as (select {b}date, exposure, coalesce(abs(exposure - lag(exposure) over ({part}order by date)), 0) as c from {source} where exposure is not null),
-turn as (select {b}avg(exposure) as average_exposure, avg(case when exposure < 1 then 1.0 else 0.0 end) as time_in_reduced_exposure, sum(case when c > 1e-12 then 1.0 else 0.0 end) as number_of_exposure_changes, sum(c) * 252 / count(c) as annualized_turnover_proxy, avg(c) as mean_absolute_exposure_change from t1 {f'group by {by}' if by else ''})"""
-
-
-TURN = ", ".join(f"round({c}, 6) as {c}" for c in overlay.TURNOVER)
+PERF, TURN = twin.PERF, twin.TURN
+_perf, _turn = twin.performance, twin.turnover
 
 # ---- panels, returns, benchmarks
 
@@ -229,9 +231,9 @@ def _(d):
     return stress.correlation_score(d.returns(), WINDOW)
 
 
-@query("average_absolute_correlation_native", sql("r", "select date, round(avg(abs(c)), 6) as average_absolute_correlation from z where n >= 52 group by date", _CORR))
+@query("average_absolute_correlation", sql("r", "select date, round(avg(abs(c)), 6) as average_absolute_correlation from z where n >= 52 group by date", _CORR))
 def _(d):
-    return stress.correlation_score_native(d.returns(), WINDOW, True)
+    return stress.correlation_score(d.returns(), WINDOW, True)
 
 
 @query("stress_labels", sql("labs", "select date, round(vix, 6) as vix, round(drawdown, 6) as drawdown, round(realized_volatility, 6) as realized_volatility, " + ", ".join(f"cast({c} as bigint) as {c}" for c in ("vix_stress_label", "drawdown_stress_label", "realized_volatility_stress_label", "systemic_stress_label")) + " from labs"))
@@ -325,14 +327,22 @@ def _(d):
     return evaluate.transition_correlations(d.signal(), stress.benchmark_changes(d.labels()).select("date", "vix_change", "drawdown_change"))
 
 
-@query("robustness_summary")
+_RS = """rs0 as (select * from {src}), rq as (select {by}quantile_cont(x, 0.2) as lo, quantile_cont(x, 0.8) as hi from rs0 {group}),
+rs1 as (select {by}x, ok, vix, realized_volatility as rv, average_correlation as ac, systemic_stress_label as l, vol21 as fv, fd21.v as fd, ret from rs0 left join bm on bm.date = rs0.date left join t on t.date = rs0.date left join (select date, v from fd where h = 21) fd21 on fd21.date = rs0.date left join m on m.date = rs0.date),
+rs2 as (select rs1.*, lo, hi from rs1 {join}),
+rsum as (select {by}count(x) as n_ri_observations, avg(ok) as convergence_rate, stddev_pop(x) as ri_standard_deviation, corr(x, vix) as correlation_with_vix, corr(x, rv) as correlation_with_realized_volatility, corr(x, ac) as correlation_with_average_correlation,
+  avg(x) filter (where l = 1) - avg(x) filter (where l = 0) as stress_non_stress_ri_difference, corr(x, fv) as correlation_with_future_realized_volatility, corr(x, fd) as correlation_with_future_max_drawdown, stddev_samp(ret) filter (where x >= hi) as high_regime_volatility from rs2 {group})"""
+_RSOUT = "n_ri_observations, " + twin.rounded(evaluate.SUMMARY[1:])
+
+
+@query("robustness_summary", sql("vol bm t fd m", f"select {_RSOUT} from rsum", _RS.format(src="(select date, v as x, null::double as ok from vol)", by="", group="", join="cross join rq")))
 def _(d):
     return evaluate.robustness_summary(d.signal(), d.benchmarks(), d.returns())
 
 
-@query("converged_vs_all")
+@query("converged_vs_all", sql("ri bm t fd m", f"select sample, {_RSOUT} from rsum", _RS.format(src="(select date, regime_indicator as x, 1.0 as ok, sample from ri, unnest(['all_windows', 'converged_only']) as u(sample))", by="sample, ", group="group by sample", join="join rq using (sample)")))
 def _(d):
-    return evaluate.converged_vs_all(d.ri(), d.benchmarks(), d.returns())
+    return evaluate.converged_vs_all(d.ri(True), d.benchmarks(), d.returns())
 
 
 # ---- exposures and overlays
@@ -480,9 +490,10 @@ def _(d):
     return d.ri()
 
 
-@query("graph_features_with_modularity")
+@query("graph_features_with_modularity", sql("g", f"select date, {_G}, round(modularity, 6) as modularity, round(average_node_strength, 6) as average_node_strength from g"))
 def _(d):
-    return graph.rolling_graph_features(d.returns("W5"), WINDOW, 0.1, compute_modularity=True, max_iter=1000)
+    made = graph.rolling_graph_features(d.pair(), WINDOW, ALPHA, partial_corr_threshold=0.0, compute_modularity=True, max_iter=1000)
+    return made.select("date", *graph.FEATURES)
 
 
 @query("pca_features")
@@ -490,35 +501,90 @@ def _(d):
     return graph.rolling_pca_features(ret.prices_to_returns(d.prices("D4")), 126)
 
 
-@query("component_scores")
+_ORTH = {"average_graph_strength": "orthogonal_average_graph_strength", "algebraic_connectivity": "orthogonal_algebraic_connectivity", "laplacian_frobenius_change": "orthogonal_laplacian_frobenius_change"}
+_RES = "xo as (select date, c, y, [1.0::double, vix, realized_volatility, drawdown] as x, row_number() over (partition by c order by date) as n from (" + " union all ".join(f"select g.date, '{c}' as c, {c} as y, vix, realized_volatility, drawdown from g join b on b.date = g.date" for c in _ORTH) + """) where y is not null and vix is not null and realized_volatility is not null and drawdown is not null),
+xp as (select p.c, p.n as pn, q.y, q.x from xo p join xo q on q.c = p.c and q.n < p.n where p.n > 60), """ + twin.solved("xp", "c, pn", "xs") + """,
+xr as (select xo.date, xo.c, xo.y - list_dot_product(xo.x, beta) as r from xo join xs on xs.c = xo.c and xs.pn = xo.n),
+og0 as (select date, """ + ", ".join(f"max(case when c = '{c}' then r end) as {o}" for c, o in _ORTH.items()) + " from (select date, null as c, null::double as r from g union all select date, c, r from xr) group by date),\nog as (select *, (" + " + ".join(f"z{k}" for k in range(3)) + ") / 3 as orthogonal_graph_score from (select *, " + twin.z({f"z{k}": o for k, o in enumerate(_ORTH.values())}) + " from og0))"
+_BLOCKS = ("connectivity_score", "transition_score", "spectral_score", "graph_components_equal_weight_score")
+
+
+@query("component_scores", sql("sco b", "select sco.date, " + twin.rounded([*_BLOCKS[:2], *_ORTH.values(), "orthogonal_graph_score"]) + " from sco join og on og.date = sco.date", _RES, recursive=True))
 def _(d):
-    return components.add_component_scores(d.ri(), d.benchmarks(), min_history=60)
+    got = components.add_component_scores(d.two(*[c for c in components.COMPONENTS if c != "largest_laplacian_eigenvalue_share"]), d.labels(), min_history=60)
+    return got.select("date", *_BLOCKS[:2], *_ORTH.values(), "orthogonal_graph_score")
+
 
+_ZP = "(" + " + ".join(f"z_{c}" for c in components.COMPONENTS)
+_CAND = """cd0 as (select coalesce(ri.date, pc.date) as date, * exclude (date), from ri full join pc on pc.date = ri.date),
+cd1 as (select date, """ + ", ".join(components.COMPONENTS) + ", regime_indicator as ri, pca_first_eigenvalue_share, pca_first_eigenvalue_change, " + twin.z({f"z_{c}": c for c in (*components.COMPONENTS, "pca_first_eigenvalue_share", "pca_first_eigenvalue_change")}) + """ from cd0),
+cd2 as (select *, (""" + " + ".join(f"z_{c}" for c in components.COMPONENTS) + ") / 6 as graph_components_equal_weight_score, (" + " + ".join(f"z_{c}" for c in components.COMPONENTS if c != "algebraic_connectivity") + """) / 5 as excluding_algebraic_connectivity_score, z_laplacian_frobenius_change as transition_score, z_algebraic_connectivity as algebraic_connectivity_only,
+  (z_average_graph_strength + z_algebraic_connectivity + z_weighted_edge_density) / 3 as connectivity_block_with_algebraic_connectivity, (z_average_graph_strength + z_weighted_edge_density) / 2 as connectivity_block_without_algebraic_connectivity, (z_pca_first_eigenvalue_share + z_pca_first_eigenvalue_change) / 2 as pca_score from cd1),
+cd as (select *, (za + zb + zc) / 3 as pca_plus_graph_score from (select *, """ + twin.z({"za": "graph_components_equal_weight_score", "zb": "transition_score", "zc": "pca_score"}) + " from cd2))"
+_CANDS = (*components.COMPONENTS, "ri", "pca_first_eigenvalue_share", "pca_first_eigenvalue_change", "graph_components_equal_weight_score", "excluding_algebraic_connectivity_score", "transition_score", "algebraic_connectivity_only", "connectivity_block_with_algebraic_connectivity", "connectivity_block_without_algebraic_connectivity", "pca_score", "pca_plus_graph_score")
 
-@query("candidate_scores")
+
+@query("candidate_scores", sql("ri pc", "select date, " + twin.rounded(_CANDS) + " from cd", _CAND))
 def _(d):
-    return components.candidate_scores(d.ri(), d.pca())
+    return components.candidate_scores(d.ri(True), d.pca()).select("date", *_CANDS)
+
 
+_ALG = """ax as (select date, algebraic_connectivity as x from g), ast as (select cast(count(x) as double) as n, avg(x) as mean, stddev_pop(x) as std, min(x) as mi, quantile_cont(x, 0.25) as q1, quantile_cont(x, 0.5) as q2, quantile_cont(x, 0.75) as q3, max(x) as ma from ax),
+ay as (""" + " union all ".join([f"select date, '{c}' as variable, {c} as y from ri" for c in ("regime_indicator", "average_graph_strength", "weighted_edge_density", "laplacian_frobenius_change", "largest_laplacian_eigenvalue_share")] + ["select date, 'pca_first_eigenvalue_share', pca_first_eigenvalue_share from pc"] + [f"select date, '{c}', {c} from bm" for c in components.CONTROLS]) + """),
+ap0 as (select variable, x, y from ay join ax using (date) where x is not null and y is not null), ap1 as (select *, rank() over (partition by variable order by x) + (count(*) over (partition by variable, x) - 1) / 2.0 as rx, rank() over (partition by variable order by y) + (count(*) over (partition by variable, y) - 1) / 2.0 as ry from ap0),
+ac as (select variable, cast(count(*) as double) as n, case when stddev_pop(x) > 1e-8 and stddev_pop(y) > 1e-8 then corr(x, y) end as pe, case when stddev_pop(x) > 1e-8 and stddev_pop(y) > 1e-8 then corr(rx, ry) end as sp from ap1 group by variable),
+at0 as (select case when target = 'stress_onset_label' then target else 'future_' || target end as variable, x, y from tg join ax using (date) where x is not null and y is not null), at1 as (select *, rank() over (partition by variable order by x) + (count(*) over (partition by variable, x) - 1) / 2.0 as rx from at0),
+at2 as (select variable, cast(count(*) as double) as n, corr(x, y) as c, (sum(case when y = 1 then rx end) - sum(case when y = 1 then 1.0 else 0 end) * (sum(case when y = 1 then 1.0 else 0 end) + 1) / 2) / nullif(sum(case when y = 1 then 1.0 else 0 end) * sum(case when y = 0 then 1.0 else 0 end), 0) as a from at1 group by variable),
+av as (select 'availability' as diagnostic_type, 'algebraic_connectivity' as variable, 'available' as metric, 1.0 as value, n as n_obs from ast
+  union all select 'summary', 'algebraic_connectivity', unnest(['mean', 'std', 'min', 'p25', 'median', 'p75', 'max']), unnest([mean, std, mi, q1, q2, q3, ma]), n from ast
+  union all select 'correlation', variable, unnest(['pearson', 'spearman']), unnest([pe, sp]), n from ac
+  union all select 'predictive', variable, case when variable = 'stress_onset_label' then 'auc' else 'pearson' end, case when variable = 'stress_onset_label' then a else c end, n from at2)"""
 
-@query("algebraic_connectivity_diagnostics")
+
+@query("algebraic_connectivity_diagnostics", sql("ri pc bm tg", "select diagnostic_type, variable, metric, round(value, 6) as value, n_obs from av", _ALG))
 def _(d):
     b = d.benchmarks()
-    return components.algebraic_diagnostics(d.ri(), b, models.targets(d.returns(), b, prefix="future"), d.pca())
+    return components.algebraic_diagnostics(d.ri(True), b, models.targets(d.returns(), b, prefix="future"), d.pca())
+
+
+_ALGS = ("graph_components_equal_weight_score", "excluding_algebraic_connectivity_score", "algebraic_connectivity_only", "connectivity_block_with_algebraic_connectivity", "connectivity_block_without_algebraic_connectivity")
+
 
+def _variants(columns, smooth: bool, table: str = "cd") -> str:
+    """CTEs vr, perf, turn by key (score~variant) on dates on which all scores and the return are known."""
+    known = " and ".join(f"{c} is not null" for c in columns)
+    rows = " union all ".join(f"select '{c}' as k, date, {c} as v from vk" for c in columns)
+    return f"""vk as (select {table}.* from {table} join m on m.date = {table}.date where {known}), vs as ({rows}),
+{twin.exposures('vs', 'ex', smooth)},
+ek as (select k || '~' || variant as key, date, exposure from ex), vr as (select key, m.date, ret * exposure as r, exposure from ek join m on m.date = ek.date where ret is not null), """ + _perf("vr", "key") + ",\n" + _turn("ek", "key")
 
-@query("algebraic_connectivity_overlays")
+
+_KEYS = "split_part(key, '~', 1) as score, split_part(key, '~', 2) as variant"
+_VC = "vc0 as (select key, date, r, coalesce(abs(exposure - lag(exposure) over (partition by key order by date)), 0) as ch from vr), vc as (select key || '~' || bps as key, date, r - ch * bps / 10000 as r from vc0, unnest([0, 5, 10]) as u(bps)), " + twin.performance("vc", "key", "cperf") + ", cost as (select split_part(cperf.key, '~', 1) as score, split_part(cperf.key, '~', 2) as variant, cast(split_part(cperf.key, '~', 3) as double) as cost_bps, cperf.* exclude (key), turn.* exclude (key) from cperf join turn on turn.key = split_part(cperf.key, '~', 1) || '~' || split_part(cperf.key, '~', 2))"
+
+
+@query("algebraic_connectivity_overlays", sql("ri pc m", f"select {_KEYS}, {PERF}, {TURN}, round(time_in_extreme_reduction, 6) as time_in_extreme_reduction from perf join turn using (key)", _CAND.replace("full join pc", "left join pc") + ", " + _variants(_ALGS, False)))
 def _(d):
-    return components.algebraic_overlays(d.ri(), d.returns())[0]
+    return components.algebraic_overlays(d.ri(True), d.returns())[0]
+
+
+def _signals(columns) -> str:
+    """CTEs of evaluate_signals over sg (date, columns): comparison in cmp0, costs in scost."""
+    rows = " union all ".join(f"select '{c}' as k, date, {c} as v from sg" for c in columns)
+    return f"""so as ({rows}), {twin.exposures('so', 'ex')},
+ek as (select k as key, ex.date, exposure from ex join m on m.date = ex.date), bc as (select m.date, ret as r from m join sg on sg.date = m.date where ret is not null), vr as (select key, bc.date, r * exposure as r, exposure from ek join bc on bc.date = ek.date), """ + _perf("vr", "key") + ",\n" + _turn("ek", "key") + ",\n" + twin.performance("bc", "", "bperf") + """,
+cmp0 as (select 'baseline' as signal, 'baseline' as strategy, *, """ + ", ".join(f"null::double as {c}" for c in overlay.TURNOVER) + " from bperf union all select perf.key, perf.key || '_overlay', perf.* exclude (key), " + ", ".join(overlay.TURNOVER) + """ from perf join turn using (key)),
+sc0 as (select key, date, r, coalesce(abs(exposure - lag(exposure) over (partition by key order by date)), 0) as ch from vr), sc as (select key || '~' || bps as key, date, r - ch * bps / 10000 as r from sc0, unnest([0, 5, 10]) as u(bps)), """ + twin.performance("sc", "key", "cperf") + ", scost as (select split_part(cperf.key, '~', 1) as signal, cast(split_part(cperf.key, '~', 2) as double) as cost_bps, cperf.* exclude (key), turn.* exclude (key) from cperf join turn on turn.key = split_part(cperf.key, '~', 1))"
 
 
-@query("component_overlays")
+@query("component_overlays", sql("sco pc m", f"select signal, strategy, {PERF}, {TURN}, {twin.minus('')} from cmp0", "sg as (select sco.*, pca_first_eigenvalue_share, pca_first_eigenvalue_change from sco left join pc on pc.date = sco.date), " + _signals(components.SIGNALS)))
 def _(d):
-    return overlay.evaluate_signals(d.returns(), components.overlay_signals(d.ri(), d.pca()))[0]
+    return overlay.evaluate_signals(d.returns(), components.overlay_signals(d.ri(True), d.pca()))[0]
 
 
-@query("component_overlay_costs")
+@query("component_overlay_costs", sql("sco m", f"select signal, cost_bps, {PERF}, {TURN} from scost", "sg as (select * from sco), " + _signals(components.SIGNALS[:9])))
 def _(d):
-    return overlay.evaluate_signals(d.returns(), components.overlay_signals(d.ri()))[1]
+    return overlay.evaluate_signals(d.returns(), components.overlay_signals(d.ri(True)))[1]
 
 
 # ---- models
@@ -539,31 +605,78 @@ def _(d):
     return models.fit_models(d.vol(), stress.stress_onsets(d.labels()), {"one": ["realized_volatility"]}, SPLITS).select("n_obs", "n_positive", "auc")
 
 
-@query("incremental_tests")
+_B3 = ["vix", "realized_volatility", "drawdown"]
+_DES = "ds as (select coalesce(b.date, f.date) as date, b.* exclude (date), f.* exclude (date) from (select date, vix, realized_volatility, drawdown from b) b full join ({features}) f on f.date = b.date)"
+
+
+def _fitted(specs: dict, features: str, prefix: str = "forward_", onset: str = "stress_onset_label") -> str:
+    """CTEs fits and rg of the models over the design of benchmarks and features."""
+    target = f"(select date, case when target = '{onset}' then target else '{prefix}' || target end as target, y from tg)"
+    return f"{_DES.format(features=features)}, tn as {target}, " + twin.specs_rows(specs, "ds", "tn", _CASE.replace("date >=", "md.date >=")) + ", " + twin.models("rows_") + ", " + twin.regressors(specs)
+
+
+def _each(metrics: str) -> str:
+    return f"select target, fits.model, regressor, n_obs, {metrics}, round(beta[i], 6) as coefficient, {twin.sign('beta[i]')} as coefficient_sign, round(beta[i] / nullif(se[i], 0), 6) as t_stat from fits join rg on rg.model = fits.model"
+
+
+_S1 = {"baseline": _B3, "baseline_plus_ri": [*_B3, "regime_indicator"], "baseline_plus_graph_components": [*_B3, "regime_indicator", "average_graph_strength"]}
+
+
+@query("incremental_tests", sql("b ri tg", _each(twin.rounded(("adjusted_r2", "oos_r2", "auc", "brier_score", "oos_auc", "oos_brier_score"))), _fitted(_S1, "select date, regime_indicator, average_graph_strength from ri"), recursive=True))
 def _(d):
-    return models.incremental_tests(d.ri(), d.benchmarks(), d.returns(), SPLITS)
+    return models.incremental_tests(d.two("regime_indicator", "average_graph_strength"), d.labels(), d.returns(), SPLITS)
+
 
+_METRICS = twin.rounded([c for c in models.kernels.MODEL_METRICS if c != "oos_r2"]) + ", round(case when target <> 'stress_onset_label' then oos_r2 end, 6) as oos_r2"
+_CH, _PX, _ORT = "laplacian_frobenius_change", "pca_first_eigenvalue_change", "orthogonal_average_graph_strength"
+_S2 = {"M0_benchmarks": _B3, "M1_benchmarks_plus_ri": [*_B3, "regime_indicator"], "M2_benchmarks_plus_pca": [*_B3, _PX], "M3_benchmarks_plus_graph_components": [*_B3, _CH], "M4_benchmarks_plus_pca_plus_graph_components": [*_B3, _PX, _CH], "M5_benchmarks_plus_orthogonal_graph": [*_B3, _ORT]}
+_F2 = f"select coalesce(ri.date, pc.date) as date, regime_indicator, {_CH}, {_PX}, {_ORT} from ri full join pc on pc.date = ri.date left join og on og.date = ri.date"
 
-@query("model_ladder")
+
+@query("model_ladder", sql("b ri pc tg", _each(_METRICS), _RES + ", " + _fitted(_S2, _F2), recursive=True))
 def _(d):
-    ri, b = d.ri(), d.benchmarks()
-    return models.model_ladder(ri, b, d.returns(), d.pca(), components.add_component_scores(ri, b), SPLITS)
+    scores = components.residualize(d.two(*_ORTH), d.labels()).select("date", _ORT)
+    return models.model_ladder(d.two("regime_indicator", _CH), d.labels(), d.returns(), d.pca().select("date", _PX), scores, SPLITS)
+
 
+_S3 = {"all_graph_components": ["average_graph_strength", _CH], "excluding_laplacian_frobenius_change": ["average_graph_strength"], "excluding_algebraic_connectivity": ["average_graph_strength", _CH], "excluding_average_graph_strength": [_CH], "excluding_largest_eigenvalue_share": ["average_graph_strength", _CH], "connectivity_only": ["connectivity_score"], "transition_only": ["transition_score"]}
+_A3 = "za as (select date, " + ", ".join(f"({' + '.join('z_' + c for c in cols)}) / {len(cols)} as {a}" for a, cols in _S3.items()) + " from (select date, " + twin.z({f"z_{c}": c for c in ("average_graph_strength", _CH, "connectivity_score", "transition_score")}) + " from sa)), zl as (" + " union all ".join(f"select '{a}' as k, date, {a} as v from za" for a in _S3) + "), " + twin.exposures("zl", "ex") + ", ek as (select k as key, date, exposure from ex), vr as (select key, m.date, ret * exposure as r from ek join m on m.date = ek.date where ret is not null), " + _perf("vr", "key") + ", " + _turn("ek", "key")
 
-@query("component_ablation")
+
+@query("component_ablation", sql("b ri tg m", """select key as ablation, cast(len(string_split(components, ',')) as bigint) as component_count, components, adjusted_r2, oos_r2, auc, oos_auc, round(sharpe, 6) as overlay_sharpe, round(calmar, 6) as overlay_calmar, round(max_drawdown, 6) as overlay_max_drawdown, round(annualized_turnover_proxy, 6) as annualized_turnover_proxy, round(time_in_reduced_exposure, 6) as time_in_reduced_exposure
+  from (select model, """ + ", ".join(f"round(max(case when target {o} 'stress_onset_label' then {c} end), 6) as {c}" for o, c in (("<>", "adjusted_r2"), ("<>", "oos_r2"), ("=", "auc"), ("=", "oos_auc"))) + """ from fits where target in ('forward_realized_volatility_21d', 'stress_onset_label') group by model) f join perf on perf.key = f.model join turn using (key)
+  join (select model, string_agg(regressor, ',' order by i) as components from rg where i > 4 group by model) using (model)""",
+    "sa as (select date, average_graph_strength, laplacian_frobenius_change, z_average_graph_strength as connectivity_score, z_laplacian_frobenius_change as transition_score from ri), " + _fitted({a: [*_B3, *c] for a, c in _S3.items()}, "select * from sa") + ", " + _A3, recursive=True))
 def _(d):
-    ri, b = d.ri(), d.benchmarks()
-    return models.component_ablation(components.add_component_scores(ri), b, d.returns(), SPLITS)
+    scores = components.add_component_scores(d.two("average_graph_strength", _CH)).drop("spectral_score", "graph_components_equal_weight_score")
+    return models.component_ablation(scores, d.labels(), d.returns(), SPLITS)
+
 
+_S4 = {"benchmarks_only": _B3, "ri_only": ["regime_indicator"], "pca_only": [_PX], "graph_components_only": [_CH], "pca_plus_graph_components": [_PX, _CH], "benchmarks_plus_ri": [*_B3, "regime_indicator"], "benchmarks_plus_pca": [*_B3, _PX], "benchmarks_plus_graph_components": [*_B3, _CH], "benchmarks_plus_pca_plus_graph_components": [*_B3, _PX, _CH]}
+_F4 = f"select coalesce(ri.date, pc.date) as date, regime_indicator, {_CH}, {_PX} from ri full join pc on pc.date = ri.date"
+_INFO = _fitted(_S4, _F4, "future_")
 
-@query("information_sets")
+
+def _information(d):
+    return models.information_sets(d.two("regime_indicator", _CH), d.labels(), d.returns(), d.pca().select("date", _PX), None, SPLITS)
+
+
+@query("information_sets", sql("b ri pc tg", f"""select target, case when target = 'stress_onset_label' then 'classification' else 'regression' end as target_type, model as information_set, n_obs, case when target = 'stress_onset_label' then n_positive end as n_positive_events, cast(len(string_split(regressors, ',')) as double) as n_regressors, regressors, {_METRICS}, coefficient_signs,
+  case when target = 'stress_onset_label' then 'classification_scores_are_linear_probability_diagnostics' else 'in_sample_metrics_are_diagnostics_only' end as diagnostic_note
+  from fits join (select target, fits.model, string_agg(regressor, ',' order by i) as regressors, string_agg(regressor || ':' || {twin.sign('beta[i]')}, ';' order by i) as coefficient_signs from fits join rg on rg.model = fits.model group by all) using (target, model)""", _INFO, recursive=True))
 def _(d):
-    return models.information_sets(d.ri(), d.benchmarks(), d.returns(), d.pca(), None, SPLITS)
+    return _information(d)
+
+
+_RULES = "rules(type, metric, dir, diag) as (values " + ", ".join(f"('{t}', '{m}', '{k}', {str(o).lower()})" for t, m, k, o in models.RANKED) + "), sets(model, place) as (values " + ", ".join(f"('{c}', {k})" for k, c in enumerate(models.SETS)) + ")"
+_RM = sorted({r[1] for r in models.RANKED})
 
 
-@query("information_set_ranking")
+@query("information_set_ranking", sql("b ri pc tg", """select target, target_type, metric, rank_direction, best_information_set, round(best_value, 6) as best_value, cast(n as double) as n_candidates, diagnostics_only from (
+  select target, type as target_type, metric, dir as rank_direction, model as best_information_set, v as best_value, count(*) over (partition by target, metric) as n, diag as diagnostics_only, row_number() over (partition by target, metric order by case when dir = 'max' then -v else v end, place) as k
+  from (select target, model, unnest([""" + ", ".join(f"'{c}'" for c in _RM) + "]) as metric, unnest([" + ", ".join("case when target <> 'stress_onset_label' then oos_r2 end" if c == "oos_r2" else c for c in _RM) + """]) as v from fits) l join rules using (metric) join sets using (model) where v is not null and type = case when target = 'stress_onset_label' then 'classification' else 'regression' end) where k = 1""", _INFO + ", " + _RULES, recursive=True))
 def _(d):
-    return models.rank_information_sets(models.information_sets(d.ri(), d.benchmarks(), d.returns(), None, None, SPLITS))
+    return models.rank_information_sets(_information(d))
 
 
 # ---- grids, selection, rolling origins
@@ -571,85 +684,160 @@ def _(d):
 CONFIGS = selection.parameter_grid((0.05, 0.20), (52,), (0.0, 0.03))
 
 
+_CF = "cf(config_id, alpha, win, thr) as (values " + ", ".join(f"('{c.config_id}', {c.alpha}, {c.window}, {c.partial_corr_threshold})" for c in CONFIGS) + "), "
+_GR = _CF + "ga as (select config_id, date, case when greatest(abs(rho) - alpha, 0.0) > thr then greatest(abs(rho) - alpha, 0.0) else 0.0 end as a from g0 cross join cf where n >= 52), gb as (select config_id, date, a as average_graph_strength, 2 * a as algebraic_connectivity, case when a > 0 then 1.0 else 0.0 end as largest_laplacian_eigenvalue_share, 2 * abs(a - lag(a) over (partition by config_id order by date)) as laplacian_frobenius_change from ga), gi as (select config_id, date, zw + zx + zy + zz as x from (select config_id, date, " + twin.z({"zw": "average_graph_strength", "zx": "algebraic_connectivity", "zy": "largest_laplacian_eigenvalue_share", "zz": "laplacian_frobenius_change"}, "config_id") + " from gb))"
+_CFCOLS = "alpha, cast(win as bigint) as \"window\", thr as partial_corr_threshold, 'combinatorial' as laplacian_type, 'absolute_partial_correlation' as network_type, false as compute_modularity"
+
+
+def _sampled(source: str, bench: bool) -> str:
+    """CTEs om (config_id, sample, strategy, metrics) of the indicators in ``source`` (config_id, date, x)."""
+    more = " union all select config_id, signal || '_overlay', be.date, be.exposure from be cross join (select distinct config_id from " + source + ") c" if bench else ""
+    return f"""gx as (select config_id as k, date, x as v from {source}), {twin.exposures('gx', 'ex')}, {_BE + ', ' if bench else ''}ee as (select k as config_id, 'ri_overlay' as strategy, date, exposure from ex{more}),
+er as (select config_id, 'baseline' as strategy, date, ret as r from m cross join (select distinct config_id from {source}) c where ret is not null union all select config_id, strategy, m.date, ret * exposure from ee join m on m.date = ee.date where ret is not null),
+es as (select config_id || '~' || sample || '~' || strategy as key, date, r from (select *, unnest(['all', {_CASE}]) as sample from er) where sample is not null), et as (select config_id || '~' || sample || '~' || strategy as key, date, exposure from (select *, unnest(['all', {_CASE}]) as sample from ee) where sample is not null),
+kk as (select distinct config_id, sample, strategy, config_id || '~' || sample || '~' || strategy as key from er, unnest(['all', 'development', 'validation', 'test']) as u(sample)), """ + _perf("es", "key") + ", " + _turn("et", "key") + ", om as (select kk.config_id, sample, strategy, perf.* exclude (key, n_obs), coalesce(n_obs, 0) as n_obs, turn.* exclude (key, time_in_extreme_reduction) from kk left join perf using (key) left join turn using (key))"
+
+
 def _grid(d):
-    ri = d._keep("grid", lambda: selection.indicators(d.returns(), CONFIGS))
-    return selection.grid_tables(ri, d.returns(), d.benchmarks(), CONFIGS, SPLITS)
+    ri = d._keep("grid", lambda: selection.indicators(d.pair(), CONFIGS))
+    return selection.grid_tables(ri, d.returns(), d.labels(), CONFIGS, SPLITS)
 
 
-@query("grid_overlay_metrics")
+_OM = f"sample, strategy, {PERF}, {TURN}, {twin.minus('config_id, sample')}"
+
+
+@query("grid_overlay_metrics", sql("g0 m", f"select config_id, {_CFCOLS}, {_OM} from om join cf using (config_id)", _GR + ", " + _sampled("gi", False)))
 def _(d):
     return _grid(d)["robustness_overlay_metrics"]
 
 
-@query("grid_summary")
+@query("grid_summary", sql("g0 m bm t fd ons", f"select config_id, {_CFCOLS}, {_RSOUT}, round(d1, 6) as stress_onset_ri_difference, " + ", ".join(f"round(c{k}, 6) as correlation_with_{c}_change" for k, c in enumerate(("vix", "realized_volatility", "average_correlation", "average_absolute_correlation", "drawdown"))) + " from rsum join cf using (config_id) join tr using (config_id)",
+    _GR + ", " + _RS.format(src="(select config_id, date, x, 1.0 as ok from gi)", by="config_id, ", group="group by config_id", join="join rq using (config_id)") + ", onb0 as (select date, systemic_stress_label as l, row_number() over (order by date) as n from bm), onb as (select date, case when l = 1 and coalesce(lag(l) over (order by date), 0) = 0 and n - coalesce(max(case when l <> 0 then n end) over (order by date rows between unbounded preceding and 1 preceding), 0) - 1 >= 20 then 1 else 0 end as o from onb0), chg as (select date, "
+    + ", ".join(f"{c} - lag({c}) over (order by date) as c{k}" for k, c in enumerate(("vix", "realized_volatility", "average_correlation", "average_absolute_correlation", "drawdown"))) + " from bm), tr as (select config_id, avg(x) filter (where o = 1) - avg(x) filter (where o = 0) as d1, " + ", ".join(f"corr(x, c{k}) as c{k}" for k in range(5)) + " from gi left join onb on onb.date = gi.date left join chg on chg.date = gi.date group by config_id)"))
 def _(d):
-    return _grid(d)["robustness_grid_summary"]
+    ri = d._keep("grid", lambda: selection.indicators(d.pair(), CONFIGS))
+    return selection.grid_tables(ri, d.returns(), d.benchmarks(), CONFIGS, SPLITS)["robustness_grid_summary"]
 
 
-@query("grid_convergence")
+@query("grid_convergence", sql("g0", f"select config_id, {_CFCOLS}, count(*) as n_windows, count(*) as n_converged, cast(0 as bigint) as n_non_converged, 1.0::double as convergence_rate from ga join cf using (config_id) group by all", _GR))
 def _(d):
-    return _grid(d)["robustness_convergence_summary"]
+    return _grid(d)["robustness_convergence_summary"].select(*selection.CONFIG, "n_windows", "n_converged", "n_non_converged", "convergence_rate")
 
 
-@query("grid_benchmark_comparison")
+@query("grid_benchmark_comparison", sql("g0 m b", f"select config_id, {_CFCOLS}, {_OM} from om join cf using (config_id)", _GR + ", " + _sampled("gi", True)))
 def _(d):
     return _grid(d)["robustness_benchmark_comparison"]
 
 
-@query("cached_indicator_tables")
+@query("cached_indicator_tables", sql("vol m b", f"select config_id, null::double as alpha, cast(0 as bigint) as \"window\", null::double as partial_corr_threshold, 'combinatorial' as laplacian_type, 'absolute_partial_correlation' as network_type, false as compute_modularity, {_OM} from om", "gi as (select 'cached_indicator' as config_id, date, v as x from vol), " + _sampled("gi", True)))
 def _(d):
-    return selection.tables_from_indicator(d.signal(), d.returns(), d.benchmarks(), splits=SPLITS)["robustness_benchmark_comparison"]
+    return selection.tables_from_indicator(d.signal(), d.returns(), d.labels(), splits=SPLITS)["robustness_benchmark_comparison"]
 
 
-@query("robustness_grid")
+@query("robustness_grid", sql("g0 m bm t fd", f"select alpha, cast(win as bigint) as \"window\", thr as partial_corr_threshold, false as compute_modularity, {_RSOUT} from rsum join cf using (config_id)", _GR.replace(_CF, "cf(config_id, alpha, win, thr) as (values ('0', 0.05, 52, 1e-6), ('1', 0.1, 52, 1e-6)), ") + ", " + _RS.format(src="(select config_id, date, x, 1.0 as ok from gi)", by="config_id, ", group="group by config_id", join="join rq using (config_id)")))
 def _(d):
-    return selection.run_robustness_grid(d.returns(), d.benchmarks(), (0.05, 0.1), (52,), (1e-6,))
+    return selection.run_robustness_grid(d.pair(), d.benchmarks(), (0.05, 0.1), (52,), (1e-6,))
+
 
+_VP = ("validation_sharpe", "validation_calmar", "validation_max_drawdown_reduction", "validation_volatility_reduction", "validation_downside_improvement", "validation_annualized_turnover_proxy")
+_SEL = """so0 as (select o.config_id, o.sharpe as validation_sharpe, o.calmar as validation_calmar, o.max_drawdown - b.max_drawdown as validation_max_drawdown_reduction, b.annualized_volatility - o.annualized_volatility as validation_volatility_reduction, o.worst_5pct_return - b.worst_5pct_return as validation_downside_improvement, o.annualized_turnover_proxy as validation_annualized_turnover_proxy from om o join om b on b.config_id = o.config_id and b.sample = 'validation' and b.strategy = 'baseline' where o.sample = 'validation' and o.strategy = 'ri_overlay'),
+so1 as (select *, """ + ", ".join(f"case when stddev_pop({c}) over () > 0 then ({c} - avg({c}) over ()) / stddev_pop({c}) over () else 0 end as z{k}" for k, c in enumerate(_VP)) + " from so0), so2 as (select *, z0 + z1 + z2 + z3 + z4 - 0.25 * z5 as selection_score from so1), sel as (select *, row_number() over (order by selection_score desc nulls last, config_id) = 1 and selection_score is not null as selected from so2)"
 
-@query("selected_configuration")
+
+@query("selected_configuration", sql("g0 m", "select config_id, alpha, cast(win as bigint) as \"window\", thr as partial_corr_threshold, " + twin.rounded((*_VP, "selection_score")) + ", selected from sel join cf using (config_id)", _GR + ", " + _sampled("gi", False) + ", " + _SEL))
 def _(d):
     return selection.select_configuration(_grid(d)["robustness_overlay_metrics"])
 
 
-@query("oos_test_performance")
+@query("oos_test_performance", sql("g0 m", f"select * from (select config_id, {_CFCOLS}, {_OM} from om join cf using (config_id)) where sample = 'test' and config_id in (select config_id from sel where selected)", _GR + ", " + _sampled("gi", False) + ", " + _SEL))
 def _(d):
     tables = _grid(d)
     return selection.oos_outputs(tables["robustness_overlay_metrics"], tables["robustness_benchmark_comparison"], selection.select_configuration(tables["robustness_overlay_metrics"]))["oos_test_performance"]
 
 
 def _scores(d):
-    return d._keep("scores", lambda: components.candidate_scores(d.ri(), d.pca()))
+    return d._keep("scores", lambda: components.candidate_scores(d.ri(True), d.pca()))
+
 
+_SIX = ("ri", "graph_components_equal_weight_score", "transition_score", "pca_first_eigenvalue_share", "pca_first_eigenvalue_change", "pca_plus_graph_score")
 
-@query("turnover_reduction")
+
+@query("turnover_reduction", sql("ri pc m", f"select {_KEYS}, {PERF}, {TURN}, round(time_in_extreme_reduction, 6) as time_in_extreme_reduction from perf join turn using (key)", _CAND + ", " + _variants(_SIX, True), recursive=True))
 def _(d):
     return overlay.evaluate_variants(d.returns(), _scores(d))[0]
 
 
-@query("turnover_reduction_costs")
+@query("turnover_reduction_costs", sql("ri pc m", f"select score, variant, cost_bps, {PERF}, {TURN} from cost where variant in ('daily', 'weekly')", _CAND + ", " + _variants(("ri", "transition_score"), True) + ", " + _VC, recursive=True))
 def _(d):
     return overlay.evaluate_variants(d.returns(), _scores(d), ("ri", "transition_score"), ("daily", "weekly"))[1]
 
 
-@query("low_turnover_choice")
+def _choice(by: str = "") -> str:
+    """The best (score, variant) of lt (by, score, variant, metrics) in lc."""
+    names, kinds = ", ".join(f"'{c}'" for c in _SIX), ", ".join(f"'{c}'" for c in overlay.VARIANTS)
+    return "lz as (select *, " + twin.z({"z1": "calmar", "z2": "sharpe", "z3": "max_drawdown", "z4": "annualized_turnover_proxy"}, by) + f" from lt), lc as (select * from (select *, row_number() over ({f'partition by {by} ' if by else ''}order by round(z1 + z2 + z3 - 0.5 * z4, 12) desc, list_position([{names}], score), list_position([{kinds}], variant)) as k from lz) where k = 1)"
+
+
+@query("low_turnover_choice", sql("ri pc m", "select score, variant from lc", _CAND + ", " + _variants(_SIX, True) + f", lt as (select {_KEYS}, * from perf join turn using (key)), " + _choice(), recursive=True))
 def _(d):
     return selection.low_turnover_choice(overlay.evaluate_variants(d.returns(), _scores(d))[0])
 
 
-@query("rolling_origin")
+_WIDE = ("pca_first_eigenvalue_share", "pca_first_eigenvalue_change")
+_SIX_SCORES = ("ri", "graph_components_equal_weight_score", "transition_score", "pca_score", "pca_plus_graph_score", "excluding_algebraic_connectivity_score")
+
+
+def _rolled(dynamic: bool) -> str:
+    """CTEs that end in ro: the performance of rolling_origin."""
+    years = "yr(y, a, b, c, e) as (values " + ", ".join(f"({o.test_year}, date '{o.selection_start}', date '{o.selection_end}', date '{o.test_start}', date '{o.test_end}')" for o in ORIGINS) + ")"
+    every = (*components.COMPONENTS, *_WIDE)
+    made = years + """, y0 as (select y, date between a and b as sel, date between c and e as tst, cd.* from cd join yr on date between a and b or date between c and e),
+y1 as (select y, sel, tst, date, """ + ", ".join(every) + ", " + twin.z({f"z_{c}": c for c in every}, "y", "sel") + " from y0),\ny2 as (select *, z_average_graph_strength + z_algebraic_connectivity + z_largest_laplacian_eigenvalue_share + z_laplacian_frobenius_change as ri, (" + " + ".join(f"z_{c}" for c in components.COMPONENTS) + ") / 6 as graph_components_equal_weight_score, (" + " + ".join(f"z_{c}" for c in components.COMPONENTS if c != "algebraic_connectivity") + """) / 5 as excluding_algebraic_connectivity_score, z_laplacian_frobenius_change as transition_score, (z_pca_first_eigenvalue_share + z_pca_first_eigenvalue_change) / 2 as pca_score from y1),
+y3 as (select *, (za + zb + zc) / 3 as pca_plus_graph_score from (select *, """ + twin.z({"za": "graph_components_equal_weight_score", "zb": "transition_score", "zc": "pca_score"}, "y", "sel") + """ from y2)),
+y4 as (select * from y3 where y in (select y from y3 group by y having sum(sel::int) >= 20 and sum(tst::int) >= 5)),\n"""
+    chosen = " union all ".join(f"select y, '{c}' as candidate, '{c}' as score_name, 'daily' as rule, '{c}' as score, 'daily' as variant, '' as selected_score, '' as selected_variant from yr" for c in _SIX_SCORES)
+    if dynamic:
+        known = " and ".join(f"{c} is not null" for c in _SIX)
+        made += f"dk as (select y4.* from y4 join m on m.date = y4.date where sel and {known}), dl as (" + " union all ".join(f"select y || '~{c}' as k, date, {c} as v from dk" for c in _SIX) + "),\n" + twin.exposures("dl", "dx", True) + """,
+de as (select k || '~' || variant as key, date, exposure from dx), dv as (select key, m.date, ret * exposure as r from de join m on m.date = de.date where ret is not null), """ + twin.performance("dv", "key", "dperf") + ", " + twin.turnover("de", "key", "dturn") + """,
+lt as (select cast(split_part(key, '~', 1) as int) as y, split_part(key, '~', 2) as score, split_part(key, '~', 3) as variant, * exclude (key) from dperf join dturn using (key)), """ + _choice("y") + ",\n"
+        chosen += " union all select y, 'best_low_turnover_score', score, variant, 'selection_period_best_low_turnover', 'dynamic', score, variant from lc"
+    names = _SIX_SCORES if not dynamic else (*_SIX_SCORES, *_WIDE)
+    return made + f"ch as ({chosen}),\nyl as (" + " union all ".join(f"select y, date, sel, tst, '{c}' as score_name, {c} as v from y4" for c in names) + """),
+yk as (select y || '~' || candidate as k, date, sel, v, rule from yl join ch using (y, score_name)), lvl as (select k, quantile_cont(v, 0.8) as h, quantile_cont(v, 0.9) as x, quantile_cont(v, 0.6) as o from yk where sel group by k),
+""" + twin.exposures("yk", "rx", dynamic, levels="lvl") + """,
+re0 as (select rx.k as key, rx.date, exposure from rx join ch on rx.k = y || '~' || candidate and rx.variant = rule join y4 on y4.y = ch.y and y4.date = rx.date and y4.tst), rv as (select key, m.date, ret * exposure as r, exposure from re0 join m on m.date = re0.date where ret is not null),
+rc0 as (select key, date, r, coalesce(abs(exposure - lag(exposure) over (partition by key order by date)), 0) as chg from rv), rc as (select key || '~' || bps as key, date, r - chg * bps / 10000 as r from rc0, unnest([0, 5, 10]) as u(bps)), """ + twin.performance("rc", "key", "rperf") + ", " + twin.turnover("re0", "key", "rturn") + """,
+ro as (select candidate, score, variant, selected_score, selected_variant, cast(ch.y as double) as test_year, cast(split_part(rperf.key, '~', 3) as double) as cost_bps, yr.a as selection_start, yr.b as selection_end, yr.c as test_start, yr.e as test_end, rperf.* exclude (key), rturn.* exclude (key, time_in_extreme_reduction)
+  from rperf join rturn on rturn.key = split_part(rperf.key, '~', 1) || '~' || split_part(rperf.key, '~', 2) join ch on ch.y || '~' || candidate = rturn.key join yr on yr.y = ch.y)"""
+
+
+@query("rolling_origin", sql("ri pc m", f"select * exclude ({', '.join((*overlay.PERFORMANCE, *overlay.TURNOVER))}), {PERF}, {TURN} from ro", _CAND + ", " + _rolled(True), recursive=True))
 def _(d):
     return selection.rolling_origin(d.returns(), _scores(d), splits=ORIGINS, dynamic=True)[0]
 
 
-@query("rolling_origin_summary")
+_MEANS = ("annualized_return", "annualized_volatility", "sharpe", "sortino", "max_drawdown", "calmar", "worst_5pct_return", "annualized_turnover_proxy")
+_ROS = "ros as (select candidate, score, variant, cost_bps, cast(count(distinct test_year) as double) as n_test_years, " + ", ".join(f"avg({c}) as mean_{c}, quantile_cont({c}, 0.5) as median_{c}" for c in _MEANS) + ", avg(case when sharpe > 0 then 1.0 else 0 end) as share_years_positive_sharpe, avg(case when max_drawdown > -0.2 then 1.0 else 0 end) as share_years_drawdown_better_than_20pct from ro group by all)"
+_ROSOUT = twin.rounded([f"{k}_{c}" for c in _MEANS for k in ("mean", "median")] + ["share_years_positive_sharpe", "share_years_drawdown_better_than_20pct"])
+
+
+@query("rolling_origin_summary", sql("ri pc m", f"select candidate, score, variant, cost_bps, n_test_years, {_ROSOUT} from ros", _CAND + ", " + _rolled(False) + ", " + _ROS))
 def _(d):
     return selection.rolling_origin(d.returns(), _scores(d), splits=ORIGINS)[1]
 
 
-@query("final_matrix")
+_FM = "nm(candidate, information_set, simple, pca, graph) as (values " + ", ".join(f"('{c}', '{i}', {x}, {str(c in ('pca_score', 'pca_plus_graph_score')).lower()}, {str(c not in ('pca_score', 'best_low_turnover_score')).lower()})" for c, (i, x) in selection.MATRIX.items()) + """),
+bs0 as (select *, row_number() over (partition by candidate, cost_bps order by mean_sharpe desc nulls last, score, variant) as k from ros), inf as (select model as information_set, max(case when target = 'stress_onset_label' then oos_auc end) as oos_stress_onset_auc, max(case when target = 'future_realized_volatility_21d' then oos_r2 end) as oos_volatility_prediction_r2 from fits group by 1),
+f0 as (select nm.candidate, simple as simplicity_interpretability_score, pca as depends_on_pca, graph as depends_on_graph_components, p.mean_sharpe as oos_sharpe, p.mean_calmar as oos_calmar, p.mean_max_drawdown as oos_max_drawdown, p.mean_sortino as oos_sortino, p.mean_worst_5pct_return as oos_worst_5pct, p.mean_annualized_turnover_proxy as turnover, p.share_years_positive_sharpe as robustness_across_years, q.mean_sharpe as cost_10bps_sharpe, oos_stress_onset_auc, oos_volatility_prediction_r2
+  from nm left join bs0 p on p.candidate = nm.candidate and p.cost_bps = 0 and p.k = 1 left join bs0 q on q.candidate = nm.candidate and q.cost_bps = 10 and q.k = 1 left join inf using (information_set)),
+fm as (select * exclude (z0, z1, z2, z3, z4), z0 + z1 + z2 + z3 - 0.5 * z4 as selection_score from (select *, """ + twin.z({f"z{k}": c for k, c in enumerate(("oos_sharpe", "oos_calmar", "cost_10bps_sharpe", "robustness_across_years", "turnover"))}) + " from f0))"
+_FMN = ("oos_sharpe", "oos_calmar", "oos_max_drawdown", "oos_sortino", "oos_worst_5pct", "turnover", "robustness_across_years", "cost_10bps_sharpe", "oos_stress_onset_auc", "oos_volatility_prediction_r2", "selection_score")
+
+
+@query("final_matrix", sql("ri pc m b tg", f"select candidate, simplicity_interpretability_score, depends_on_pca, depends_on_graph_components, {twin.rounded(_FMN)} from fm", _CAND + ", " + _rolled(False) + ", " + _ROS + ", " + _INFO + ", " + _FM, recursive=True))
 def _(d):
-    information = models.information_sets(d.ri(), d.benchmarks(), d.returns(), d.pca(), None, SPLITS)
-    return selection.final_matrix(information, selection.rolling_origin(d.returns(), _scores(d), splits=ORIGINS)[1])
+    return selection.final_matrix(_information(d), selection.rolling_origin(d.returns(), _scores(d), splits=ORIGINS)[1])
 
 
 # ---- tables behind charts, streaming
@@ -685,26 +873,52 @@ def _(d):
     return plotdata.feature_panel(d.ri(True), ["average_graph_strength", "modularity", "laplacian_frobenius_change"])
 
 
-@query("chart_heatmap", "select returnflag, round(avg(v) filter (where y = 1995), 6) as y1995, round(avg(v) filter (where y = 1996), 6) as y1996 from (select l_returnflag as returnflag, year(l_shipdate) as y, l_extendedprice as v from lineitem) group by returnflag")
+@query("chart_heatmap_all_years", "pivot (select l_returnflag as returnflag, 'y' || cast(year(l_shipdate) as varchar) as y, l_extendedprice as v from lineitem) on y using round(avg(v), 6) group by returnflag")
 def _(d):
     t = d.spark.read.parquet(f"{d.dir}/lineitem.parquet").select(F.col("l_returnflag").alias("returnflag"), F.concat(F.lit("y"), F.year("l_shipdate")).alias("y"), num("l_extendedprice").alias("v"))
-    return plotdata.heatmap(t, "returnflag", "y", "v", ["y1995", "y1996"])
+    return plotdata.heatmap(t, "returnflag", "y", "v", sorted(r[0] for r in t.where("y is not null").select("y").distinct().collect()))  # a bounded set: calendar years
 
 
-@query("residuals_on_one_control_all_assets")
+@query("csv_prices", sql("d", "select date, asset, round(value, 6) as value from d"))
 def _(d):
-    return components.residualize(d.ri().select("date", "average_graph_strength"), d.vol(), "full_sample").select("date", "orthogonal_average_graph_strength")
+    wide = panels.to_wide(ret.dense(d.prices()), ["s0", "s1", "s2", "s3"])
+    folder = panels.new_folder(d.spark)
+    panels.write_tables({"prices.csv": wide}, folder, "csv")
+    return panels.to_long(panels.load_prices_csv(d.spark, f"{folder}/prices.csv"))
 
 
-@query("chart_features_all_assets")
+@query("cached_returns", sql("r", "select date, asset, round(value, 6) as value from r"))
 def _(d):
-    return plotdata.feature_panel(d.ri(), ["average_graph_strength", "modularity", "laplacian_frobenius_change"])
+    folder = panels.new_folder(d.spark)
+    panels.write_tables({"returns": panels.to_wide(d.returns(), ["s0", "s1", "s2", "s3"])}, folder)
+    return panels.to_long(panels.read_table(d.spark, f"{folder}/returns"))
 
 
-@query("chart_heatmap_all_years")
+@query("chart_regime_bars", sql("vol m", "select regime_class, round(stddev_samp(ret), 6) as volatility from cl join m on m.date = cl.date where regime_class is not null group by 1", _CLS))
 def _(d):
-    t = d.spark.read.parquet(f"{d.dir}/lineitem.parquet").select(F.col("l_returnflag").alias("returnflag"), F.concat(F.lit("y"), F.year("l_shipdate")).alias("y"), num("l_extendedprice").alias("v"))
-    return plotdata.heatmap(t, "returnflag", "y", "v", sorted(r[0] for r in t.where("y is not null").select("y").distinct().collect()))
+    return plotdata.regime_bars(evaluate.regime_summary(d.signal(), d.returns()))
+
+
+_WF = "sg as (select ri.date, regime_indicator as ri from ri), so as (select 'ri' as k, date, ri as v from sg), " + twin.exposures("so", "ex") + ", " + _BE + ", ek as (select k as key, date, exposure from ex union all select signal, date, exposure from be), vr as (select key, m.date, ret * exposure as r from ek join m on m.date = ek.date where ret is not null), " + _perf("vr", "key") + ", bc as (select date, ret as r from m), " + twin.performance("bc", "", "bperf") + ", wf as (select 'baseline' as strategy, * from bperf union all select key || '_overlay', perf.* exclude (key) from perf)"
+
+
+@query("overlay_comparison", sql("ri b m", f"select strategy, {PERF}, {twin.minus('')} from wf", _WF))
+def _(d):
+    return workflows.overlays(d.two("regime_indicator"), d.returns(), d.labels())["overlay_performance_comparison"]
+
+
+@query("overlay_exposures", sql("ri b m", "select key || '_exposure' as exposure, cast(count(*) as double) as n_obs, round(avg(ek.exposure), 6) as mean, min(ek.exposure) as min, max(ek.exposure) as max, round(avg(case when ek.exposure < 1 then 1.0 else 0.0 end), 6) as share_reduced, round(avg(case when ek.exposure <= 0.5 then 1.0 else 0.0 end), 6) as share_half_or_less from ek group by key", _WF))
+def _(d):
+    return workflows.overlays(d.two("regime_indicator"), d.returns(), d.labels())["overlay_exposure_summary"]
+
+
+_QUICK = selection.quick_grid()
+_GQ = _GR.replace(_CF, "cf(config_id, alpha, win, thr) as (values " + ", ".join(f"('{c.config_id}', {c.alpha}, {c.window}, {c.partial_corr_threshold})" for c in _QUICK) + "), gq as (select date, row_number() over (order by date) as n, covar_pop(a, c) over w / (stddev_pop(a) over w * stddev_pop(c) over w) as rho from prc window w as (order by date rows between 62 preceding and current row)), ").replace("from g0 cross join cf where n >= 52", "from gq cross join cf where n >= 63")
+
+
+@query("quick_grid_metrics", sql("prc m", f"select config_id, {_CFCOLS}, {_OM} from om join cf using (config_id)", _GQ + ", " + _sampled("gi", False)))
+def _(d):
+    return selection.robustness_grid(d.pair(), d.labels(), _QUICK, SPLITS)["robustness_overlay_metrics"]
 
 
 @query("chart_top", sql("m", "select date, round(ret, 6) as ret from m where ret is not null order by ret desc, date limit 8"))

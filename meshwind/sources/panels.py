@@ -70,12 +70,23 @@ def write_tables(tables: dict[str, DataFrame], folder: str, fmt: str = "parquet"
         writer.parquet(f"{folder}/{name}") if fmt == "parquet" else writer.option("header", True).csv(f"{folder}/{name}")
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A new folder name under spark.checkpoint.dir, set on the session or its context, which all executors share. Only a
+    session on one machine (tests) may go without; then a temporary folder is used."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        own = spark.sparkContext._jsc.sc().getCheckpointDir()
+        root = own.get() if own.isDefined() else None
+    if not root:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="meshwind-")
+    return f"{root.rstrip('/')}/meshwind-{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """df written to a new folder under spark.checkpoint.dir and read back: later plans start from a short scan, and lost
-    executors lose nothing. Without that setting (tests) a temporary folder is used."""
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="meshwind-")
-    path = f"{root.rstrip('/')}/meshwind-{uuid.uuid4().hex}"
+    """df written to a new shared folder and read back: later plans start from a short scan, and lost executors lose nothing."""
+    spark, path = df.sparkSession, new_folder(df.sparkSession)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -146,10 +157,10 @@ def load_recession_indicator(spark: SparkSession, series_id: str = "USREC", star
 
 
 def star_panel(spark: SparkSession, sf_dir: str, which: str) -> DataFrame:
-    """Price-like panels of the star schema: W3 (week, return flag), W4 and D4 (week or day, supplier group), W5 (week, priority), H5 (hour, event type)."""
+    """Price-like panels of the star schema: W3 (week, return flag), W2, W4 and D4 (week or day, supplier group), W5 (week, priority), H5 (hour, event type)."""
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
-    if which in ("W3", "W4", "D4"):
-        unit, asset = ("day" if which == "D4" else "week"), F.col("l_returnflag") if which == "W3" else F.concat(F.lit("s"), F.pmod("l_suppkey", F.lit(4)).cast("string"))
+    if which in ("W2", "W3", "W4", "D4"):
+        unit, asset = ("day" if which == "D4" else "week"), F.col("l_returnflag") if which == "W3" else F.concat(F.lit("s"), F.pmod("l_suppkey", F.lit(2 if which == "W2" else 4)).cast("string"))
         df = read("lineitem").select(F.date_trunc(unit, "l_shipdate").cast("date").alias("date"), asset.alias("asset"), F.col("l_extendedprice").alias("v"))
     elif which == "W5":
         df = read("orders").select(F.date_trunc("week", "o_orderdate").cast("date").alias("date"), F.col("o_orderpriority").alias("asset"), F.col("o_totalprice").alias("v"))

@@ -1,6 +1,8 @@
 """Hand-computed values, invariants and error messages of the regime engine."""
 
 import datetime as dt
+import struct
+import zlib
 
 import numpy as np
 import pytest
@@ -8,7 +10,8 @@ import pytest
 from meshwind.functions import kernels as K
 from meshwind.operators import evaluate, graph, overlay, returns, selection, stress
 from meshwind.operators.models import SampleSplits, rank_information_sets, sample_period
-from meshwind.plans import plotdata
+from meshwind import __main__ as cli
+from meshwind.plans import figures, plotdata
 from meshwind.sources import panels
 
 
@@ -69,7 +72,7 @@ def test_costs_and_drawdown(spark):
     perf = overlay.performance(series(spark, [0.1, -0.1, 0.05], "ret")).first()
     assert perf.max_drawdown == pytest.approx(-0.10) and perf.n_obs == 3 and perf.hit_rate == pytest.approx(2 / 3)
     assert overlay.performance(base.limit(0)).first().n_obs == 0
-    with pytest.raises(ValueError, match="cost_bps"):
+    with pytest.raises(ValueError, match="costs"):
         overlay.with_costs(on, [], [-1.0])
 
 
@@ -80,7 +83,7 @@ def test_stress_labels_and_onsets(spark):
     assert [k for k, v in enumerate(column(on, "stress_onset_label")) if v] == [2, 8]
     with pytest.raises(ValueError, match="At least one benchmark"):
         stress.stress_labels()
-    with pytest.raises(ValueError, match="supported columns"):
+    with pytest.raises(ValueError, match="known benchmarks"):
         stress.benchmark_changes(series(spark, [1], "other"))
 
 
@@ -89,7 +92,7 @@ def test_forward_targets_need_full_horizons(spark):
     t = evaluate.forward_targets(r, [2])
     assert column(t, "forward_return_sum_2d")[0] == pytest.approx(0.03) and column(t, "forward_return_sum_2d")[-2:] == [None, None]
     assert column(t, "forward_max_drawdown_2d")[2] == pytest.approx(-0.03)
-    with pytest.raises(ValueError, match="horizons"):
+    with pytest.raises(ValueError, match="horizon"):
         evaluate.forward_targets(r, [])
 
 
@@ -193,3 +196,92 @@ def test_network_queries_over_all_assets(spark):
     slope, level = np.polyfit([vol[d] for d in days], [ri[d] for d in days], 1)
     out = {r.date: r.orthogonal_average_graph_strength for r in made["residuals_on_one_control_all_assets"](spark, folder).collect()}
     assert all(abs(out[d] - (ri[d] - level - slope * vol[d])) < 1e-4 for d in days)
+
+
+def test_least_angles_and_coordinates_agree():
+    rnd = np.random.RandomState(4)
+    for p in (2, 4, 9):
+        x = rnd.normal(size=(80, p)) @ rnd.normal(size=(p, p))
+        s = np.corrcoef(x.T)
+        for alpha in (0.05, 0.2, 0.6):
+            a, b = (K.graphical_lasso(s[None], alpha, 500, 1e-8, 1e-10, mode) for mode in ("cd", "lars"))
+            assert a[2][0] and b[2][0] and np.abs(a[1] - b[1]).max() < 1e-4
+    gram, xy = np.array([[1.0, 0.9], [0.9, 1.0]]), np.array([0.5, 0.48])
+    beta = K.angle_lasso(gram, xy, 0.1)
+    left = xy - gram @ beta
+    assert np.abs(left).max() <= 0.1 + 1e-9 and np.allclose(left[beta != 0], 0.1 * np.sign(beta[beta != 0]))
+
+
+def test_fit_of_one_window_records_convergence():
+    x = np.random.RandomState(5).normal(size=(60, 4)) + 3.0
+    fit = graph.fit_window(x, 0.1, assume_centered=False)
+    assert fit.converged and fit.warning_messages == () and np.allclose(fit.covariance @ fit.precision, np.eye(4), atol=1e-2)
+    assert not np.allclose(graph.fit_window(x, 0.1).covariance, fit.covariance)
+    bad = graph.fit_window(np.random.RandomState(6).normal(size=(30, 8)) @ np.random.RandomState(7).normal(size=(8, 8)), 1e-4, max_iter=1, tol=1e-12)
+    assert not bad.converged and "did not converge" in bad.warning_messages[0] and bad.n_iter == 1
+    for kind, said in (({"alpha": 0.0}, "alpha must be positive"), ({"alpha": 0.1, "mode": "x"}, "mode must be either"), ({"alpha": 0.1, "enet_tol": 0.0}, "enet_tol must be positive")):
+        with pytest.raises(ValueError, match=said):
+            graph.fit_window(x, **kind)
+
+
+def test_errors_of_unusable_input(spark):
+    few = spark.createDataFrame([(day(k), a, 0.01 * k) for k in range(4) for a in "xy"], "date date, asset string, value double")
+    with pytest.raises(ValueError, match="too few dates"):
+        graph.rolling_graph_features(few, 10, 0.1)
+    with pytest.raises(ValueError, match="two assets"):
+        graph.rolling_graph_features(few.where("asset = 'x'"), 2, 0.1)
+    with pytest.raises(ValueError, match="two assets"):
+        stress.correlation_scores(few.where("asset = 'x'"), 3)
+    with pytest.raises(ValueError, match="known price"):
+        stress.market_drawdown(series(spark, [None, None], "value"))
+
+
+def test_expanding_residuals_and_errors_by_definition():
+    rnd = np.random.RandomState(8)
+    x = rnd.normal(size=(90, 3)) * [1.0, 100.0, 0.01]
+    x[:, 2] = x[:, 0] * 2  # collinear
+    y = x[:, 0] + 0.01 * x[:, 1] + rnd.normal(size=90)
+    y[5] = np.nan
+    got, full = K.expanding_residuals(y, x, 20), np.flatnonzero(np.isfinite(y))
+    for k, r in enumerate(full):
+        design = np.c_[np.ones(k), x[full[:k]]]
+        want = y[r] - np.r_[1.0, x[r]] @ np.linalg.pinv(design) @ y[full[:k]] if k >= 20 else np.nan
+        assert (np.isnan(got[r]) and np.isnan(want)) or abs(got[r] - want) < 1e-7
+    design = np.c_[np.ones(60), rnd.normal(size=(60, 2))]
+    beta = np.array([0.5, 1.0, -2.0])
+    e = rnd.normal(size=60)
+    inverse, s = np.linalg.inv(design.T @ design), np.zeros((3, 3))
+    for i in range(60):
+        for j in range(60):
+            if abs(i - j) <= 4:
+                s += (1 - abs(i - j) / 5) * e[i] * e[j] * np.outer(design[i], design[j])
+    assert np.allclose(K.hac_t(design, e, beta, 4), beta / np.sqrt(np.diag(inverse @ s @ inverse)))
+
+
+def test_charts_are_png_files(spark, tmp_path):
+    table = spark.createDataFrame([(day(k), float(k % 5), None if k == 3 else float(k)) for k in range(30)], "date date, a double, b double")
+    for kind in ("lines", "points", "bars", "grid"):
+        path = figures.save(table, f"{tmp_path}/{kind}.png", kind, "date", ["a", "b"])
+        data = open(path, "rb").read()
+        assert data[:8] == b"\x89PNG\r\n\x1a\n" and struct.unpack(">II", data[16:24]) == figures.SIZE
+        at, raw = 8, b""
+        while at < len(data):
+            n, name = struct.unpack(">I", data[at : at + 4])[0], data[at + 4 : at + 8]
+            assert zlib.crc32(data[at + 4 : at + 8 + n]) == struct.unpack(">I", data[at + 8 + n : at + 12 + n])[0]
+            raw += data[at + 8 : at + 8 + n] if name == b"IDAT" else b""
+            at += 12 + n
+        pixels = np.frombuffer(zlib.decompress(raw), np.uint8).reshape(figures.SIZE[1], 1 + 3 * figures.SIZE[0])[:, 1:]
+        assert (pixels != 255).any()
+    assert figures.encoded(figures.lines([])) and figures.encoded(figures.bars([None]))
+
+
+def test_command_line_writes_tables_and_charts(spark, tmp_path):
+    rnd = np.random.RandomState(3)
+    rows = ["date,A,B,C"] + [f"{day(k)},{','.join(f'{v:.4f}' for v in 100 * np.exp(0.01 * rnd.normal(size=3)))}" for k in range(90)]
+    (tmp_path / "p.csv").write_text("\n".join(rows))
+    said = []
+    a = cli.arguments([str(tmp_path / "p.csv"), "--out", str(tmp_path / "out"), "--workflow", "overlays", "--window", "30", "--alpha", "0.2"])
+    tables = cli.run(spark, a, said.append)
+    assert "overlay_performance_comparison" in tables and any("regime_indicator.png" in s for s in said)
+    assert (tmp_path / "out/figures/drawdown.png").exists() and (tmp_path / "out/tables/overlay_exposure_summary").exists()
+    assert cli.main([str(tmp_path / "none.csv"), "--out", str(tmp_path)]) == 1
