@@ -94,7 +94,7 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_BYTES))
 
 
-def arrow_column(spark: SparkSession, make, schema: str, *columns: Column) -> Column:
+def arrow_column(spark: SparkSession, make, schema: str, *columns: Column, slice_bytes: int = SLICE_BYTES) -> Column:
     """A struct column of ``schema`` from columns, by ``make()``, called once a task: it returns a function from arrays to a
     dict of columns. Spark holds the rows meanwhile, so that only these columns go to the worker."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -109,7 +109,7 @@ def arrow_column(spark: SparkSession, make, schema: str, *columns: Column) -> Co
         for arrays in batches:
             arrays = (arrays,) if isinstance(arrays, pa.Array) else arrays  # one column comes without a tuple
             batch, parts = pa.RecordBatch.from_arrays(list(arrays), [str(k) for k in range(len(arrays))]), []
-            for part in slices(batch, SLICE_BYTES):
+            for part in slices(batch, slice_bytes):
                 out = work(*part.columns)
                 parts.append(pa.StructArray.from_arrays([pa.array(out[f.name], type=f.type) for f in target], fields=list(target)))
             yield pa.concat_arrays(parts) if parts else pa.array([], pa.struct(list(target)))

@@ -13,9 +13,9 @@ from .common import arrow_column, arrow_map, picked
 
 #: The vocabulary file's place; its bytes (bounded by MODEL_BYTES) are broadcast.
 MODEL_PATH, MODEL_BYTES = "/opt/tokenizers/piece_bpe_32k.model", 32 << 20
-#: Characters that one suffix array indexes, pairs of pieces whose verdict a worker keeps
+#: Characters that one suffix array indexes, bytes of texts encoded at once, pairs of pieces whose verdict a worker keeps
 #: for long units, and slots for those of other units.
-INDEX_CHARS, KEPT_PAIRS, SLOTS = 1 << 19, 500_000, 1 << 22
+INDEX_CHARS, AT_ONCE, KEPT_PAIRS, SLOTS = 1 << 17, 2 << 20, 300_000, 1 << 21
 #: Characters from which a unit is settled position by position; code points whose pairs are looked up in a table.
 LONG, NEAR = 64, 512
 #: Stands between units of an indexed text; no text has a lone surrogate.
@@ -200,9 +200,8 @@ class Encoder:
                 least, most = least << bits | np.where(open_, 0, c), most << bits | np.where(open_, (1 << bits) - 1, c)
             low[go], high[go] = _search(column, least, low[go], high[go], False), _search(column, most, low[go], high[go], True)
         count = high - low
-        which = np.repeat(np.arange(len(use)), count)
-        place = np.arange(len(which)) - np.repeat(np.cumsum(count) - count - low, count)
-        start = order[place].astype(np.int32)
+        which = np.repeat(np.arange(len(use), dtype=np.int32), count)
+        start = order.astype(np.int32)[np.arange(len(which), dtype=np.int32) - np.repeat((np.cumsum(count) - count - low).astype(np.int32), count)]
         alone = np.flatnonzero(np.array([chr(c) not in self.v.ids and c != ord(BETWEEN) for c in alphabet.tolist()], bool)[code]).astype(np.int32)
         return np.r_[start, alone], np.r_[start + sizes[which], alone + 1], np.r_[self.name_ids[use][which], np.full(len(alone), self.unk, np.int32)]
 
@@ -414,7 +413,7 @@ def encode_documents(docs: DataFrame, *, id_col="doc_id", text_col="text", model
         return work
 
     base = docs.select(docs[f"`{id_col}`"].alias("id"), docs[f"`{text_col}`"].alias("text"), *[docs[f"`{c}`"].alias(f"c_{c}") for c in keep])
-    coded = base.withColumn("t", arrow_column(docs.sparkSession, make, "struct<n_tokens:bigint,ids_sha256:string,round_trip:boolean,ids:array<int>>", F.col("text")))
+    coded = base.withColumn("t", arrow_column(docs.sparkSession, make, "struct<n_tokens:bigint,ids_sha256:string,round_trip:boolean,ids:array<int>>", F.col("text"), slice_bytes=AT_ONCE))
     return coded.select("id", *[f"t.{c}" for c in ("n_tokens", "ids_sha256", "round_trip", *(["ids"] if ids else []))], *[f"c_{c}" for c in keep])
 
 
