@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import kernels
 from ..functions.exprs import before, melt, num, ordered, trailing, until
 from ..sources.panels import stored
 from .returns import portfolio_returns
@@ -72,21 +73,41 @@ def exposure(scores: DataFrame, by: Sequence[str] = (), *, variant: str = "daily
     return df.select(*by, "date", F.lag("raw", 1, normal).over(w).alias("exposure"))
 
 
+def exposure_by_rule(scores: DataFrame, by: Sequence[str], *, high_q: float = 0.8, extreme_q: float = 0.9, exit_q: float = 0.6, normal: float = 1.0, high: float = 0.7, extreme: float = 0.5, min_history: int = 20, cooldown: int = 5, thresholds: Column | None = None, method: str = "expanding") -> DataFrame:
+    """exposure() of (by, variant, date, score), each row under its own variant's rule, in one plan for all rules."""
+    check_exposure(high_q, extreme_q, normal, high, extreme, method, min_history, "hysteresis", exit_q)
+    keys, v = [*by, "variant"], F.col("variant")
+    w, levels = ordered(keys), F.array(F.lit(high_q), F.lit(extreme_q), F.lit(exit_q))
+    df = scores.withColumn("s", num("score"))
+    mean = lambda n: F.avg("s").over(trailing(keys, n))
+    df = df.withColumn("s", F.when(v == "smoothed_10d", mean(10)).when(v.startswith("smoothed"), mean(5)).otherwise(F.col("s")))
+    if thresholds is not None:
+        df = df.withColumn("q", thresholds).withColumn("enough", F.lit(True))
+    elif method == "full_sample":
+        df = df.withColumn("q", F.percentile("s", levels).over(Window.partitionBy(*keys))).withColumn("enough", F.lit(True))
+    else:
+        df = df.withColumn("q", F.percentile("s", levels).over(before(keys))).withColumn("enough", F.count("s").over(before(keys)) >= min_history)
+    s, known = F.col("s"), F.coalesce(F.col("enough") & F.col("s").isNotNull() & F.col("q")[0].isNotNull(), F.lit(False))
+    top, second = known & (s >= F.col("q")[1]), known & (s >= F.col("q")[0])
+    said = F.when(top, extreme).when(second, high).when(known & (s < F.col("q")[2]), normal)
+    df = df.withColumn("raw", F.when(v.endswith("hysteresis"), F.coalesce(F.last(said, ignorenulls=True).over(until(keys)), F.lit(normal))).when(top, extreme).when(second, high).otherwise(F.lit(normal)))
+    first = F.when((F.weekday("date") == 0) | (F.row_number().over(w) == 1), F.col("raw"))
+    df = df.withColumn("raw", F.when(v == "weekly", F.coalesce(F.last(first, ignorenulls=True).over(until(keys)), F.lit(normal))).otherwise(F.col("raw")))
+    df = stored(df.select(*keys, "date", "raw"))
+    df = df.where(v != "cooldown_5d").unionByName(_cooled(df.where(v == "cooldown_5d"), keys, cooldown))
+    return df.select(*keys, "date", F.lag("raw", 1, normal).over(w).alias("exposure"))
+
+
 def _cooled(df: DataFrame, by: list[str], days: int) -> DataFrame:
-    """raw with changes accepted only more than ``days`` rows after the last accepted one: a fold over each strategy's rows."""
-    keys = by or ["_all"]
-    df = df if by else df.withColumn("_all", F.lit(0))
-    rows = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("date", "raw"))).alias("rows"))
-    kind = df.schema["date"].dataType.simpleString()
-    start = F.struct(F.lit(-(10**9)).alias("at"), F.lit(0).alias("n"), F.lit(None).cast("double").alias("prev"), F.array().cast(f"array<struct<date:{kind},raw:double>>").alias("out"))
+    """raw with changes accepted only more than ``days`` rows after the last accepted one: each strategy's rows in turn."""
+    keys, rows = by or ["_all"], df if by else df.withColumn("_all", F.lit(0))
+    kinds = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in [*keys, "date"])
 
-    def step(acc: Column, r: Column) -> Column:
-        moved = acc["prev"].isNotNull() & (F.abs(r["raw"] - acc["prev"]) > 1e-8 + 1e-5 * F.abs(acc["prev"]))
-        hold = moved & (acc["n"] - acc["at"] <= days)
-        value = F.when(hold, acc["prev"]).otherwise(r["raw"])
-        return F.struct(F.when(moved & ~hold, acc["n"]).otherwise(acc["at"]).alias("at"), (acc["n"] + 1).alias("n"), value.alias("prev"), F.concat(acc["out"], F.array(F.struct(r["date"], value.alias("raw")))).alias("out"))
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("date")
+        return f[[*keys, "date"]].assign(raw=kernels.cooled(f["raw"].to_numpy(float), days))
 
-    return rows.select(*keys, F.inline(F.aggregate("rows", start, step, lambda a: a["out"]))).drop(*([] if by else ["_all"]))
+    return rows.select(*keys, "date", "raw").groupBy(*keys).applyInPandas(run, f"{kinds}, raw double").drop(*([] if by else ["_all"]))
 
 
 def benchmark_exposures(benchmarks: DataFrame, columns: Sequence[str] | None = None, **options) -> DataFrame:
@@ -201,8 +222,11 @@ def evaluate_variants(returns: DataFrame, scores: DataFrame, columns: Sequence[s
     full = stored(scores.select(*keys, "date", *[num(c).alias(c) for c in columns]).dropna(subset=columns).join(base.select("date"), "date", "left_semi"))
     long = melt(full, [*keys, "date"], columns, "score_name", "score")
     by = [*keys, "score_name", "variant"]
-    parts = [exposure(long, [*keys, "score_name"], variant=v, **options).withColumn("variant", F.lit(v)) for v in variants]
-    e = stored(reduce(DataFrame.unionAll, [p.select(*by, "date", "exposure") for p in parts]))
+    unknown = set(variants) - set(VARIANTS)
+    if unknown:
+        raise ValueError(f"unknown rule {sorted(unknown)[0]!r}")
+    long = long.withColumn("variant", F.explode(F.array(*map(F.lit, variants))))
+    e = stored(exposure_by_rule(long, [*keys, "score_name"], **options).select(*by, "date", "exposure"))
     overlay = apply_overlay(base, e, by)
     own = turnover(e, by, days)
     comparison = performance(overlay, by, days).join(own, by).join(extreme_share(e, by), by).withColumnRenamed("score_name", "score")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass
-from functools import reduce
 from itertools import product
 
 from pyspark.sql import DataFrame, Window
@@ -16,7 +15,7 @@ from .components import COMPONENTS, mean_z
 from .evaluate import RI, robustness_summary
 from .graph import INDICATOR_PARTS, convergence_summary, network_grid, regime_indicator
 from .models import ONSET, SampleSplits, sample_period
-from .overlay import PERFORMANCE, TURNOVER, apply_overlay, benchmark_exposures, evaluate_variants, exposure, minus_baseline, performance, turnover, with_costs
+from .overlay import PERFORMANCE, TURNOVER, apply_overlay, benchmark_exposures, evaluate_variants, exposure, exposure_by_rule, minus_baseline, performance, turnover, with_costs
 from .returns import portfolio_returns
 from .stress import BENCHMARKS, benchmark_changes, stress_onsets
 
@@ -131,7 +130,7 @@ def run_robustness_grid(returns: DataFrame, benchmarks: DataFrame, alphas: Seque
 
 
 def select_configuration(metrics: DataFrame) -> DataFrame:
-    """Validation rows only: the score and the selected configuration; missing values keep a score null and can't be selected."""
+    """Validation rows only: the score and the selected configuration (the first by name of those whose scores agree to nine digits); missing values keep a score null and can't be selected."""
     rows = metrics.where("sample = 'validation' and strategy in ('baseline', 'ri_overlay')")
     side = lambda s, c: F.max(F.when(F.col("strategy") == s, F.col(c)))
     o, b = (lambda c: side("ri_overlay", c)), (lambda c: side("baseline", c))
@@ -143,7 +142,7 @@ def select_configuration(metrics: DataFrame) -> DataFrame:
     parts = ["validation_sharpe", "validation_calmar", "validation_max_drawdown_reduction", "validation_volatility_reduction", "validation_downside_improvement", "validation_annualized_turnover_proxy"]
     z = z_scores(wide, {f"_z{k}": c for k, c in enumerate(parts)}, fill=False)
     z = z.withColumn("selection_score", sum((F.col(f"_z{k}") for k in range(5)), F.lit(0.0)) - 0.25 * F.col("_z5")).drop(*[f"_z{k}" for k in range(6)])
-    first = F.row_number().over(Window.orderBy(F.col("selection_score").desc_nulls_last(), "config_id"))
+    first = F.row_number().over(Window.orderBy(F.round("selection_score", 9).desc_nulls_last(), "config_id"))
     return z.withColumn("selected", (first == 1) & F.col("selection_score").isNotNull())
 
 
@@ -224,8 +223,7 @@ def rolling_origin(returns: DataFrame, scores: DataFrame, specs: Sequence[tuple[
     key = ["test_year", "candidate"]
     q = F.percentile(F.when(F.col("selecting"), F.col("score")), F.array(*map(F.lit, (0.8, 0.9, 0.6)))).over(Window.partitionBy(*key))
     long = stored(long.withColumn("q", q))
-    kinds = {v for _, _, v in specs} | ({"daily", "weekly", "smoothed_5d", "smoothed_10d", "hysteresis", "cooldown_5d", "smoothed_5d_hysteresis"} if dynamic else set())
-    e = reduce(DataFrame.unionAll, [exposure(long.where(F.col("variant") == v).select(*key, "date", "score", F.col("q").alias("levels")), key, variant=v, thresholds=F.col("levels")) for v in sorted(kinds)])
+    e = exposure_by_rule(long.select(*key, "variant", "date", "score", F.col("q").alias("levels")), key, thresholds=F.col("levels")).drop("variant")
     e = e.join(df.where("testing").select("test_year", "date"), ["test_year", "date"], "left_semi")
     overlay = apply_overlay(base, e, key)
     perf = performance(with_costs(overlay, key, bps), [*key, "cost_bps"], days).join(turnover(e, key, days), key)

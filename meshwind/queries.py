@@ -734,14 +734,17 @@ def _(d):
     return selection.tables_from_indicator(d.signal(), d.returns(), d.labels(), splits=SPLITS)["robustness_benchmark_comparison"]
 
 
-@query("robustness_grid", sql("g0 m bm t fd", f"select alpha, cast(win as bigint) as \"window\", thr as partial_corr_threshold, false as compute_modularity, {_RSOUT} from rsum join cf using (config_id)", _GR.replace(_CF, "cf(config_id, alpha, win, thr) as (values ('0', 0.05, 52, 1e-6), ('1', 0.1, 52, 1e-6)), ") + ", " + _RS.format(src="(select config_id, date, x, 1.0 as ok from gi)", by="config_id, ", group="group by config_id", join="join rq using (config_id)")))
+_PAIRED = "mp as (select date, case when a is null then c when c is null then a else (a + c) / 2 end as ret from pr), tp as (select date, case when count(ret) over w = 21 then stddev_samp(ret) over w end as vol21 from mp window w as (order by date rows between 1 following and 21 following)), fwp as (" + CTES["fw"].replace("from m)", "from mp)") + "), fdp as (" + CTES["fd"].replace("from fw)", "from fwp)") + ")"
+
+
+@query("robustness_grid", sql("g0 pr bm", f"select alpha, cast(win as bigint) as \"window\", thr as partial_corr_threshold, false as compute_modularity, {_RSOUT} from rsum join cf using (config_id)", _PAIRED + ", " + _GR.replace(_CF, "cf(config_id, alpha, win, thr) as (values ('0', 0.05, 52, 1e-6), ('1', 0.1, 52, 1e-6)), ") + ", " + _RS.replace("join t on", "join tp t on").replace("from fd where", "from fdp where").replace("join m on", "join mp m on").format(src="(select config_id, date, x, 1.0 as ok from gi)", by="config_id, ", group="group by config_id", join="join rq using (config_id)")))
 def _(d):
     return selection.run_robustness_grid(d.pair(), d.benchmarks(), (0.05, 0.1), (52,), (1e-6,))
 
 
 _VP = ("validation_sharpe", "validation_calmar", "validation_max_drawdown_reduction", "validation_volatility_reduction", "validation_downside_improvement", "validation_annualized_turnover_proxy")
 _SEL = """so0 as (select o.config_id, o.sharpe as validation_sharpe, o.calmar as validation_calmar, o.max_drawdown - b.max_drawdown as validation_max_drawdown_reduction, b.annualized_volatility - o.annualized_volatility as validation_volatility_reduction, o.worst_5pct_return - b.worst_5pct_return as validation_downside_improvement, o.annualized_turnover_proxy as validation_annualized_turnover_proxy from om o join om b on b.config_id = o.config_id and b.sample = 'validation' and b.strategy = 'baseline' where o.sample = 'validation' and o.strategy = 'ri_overlay'),
-so1 as (select *, """ + ", ".join(f"case when stddev_pop({c}) over () > 0 then ({c} - avg({c}) over ()) / stddev_pop({c}) over () else 0 end as z{k}" for k, c in enumerate(_VP)) + " from so0), so2 as (select *, z0 + z1 + z2 + z3 + z4 - 0.25 * z5 as selection_score from so1), sel as (select *, row_number() over (order by selection_score desc nulls last, config_id) = 1 and selection_score is not null as selected from so2)"
+so1 as (select *, """ + ", ".join(f"case when stddev_pop({c}) over () > 0 then ({c} - avg({c}) over ()) / stddev_pop({c}) over () else 0 end as z{k}" for k, c in enumerate(_VP)) + " from so0), so2 as (select *, z0 + z1 + z2 + z3 + z4 - 0.25 * z5 as selection_score from so1), sel as (select *, row_number() over (order by round(selection_score, 9) desc nulls last, config_id) = 1 and selection_score is not null as selected from so2)"
 
 
 @query("selected_configuration", sql("g0 m", "select config_id, alpha, cast(win as bigint) as \"window\", thr as partial_corr_threshold, " + twin.rounded((*_VP, "selection_score")) + ", selected from sel join cf using (config_id)", _GR + ", " + _sampled("gi", False) + ", " + _SEL))
@@ -918,7 +921,7 @@ _GQ = _GR.replace(_CF, "cf(config_id, alpha, win, thr) as (values " + ", ".join(
 
 @query("quick_grid_metrics", sql("prc m", f"select config_id, {_CFCOLS}, {_OM} from om join cf using (config_id)", _GQ + ", " + _sampled("gi", False)))
 def _(d):
-    return selection.robustness_grid(d.pair(), d.labels(), _QUICK, SPLITS)["robustness_overlay_metrics"]
+    return selection.grid_tables(selection.indicators(d.pair(), _QUICK), d.returns(), d.labels(), _QUICK, SPLITS)["robustness_overlay_metrics"]
 
 
 @query("chart_top", sql("m", "select date, round(ret, 6) as ret from m where ret is not null order by ret desc, date limit 8"))

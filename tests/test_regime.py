@@ -8,11 +8,11 @@ import numpy as np
 import pytest
 
 from meshwind.functions import kernels as K
-from meshwind.operators import evaluate, graph, overlay, returns, selection, stress
+from meshwind.operators import components, evaluate, graph, overlay, returns, selection, stress
 from meshwind.operators.models import SampleSplits, rank_information_sets, sample_period
 from meshwind import __main__ as cli
 from meshwind.plans import figures, plotdata
-from meshwind.sources import panels
+from meshwind.sources import downloads, panels
 
 
 def day(k):
@@ -188,13 +188,14 @@ def test_network_queries_over_all_assets(spark):
     from meshwind import queries as Q
 
     folder, made = "/root/testdata/sf0.001", Q.queries()
+    every = Q.Data(spark, folder)
     ri = {r.date: r.average_graph_strength for r in Q.flagship(spark, folder).collect()}
-    got = [r for r in made["chart_features_all_assets"](spark, folder).collect() if r.feature == "average_graph_strength"]
+    got = [r for r in plotdata.feature_panel(every.ri(), ["average_graph_strength", "modularity", "laplacian_frobenius_change"]).collect() if r.feature == "average_graph_strength"]
     assert len(got) > 100 and all(abs(r.value - ri[r.date]) < 1e-5 for r in got)
     vol = {r.date: r.realized_volatility for r in made["realized_volatility"](spark, folder).collect() if r.realized_volatility is not None}
     days = sorted(d for d, x in ri.items() if x is not None and d in vol)
     slope, level = np.polyfit([vol[d] for d in days], [ri[d] for d in days], 1)
-    out = {r.date: r.orthogonal_average_graph_strength for r in made["residuals_on_one_control_all_assets"](spark, folder).collect()}
+    out = {r.date: r.orthogonal_average_graph_strength for r in components.residualize(every.ri().select("date", "average_graph_strength"), every.vol(), "full_sample").collect()}
     assert all(abs(out[d] - (ri[d] - level - slope * vol[d])) < 1e-4 for d in days)
 
 
@@ -285,3 +286,16 @@ def test_command_line_writes_tables_and_charts(spark, tmp_path):
     assert "overlay_performance_comparison" in tables and any("regime_indicator.png" in s for s in said)
     assert (tmp_path / "out/figures/drawdown.png").exists() and (tmp_path / "out/tables/overlay_exposure_summary").exists()
     assert cli.main([str(tmp_path / "none.csv"), "--out", str(tmp_path)]) == 1
+
+
+def test_market_source_reads_a_symbol_a_partition(spark, tmp_path):
+    (tmp_path / "yfinance.py").write_text("import pandas as pd\n\ndef download(names, **k):\n    days = pd.date_range(k['start'], periods=3)\n    return pd.DataFrame({('Close', names[0]): [1.0, 2.0, 3.0], ('Adj Close', names[0]): [4.0, None, 6.0]}, index=days)\n")
+    spark.sparkContext.addPyFile(str(tmp_path / "yfinance.py"))
+    spark.dataSource.register(downloads.MarketSource)
+    read = lambda **o: spark.read.format("market").options(**o).load()
+    rows = read(symbols="SPY, TLT", start="2020-01-01").orderBy("asset", "date").collect()
+    assert [(r.date, r.asset, r.value) for r in rows] == [(day(0), "SPY", 4.0), (day(2), "SPY", 6.0), (day(0), "TLT", 4.0), (day(2), "TLT", 6.0)]
+    with pytest.raises(Exception, match="unknown provider"):
+        read(provider="x", symbols="A").collect()
+    with pytest.raises(Exception, match="pandas_datareader is required"):
+        read(provider="fred", symbols="USREC").collect()
