@@ -56,16 +56,16 @@ def _dealt(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
     return order, part[order]
 
 
-def _sent(parts: int, kind: pa.DataType):
-    """Batches of texts to rows: for each partition of a table (``to``, from 0 on: twice its number, and one more for bigrams) the
-    slice's distinct n-grams with their counts, and one row (``to`` below 0) with the slice's words for the way back."""
-    schema = pa.schema([("to", pa.int64()), ("slice", pa.int64()), ("keys", pa.list_(pa.int64())), ("times", pa.list_(pa.int32())), ("ids", pa.list_(kind)), ("n", pa.list_(pa.int32())), ("at", pa.list_(pa.int32()))])
+def _lists(values: np.ndarray, ends) -> pa.Array:
+    """Lists of the values that end there."""
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(values))
 
-    def lists(values: np.ndarray, ends: np.ndarray, nulls: int) -> pa.Array:
-        """Lists that end there, and so many nulls after them."""
-        return pa.concat_arrays([pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(values)), pa.nulls(nulls, pa.list_(pa.array(values).type))])
 
-    def rows(codes: np.ndarray, n: np.ndarray, ids: pa.Array, name: int) -> pa.RecordBatch:
+def _grams(parts: int):
+    """A slice's distinct n-grams with their counts, one row for each partition of a table (``to``: twice its number, and one
+    more for bigrams)."""
+
+    def rows(codes: np.ndarray, n: np.ndarray, ids: pa.Array, name: int) -> list[pa.Array]:
         words, at, times = np.unique(codes, return_inverse=True, return_counts=True)
         _, where, _, _, keys = _bigrams(words, at, n)
         to, ends, have, counts = [], [], [], []
@@ -74,12 +74,28 @@ def _sent(parts: int, kind: pa.DataType):
             stops = np.flatnonzero(np.diff(part, append=-1)) + 1 if len(part) else np.empty(0, np.int64)
             to.append(2 * part[stops - 1] + table), ends.append(stops + sum(map(len, have))), have.append(grams[order]), counts.append(count[order])
         own = np.concatenate(ends)
-        k, total = len(own), sum(map(len, have))
-        back = lambda a, of: pa.concat_arrays([pa.nulls(k, pa.list_(of)), pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)])
-        return pa.RecordBatch.from_arrays([
-            pa.array(np.r_[np.concatenate(to), -1 - name]), pa.array(np.full(k + 1, name)), lists(np.concatenate([*have, words]), np.r_[own, total + len(words)], 0), lists(np.concatenate(counts).astype(np.int32), own, 1),
-            back(ids.cast(kind), kind), back(pa.array(n, pa.int32()), pa.int32()), back(pa.array(at, pa.int32()), pa.int32()),
-        ], schema=schema)
+        return [pa.array(np.concatenate(to)), pa.array(np.full(len(own), name)), _lists(np.concatenate(have), own), _lists(np.concatenate(counts).astype(np.int32), own)]
+
+    return _sliced(rows)
+
+
+def _homes(kind: pa.DataType):
+    """One row a slice: its distinct words, its documents with their numbers of words, and the number of each word in turn."""
+
+    def rows(codes: np.ndarray, n: np.ndarray, ids: pa.Array, name: int) -> list[pa.Array]:
+        words, at = np.unique(codes, return_inverse=True)
+        one = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
+        return [pa.array([-1 - name]), one(pa.array(words)), one(ids.cast(kind)), one(pa.array(n, pa.int32())), one(pa.array(at, pa.int32()))]
+
+    return _sliced(rows)
+
+
+def _sliced(rows):
+    """Batches of texts in slices of about AT_ONCE bytes, numbered alike whenever a task runs, each to a batch of ``rows``."""
+
+    def made(codes, n, ids, name: int) -> pa.RecordBatch:
+        arrays = rows(np.concatenate(codes), np.concatenate(n), pa.concat_arrays(ids), name)
+        return pa.RecordBatch.from_arrays(arrays, [str(k) for k in range(len(arrays))])
 
     def run(batches):
         cache, task, number = Words(), TaskContext.get().partitionId() << 24, 0
@@ -92,10 +108,10 @@ def _sent(parts: int, kind: pa.DataType):
                 codes.append(c), n.append(m), ids.append(part.column("id"))
                 size += part.nbytes
                 if size >= AT_ONCE:
-                    yield rows(np.concatenate(codes), np.concatenate(n), pa.concat_arrays(ids), task + number)
+                    yield made(codes, n, ids, task + number)
                     codes, n, ids, size, number = [], [], [], 0, number + 1
         if ids:
-            yield rows(np.concatenate(codes), np.concatenate(n), pa.concat_arrays(ids), task + number)
+            yield made(codes, n, ids, task + number)
         del codes, n, ids, cache
         give_back()
 
@@ -175,13 +191,14 @@ def score_documents(docs: DataFrame, *, id_col="doc_id", text_col="text") -> Dat
     parts = max(1, size // PART_BYTES)
     tasks = max(2 * parts, int(spark.conf.get("spark.sql.shuffle.partitions")))
     small_batches(spark)
-    sent = base.mapInArrow(_sent(parts, to_arrow_type(field)), f"to long, slice long, keys array<long>, times array<int>, ids array<{kind}>, n array<int>, at array<int>")
-    dealt = sent.repartition(tasks, "to")
-    grams = dealt.where("to >= 0").select("to", "slice", F.posexplode(F.arrays_zip("keys", "times")).alias("pos", "g")).select("to", "slice", "pos", F.col("g.keys").alias("key"), F.col("g.times").alias("times"))
-    table = grams.groupBy("to", "key").agg(F.sum("times").alias("c"))
-    joined = grams.join(table.hint("shuffle_hash"), ["to", "key"]).select("to", "slice", "pos", "c")
+    dealt = base.mapInArrow(_grams(parts), "to long, slice long, keys array<long>, times array<int>").repartition(tasks, "to")
+    grams = dealt.select("to", "slice", F.posexplode(F.arrays_zip("keys", "times")).alias("pos", "g")).select("to", "slice", "pos", F.col("g.keys").alias("key"), F.col("g.times").alias("times"))
+    table = grams.groupBy("to", "key").agg(F.sum("times").alias("c"), F.min("slice").alias("since"))
+    # both sides use all columns, so that one shuffle serves them
+    joined = grams.join(table.hint("shuffle_hash"), ["to", "key"]).select("to", "slice", "pos", "c", "times", "since")
     back = joined.mapInArrow(_runs, "to long, part long, first int, counts array<long>")
-    each = dealt.where("to < 0").groupBy("to").cogroup(back.groupBy("to")).applyInArrow(_summed(parts), f"id {kind}, n long, seen long, score long")
+    homes = base.mapInArrow(_homes(to_arrow_type(field)), f"to long, keys array<long>, ids array<{kind}>, n array<int>, at array<int>")
+    each = homes.groupBy("to").cogroup(back.groupBy("to")).applyInArrow(_summed(parts), f"id {kind}, n long, seen long, score long")
     name = "spark.sql.requireAllClusterKeysForCoPartition"  # rows dealt by ``to`` are where (to, key) is needed
     before = spark.conf.get(name)
     spark.conf.set(name, "false")

@@ -138,3 +138,19 @@ def test_lower_similarity_finds_its_links(spark):
         rows += [(2 * n, " ".join(base)), (2 * n + 1, " ".join(t))]
     assert len({r.component_id for r in N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=80).collect()}) == 60
     assert len({r.component_id for r in N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}) == 120
+
+
+def test_large_family_that_scatters_around_the_bound(spark):
+    """500 copies of one text with 1 to 4 words replaced: every component equals that of all pairs."""
+    rnd = random.Random(21)
+    word = lambda: "".join(rnd.choice("abcdefghijk") for _ in range(6))
+    base, rows = [word() for _ in range(200)], []
+    for n in range(500):
+        t = list(base)
+        for at in rnd.sample(range(200), rnd.randint(1, 4)):
+            t[at] = word()
+        rows.append((n, " ".join(t)))
+    want = sorted(brute(rows))
+    assert 1 < len({c for _, _, c in want}) < 400
+    got = N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.id, r.n_shingles, r.component_id) for r in got) == want
