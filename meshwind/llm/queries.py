@@ -64,6 +64,18 @@ select page_id, payload_bytes, payload_digest, case when payload_bytes >= 100 an
 from f
 """
 
+SQL["op3_minhash_lsh_forest"] = r"""
+with recursive d as materialized (select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as materialized (select distinct r, array_to_string(w[i:i + k - 1], ' ') as g from (select r, w, least(5, len(w)) as k from d where len(w) > 0), unnest(generate_series(1, len(w) - k + 1)) as u(i)),
+n as materialized (select r, count(*) as n from s group by r),
+p as (select a.r as u, b.r as v, count(*) as c from s a join s b on a.g = b.g and a.r < b.r group by all),
+l as materialized (select u, v from p join n x on x.r = u join n y on y.r = v where 100 * c >= 85 * (x.n + y.n - c)),
+e as materialized (select u, v from l union all select v, u from l),
+t(r, q) as (select r, r from n union select t.r, e.v from t join e on e.u = t.q),
+c as (select t.r, min(doc_id) as component_id from t join d on d.r = t.q group by t.r)
+select doc_id, coalesce(n, 0) as n_shingles, coalesce(component_id, doc_id) as component_id, coalesce(component_id, doc_id) = doc_id as kept from d left join n on n.r = d.r left join c on c.r = d.r
+"""
+
 SQL["op4_url_bloom_cascade"] = r"""
 with h as (select page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
   coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') as path from pages),
@@ -92,7 +104,7 @@ from dw left join pos on dw.doc_id = pos.doc_id left join its on dw.doc_id = its
 
 
 SQL["op8_stupid_backoff"] = r"""
-with d as (select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+with d as materialized (select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
 t as (select r, i, w[i] as b, case when i > 1 then w[i - 1] end as a from d, unnest(generate_series(1, len(w))) as g(i)),
 n as (select count(*) as n from t),
 o1 as (select r, b as w, count(*) as k from t group by all), c1 as (select w, sum(k) as c from o1 group by w),
