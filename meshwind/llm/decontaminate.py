@@ -86,7 +86,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, id_col="doc_id"
     keep: the row itself follows, as a struct ``doc``.
     """
     spark = docs.sparkSession
-    bench = picked(benchmark, item=item_col, text=item_text_col).select(F.coalesce(F.col("item").cast("string"), F.lit("null")).alias("item"), "text")
+    bench = picked(benchmark, item=item_col, text=item_text_col).select(F.coalesce(F.col("item").cast("string"), F.lit("null")).alias("item"), "text").distinct()
     total = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // BLOCK_BYTES))
     cur = docs.select(docs[f"`{id_col}`"].alias("id"), docs[f"`{text_col}`"].alias("text"), *([F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("doc")] if keep else []))
