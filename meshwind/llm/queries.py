@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import backoff, decontaminate, near_dup, pieces, pii, secrets, toxicity, url_filter, warc, webp
+from . import backoff, decontaminate, near_dup, pieces, pii, secrets, token_files, toxicity, url_filter, warc, webp
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,10 @@ def op10_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data_report(_table(spark, sf_dir, "documents"))
 
 
+def op13_elias_fano_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_report(_table(spark, sf_dir, "documents"))
+
+
 SQL: dict[str, str] = {}
 
 SQL["op1_warc_round_trip"] = """
