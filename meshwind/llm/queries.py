@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import backoff, decontaminate, near_dup, pieces, pii, secrets, token_files, toxicity, url_filter, warc, webp
+from . import backoff, decontaminate, near_dup, pieces, pii, ranked, secrets, token_files, toxicity, url_filter, warc, webp
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,10 @@ def op10_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data_report(_table(spark, sf_dir, "documents"))
 
 
+def op12_inverted_treaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op13_elias_fano_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_report(_table(spark, sf_dir, "documents"))
 
@@ -122,6 +126,19 @@ f as (select doc_id, cast(coalesce(len(w), 0) as bigint) as n_words, cast(coales
 select doc_id, n_words, n_seen, log_score, case when n_words > 0 then log_score / n_words end as mean_log_score from f
 """
 
+SQL["op12_inverted_treaps"] = r"""
+with d as materialized (select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as w from documents),
+n as (select count(*) as docs, sum(len(w)) as terms from d where len(w) > 0),
+m as (select r, doc_id, 100 - 50 + ((50 * len(w) * docs) // terms) as m from d, n where len(w) > 0),
+p as materialized (select r, term, count(*) as tf from (select r, unnest(w) as term from d) group by all),
+i as (select term, cast(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) as bigint) as w from (select term, count(*) as df from p group by term), n),
+q as (select row_number() over () as q, item_id, list_distinct(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as terms from benchmark),
+t as (select q, item_id, unnest(terms) as term from q),
+s as (select q, item_id, doc_id, r, cast(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m))) as bigint) as score from t join i using (term) join p using (term) join m using (r) group by all),
+b as (select item_id, cast(row_number() over (partition by q order by score desc, doc_id) as integer) as rank, doc_id, score from s where score > 0)
+select item_id, rank, doc_id, score from b where rank <= 50
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in sorted(globals().items(), key=lambda x: int(x[0][2:].split("_")[0]) if x[0].startswith("op") else 0) if name.startswith("op")}
