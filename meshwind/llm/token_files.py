@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-import itertools
+import array
+import json
 import os
+import string
 import struct
 import uuid
 import zlib
@@ -25,8 +27,8 @@ TOKENIZER_PATH, VOCABULARY_BYTES = "/opt/tokenizers/word_bpe_49k.json", 32 << 20
 END_ID = 1
 #: A file is closed at so many bytes of ids or documents; a document is never split. Ids are read so many bytes at once.
 FILE_BYTES, FILE_DOCS, READ_BYTES = 64 << 20, 1 << 19, 8 << 20
-#: Bytes of texts encoded at once, words whose ids a worker keeps, characters of the longest of these.
-AT_ONCE, KEPT_WORDS, KEPT_CHARS = 4 << 20, 150_000, 40
+#: Bytes of texts encoded at once, words whose ids a worker keeps (the first it meets), characters of the longest of these.
+AT_ONCE, KEPT_WORDS, KEPT_CHARS = 4 << 20, 500_000, 40
 #: Places of the parts at a file's end: bytes of ids, of boundaries, of document ids; documents with a null id; the first id; bytes an id; mark.
 _FOOT = struct.Struct("<QQQQqB3x4s")
 _MARK = b"MWT1"
@@ -34,10 +36,35 @@ MANIFEST = "part int, seq int, file string, n_docs long, n_tokens long"
 _WORKERS: dict[str, WordEncoder] = {}
 
 
+def _cut_table() -> tuple[np.ndarray, np.ndarray]:
+    """The kind of each byte, and whether a text is cut between two kinds: white space 0, letters 1, digits 2, marks 3,
+    apostrophe 4, all else 5."""
+    kinds = np.full(256, 5, np.uint8)
+    for kind, chars in enumerate((b" \t\n\v\f\r", string.ascii_letters.encode(), string.digits.encode(), string.punctuation.encode(), b"'")):
+        kinds[list(chars)] = kind
+    cut = np.zeros((6, 6), bool)
+    cut[0, 1:] = cut[1, 2:5] = cut[2, 1:5] = cut[3, 1:3] = cut[4, 2] = True
+    return kinds, cut.reshape(-1)
+
+
+_KINDS, _CUT = _cut_table()
+
+
+#: Fixed values of the vocabulary's file: how it normalises and splits a text. With others, texts are encoded whole.
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+_PIECES = [{"type": "Split", "pattern": {"Regex": _SPLIT}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]
+#: Byte-level vocabularies write printable bytes as Latin-1 and the others, in turn, from U+0100 on.
+BYTE_CHARS = {b: 256 + k for k, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
+
+
 class WordEncoder:
-    """Ids of texts from the ids of their distinct words between ASCII white space.
+    """Ids of texts from the ids of their distinct words.
 
-    The vocabulary drops white space and never joins across it, and its normalisation acts within words, so the words' ids in turn are the text's.
+    The vocabulary takes runs of letters, single digits and runs of marks apart, and drops white space. So texts are cut
+    where that is sure whatever else they hold: after white space, and between ASCII letters, digits and marks, but not after an
+    apostrophe (contractions), nor around other characters (normalisation), nor in texts that may hold special tokens.
+    A word of Latin letters is normalised by writing it in small letters, so it goes to the model at once.
     """
 
     def __init__(self, vocabulary: str):
@@ -46,34 +73,56 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.model, self.kept = Tokenizer.from_str(vocabulary), {}
         self.width = 2 if self.model.get_vocab_size() <= 1 << 16 else 4
+        self.special = [t.content for t in self.model.get_added_tokens_decoder().values()]
+        spec = json.loads(vocabulary)
+        self.cuts = (spec["normalizer"] or {}).get("normalizers") == _NORMAL and (spec["pre_tokenizer"] or {}).get("pretokenizers") == _PIECES
+
+    def _words(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """The words of all texts in turn, and where those of each text start."""
+        texts = pa.concat_arrays([pa.array(["", ""], pa.large_string()), texts.fill_null("").cast(pa.large_string())])[2:]
+        offsets = np.frombuffer(texts.buffers()[1], np.int64)[2 : len(texts) + 3]
+        data = texts.buffers()[2]
+        kinds = _KINDS[np.frombuffer(data, np.uint8)[: offsets[-1]]] if data else np.empty(0, np.uint8)
+        starts = np.ones(len(kinds) + 1, bool)
+        starts[1:-1] = _CUT[kinds[:-1] * np.uint8(6) + kinds[1:]] if self.cuts else False
+        for mark in self.special:
+            for k in np.flatnonzero(pc.match_substring(texts, mark).to_numpy(zero_copy_only=False)):
+                starts[offsets[k] + 1 : offsets[k + 1]] = False
+        starts[offsets] = True
+        edges = np.flatnonzero(starts)
+        words = pa.Array.from_buffers(pa.large_string(), len(edges) - 1, [None, pa.py_buffer(edges.astype(np.int64)), data])
+        return words, np.searchsorted(edges, offsets)
 
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids in turn, each text's closed by ``end``; and each text's number of ids, with the end."""
-        words = pc.ascii_split_whitespace(texts.fill_null("").cast(pa.large_string()))
-        coded = words.flatten().dictionary_encode()
-        names = coded.dictionary.to_pylist()
-        ids = [self.kept.get(w) for w in names]
+        words, starts = self._words(texts)
+        coded = words.dictionary_encode()
+        names, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        if self.cuts:
+            names = [w.rstrip(" \t\n\v\f\r") for w in names]
+        ids = list(map(self.kept.get, names))
         new = [k for k, x in enumerate(ids) if x is None]
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
+        rest, room, tokenize = [], len(self.kept) < KEPT_WORDS, self.model.model.tokenize
+        for k in new:
+            word = names[k]
+            small = word.lower() if self.cuts and word.isalpha() and max(word) < "\u0180" else ""
+            if small.isalpha():
+                spelled = small if small.isascii() else small.encode().decode("latin-1").translate(BYTE_CHARS)
+                ids[k] = array.array("I", [t.id for t in tokenize(spelled)]).tobytes()
+            else:
+                rest.append(k)
+        for at in range(0, len(rest), 20_000):
+            some = rest[at : at + 20_000]
             for k, found in zip(some, self.model.encode_batch_fast([names[k] for k in some], add_special_tokens=False)):
-                ids[k] = found.ids
-                if len(names[k]) <= KEPT_CHARS:
-                    self.kept[names[k]] = found.ids
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(sizes.sum()))
-        if len(self.kept) > KEPT_WORDS:
-            self.kept.clear()
-        # the end of a text is one more word, after its last
-        codes, starts = coded.indices.to_numpy(), words.offsets.to_numpy().astype(np.int64) - words.offsets[0].as_py()
-        flat, sizes = np.append(flat, np.uint32(end)), np.append(sizes, 1)
-        codes = np.insert(codes.astype(np.int64), starts[1:], len(sizes) - 1)
-        starts = starts + np.arange(len(starts))
-        each, begin = sizes[codes], (np.cumsum(sizes) - sizes)[codes]
-        ends = np.cumsum(each)
-        where = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(begin - (ends - each), each)
-        stops = np.concatenate([[0], ends])[starts]
-        return flat[where], np.diff(stops)
+                ids[k] = array.array("I", found.ids).tobytes()
+        if room:
+            self.kept.update((names[k], ids[k]) for k in new if len(names[k]) <= KEPT_CHARS)
+        sizes, flat = np.fromiter(map(len, ids), np.int64, len(ids)) // 4, np.frombuffer(b"".join(ids), np.uint32)
+        ends = np.cumsum(sizes)
+        each = sizes[codes]
+        where = np.repeat((ends[codes] - np.cumsum(each)).astype(np.int32), each) + np.arange(int(each.sum()), dtype=np.int32)
+        stops = np.concatenate([[0], np.cumsum(each)])[starts]
+        return np.insert(flat[where], stops[1:], np.uint32(end)), np.diff(stops) + 1
 
 
 def _worker(vocabulary: str) -> WordEncoder:

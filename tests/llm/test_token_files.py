@@ -1,3 +1,4 @@
+import json
 import zlib
 
 import numpy as np
@@ -56,6 +57,21 @@ def test_words_between_spaces_equal_the_whole():
     assert encoder.encode(sliced, 1)[0].tolist() == ids.tolist()
 
 
+def test_random_texts_equal_the_whole():
+    rng = np.random.default_rng(11)
+    alphabet = list("abcXYZ019'.,-<|> \n\t") + ["é", "ß", "İ", "\u0301", "\u00ad", "\u0338", "世", "'s", "'re", "\x1c", "\u00a0", "\u2028", MARK[:5], MARK]
+    texts = ["".join(alphabet[k] for k in rng.integers(0, len(alphabet), rng.integers(0, 40))) for _ in range(3000)]
+    model, encoder = _model(), T.WordEncoder(open(T.TOKENIZER_PATH, encoding="utf-8").read())
+    ids, sizes = encoder.encode(pa.array(texts), 1)
+    want = [[*x.ids, 1] for x in model.encode_batch(texts, add_special_tokens=False)]
+    assert sizes.tolist() == [len(w) for w in want]
+    assert ids.tolist() == [x for w in want for x in w]
+    other = json.loads(open(T.TOKENIZER_PATH, encoding="utf-8").read())
+    other["normalizer"] = None
+    text = json.dumps(other)
+    assert T.WordEncoder(text).encode(pa.array(["Two Words"]), 1)[0].tolist() == [*type(model).from_str(text).encode("Two Words").ids, 1]
+
+
 def test_round_trip_equals_brute_force(spark, monkeypatch):
     rows = [(i * 7 % 101 - 30, t) for i, t in enumerate(["some words here", "", None, "other words", "long " * 3000] * 20)]
     docs = spark.createDataFrame([(i, t, "x", "y", 1) for i, t in rows], "doc_id long, text string, id string, place string, start int").repartition(7)
