@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import backoff, decontaminate, near_dup, pieces, pii, ranked, secrets, token_files, toxicity, url_filter, warc, webp
+from . import alignment, backoff, decontaminate, near_dup, pieces, pii, ranked, secrets, token_files, toxicity, url_filter, warc, webp
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,10 @@ def op10_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data_report(_table(spark, sf_dir, "documents"))
 
 
+def op11_segment_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment_report(_table(spark, sf_dir, "documents"))
+
+
 def op12_inverted_treaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.search_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
