@@ -47,19 +47,6 @@ def trailing(by: Sequence[str], n: int, date: str = "date") -> WindowSpec:
     return ordered(by, date).rowsBetween(-(n - 1), 0)
 
 
-def before(by: Sequence[str], date: str = "date") -> WindowSpec:
-    """All earlier rows, without the current one."""
-    return ordered(by, date).rowsBetween(Window.unboundedPreceding, -1)
-
-
-def until(by: Sequence[str], date: str = "date") -> WindowSpec:
-    return ordered(by, date).rowsBetween(Window.unboundedPreceding, 0)
-
-
-def ahead(by: Sequence[str], n: int, date: str = "date") -> WindowSpec:
-    return ordered(by, date).rowsBetween(1, n)
-
-
 def full_only(value: Column, counted: Column, over: WindowSpec, n: int) -> Column:
     """The windowed value where all n rows have one."""
     return F.when(F.count(counted).over(over) == n, value.over(over))
@@ -74,10 +61,6 @@ def correlation(x: Column | str, y: Column | str, least: int = 2) -> Column:
     return F.when((F.count(x) >= least) & (sx > CONSTANT) & (sy > CONSTANT), ratio(F.covar_pop(x, y), sx * sy))
 
 
-def average_rank(c: str, by: Sequence[str]) -> Column:
-    return F.rank().over(Window.partitionBy(*by).orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy(*by, c)) - 1) / F.lit(2.0)
-
-
 def sign_name(c: Column) -> Column:
     return F.when(c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")) | (F.abs(c) <= CONSTANT), "zero_or_unstable").when(c > 0, "positive").otherwise("negative")
 

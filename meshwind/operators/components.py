@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kernels
-from ..functions.exprs import average_rank, correlation, finite, melt, num, row_mean, z_scores
+from ..functions.exprs import correlation, finite, melt, num, row_mean, z_scores
+from ..functions.scans import average_ranks
 from .evaluate import spearman_frame
 from .overlay import evaluate_variants
 from .stress import outer_join
@@ -127,7 +128,8 @@ def algebraic_diagnostics(features: DataFrame, benchmarks: DataFrame, targets: D
     for metric, c in (("pearson", "pearson_correlation"), ("spearman", "spearman_correlation")):
         out = out.unionAll(got.select(F.lit("correlation"), "variable", F.lit(metric), c, "n_obs"))
     names = [c for c in targets.columns if c != "date"]
-    pairs = melt(targets, ["date"], names, "variable", "y").join(x, "date").where("x is not null and y is not null").withColumn("rx", average_rank("x", ["variable"]))
+    pairs = melt(targets, ["date"], names, "variable", "y").join(x, "date").where("x is not null and y is not null")
+    pairs = average_ranks(pairs, ["variable"], {"rx": "x"})
     pos, neg = F.sum((F.col("y") == 1).cast("double")), F.sum((F.col("y") == 0).cast("double"))
     auc = F.try_divide(F.sum(F.when(F.col("y") == 1, F.col("rx"))) - pos * (pos + 1) / 2, pos * neg)
     got = pairs.groupBy("variable").agg(correlation("x", "y").alias("c"), auc.alias("a"), F.count("*").cast("double").alias("n_obs"))

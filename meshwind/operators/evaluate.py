@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
-from ..functions.exprs import CONSTANT, ahead, as_bool, average_rank, correlation, full_only, melt, num, ordered, ratio, require
+from ..functions.exprs import CONSTANT, as_bool, correlation, full_only, melt, num, ratio, require
+from ..functions.scans import average_ranks, halo_window, numbered, running, with_halo
+from ..sources.panels import stored
 from .returns import market_return
 
 RI = "regime_indicator"
@@ -33,7 +35,7 @@ def tidy(df: DataFrame, keys: Sequence[str], metrics: Sequence[str], name: str =
 def spearman_frame(pairs: DataFrame, by: Sequence[str], least: int = 2) -> DataFrame:
     """(by, n_obs, pearson_correlation, spearman_correlation) of the complete pairs x, y of each group."""
     full = pairs.where("x is not null and y is not null")
-    ranked = full.withColumns({"rx": average_rank("x", by), "ry": average_rank("y", by)})
+    ranked = average_ranks(full, by, {"rx": "x", "ry": "y"})
     out = ranked.groupBy(*by).agg(F.count("*").cast("double").alias("n_obs"), correlation("x", "y", least).alias("pearson_correlation"), F.when((F.stddev_pop("x") > CONSTANT) & (F.stddev_pop("y") > CONSTANT), correlation("rx", "ry", least)).alias("spearman_correlation"))
     return pairs.select(*by).distinct().join(out, list(by), "left").fillna(0.0, ["n_obs"])
 
@@ -71,15 +73,15 @@ def forward_targets(returns: DataFrame, horizons: Sequence[int] = (5, 21, 63), m
         raise ValueError("a horizon is a whole number of rows from 1 on")
     if trading_days <= 0:
         raise ValueError("a year has one trading day or more")
-    m = market_return(returns, market)
-    out, r = ["date"], F.col("ret")
+    m = with_halo(market_return(returns, market), [], 0, max(horizons))
+    out, r = ["own", "date"], F.col("ret")
     for h in horizons:
-        w = ahead([], h)
+        w = halo_window([], 1, h)
         vol = full_only(F.stddev_samp("ret"), r, w, h) * (trading_days**0.5 if annualize else 1.0)
         total = full_only(F.sum("ret"), r, w, h)
         path = F.aggregate(F.collect_list("ret").over(w), F.struct(F.lit(1.0).alias("c"), F.lit(1.0).alias("m"), F.lit(0.0).alias("d")), _path_step, lambda s: s["d"])
         out += [vol.alias(f"forward_realized_volatility_{h}d"), total.alias(f"forward_return_sum_{h}d"), F.abs(total).alias(f"forward_absolute_return_sum_{h}d"), F.when(F.count("ret").over(w) == h, path).alias(f"forward_max_drawdown_{h}d")]
-    return m.select(*out)
+    return m.select(*out).where("own").drop("own")
 
 
 def _path_step(s: Column, r: Column) -> Column:
@@ -95,7 +97,7 @@ def predictive_power(indicator: DataFrame, targets: DataFrame, column: str = RI)
     """(target, metric, value): a line through the indicator and each target; all but n_obs null under three pairs or if a side is constant."""
     names = [c for c in targets.columns if c != "date"]
     rows = melt(indicator.select("date", num(column).alias("x")).join(targets, "date"), ["x"], names, "target", "y").withColumn("y", num("y")).where("x is not null and y is not null")
-    ranked = rows.withColumns({"rx": average_rank("x", ["target"]), "ry": average_rank("y", ["target"])})
+    ranked = average_ranks(rows, ["target"], {"rx": "x", "ry": "y"})
     got = ranked.groupBy("target").agg(
         F.count("*").alias("n"), F.stddev_pop("x").alias("sx"), F.stddev_pop("y").alias("sy"), F.covar_pop("x", "y").alias("c"), F.avg("x").alias("mx"), F.avg("y").alias("my"), correlation("rx", "ry").alias("spearman_correlation"),
     )
@@ -114,12 +116,16 @@ def event_study(indicator: DataFrame, events: Sequence, before: int = 60, after:
     if before < 0 or after < 0:
         raise ValueError("an event's window can't have fewer than zero rows on a side")
     spark = indicator.sparkSession
-    rows = indicator.select("date", num(column).alias(RI), F.row_number().over(ordered([])).alias("n"))
+    rows = stored(numbered(indicator.select("date", num(column).alias(RI)), [], ["date"], "n"))
     ev = spark.createDataFrame([(str(e),) for e in events], "e string").select(F.col("e").cast("date").alias("event_date")).distinct()
-    at = ev.join(rows, rows["date"] <= ev["event_date"], "left").groupBy("event_date").agg(F.coalesce(F.max("n"), F.lit(1)).alias("at"))
-    at = at.join(rows.select(F.col("n").alias("at"), F.col("date").alias("matched_date")), "at")
-    hit = rows.join(F.broadcast(at), (rows["n"] >= at["at"] - before) & (rows["n"] <= at["at"] + after))  # events are a short list of the caller's
-    return hit.select("event_date", "matched_date", (F.col("n") - F.col("at")).alias("relative_day"), RI)
+    # as of: both sides in one order, a date's row before its event, and the last known row carried on to events
+    kind = rows.schema["date"].dataType
+    both = rows.select(F.struct(F.col("date").alias("d"), F.lit(0).alias("side")).alias("at"), "n", F.lit(None).cast("date").alias("event_date"))
+    both = both.unionAll(ev.select(F.struct(F.col("event_date").cast(kind).alias("d"), F.lit(1).alias("side")), F.lit(None).cast("long"), "event_date"))
+    found = running(both, [], {"last": ("last", F.col("n"))}, "at").where("event_date is not null").select("event_date", F.coalesce("last", F.lit(0)).alias("own"))
+    near = found.select("event_date", "own", F.explode(F.sequence(F.col("own") - before, F.col("own") + after)).alias("n"))
+    matched = rows.select(F.col("n").alias("own"), F.col("date").alias("matched_date"))
+    return near.join(rows, "n").join(matched, "own").select("event_date", "matched_date", (F.col("n") - F.col("own")).alias("relative_day"), RI)
 
 
 def regime_classes(indicator: DataFrame, high: float = 0.8, low: float = 0.2, column: str = RI) -> DataFrame:
@@ -127,7 +133,8 @@ def regime_classes(indicator: DataFrame, high: float = 0.8, low: float = 0.2, co
     if not 0 <= low < high <= 1:
         raise ValueError("quantiles have to rise from low to high within 0 and 1")
     df = indicator.select("date", num(column).alias("x"))
-    df = df.withColumn("q", F.percentile("x", F.array(F.lit(low), F.lit(high))).over(Window.partitionBy()))
+    df = stored(df)
+    df = df.crossJoin(F.broadcast(df.agg(F.percentile("x", F.array(F.lit(low), F.lit(high))).alias("q"))))  # one row
     x, lo, hi = F.col("x"), F.col("q")[0], F.col("q")[1]
     flat = F.abs(hi - lo) <= CONSTANT + 1e-5 * F.abs(lo)
     name = F.when(x.isNull(), None).when(flat, "normal").when(x >= hi, "high_systemic_connectedness").when(x <= lo, "low_systemic_connectedness").otherwise("normal")

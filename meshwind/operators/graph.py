@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels
 from ..functions.exprs import finite, num, ordered, z_scores
+from ..functions.scans import running
 from .returns import clean_returns
 from .stress import over_windows
 
@@ -175,8 +176,8 @@ def rolling_pca_features(returns: DataFrame, window: int = 126, min_periods: int
             yield pd.DataFrame({"date": f["date"].to_numpy(), "a": first, "b": share, "c": rank})
 
     got = over_windows(returns, window, least, run, f"date {returns.schema['date'].dataType.simpleString()}, a double, b double, c double").select("date", *[finite(x).alias(x) for x in "abc"])
-    last = lambda c: F.last(c, ignorenulls=True).over(ordered([]).rowsBetween(-(2**31), -1))
-    return got.select("date", F.col("a").alias("pca_first_eigenvalue"), F.col("b").alias("pca_first_eigenvalue_share"), F.col("c").alias("pca_effective_rank"), (F.col("a") - last("a")).alias("pca_first_eigenvalue_change"), (F.col("c") - last("c")).alias("pca_effective_rank_change"))
+    got = running(got, [], {"a0": ("last", F.col("a")), "c0": ("last", F.col("c"))}, strict=True)
+    return got.select("date", F.col("a").alias("pca_first_eigenvalue"), F.col("b").alias("pca_first_eigenvalue_share"), F.col("c").alias("pca_effective_rank"), (F.col("a") - F.col("a0")).alias("pca_first_eigenvalue_change"), (F.col("c") - F.col("c0")).alias("pca_effective_rank_change"))
 
 
 PCA_FEATURES = ("pca_first_eigenvalue", "pca_first_eigenvalue_share", "pca_effective_rank", "pca_first_eigenvalue_change", "pca_effective_rank_change")

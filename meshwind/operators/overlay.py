@@ -5,12 +5,12 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import kernels
-from ..functions.exprs import before, melt, num, ordered, trailing, until
+from ..functions.exprs import melt, num
+from ..functions.quantiles import expanding_quantiles
+from ..functions.scans import running, trailing_means, unblocked
 from ..sources.panels import stored
 from .returns import portfolio_returns
 from .stress import BENCHMARKS
@@ -46,68 +46,75 @@ def exposure(scores: DataFrame, by: Sequence[str] = (), *, variant: str = "daily
 
     thresholds: a column of three fixed levels (high, extreme, exit) to use in place of quantiles."""
     check_exposure(high_q, extreme_q, normal, high, extreme, method, min_history, variant, exit_q)
-    by, w = list(by), ordered(by)
-    df = scores.withColumn("s", num("score"))
-    if variant.startswith("smoothed"):
-        df = df.withColumn("s", F.avg("s").over(trailing(by, 10 if variant == "smoothed_10d" else 5)))
-    levels = F.array(F.lit(high_q), F.lit(extreme_q), F.lit(exit_q))
-    if thresholds is not None:
-        df = df.withColumn("q", thresholds).withColumn("enough", F.lit(True))
-    elif method == "full_sample":
-        df = df.withColumn("q", F.percentile("s", levels).over(Window.partitionBy(*by))).withColumn("enough", F.lit(True))
-    else:
-        df = df.withColumn("q", F.percentile("s", levels).over(before(by))).withColumn("enough", F.count("s").over(before(by)) >= min_history)
-    s, known = F.col("s"), F.coalesce(F.col("enough") & F.col("s").isNotNull() & F.col("q")[0].isNotNull(), F.lit(False))
-    if variant.endswith("hysteresis"):
-        # the state depends on the past only through holding, so it is the last row's verdict that was not to hold
-        said = F.when(~known, None).when(s >= F.col("q")[1], extreme).when(s >= F.col("q")[0], high).when(s < F.col("q")[2], normal)
-        raw = F.coalesce(F.last(said, ignorenulls=True).over(until(by)), F.lit(normal))
-    else:
-        raw = F.when(known & (s >= F.col("q")[1]), extreme).when(known & (s >= F.col("q")[0]), high).otherwise(F.lit(normal))
-    df = df.withColumn("raw", raw)
-    if variant == "weekly":
-        keep = F.when((F.weekday("date") == 0) | (F.row_number().over(w) == 1), F.col("raw"))
-        df = df.withColumn("raw", F.coalesce(F.last(keep, ignorenulls=True).over(until(by)), F.lit(normal)))
-    elif variant == "cooldown_5d":
-        df = _cooled(df, by, cooldown)
-    return df.select(*by, "date", F.lag("raw", 1, normal).over(w).alias("exposure"))
+    made = exposure_by_rule(scores.withColumn("variant", F.lit(variant)), by, rules=(variant,), high_q=high_q, extreme_q=extreme_q, exit_q=exit_q, normal=normal, high=high, extreme=extreme, min_history=min_history, cooldown=cooldown, thresholds=thresholds, method=method)
+    return made.drop("variant")
+
 
+def exposure_by_rule(scores: DataFrame, by: Sequence[str], *, rules: Sequence[str] = VARIANTS, high_q: float = 0.8, extreme_q: float = 0.9, exit_q: float = 0.6, normal: float = 1.0, high: float = 0.7, extreme: float = 0.5, min_history: int = 20, cooldown: int = 5, thresholds: Column | None = None, method: str = "expanding") -> DataFrame:
+    """exposure() of (by, variant, date, score), each row under its own variant's rule, in one plan for all rules.
 
-def exposure_by_rule(scores: DataFrame, by: Sequence[str], *, high_q: float = 0.8, extreme_q: float = 0.9, exit_q: float = 0.6, normal: float = 1.0, high: float = 0.7, extreme: float = 0.5, min_history: int = 20, cooldown: int = 5, thresholds: Column | None = None, method: str = "expanding") -> DataFrame:
-    """exposure() of (by, variant, date, score), each row under its own variant's rule, in one plan for all rules."""
-    check_exposure(high_q, extreme_q, normal, high, extreme, method, min_history, "hysteresis", exit_q)
+    rules: the variants that occur. Quantiles of earlier values, holds and shifts are scans over blocks of rows, so that one long
+    series is spread over tasks as many short ones are."""
+    check_exposure(high_q, extreme_q, normal, high, extreme, method, min_history, "hysteresis" if any(r.endswith("hysteresis") for r in rules) else "daily", exit_q)
     keys, v = [*by, "variant"], F.col("variant")
-    w, levels = ordered(keys), F.array(F.lit(high_q), F.lit(extreme_q), F.lit(exit_q))
-    df = scores.withColumn("s", num("score"))
-    mean = lambda n: F.avg("s").over(trailing(keys, n))
-    df = df.withColumn("s", F.when(v == "smoothed_10d", mean(10)).when(v.startswith("smoothed"), mean(5)).otherwise(F.col("s")))
+    levels = [high_q, extreme_q, exit_q]
+    df = scores.select(*keys, "date", num("score").alias("s"), *([thresholds.alias("q")] if thresholds is not None else []))
+    if any(r.startswith("smoothed") for r in rules):
+        means = trailing_means(df, keys, "s", {"_m5": 5, "_m10": 10})
+        df = means.withColumn("s", F.when(v == "smoothed_10d", F.col("_m10")).when(v.startswith("smoothed"), F.col("_m5")).otherwise(F.col("s"))).drop("_m5", "_m10")
     if thresholds is not None:
-        df = df.withColumn("q", thresholds).withColumn("enough", F.lit(True))
+        enough = F.lit(True)
     elif method == "full_sample":
-        df = df.withColumn("q", F.percentile("s", levels).over(Window.partitionBy(*keys))).withColumn("enough", F.lit(True))
+        df = stored(df)
+        whole = df.groupBy(*keys).agg(F.percentile("s", F.array(*map(F.lit, levels))).alias("q")).select(F.struct(*keys).alias("_key"), "q")
+        df, enough = df.join(whole, F.struct(*keys) == F.col("_key")).drop("_key"), F.lit(True)
     else:
-        df = df.withColumn("q", F.percentile("s", levels).over(before(keys))).withColumn("enough", F.count("s").over(before(keys)) >= min_history)
-    s, known = F.col("s"), F.coalesce(F.col("enough") & F.col("s").isNotNull() & F.col("q")[0].isNotNull(), F.lit(False))
+        df, enough = expanding_quantiles(df, keys, "s", levels), F.col("earlier") >= min_history
+    s, known = F.col("s"), F.coalesce(enough & F.col("s").isNotNull() & F.col("q")[0].isNotNull(), F.lit(False))
     top, second = known & (s >= F.col("q")[1]), known & (s >= F.col("q")[0])
+    # with hysteresis the state depends on the past only through holding, so it is the last row's verdict that was not to hold
     said = F.when(top, extreme).when(second, high).when(known & (s < F.col("q")[2]), normal)
-    df = df.withColumn("raw", F.when(v.endswith("hysteresis"), F.coalesce(F.last(said, ignorenulls=True).over(until(keys)), F.lit(normal))).when(top, extreme).when(second, high).otherwise(F.lit(normal)))
-    first = F.when((F.weekday("date") == 0) | (F.row_number().over(w) == 1), F.col("raw"))
-    df = df.withColumn("raw", F.when(v == "weekly", F.coalesce(F.last(first, ignorenulls=True).over(until(keys)), F.lit(normal))).otherwise(F.col("raw")))
-    df = stored(df.select(*keys, "date", "raw"))
-    df = df.where(v != "cooldown_5d").unionByName(_cooled(df.where(v == "cooldown_5d"), keys, cooldown))
-    return df.select(*keys, "date", F.lag("raw", 1, normal).over(w).alias("exposure"))
-
-
-def _cooled(df: DataFrame, by: list[str], days: int) -> DataFrame:
-    """raw with changes accepted only more than ``days`` rows after the last accepted one: each strategy's rows in turn."""
-    keys, rows = by or ["_all"], df if by else df.withColumn("_all", F.lit(0))
-    kinds = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in [*keys, "date"])
-
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("date")
-        return f[[*keys, "date"]].assign(raw=kernels.cooled(f["raw"].to_numpy(float), days))
-
-    return rows.select(*keys, "date", "raw").groupBy(*keys).applyInPandas(run, f"{kinds}, raw double").drop(*([] if by else ["_all"]))
+    df = df.select(*keys, "date", said.alias("said"), F.when(top, extreme).when(second, high).otherwise(F.lit(normal)).alias("raw"))
+    monday = F.when(F.weekday("date") == 0, F.col("raw"))
+    df = running(df, keys, {"held": ("last", F.col("said")), "week": ("last", monday), "start": ("first", F.col("raw"))})
+    raw = F.when(v.endswith("hysteresis"), F.coalesce("held", F.lit(normal))).when(v == "weekly", F.coalesce("week", "start")).otherwise(F.col("raw"))
+    df = df.withColumn("raw", raw)
+    if "cooldown_5d" in rules:
+        df = stored(unblocked(df).select(*keys, "date", "raw"))
+        df = df.where(v != "cooldown_5d").unionByName(cooled(df.where(v == "cooldown_5d"), keys, cooldown))
+    return unblocked(running(df, keys, {"exposure": ("lag", F.col("raw"))})).select(*keys, "date", F.coalesce("exposure", F.lit(normal)).alias("exposure"))
+
+
+#: Doublings of the jumps between two written rounds.
+HOPS = 3
+
+
+def cooled(df: DataFrame, by: Sequence[str], days: int) -> DataFrame:
+    """(by, date, raw) with the value held unless a change comes more than ``days`` rows after the last one that was accepted.
+
+    What follows an accepted change depends on its row alone: the next one is the first row more than ``days`` on whose value
+    differs. So every row points to the change that would follow it, pointers are composed with themselves until they span the
+    series, and the changes are the rows that the pointers reach from the first; log n joins, no row after row."""
+    key = F.struct(*[F.col(b) for b in by]) if by else F.lit(0)
+    rows = running(df.select(*by, "date", "raw"), by, {"n": ("count", F.lit(1)), "before": ("lag", F.col("raw"))})
+    rows = running(rows, by, {"run": ("count", F.when(F.col("raw") != F.col("before"), 1))})
+    rows = stored(unblocked(rows).select(*by, "date", "raw", "n", "run", key.alias("key")))
+    starts = rows.groupBy("key", "run").agg(F.min("n").alias("start"))
+    later = rows.select("key", (F.col("n") - days - 1).alias("n"), F.col("raw").alias("then"), (F.col("run") + 1).alias("run"))
+    follow = rows.select("key", "n", "raw").join(later, ["key", "n"]).join(starts, ["key", "run"], "left")
+    jump = F.when(F.col("then") != F.col("raw"), F.col("n") + days + 1).otherwise(F.col("start"))
+    jumps = stored(follow.select("key", "n", jump.alias("to")).where("to is not null"))
+    found, size = stored(starts.where("run = 1").select("key", F.col("start").alias("n"))), 0
+    while (now := found.count()) > size:
+        size = now
+        for _ in range(HOPS):
+            found = found.unionAll(found.join(jumps, ["key", "n"]).select("key", F.col("to").alias("n"))).distinct()
+            second = jumps.select("key", F.col("n").alias("from"), F.col("to").alias("n"))
+            jumps = second.join(jumps, ["key", "n"]).select("key", F.col("from").alias("n"), "to")
+        found, jumps = stored(found), stored(jumps)
+    changed = rows.join(found.withColumn("changed", F.lit(True)), ["key", "n"], "left").select(*by, "date", "raw", F.when(F.col("changed"), F.col("raw")).alias("change"))
+    out = unblocked(running(changed, by, {"held": ("last", F.col("change")), "start": ("first", F.col("raw"))}))
+    return out.select(*by, "date", F.coalesce("held", "start").alias("raw"))
 
 
 def benchmark_exposures(benchmarks: DataFrame, columns: Sequence[str] | None = None, **options) -> DataFrame:
@@ -137,8 +144,9 @@ def with_costs(overlay: DataFrame, by: Sequence[str] = (), bps: Sequence[float]
     """(by, cost_bps, date, ret): overlay returns less costs on each change of exposure between joined rows."""
     if any(b < 0 for b in bps):
         raise ValueError("costs can't be below zero basis points")
-    change = F.coalesce(F.abs(F.col("exposure") - F.lag("exposure").over(ordered(by))), F.lit(0.0))
-    return overlay.withColumn("c", change).select(*by, F.explode(F.array(*[F.lit(float(b)) for b in bps])).alias("cost_bps"), "date", "ret", "c").withColumn("ret", F.col("ret") - F.col("c") * F.col("cost_bps") / 10_000).drop("c")
+    before = unblocked(running(overlay, by, {"_before": ("lag", F.col("exposure"))}))
+    change = F.coalesce(F.abs(F.col("exposure") - F.col("_before")), F.lit(0.0))
+    return before.withColumn("c", change).select(*by, F.explode(F.array(*[F.lit(float(b)) for b in bps])).alias("cost_bps"), "date", "ret", "c").withColumn("ret", F.col("ret") - F.col("c") * F.col("cost_bps") / 10_000).drop("c")
 
 
 def performance(returns: DataFrame, by: Sequence[str] = (), days: int = 252) -> DataFrame:
@@ -146,8 +154,8 @@ def performance(returns: DataFrame, by: Sequence[str] = (), days: int = 252) ->
     if days <= 0:
         raise ValueError("a year has one trading day or more")
     r = returns.select(*by, "date", num("ret").alias("r")).where("r is not null")
-    r = r.withColumn("w", F.product(1 + F.greatest(F.col("r"), F.lit(-0.999999))).over(until(by)))
-    r = r.withColumn("d", F.col("w") / F.max("w").over(until(by)) - 1)
+    r = running(r, by, {"w": ("product", 1 + F.greatest(F.col("r"), F.lit(-0.999999)))})
+    r = unblocked(running(r, by, {"top": ("max", F.col("w"))})).withColumn("d", F.col("w") / F.col("top") - 1)
     scale = float(days) ** 0.5
     agg = r.groupBy(*by).agg(
         F.max_by("w", "date").alias("w"), F.count("r").alias("n"), (F.stddev_samp("r") * scale).alias("vol"), (F.stddev_samp(F.when(F.col("r") < 0, F.col("r"))) * scale).alias("down"), F.min("d").alias("mdd"), F.avg("r").alias("mean"),
@@ -167,7 +175,7 @@ def turnover(exposures: DataFrame, by: Sequence[str] = (), days: int = 252) -> D
     if days <= 0:
         raise ValueError("a year has one trading day or more")
     e = exposures.select(*by, "date", num("exposure").alias("e")).where("e is not null")
-    e = e.withColumn("c", F.coalesce(F.abs(F.col("e") - F.lag("e").over(ordered(by))), F.lit(0.0)))
+    e = unblocked(running(e, by, {"before": ("lag", F.col("e"))})).withColumn("c", F.coalesce(F.abs(F.col("e") - F.col("before")), F.lit(0.0)))
     return e.groupBy(*by).agg(F.avg("e").alias(TURNOVER[0]), F.avg((F.col("e") < 1).cast("double")).alias(TURNOVER[1]), F.sum((F.col("c") > 1e-12).cast("double")).alias(TURNOVER[2]), (F.sum("c") * days / F.count("c")).alias(TURNOVER[3]), F.avg("c").alias(TURNOVER[4]))
 
 
@@ -226,7 +234,7 @@ def evaluate_variants(returns: DataFrame, scores: DataFrame, columns: Sequence[s
     if unknown:
         raise ValueError(f"unknown rule {sorted(unknown)[0]!r}")
     long = long.withColumn("variant", F.explode(F.array(*map(F.lit, variants))))
-    e = stored(exposure_by_rule(long, [*keys, "score_name"], **options).select(*by, "date", "exposure"))
+    e = stored(exposure_by_rule(long, [*keys, "score_name"], rules=tuple(variants), **options).select(*by, "date", "exposure"))
     overlay = apply_overlay(base, e, by)
     own = turnover(e, by, days)
     comparison = performance(overlay, by, days).join(own, by).join(extreme_share(e, by), by).withColumnRenamed("score_name", "score")

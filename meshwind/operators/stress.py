@@ -6,10 +6,12 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import finite, full_only, label, num, ordered, trailing, until
+from ..functions.exprs import full_only, label, num, ordered, trailing
+from ..functions.scans import blocked, halo_window, running, with_halo
+from ..sources.panels import stored
 from .returns import dense, market_return
 
 #: Fixed benchmark columns, in order.
@@ -22,17 +24,18 @@ def realized_volatility(returns: DataFrame, window: int = 21, annualize: bool =
         raise ValueError("a window has two rows or more")
     if trading_days <= 0:
         raise ValueError("a year has one trading day or more")
-    vol = full_only(F.stddev_samp("ret"), F.col("ret"), trailing([], window), window)
-    return market_return(returns).select("date", (vol * float(np.sqrt(trading_days)) if annualize else vol).alias("realized_volatility"))
+    vol = full_only(F.stddev_samp("ret"), F.col("ret"), halo_window([], 1 - window, 0), window)
+    rows = with_halo(market_return(returns), [], window - 1).withColumn("v", vol * float(np.sqrt(trading_days)) if annualize else vol)
+    return rows.where("own").select("date", F.col("v").alias("realized_volatility"))
 
 
 def market_drawdown(prices: DataFrame, value: str = "value") -> DataFrame:
     """(date, drawdown): price against its maximum so far, null where the price is."""
-    p = prices.select("date", num(value).alias("p"))
+    p = blocked(prices.select("date", num(value).alias("p")), [], ["date"])
     if p.where("p is not null").isEmpty():
         raise ValueError("a drawdown needs at least one known price")
     p = p.withColumn("p", F.when(F.col("p") <= 0, F.raise_error(F.lit("prices must be positive"))).otherwise(F.col("p")))
-    return p.select("date", (F.col("p") / F.max("p").over(until([])) - 1).alias("drawdown"))
+    return running(p, [], {"top": ("max", F.col("p"))}).select("date", (F.col("p") / F.col("top") - 1).alias("drawdown"))
 
 
 def correlation_scores(returns: DataFrame, window: int = 126) -> DataFrame:
@@ -65,13 +68,12 @@ def over_windows(returns: DataFrame, window: int, min_periods: int, run, schema:
     Dates go out in blocks with the window before each block, so that a row travels about twice whatever the window."""
     rows = dense(returns).groupBy("date").agg(F.transform(F.array_sort(F.collect_list(F.struct("asset", F.coalesce("value", F.lit(float("nan"))).alias("v")))), lambda s: s["v"]).alias("row"))
     size = max(window, 64)
-    rows = rows.withColumn("n", F.row_number().over(ordered([])) - 1)
-    blocks = rows.withColumn("block", F.explode(F.sequence(F.floor(F.col("n") / size), F.floor((F.col("n") + window - 1) / size))))
+    blocks = with_halo(rows, [], window - 1, size=size).withColumnRenamed("part", "block")
 
     def work(key, f):
         f = f.sort_values("n")
         values, n = matrix(f["row"]), f["n"].to_numpy()
-        own = np.flatnonzero((n // size == key[0]) & (n + 1 >= min_periods))
+        own = np.flatnonzero(f["own"].to_numpy() & (n + 1 >= min_periods))
         frame = pd.DataFrame({"date": f["date"].to_numpy()[own], "w": [values[max(0, k - window + 1) : k + 1] for k in own]})
         made = list(run([frame])) if len(own) else []
         return pd.concat(made) if made else pd.DataFrame({c.strip().split(" ")[0]: pd.Series([], dtype=object) for c in schema.split(",")})
@@ -102,9 +104,13 @@ def stress_labels(vix: DataFrame | None = None, drawdown: DataFrame | None = Non
     frames = [f.select("date", num(next(c for c in f.columns if c != "date")).alias(n)) for n, f in given]
     df = outer_join(*frames)
     names = [n for n, _ in given]
+    quantiles = {}
     for n, q in (("realized_volatility", vol_quantile), ("average_correlation", correlation_quantile)):
         if n in names:
-            df = df.withColumn(f"_q_{n}", F.percentile(n, q).over(Window.partitionBy()))
+            quantiles[f"_q_{n}"] = F.percentile(n, q)
+    if quantiles:
+        df = stored(df)
+        df = df.crossJoin(F.broadcast(df.agg(*[c.alias(n) for n, c in quantiles.items()])))  # one row
     tests = {"vix": F.col("vix") >= vix_threshold, "drawdown": F.col("drawdown") <= drawdown_threshold} | {n: F.col(n) >= F.col(f"_q_{n}") for n in ("realized_volatility", "average_correlation") if n in names}
     out = {"average_correlation": "correlation"}
     made = [f"{out.get(n, n)}_stress_label" for n in names]
@@ -124,10 +130,9 @@ def stress_onsets(labels: DataFrame, min_gap: int = 20, column: str = "systemic_
         if len(rest) != 1:
             raise KeyError(f"no column {column!r} to find onsets in")
         column = rest[0]
-    w = ordered([])
-    df = labels.select("date", F.coalesce(num(column).cast("int"), F.lit(0)).alias("l"), F.row_number().over(w).alias("n"))
-    last = F.coalesce(F.max(F.when(F.col("l") != 0, F.col("n"))).over(w.rowsBetween(-(2**31), -1)), F.lit(0))
-    starts = (F.col("l") == 1) & (F.coalesce(F.lag("l").over(w), F.lit(0)) == 0) & (F.col("n") - last - 1 >= min_gap)
+    df = running(labels.select("date", F.coalesce(num(column).cast("int"), F.lit(0)).alias("l")), [], {"n": ("count", F.lit(1)), "before": ("lag", F.col("l"))})
+    df = running(df, [], {"stressed": ("max", F.when(F.col("l") != 0, F.col("n")))}, strict=True)
+    starts = (F.col("l") == 1) & (F.coalesce("before", F.lit(0)) == 0) & (F.col("n") - F.coalesce("stressed", F.lit(0)) - 1 >= min_gap)
     return df.select("date", starts.cast("int").alias("stress_onset_label"))
 
 
@@ -136,4 +141,5 @@ def benchmark_changes(benchmarks: DataFrame) -> DataFrame:
     found = [c for c in BENCHMARKS if c in benchmarks.columns]
     if not found:
         raise ValueError("none of the known benchmarks is a column")
-    return benchmarks.select("date", *[(num(c) - F.lag(num(c)).over(ordered([]))).alias(f"{c}_change") for c in found])
+    df = running(benchmarks.select("date", *[num(c).alias(c) for c in found]), [], {f"_before_{c}": ("lag", F.col(c)) for c in found})
+    return df.select("date", *[(F.col(c) - F.col(f"_before_{c}")).alias(f"{c}_change") for c in found])

@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import CONSTANT, melt, num, require, until
+from ..functions.exprs import CONSTANT, melt, num, require
+from ..functions.scans import running
 from ..operators.evaluate import RI
 
 
@@ -56,8 +57,8 @@ def regime_bars(summary: DataFrame, metric: str = "volatility") -> DataFrame:
 
 def wealth_and_drawdown(returns: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """(by, date, wealth, drawdown)."""
-    df = returns.where(num("ret").isNotNull()).withColumn("wealth", F.product(1 + F.greatest("ret", F.lit(-0.999999))).over(until(by)))
-    return df.select(*by, "date", "wealth", (F.col("wealth") / F.max("wealth").over(until(by)) - 1).alias("drawdown"))
+    df = running(returns.where(num("ret").isNotNull()).select(*by, "date", "ret"), by, {"wealth": ("product", 1 + F.greatest("ret", F.lit(-0.999999)))})
+    return running(df, by, {"top": ("max", F.col("wealth"))}).select(*by, "date", "wealth", (F.col("wealth") / F.col("top") - 1).alias("drawdown"))
 
 
 def heatmap(table: DataFrame, rows: str, columns: str, value: str, names: Sequence) -> DataFrame:
