@@ -31,18 +31,17 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Decided by row: ids may be null or repeat, rows that only share an id with a copy stay, and of repeated rows one stays.
     Null and empty texts stay; an empty table gives no rows; all columns are kept as they are.
     """
-    name = "_row"
-    while name in docs.columns:
-        name += "_"
-    place = F.struct("_metadata.file_path", "_metadata.row_index").alias(name)
+    plain = docs.toDF(*[f"_c{k}" for k in range(len(docs.columns))])  # so that no column hides the place, or looks like one
+    place = F.struct("_metadata.file_path", "_metadata.row_index").alias("_row")
     try:
-        keyed = docs.select("*", place)
+        keyed = plain.select("*", place)
     except AnalysisException:  # not read from files
-        keyed = materialize(docs).select("*", place)
-    found = materialize(near_dup.near_duplicates(keyed, percent=80, row_col=name))
-    gone = found.where(~F.col("stays")).select(F.col("row").alias(name))
+        keyed = materialize(plain).select("*", place)
+    own = {c: f"_c{k}" for k, c in enumerate(docs.columns)}
+    found = materialize(near_dup.near_duplicates(keyed, id_col=own["doc_id"], text_col=own["text"], percent=80, row_col="_row"))
+    gone = found.where(~F.col("stays")).select(F.col("row").alias("_row"))
     gone = F.broadcast(gone) if gone.count() <= near_dup.BROADCAST_ROWS else gone
-    return keyed.join(gone, name, "left_anti").drop(name)
+    return keyed.join(gone, "_row", "left_anti").drop("_row").toDF(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,14 +66,15 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, with whether they decode to its text.
+    """Token ids of each document, with whether they decode to its text: n_tokens, ids, ids_sha256, round_trip.
 
     Null and empty texts have no ids; repeated rows fare alike; an empty table gives no rows; columns other than the text
-    are kept as they are.
+    are kept as they are, but those that are named like a result, in whatever case, give way to it.
     """
-    rest = _rest(docs)
+    made = ("n_tokens", "ids", "ids_sha256", "round_trip")
+    rest = tuple(c for c in _rest(docs) if c.lower() not in made)
     coded = pieces.encode_documents(docs, keep=rest)
-    return coded.select(F.col("id").alias("doc_id"), *[F.col(f"c_{c}").alias(c) for c in rest], "n_tokens", "ids", "ids_sha256", "round_trip")
+    return coded.select(F.col("id").alias("doc_id"), *[F.col(f"c_{c}").alias(c) for c in rest], *made)
 
 
 STAGES = [
