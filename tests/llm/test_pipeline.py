@@ -63,3 +63,20 @@ def test_near_duplicates_are_dropped_by_row(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted(((r.doc_id, r.text) for r in P.drop_near_duplicates(spark, docs, "").collect()), key=str)
     assert got == sorted([rows[0], rows[2], rows[3], rows[6], (6, ""), (6, "")], key=str)
+
+
+@pytest.mark.parametrize("rows", [0, 40])
+def test_stages_keep_columns_of_any_name(spark, tmp_path, rows):
+    """Columns named like internal ones, a very long text, empty tables of documents, labels and items."""
+    made = [(i, "x" * 3, f"plain words number {i} " + "and so on " * (20_000 if i == 7 else 3), 1, i, "m", "r", "d", 2, 3) for i in range(rows)]
+    schema = "doc_id long, lang string, text string, ids int, N_TOKENS int, _metadata string, _row string, doc string, id int, n_chars long"
+    spark.createDataFrame(made, schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in P.STAGES[:-1]:
+        docs = P.materialize(stage(spark, docs, str(tmp_path)))
+        assert docs.columns == [c.split()[0] for c in schema.split(", ")]
+    last = P.STAGES[-1][1](spark, docs, str(tmp_path))
+    assert last.columns == ["doc_id", "lang", "_metadata", "_row", "doc", "id", "n_chars", "n_tokens", "ids", "ids_sha256", "round_trip"]
+    assert last.count() == docs.count() and (rows == 0 or last.first()["_metadata"] == "m")
