@@ -24,7 +24,7 @@ def empirical(returns: DataFrame, benchmarks: DataFrame, window: int = 126, alph
     ri = graph.regime_indicator(features)
     aligned = evaluate.align(ri, benchmarks)
     return {
-        "graph_regime_features": features, "graph_regime_indicator": ri, "benchmark_stress_labels": benchmarks, "graph_lasso_convergence_diagnostics": graph.convergence_summary(features), "contemporaneous_diagnostics": evaluate.contemporaneous_diagnostics(aligned),
+        "network_features": features, "regime_indicator": ri, "benchmark_stress_labels": benchmarks, "graph_lasso_convergence_diagnostics": graph.convergence_summary(features), "contemporaneous_diagnostics": evaluate.contemporaneous_diagnostics(aligned),
         "predictive_diagnostics": evaluate.predictive_power(ri, evaluate.forward_targets(returns, horizons)), "regime_class_summary": evaluate.regime_summary(ri, returns),
     }
 
