@@ -21,6 +21,7 @@ from .sources import panels
 SPLITS = models.SampleSplits("1995-01-01", "1997-12-31", "1998-01-01", "1998-12-31", "1999-01-01")
 ORIGINS = selection.origin_splits((1999, 2000, 2001), "1995-01-01")
 WINDOW, ALPHA = 52, 0.05
+FIT = {"tol": 1e-12, "enet_tol": 1e-13}
 EVENTS = ("1994-01-01", "1996-03-15", "1999-06-01", "2005-01-01")
 
 
@@ -43,14 +44,22 @@ class Data:
         return self._keep(f"r{which}", lambda: ret.prices_to_returns(self.prices(which)))
 
     def pca(self) -> DataFrame:
-        return self._keep("pca", lambda: graph.rolling_pca_features(self.pair(), WINDOW))
+        return self._keep("pca", lambda: graph.rolling_pca_features(self.three(), WINDOW))
 
     def two(self, *columns: str) -> DataFrame:
-        return self.ri(True).select("date", *columns)
+        return self.net().select("date", *columns)
 
     def pair(self) -> DataFrame:
         return self._keep("rpair", lambda: ret.prices_to_returns(self.prices("W2")))
 
+    def three(self) -> DataFrame:
+        return self._keep("rthree", lambda: ret.prices_to_returns(self.prices("W3")))
+
+    def net(self) -> DataFrame:
+        """Networks of three assets and their indicator, fitted to the last digits, as the equivalent SQL is."""
+        made = lambda: graph.rolling_graph_features(self.three(), WINDOW, ALPHA, partial_corr_threshold=0.0, max_iter=1000, **FIT)
+        return self._keep("net", lambda: graph.regime_indicator(self._keep("nets", made)))
+
     def index(self) -> DataFrame:
         return self.prices().groupBy("date").agg(F.avg("value").alias("value"))
 
@@ -129,15 +138,24 @@ CTES = {
     "pr0": "select date, max(case when asset = 's0' then value end) as a, max(case when asset = 's1' then value end) as c from (select date, asset, ln(value / lag(value) over (partition by asset order by date)) as value from (select x.date, y.asset, p2.value from (select distinct date from p2) x cross join (select distinct asset from p2) y left join p2 on p2.date = x.date and p2.asset = y.asset)) group by date",
     "pr": "select * from pr0 where a is not null or c is not null",
     "prc": "select * from pr where a is not null and c is not null",
-    "g0": "select date, row_number() over (order by date) as n, covar_pop(a, c) over w / (stddev_pop(a) over w * stddev_pop(c) over w) as rho from prc window w as (order by date rows between 51 preceding and current row)",
-    "g1": "select date, greatest(abs(rho) - 0.05, 0.0) as a from g0 where n >= 52",
-    "g": "select date, a as average_graph_strength, a as weighted_edge_density, 2 * a as algebraic_connectivity, 2 * a as largest_laplacian_eigenvalue, case when a > 0 then 1.0 else 0.0 end as largest_laplacian_eigenvalue_share, 2 * abs(a - lag(a) over (order by date)) as laplacian_frobenius_change, case when a > 0 then 1.0 else 0.0 end as number_of_edges, a as average_node_strength, case when a > 0 then 0.0 end as modularity from g1",
+    "h0": "select date, row_number() over (order by date) as n, covar_pop(a, c) over w / (stddev_pop(a) over w * stddev_pop(c) over w) as rho from prc window w as (order by date rows between 51 preceding and current row)",
+    "h1": "select date, greatest(abs(rho) - 0.05, 0.0) as a from h0 where n >= 52",
+    "h": "select date, a as average_graph_strength, a as weighted_edge_density, 2 * a as algebraic_connectivity, 2 * a as largest_laplacian_eigenvalue, case when a > 0 then 1.0 else 0.0 end as largest_laplacian_eigenvalue_share, 2 * abs(a - lag(a) over (order by date)) as laplacian_frobenius_change, case when a > 0 then 1.0 else 0.0 end as number_of_edges, a as average_node_strength, case when a > 0 then 0.0 end as modularity from h1",
+    "p3": "select cast(date_trunc('week', l_shipdate) as date) as date, l_returnflag as asset, avg(l_extendedprice) as value from lineitem group by all",
+    "nr0": "select date, max(case when asset = 'A' then value end) as a, max(case when asset = 'N' then value end) as c, max(case when asset = 'R' then value end) as e from (select date, asset, ln(value / lag(value) over (partition by asset order by date)) as value from (select x.date, y.asset, p3.value from (select distinct date from p3) x cross join (select distinct asset from p3) y left join p3 on p3.date = x.date and p3.asset = y.asset)) group by date",
+    "nr": "select * from nr0 where a is not null or c is not null or e is not null",
+    "nrc": "select * from nr where a is not null and c is not null and e is not null",
+    "g0": "select date, row_number() over (order by date) as n, corr(a, c) over w as x, corr(a, e) over w as y, corr(c, e) over w as z from nrc window w as (order by date rows between 51 preceding and current row)",
+    "ls": twin.lasso("g0 where n >= 52", (0.05, 0.1, 0.2)),
+    "lp": twin.partials("ls"),
+    "g1": "select * from lp where alpha = 0.05",
+    "g": twin.network("g1"),
+    "pc0": "select date, n, least(ca, cc, ce) >= 42 as ok, coalesce(x, 0) as x, coalesce(y, 0) as y, coalesce(z, 0) as z from (select date, row_number() over (order by date) as n, count(a) over v as ca, count(c) over v as cc, count(e) over v as ce, corr(a, c) over v as x, corr(a, e) over v as y, corr(c, e) over v as z from nr window v as (order by date rows between 51 preceding and current row)) where n >= 52",
+    "pc1": twin.spectrum("pc0"),
+    "pc": "select date, e as pca_first_eigenvalue, s as pca_first_eigenvalue_share, k as pca_effective_rank, e - last_value(e ignore nulls) over w as pca_first_eigenvalue_change, k - last_value(k ignore nulls) over w as pca_effective_rank_change from pc1 window w as (order by date rows between unbounded preceding and 1 preceding)",
     "zs": "select g.*, " + twin.z({f"z_{c}": c for c in components.COMPONENTS}) + " from g",
     "ri": "select *, z_average_graph_strength + z_algebraic_connectivity + z_largest_laplacian_eigenvalue_share + z_laplacian_frobenius_change as regime_indicator from zs",
     "sco": "select *, z_average_graph_strength + z_algebraic_connectivity + z_weighted_edge_density as connectivity_score, z_laplacian_frobenius_change as transition_score, z_largest_laplacian_eigenvalue_share as spectral_score, (" + " + ".join(f"z_{c}" for c in components.COMPONENTS) + ") / 6 as graph_components_equal_weight_score from ri",
-    "pc0": "select date, case when ca >= 42 and cc >= 42 then abs(coalesce(rho, 0)) end as q from (select date, row_number() over (order by date) as n, count(a) over v as ca, count(c) over v as cc, corr(a, c) over v as rho from pr window v as (order by date rows between 51 preceding and current row)) where n >= 52",
-    "pc1": "select date, 1 + q as e, (1 + q) / 2 as s, exp(-((1 + q) / 2 * ln((1 + q) / 2) + case when q < 1 then (1 - q) / 2 * ln((1 - q) / 2) else 0 end)) as k from pc0",
-    "pc": "select date, e as pca_first_eigenvalue, s as pca_first_eigenvalue_share, k as pca_effective_rank, e - last_value(e ignore nulls) over w as pca_first_eigenvalue_change, k - last_value(k ignore nulls) over w as pca_effective_rank_change from pc1 window w as (order by date rows between unbounded preceding and 1 preceding)",
     "gd": "select x.date, y.asset, r.value from (select distinct date from r) x cross join (select distinct asset from r) y left join r on r.date = x.date and r.asset = y.asset",
     "co0": "select a.date, a.asset || '~' || b.asset as pair, case when b.value is not null then a.value end as x, case when a.value is not null then b.value end as y from gd a join gd b on a.date = b.date and a.asset < b.asset",
     "co1": "select date, row_number() over (partition by pair order by date) as n, covar_pop(x, y) over w / nullif(stddev_pop(x) over w * stddev_pop(y) over w, 0) as c from co0 window w as (partition by pair order by date rows between 51 preceding and current row)",
@@ -149,7 +167,7 @@ CTES = {
     "tg": "select date, 'realized_volatility_5d' as target, vol5 as y from t union all select date, 'realized_volatility_21d', vol21 from t union all select date, 'max_drawdown_' || h || 'd', v from fd union all select date, 'stress_onset_label', stress_onset_label from ons",
 }
 _NEEDS = {
-    "p": "", "d": "p", "r0": "d", "r": "r0", "m": "r", "vol": "m", "idx": "p", "dd": "idx", "vx": "", "b": "vx dd vol", "lab": "b", "labs": "lab", "ons0": "labs", "ons": "ons0", "e0": "vol", "e1": "e0", "e": "e1", "o": "m e", "t": "m", "pr0": "p2", "pr": "pr0", "prc": "pr", "g0": "prc", "g1": "g0", "g": "g1", "p2": "", "zs": "g", "ri": "zs", "sco": "ri", "pc0": "pr", "pc1": "pc0", "pc": "pc1", "gd": "r", "co0": "gd", "co1": "co0", "co": "co1", "bm0": "labs co", "bm": "bm0", "fw": "m", "fd": "fw", "tg": "t fd ons",
+    "p": "", "d": "p", "r0": "d", "r": "r0", "m": "r", "vol": "m", "idx": "p", "dd": "idx", "vx": "", "b": "vx dd vol", "lab": "b", "labs": "lab", "ons0": "labs", "ons": "ons0", "e0": "vol", "e1": "e0", "e": "e1", "o": "m e", "t": "m", "pr0": "p2", "pr": "pr0", "prc": "pr", "h0": "prc", "h1": "h0", "h": "h1", "p2": "", "p3": "", "nr0": "p3", "nr": "nr0", "nrc": "nr", "g0": "nrc", "ls": "g0", "lp": "ls", "g1": "lp", "g": "g1", "zs": "g", "ri": "zs", "sco": "ri", "pc0": "nr", "pc1": "pc0", "pc": "pc1", "gd": "r", "co0": "gd", "co1": "co0", "co": "co1", "bm0": "labs co", "bm": "bm0", "fw": "m", "fd": "fw", "tg": "t fd ons",
 }
 
 
@@ -161,7 +179,7 @@ def sql(needs: str, body: str, extra: str = "", recursive: bool = False) -> str:
             want.add(n)
             stack += _NEEDS[n].split()
     parts = [f"{n} as ({CTES[n]})" for n in CTES if n in want] + ([extra] if extra else [])
-    return f"with {'recursive ' if recursive else ''}" + ",\n".join(parts) + "\n" + body
+    return f"with {'recursive ' if recursive or 'ls' in want else ''}" + ",\n".join(parts) + "\n" + body
 
 
 PERF, TURN = twin.PERF, twin.TURN
@@ -342,7 +360,7 @@ def _(d):
 
 @query("converged_vs_all", sql("ri bm t fd m", f"select sample, {_RSOUT} from rsum", _RS.format(src="(select date, regime_indicator as x, 1.0 as ok, sample from ri, unnest(['all_windows', 'converged_only']) as u(sample))", by="sample, ", group="group by sample", join="join rq using (sample)")))
 def _(d):
-    return evaluate.converged_vs_all(d.ri(True), d.benchmarks(), d.returns())
+    return evaluate.converged_vs_all(d.net(), d.benchmarks(), d.returns())
 
 
 # ---- exposures and overlays
@@ -451,30 +469,30 @@ def _(d):
 _G = ", ".join(f"round({c}, 6) as {c}" for c in ("average_graph_strength", "weighted_edge_density", "algebraic_connectivity", "largest_laplacian_eigenvalue", "largest_laplacian_eigenvalue_share", "laplacian_frobenius_change", "number_of_edges"))
 
 
-@query("graph_features_two_assets", sql("g", f"select date, {_G} from g"))
+@query("graph_features_two_assets", sql("h", f"select date, {_G} from h"))
 def _(d):
     return d.ri(True).select("date", *[c for c in graph.FEATURES if c not in ("modularity", "average_node_strength")])
 
 
-_Z = "z as (select date, " + ", ".join(f"coalesce(case when stddev_pop({c}) over () > 1e-15 then ({c} - avg({c}) over ()) / stddev_pop({c}) over () else 0 end, 0) as z_{c}" for c in ("average_graph_strength", "algebraic_connectivity", "largest_laplacian_eigenvalue_share", "laplacian_frobenius_change", "weighted_edge_density")) + " from g)"
+_Z = "z as (select date, " + ", ".join(f"coalesce(case when stddev_pop({c}) over () > 1e-15 then ({c} - avg({c}) over ()) / stddev_pop({c}) over () else 0 end, 0) as z_{c}" for c in ("average_graph_strength", "algebraic_connectivity", "largest_laplacian_eigenvalue_share", "laplacian_frobenius_change", "weighted_edge_density")) + " from h)"
 
 
-@query("regime_indicator_two_assets", sql("g", "select date, round(z_average_graph_strength + z_algebraic_connectivity + z_largest_laplacian_eigenvalue_share + z_laplacian_frobenius_change, 6) as regime_indicator from z", _Z))
+@query("regime_indicator_two_assets", sql("h", "select date, round(z_average_graph_strength + z_algebraic_connectivity + z_largest_laplacian_eigenvalue_share + z_laplacian_frobenius_change, 6) as regime_indicator from z", _Z))
 def _(d):
     return d.ri(True).select("date", "regime_indicator")
 
 
-@query("component_scores_two_assets", sql("g", "select date, round(z_average_graph_strength + z_algebraic_connectivity + z_weighted_edge_density, 6) as connectivity_score, round(z_laplacian_frobenius_change, 6) as transition_score, round(z_largest_laplacian_eigenvalue_share, 6) as spectral_score, round((2 * z_average_graph_strength + z_algebraic_connectivity + z_weighted_edge_density + z_laplacian_frobenius_change + z_largest_laplacian_eigenvalue_share) / 6, 6) as graph_components_equal_weight_score from z", _Z))
+@query("component_scores_two_assets", sql("h", "select date, round(z_average_graph_strength + z_algebraic_connectivity + z_weighted_edge_density, 6) as connectivity_score, round(z_laplacian_frobenius_change, 6) as transition_score, round(z_largest_laplacian_eigenvalue_share, 6) as spectral_score, round((2 * z_average_graph_strength + z_algebraic_connectivity + z_weighted_edge_density + z_laplacian_frobenius_change + z_largest_laplacian_eigenvalue_share) / 6, 6) as graph_components_equal_weight_score from z", _Z))
 def _(d):
     return components.add_component_scores(d.ri(True)).select("date", "connectivity_score", "transition_score", "spectral_score", "graph_components_equal_weight_score")
 
 
-@query("residuals_on_one_control", sql("g vol", "select g.date, round(average_graph_strength - a - b * v, 6) as orthogonal_average_graph_strength from g left join vol on vol.date = g.date cross join line", "line as (select regr_intercept(average_graph_strength, v) as a, regr_slope(average_graph_strength, v) as b from g join vol on vol.date = g.date)"))
+@query("residuals_on_one_control", sql("h vol", "select h.date, round(average_graph_strength - a - b * v, 6) as orthogonal_average_graph_strength from h left join vol on vol.date = h.date cross join line", "line as (select regr_intercept(average_graph_strength, v) as a, regr_slope(average_graph_strength, v) as b from h join vol on vol.date = h.date)"))
 def _(d):
     return components.residualize(d.ri(True).select("date", "average_graph_strength"), d.vol(), "full_sample").select("date", "orthogonal_average_graph_strength")
 
 
-@query("convergence_summary_two_assets", sql("g", "select count(*) as n_windows, count(*) as n_converged, cast(0 as bigint) as n_non_converged, 1.0::double as convergence_rate from g"))
+@query("convergence_summary_two_assets", sql("h", "select count(*) as n_windows, count(*) as n_converged, cast(0 as bigint) as n_non_converged, 1.0::double as convergence_rate from h"))
 def _(d):
     return graph.convergence_summary(d.ri(True)).select("n_windows", "n_converged", "n_non_converged", "convergence_rate")
 
@@ -492,7 +510,7 @@ def _(d):
 
 @query("graph_features_with_modularity", sql("g", f"select date, {_G}, round(modularity, 6) as modularity, round(average_node_strength, 6) as average_node_strength from g"))
 def _(d):
-    made = graph.rolling_graph_features(d.pair(), WINDOW, ALPHA, partial_corr_threshold=0.0, compute_modularity=True, max_iter=1000)
+    made = graph.rolling_graph_features(d.three(), WINDOW, ALPHA, partial_corr_threshold=0.0, compute_modularity=True, max_iter=1000, **FIT)
     return made.select("date", *graph.FEATURES)
 
 
@@ -501,18 +519,18 @@ def _(d):
     return graph.rolling_pca_features(ret.prices_to_returns(d.prices("D4")), 126)
 
 
-_ORTH = {"average_graph_strength": "orthogonal_average_graph_strength", "algebraic_connectivity": "orthogonal_algebraic_connectivity", "laplacian_frobenius_change": "orthogonal_laplacian_frobenius_change"}
-_RES = "xo as (select date, c, y, [1.0::double, vix, realized_volatility, drawdown] as x, row_number() over (partition by c order by date) as n from (" + " union all ".join(f"select g.date, '{c}' as c, {c} as y, vix, realized_volatility, drawdown from g join b on b.date = g.date" for c in _ORTH) + """) where y is not null and vix is not null and realized_volatility is not null and drawdown is not null),
+_ORTH = dict(components.ORTHOGONAL)
+_RES = "xo as (select date, c, y, [1.0::double, " + ", ".join(components.CONTROLS) + "] as x, row_number() over (partition by c order by date) as n from (" + " union all ".join(f"select g.date, '{c}' as c, {c} as y, {', '.join(components.CONTROLS)} from g join bm on bm.date = g.date" for c in _ORTH) + ") where y is not null and " + " and ".join(f"{c} is not null" for c in components.CONTROLS) + """),
 xp as (select p.c, p.n as pn, q.y, q.x from xo p join xo q on q.c = p.c and q.n < p.n where p.n > 60), """ + twin.solved("xp", "c, pn", "xs") + """,
 xr as (select xo.date, xo.c, xo.y - list_dot_product(xo.x, beta) as r from xo join xs on xs.c = xo.c and xs.pn = xo.n),
-og0 as (select date, """ + ", ".join(f"max(case when c = '{c}' then r end) as {o}" for c, o in _ORTH.items()) + " from (select date, null as c, null::double as r from g union all select date, c, r from xr) group by date),\nog as (select *, (" + " + ".join(f"z{k}" for k in range(3)) + ") / 3 as orthogonal_graph_score from (select *, " + twin.z({f"z{k}": o for k, o in enumerate(_ORTH.values())}) + " from og0))"
+og0 as (select date, """ + ", ".join(f"max(case when c = '{c}' then r end) as {o}" for c, o in _ORTH.items()) + " from (select date, null as c, null::double as r from g union all select date, c, r from xr) group by date),\nog as (select *, (" + " + ".join(f"z{k}" for k in range(len(_ORTH))) + f") / {len(_ORTH)} as orthogonal_graph_score from (select *, " + twin.z({f"z{k}": o for k, o in enumerate(_ORTH.values())}) + " from og0))"
 _BLOCKS = ("connectivity_score", "transition_score", "spectral_score", "graph_components_equal_weight_score")
 
 
-@query("component_scores", sql("sco b", "select sco.date, " + twin.rounded([*_BLOCKS[:2], *_ORTH.values(), "orthogonal_graph_score"]) + " from sco join og on og.date = sco.date", _RES, recursive=True))
+@query("component_scores", sql("sco bm", "select sco.date, " + twin.rounded([*_BLOCKS, *_ORTH.values(), "orthogonal_graph_score"]) + " from sco join og on og.date = sco.date", _RES, recursive=True))
 def _(d):
-    got = components.add_component_scores(d.two(*[c for c in components.COMPONENTS if c != "largest_laplacian_eigenvalue_share"]), d.labels(), min_history=60)
-    return got.select("date", *_BLOCKS[:2], *_ORTH.values(), "orthogonal_graph_score")
+    got = components.add_component_scores(d.net(), d.benchmarks(), min_history=60)
+    return got.select("date", *_BLOCKS, *_ORTH.values(), "orthogonal_graph_score")
 
 
 _ZP = "(" + " + ".join(f"z_{c}" for c in components.COMPONENTS)
@@ -526,7 +544,7 @@ _CANDS = (*components.COMPONENTS, "ri", "pca_first_eigenvalue_share", "pca_first
 
 @query("candidate_scores", sql("ri pc", "select date, " + twin.rounded(_CANDS) + " from cd", _CAND))
 def _(d):
-    return components.candidate_scores(d.ri(True), d.pca()).select("date", *_CANDS)
+    return components.candidate_scores(d.net(), d.pca()).select("date", *_CANDS)
 
 
 _ALG = """ax as (select date, algebraic_connectivity as x from g), ast as (select cast(count(x) as double) as n, avg(x) as mean, stddev_pop(x) as std, min(x) as mi, quantile_cont(x, 0.25) as q1, quantile_cont(x, 0.5) as q2, quantile_cont(x, 0.75) as q3, max(x) as ma from ax),
@@ -544,7 +562,7 @@ av as (select 'availability' as diagnostic_type, 'algebraic_connectivity' as var
 @query("algebraic_connectivity_diagnostics", sql("ri pc bm tg", "select diagnostic_type, variable, metric, round(value, 6) as value, n_obs from av", _ALG))
 def _(d):
     b = d.benchmarks()
-    return components.algebraic_diagnostics(d.ri(True), b, models.targets(d.returns(), b, prefix="future"), d.pca())
+    return components.algebraic_diagnostics(d.net(), b, models.targets(d.returns(), b, prefix="future"), d.pca())
 
 
 _ALGS = ("graph_components_equal_weight_score", "excluding_algebraic_connectivity_score", "algebraic_connectivity_only", "connectivity_block_with_algebraic_connectivity", "connectivity_block_without_algebraic_connectivity")
@@ -565,7 +583,7 @@ _VC = "vc0 as (select key, date, r, coalesce(abs(exposure - lag(exposure) over (
 
 @query("algebraic_connectivity_overlays", sql("ri pc m", f"select {_KEYS}, {PERF}, {TURN}, round(time_in_extreme_reduction, 6) as time_in_extreme_reduction from perf join turn using (key)", _CAND.replace("full join pc", "left join pc") + ", " + _variants(_ALGS, False)))
 def _(d):
-    return components.algebraic_overlays(d.ri(True), d.returns())[0]
+    return components.algebraic_overlays(d.net(), d.returns())[0]
 
 
 def _signals(columns) -> str:
@@ -579,12 +597,12 @@ sc0 as (select key, date, r, coalesce(abs(exposure - lag(exposure) over (partiti
 
 @query("component_overlays", sql("sco pc m", f"select signal, strategy, {PERF}, {TURN}, {twin.minus('')} from cmp0", "sg as (select sco.*, pca_first_eigenvalue_share, pca_first_eigenvalue_change from sco left join pc on pc.date = sco.date), " + _signals(components.SIGNALS)))
 def _(d):
-    return overlay.evaluate_signals(d.returns(), components.overlay_signals(d.ri(True), d.pca()))[0]
+    return overlay.evaluate_signals(d.returns(), components.overlay_signals(d.net(), d.pca()))[0]
 
 
 @query("component_overlay_costs", sql("sco m", f"select signal, cost_bps, {PERF}, {TURN} from scost", "sg as (select * from sco), " + _signals(components.SIGNALS[:9])))
 def _(d):
-    return overlay.evaluate_signals(d.returns(), components.overlay_signals(d.ri(True)))[1]
+    return overlay.evaluate_signals(d.returns(), components.overlay_signals(d.net()))[1]
 
 
 # ---- models
@@ -605,63 +623,66 @@ def _(d):
     return models.fit_models(d.vol(), stress.stress_onsets(d.labels()), {"one": ["realized_volatility"]}, SPLITS).select("n_obs", "n_positive", "auc")
 
 
-_B3 = ["vix", "realized_volatility", "drawdown"]
-_DES = "ds as (select coalesce(b.date, f.date) as date, b.* exclude (date), f.* exclude (date) from (select date, vix, realized_volatility, drawdown from b) b full join ({features}) f on f.date = b.date)"
+_B5 = list(components.CONTROLS)
+#: Columns of networks and spectra of which none is a combination of others.
+_NET = ["average_graph_strength", "algebraic_connectivity", "laplacian_frobenius_change", "largest_laplacian_eigenvalue_share"]
+_PCA = ["pca_first_eigenvalue_share", "pca_effective_rank", "pca_first_eigenvalue_change", "pca_effective_rank_change"]
+_DES = "ds as (select coalesce(b.date, f.date) as date, b.* exclude (date), f.* exclude (date) from (select date, {controls} from bm) b full join ({features}) f on f.date = b.date)"
 
 
 def _fitted(specs: dict, features: str, prefix: str = "forward_", onset: str = "stress_onset_label") -> str:
     """CTEs fits and rg of the models over the design of benchmarks and features."""
     target = f"(select date, case when target = '{onset}' then target else '{prefix}' || target end as target, y from tg)"
-    return f"{_DES.format(features=features)}, tn as {target}, " + twin.specs_rows(specs, "ds", "tn", _CASE.replace("date >=", "md.date >=")) + ", " + twin.models("rows_") + ", " + twin.regressors(specs)
+    return f"{_DES.format(features=features, controls=", ".join(_B5))}, tn as {target}, " + twin.specs_rows(specs, "ds", "tn", _CASE.replace("date >=", "md.date >=")) + ", " + twin.models("rows_") + ", " + twin.regressors(specs)
 
 
 def _each(metrics: str) -> str:
     return f"select target, fits.model, regressor, n_obs, {metrics}, round(beta[i], 6) as coefficient, {twin.sign('beta[i]')} as coefficient_sign, round(beta[i] / nullif(se[i], 0), 6) as t_stat from fits join rg on rg.model = fits.model"
 
 
-_S1 = {"baseline": _B3, "baseline_plus_ri": [*_B3, "regime_indicator"], "baseline_plus_graph_components": [*_B3, "regime_indicator", "average_graph_strength"]}
+_S1 = {"baseline": _B5, "baseline_plus_ri": [*_B5, "regime_indicator"], "baseline_plus_graph_components": [*_B5, "regime_indicator", *_NET[:3]]}
 
 
-@query("incremental_tests", sql("b ri tg", _each(twin.rounded(("adjusted_r2", "oos_r2", "auc", "brier_score", "oos_auc", "oos_brier_score"))), _fitted(_S1, "select date, regime_indicator, average_graph_strength from ri"), recursive=True))
+@query("incremental_tests", sql("bm ri tg", _each(twin.rounded(("adjusted_r2", "oos_r2", "auc", "brier_score", "oos_auc", "oos_brier_score"))), _fitted(_S1, f"select date, regime_indicator, {', '.join(_NET[:3])} from ri"), recursive=True))
 def _(d):
-    return models.incremental_tests(d.two("regime_indicator", "average_graph_strength"), d.labels(), d.returns(), SPLITS)
+    return models.incremental_tests(d.two("regime_indicator", *_NET[:3]), d.benchmarks(), d.returns(), SPLITS)
 
 
 _METRICS = twin.rounded([c for c in models.kernels.MODEL_METRICS if c != "oos_r2"]) + ", round(case when target <> 'stress_onset_label' then oos_r2 end, 6) as oos_r2"
-_CH, _PX, _ORT = "laplacian_frobenius_change", "pca_first_eigenvalue_change", "orthogonal_average_graph_strength"
-_S2 = {"M0_benchmarks": _B3, "M1_benchmarks_plus_ri": [*_B3, "regime_indicator"], "M2_benchmarks_plus_pca": [*_B3, _PX], "M3_benchmarks_plus_graph_components": [*_B3, _CH], "M4_benchmarks_plus_pca_plus_graph_components": [*_B3, _PX, _CH], "M5_benchmarks_plus_orthogonal_graph": [*_B3, _ORT]}
-_F2 = f"select coalesce(ri.date, pc.date) as date, regime_indicator, {_CH}, {_PX}, {_ORT} from ri full join pc on pc.date = ri.date left join og on og.date = ri.date"
+_S2 = {"M0_benchmarks": _B5, "M1_benchmarks_plus_ri": [*_B5, "regime_indicator"], "M2_benchmarks_plus_pca": [*_B5, *_PCA], "M3_benchmarks_plus_graph_components": [*_B5, *_NET], "M4_benchmarks_plus_pca_plus_graph_components": [*_B5, *_PCA, *_NET], "M5_benchmarks_plus_orthogonal_graph": [*_B5, *_ORTH.values()]}
+_F2 = f"select coalesce(ri.date, pc.date) as date, regime_indicator, {', '.join((*_NET, *_PCA, *_ORTH.values()))} from ri full join pc on pc.date = ri.date left join og on og.date = ri.date"
 
 
-@query("model_ladder", sql("b ri pc tg", _each(_METRICS), _RES + ", " + _fitted(_S2, _F2), recursive=True))
+@query("model_ladder", sql("bm ri pc tg", _each(_METRICS), _RES + ", " + _fitted(_S2, _F2), recursive=True))
 def _(d):
-    scores = components.residualize(d.two(*_ORTH), d.labels()).select("date", _ORT)
-    return models.model_ladder(d.two("regime_indicator", _CH), d.labels(), d.returns(), d.pca().select("date", _PX), scores, SPLITS)
+    scores = components.residualize(d.two(*_ORTH), d.benchmarks()).select("date", *_ORTH.values())
+    return models.model_ladder(d.two("regime_indicator", *_NET), d.benchmarks(), d.returns(), d.pca().select("date", *_PCA), scores, SPLITS)
 
 
-_S3 = {"all_graph_components": ["average_graph_strength", _CH], "excluding_laplacian_frobenius_change": ["average_graph_strength"], "excluding_algebraic_connectivity": ["average_graph_strength", _CH], "excluding_average_graph_strength": [_CH], "excluding_largest_eigenvalue_share": ["average_graph_strength", _CH], "connectivity_only": ["connectivity_score"], "transition_only": ["transition_score"]}
-_A3 = "za as (select date, " + ", ".join(f"({' + '.join('z_' + c for c in cols)}) / {len(cols)} as {a}" for a, cols in _S3.items()) + " from (select date, " + twin.z({f"z_{c}": c for c in ("average_graph_strength", _CH, "connectivity_score", "transition_score")}) + " from sa)), zl as (" + " union all ".join(f"select '{a}' as k, date, {a} as v from za" for a in _S3) + "), " + twin.exposures("zl", "ex") + ", ek as (select k as key, date, exposure from ex), vr as (select key, m.date, ret * exposure as r from ek join m on m.date = ek.date where ret is not null), " + _perf("vr", "key") + ", " + _turn("ek", "key")
+_SCORES = {"connectivity_only": "connectivity_score", "transition_only": "transition_score", "spectral_only": "spectral_score"}
+_LESS = {"excluding_laplacian_frobenius_change": 2, "excluding_algebraic_connectivity": 1, "excluding_average_graph_strength": 0, "excluding_largest_eigenvalue_share": 3}
+_S3 = {"all_graph_components": _NET, **{a: [c for c in _NET if c != _NET[k]] for a, k in _LESS.items()}, **{a: [c] for a, c in _SCORES.items()}}
+_A3 = "za as (select date, " + ", ".join(f"({' + '.join('z_' + c for c in cols)}) / {len(cols)} as {a}" for a, cols in _S3.items()) + " from (select date, " + twin.z({f"z_{c}": c for c in (*_NET, *_SCORES.values())}) + " from sa)), zl as (" + " union all ".join(f"select '{a}' as k, date, {a} as v from za" for a in _S3) + "), " + twin.exposures("zl", "ex") + ", ek as (select k as key, date, exposure from ex), vr as (select key, m.date, ret * exposure as r from ek join m on m.date = ek.date where ret is not null), " + _perf("vr", "key") + ", " + _turn("ek", "key")
 
 
-@query("component_ablation", sql("b ri tg m", """select key as ablation, cast(len(string_split(components, ',')) as bigint) as component_count, components, adjusted_r2, oos_r2, auc, oos_auc, round(sharpe, 6) as overlay_sharpe, round(calmar, 6) as overlay_calmar, round(max_drawdown, 6) as overlay_max_drawdown, round(annualized_turnover_proxy, 6) as annualized_turnover_proxy, round(time_in_reduced_exposure, 6) as time_in_reduced_exposure
+@query("component_ablation", sql("bm ri tg m", """select key as ablation, cast(len(string_split(components, ',')) as bigint) as component_count, components, adjusted_r2, oos_r2, auc, oos_auc, round(sharpe, 6) as overlay_sharpe, round(calmar, 6) as overlay_calmar, round(max_drawdown, 6) as overlay_max_drawdown, round(annualized_turnover_proxy, 6) as annualized_turnover_proxy, round(time_in_reduced_exposure, 6) as time_in_reduced_exposure
   from (select model, """ + ", ".join(f"round(max(case when target {o} 'stress_onset_label' then {c} end), 6) as {c}" for o, c in (("<>", "adjusted_r2"), ("<>", "oos_r2"), ("=", "auc"), ("=", "oos_auc"))) + """ from fits where target in ('forward_realized_volatility_21d', 'stress_onset_label') group by model) f join perf on perf.key = f.model join turn using (key)
-  join (select model, string_agg(regressor, ',' order by i) as components from rg where i > 4 group by model) using (model)""",
-    "sa as (select date, average_graph_strength, laplacian_frobenius_change, z_average_graph_strength as connectivity_score, z_laplacian_frobenius_change as transition_score from ri), " + _fitted({a: [*_B3, *c] for a, c in _S3.items()}, "select * from sa") + ", " + _A3, recursive=True))
+  join (select model, string_agg(regressor, ',' order by i) as components from rg where i > 6 group by model) using (model)""",
+    "sa as (select date, " + ", ".join(_NET) + ", z_average_graph_strength + z_algebraic_connectivity as connectivity_score, z_laplacian_frobenius_change as transition_score, z_largest_laplacian_eigenvalue_share as spectral_score from ri), " + _fitted({a: [*_B5, *c] for a, c in _S3.items()}, "select * from sa") + ", " + _A3, recursive=True))
 def _(d):
-    scores = components.add_component_scores(d.two("average_graph_strength", _CH)).drop("spectral_score", "graph_components_equal_weight_score")
-    return models.component_ablation(scores, d.labels(), d.returns(), SPLITS)
+    return models.component_ablation(components.add_component_scores(d.two(*_NET)), d.benchmarks(), d.returns(), SPLITS)
 
 
-_S4 = {"benchmarks_only": _B3, "ri_only": ["regime_indicator"], "pca_only": [_PX], "graph_components_only": [_CH], "pca_plus_graph_components": [_PX, _CH], "benchmarks_plus_ri": [*_B3, "regime_indicator"], "benchmarks_plus_pca": [*_B3, _PX], "benchmarks_plus_graph_components": [*_B3, _CH], "benchmarks_plus_pca_plus_graph_components": [*_B3, _PX, _CH]}
-_F4 = f"select coalesce(ri.date, pc.date) as date, regime_indicator, {_CH}, {_PX} from ri full join pc on pc.date = ri.date"
+_S4 = {"benchmarks_only": _B5, "ri_only": ["regime_indicator"], "pca_only": _PCA, "graph_components_only": _NET, "pca_plus_graph_components": [*_PCA, *_NET], "benchmarks_plus_ri": [*_B5, "regime_indicator"], "benchmarks_plus_pca": [*_B5, *_PCA], "benchmarks_plus_graph_components": [*_B5, *_NET], "benchmarks_plus_pca_plus_graph_components": [*_B5, *_PCA, *_NET]}
+_F4 = f"select coalesce(ri.date, pc.date) as date, regime_indicator, {', '.join((*_NET, *_PCA))} from ri full join pc on pc.date = ri.date"
 _INFO = _fitted(_S4, _F4, "future_")
 
 
 def _information(d):
-    return models.information_sets(d.two("regime_indicator", _CH), d.labels(), d.returns(), d.pca().select("date", _PX), None, SPLITS)
+    return models.information_sets(d.two("regime_indicator", *_NET), d.benchmarks(), d.returns(), d.pca().select("date", *_PCA), None, SPLITS)
 
 
-@query("information_sets", sql("b ri pc tg", f"""select target, case when target = 'stress_onset_label' then 'classification' else 'regression' end as target_type, model as information_set, n_obs, case when target = 'stress_onset_label' then n_positive end as n_positive_events, cast(len(string_split(regressors, ',')) as double) as n_regressors, regressors, {_METRICS}, coefficient_signs,
+@query("information_sets", sql("bm ri pc tg", f"""select target, case when target = 'stress_onset_label' then 'classification' else 'regression' end as target_type, model as information_set, n_obs, case when target = 'stress_onset_label' then n_positive end as n_positive_events, cast(len(string_split(regressors, ',')) as double) as n_regressors, regressors, {_METRICS}, coefficient_signs,
   case when target = 'stress_onset_label' then 'classification_scores_are_linear_probability_diagnostics' else 'in_sample_metrics_are_diagnostics_only' end as diagnostic_note
   from fits join (select target, fits.model, string_agg(regressor, ',' order by i) as regressors, string_agg(regressor || ':' || {twin.sign('beta[i]')}, ';' order by i) as coefficient_signs from fits join rg on rg.model = fits.model group by all) using (target, model)""", _INFO, recursive=True))
 def _(d):
@@ -672,7 +693,7 @@ _RULES = "rules(type, metric, dir, diag) as (values " + ", ".join(f"('{t}', '{m}
 _RM = sorted({r[1] for r in models.RANKED})
 
 
-@query("information_set_ranking", sql("b ri pc tg", """select target, target_type, metric, rank_direction, best_information_set, round(best_value, 6) as best_value, cast(n as double) as n_candidates, diagnostics_only from (
+@query("information_set_ranking", sql("bm ri pc tg", """select target, target_type, metric, rank_direction, best_information_set, round(best_value, 6) as best_value, cast(n as double) as n_candidates, diagnostics_only from (
   select target, type as target_type, metric, dir as rank_direction, model as best_information_set, v as best_value, count(*) over (partition by target, metric) as n, diag as diagnostics_only, row_number() over (partition by target, metric order by case when dir = 'max' then -v else v end, place) as k
   from (select target, model, unnest([""" + ", ".join(f"'{c}'" for c in _RM) + "]) as metric, unnest([" + ", ".join("case when target <> 'stress_onset_label' then oos_r2 end" if c == "oos_r2" else c for c in _RM) + """]) as v from fits) l join rules using (metric) join sets using (model) where v is not null and type = case when target = 'stress_onset_label' then 'classification' else 'regression' end) where k = 1""", _INFO + ", " + _RULES, recursive=True))
 def _(d):
@@ -685,7 +706,8 @@ CONFIGS = selection.parameter_grid((0.05, 0.20), (52,), (0.0, 0.03))
 
 
 _CF = "cf(config_id, alpha, win, thr) as (values " + ", ".join(f"('{c.config_id}', {c.alpha}, {c.window}, {c.partial_corr_threshold})" for c in CONFIGS) + "), "
-_GR = _CF + "ga as (select config_id, date, case when greatest(abs(rho) - alpha, 0.0) > thr then greatest(abs(rho) - alpha, 0.0) else 0.0 end as a from g0 cross join cf where n >= 52), gb as (select config_id, date, a as average_graph_strength, 2 * a as algebraic_connectivity, case when a > 0 then 1.0 else 0.0 end as largest_laplacian_eigenvalue_share, 2 * abs(a - lag(a) over (partition by config_id order by date)) as laplacian_frobenius_change from ga), gi as (select config_id, date, zw + zx + zy + zz as x from (select config_id, date, " + twin.z({"zw": "average_graph_strength", "zx": "algebraic_connectivity", "zy": "largest_laplacian_eigenvalue_share", "zz": "laplacian_frobenius_change"}, "config_id") + " from gb))"
+_GF = "gb as (" + twin.network("ga", "config_id") + "), gi as (select config_id, date, zw + zx + zy + zz as x from (select config_id, date, " + twin.z({"zw": "average_graph_strength", "zx": "algebraic_connectivity", "zy": "largest_laplacian_eigenvalue_share", "zz": "laplacian_frobenius_change"}, "config_id") + " from gb))"
+_GR = _CF + "ga as (select config_id, date, " + ", ".join(f"case when {x} > thr then {x} else 0.0 end as {x}" for x in "abc") + " from lp join cf using (alpha)), " + _GF
 _CFCOLS = "alpha, cast(win as bigint) as \"window\", thr as partial_corr_threshold, 'combinatorial' as laplacian_type, 'absolute_partial_correlation' as network_type, false as compute_modularity"
 
 
@@ -699,32 +721,32 @@ kk as (select distinct config_id, sample, strategy, config_id || '~' || sample |
 
 
 def _grid(d):
-    ri = d._keep("grid", lambda: selection.indicators(d.pair(), CONFIGS))
+    ri = d._keep("grid", lambda: selection.indicators(d.three(), CONFIGS, **FIT))
     return selection.grid_tables(ri, d.returns(), d.labels(), CONFIGS, SPLITS)
 
 
 _OM = f"sample, strategy, {PERF}, {TURN}, {twin.minus('config_id, sample')}"
 
 
-@query("grid_overlay_metrics", sql("g0 m", f"select config_id, {_CFCOLS}, {_OM} from om join cf using (config_id)", _GR + ", " + _sampled("gi", False)))
+@query("grid_overlay_metrics", sql("lp m", f"select config_id, {_CFCOLS}, {_OM} from om join cf using (config_id)", _GR + ", " + _sampled("gi", False)))
 def _(d):
     return _grid(d)["robustness_overlay_metrics"]
 
 
-@query("grid_summary", sql("g0 m bm t fd ons", f"select config_id, {_CFCOLS}, {_RSOUT}, round(d1, 6) as stress_onset_ri_difference, " + ", ".join(f"round(c{k}, 6) as correlation_with_{c}_change" for k, c in enumerate(("vix", "realized_volatility", "average_correlation", "average_absolute_correlation", "drawdown"))) + " from rsum join cf using (config_id) join tr using (config_id)",
+@query("grid_summary", sql("lp m bm t fd ons", f"select config_id, {_CFCOLS}, {_RSOUT}, round(d1, 6) as stress_onset_ri_difference, " + ", ".join(f"round(c{k}, 6) as correlation_with_{c}_change" for k, c in enumerate(("vix", "realized_volatility", "average_correlation", "average_absolute_correlation", "drawdown"))) + " from rsum join cf using (config_id) join tr using (config_id)",
     _GR + ", " + _RS.format(src="(select config_id, date, x, 1.0 as ok from gi)", by="config_id, ", group="group by config_id", join="join rq using (config_id)") + ", onb0 as (select date, systemic_stress_label as l, row_number() over (order by date) as n from bm), onb as (select date, case when l = 1 and coalesce(lag(l) over (order by date), 0) = 0 and n - coalesce(max(case when l <> 0 then n end) over (order by date rows between unbounded preceding and 1 preceding), 0) - 1 >= 20 then 1 else 0 end as o from onb0), chg as (select date, "
     + ", ".join(f"{c} - lag({c}) over (order by date) as c{k}" for k, c in enumerate(("vix", "realized_volatility", "average_correlation", "average_absolute_correlation", "drawdown"))) + " from bm), tr as (select config_id, avg(x) filter (where o = 1) - avg(x) filter (where o = 0) as d1, " + ", ".join(f"corr(x, c{k}) as c{k}" for k in range(5)) + " from gi left join onb on onb.date = gi.date left join chg on chg.date = gi.date group by config_id)"))
 def _(d):
-    ri = d._keep("grid", lambda: selection.indicators(d.pair(), CONFIGS))
+    ri = d._keep("grid", lambda: selection.indicators(d.three(), CONFIGS, **FIT))
     return selection.grid_tables(ri, d.returns(), d.benchmarks(), CONFIGS, SPLITS)["robustness_grid_summary"]
 
 
-@query("grid_convergence", sql("g0", f"select config_id, {_CFCOLS}, count(*) as n_windows, count(*) as n_converged, cast(0 as bigint) as n_non_converged, 1.0::double as convergence_rate from ga join cf using (config_id) group by all", _GR))
+@query("grid_convergence", sql("lp", f"select config_id, {_CFCOLS}, count(*) as n_windows, count(*) as n_converged, cast(0 as bigint) as n_non_converged, 1.0::double as convergence_rate from ga join cf using (config_id) group by all", _GR))
 def _(d):
     return _grid(d)["robustness_convergence_summary"].select(*selection.CONFIG, "n_windows", "n_converged", "n_non_converged", "convergence_rate")
 
 
-@query("grid_benchmark_comparison", sql("g0 m b", f"select config_id, {_CFCOLS}, {_OM} from om join cf using (config_id)", _GR + ", " + _sampled("gi", True)))
+@query("grid_benchmark_comparison", sql("lp m b", f"select config_id, {_CFCOLS}, {_OM} from om join cf using (config_id)", _GR + ", " + _sampled("gi", True)))
 def _(d):
     return _grid(d)["robustness_benchmark_comparison"]
 
@@ -734,12 +756,12 @@ def _(d):
     return selection.tables_from_indicator(d.signal(), d.returns(), d.labels(), splits=SPLITS)["robustness_benchmark_comparison"]
 
 
-_PAIRED = "mp as (select date, case when a is null then c when c is null then a else (a + c) / 2 end as ret from pr), tp as (select date, case when count(ret) over w = 21 then stddev_samp(ret) over w end as vol21 from mp window w as (order by date rows between 1 following and 21 following)), fwp as (" + CTES["fw"].replace("from m)", "from mp)") + "), fdp as (" + CTES["fd"].replace("from fw)", "from fwp)") + ")"
+_PAIRED = "mp as (select date, list_avg([a, c, e]) as ret from nr), tp as (select date, case when count(ret) over w = 21 then stddev_samp(ret) over w end as vol21 from mp window w as (order by date rows between 1 following and 21 following)), fwp as (" + CTES["fw"].replace("from m)", "from mp)") + "), fdp as (" + CTES["fd"].replace("from fw)", "from fwp)") + ")"
 
 
-@query("robustness_grid", sql("g0 pr bm", f"select alpha, cast(win as bigint) as \"window\", thr as partial_corr_threshold, false as compute_modularity, {_RSOUT} from rsum join cf using (config_id)", _PAIRED + ", " + _GR.replace(_CF, "cf(config_id, alpha, win, thr) as (values ('0', 0.05, 52, 1e-6), ('1', 0.1, 52, 1e-6)), ") + ", " + _RS.replace("join t on", "join tp t on").replace("from fd where", "from fdp where").replace("join m on", "join mp m on").format(src="(select config_id, date, x, 1.0 as ok from gi)", by="config_id, ", group="group by config_id", join="join rq using (config_id)")))
+@query("robustness_grid", sql("lp nr bm", f"select alpha, cast(win as bigint) as \"window\", thr as partial_corr_threshold, false as compute_modularity, {_RSOUT} from rsum join cf using (config_id)", _PAIRED + ", " + _GR.replace(_CF, "cf(config_id, alpha, win, thr) as (values ('0', 0.05, 52, 1e-6), ('1', 0.1, 52, 1e-6)), ") + ", " + _RS.replace("join t on", "join tp t on").replace("from fd where", "from fdp where").replace("join m on", "join mp m on").format(src="(select config_id, date, x, 1.0 as ok from gi)", by="config_id, ", group="group by config_id", join="join rq using (config_id)")))
 def _(d):
-    return selection.run_robustness_grid(d.pair(), d.benchmarks(), (0.05, 0.1), (52,), (1e-6,))
+    return selection.run_robustness_grid(d.three(), d.benchmarks(), (0.05, 0.1), (52,), (1e-6,), **FIT)
 
 
 _VP = ("validation_sharpe", "validation_calmar", "validation_max_drawdown_reduction", "validation_volatility_reduction", "validation_downside_improvement", "validation_annualized_turnover_proxy")
@@ -747,19 +769,19 @@ _SEL = """so0 as (select o.config_id, o.sharpe as validation_sharpe, o.calmar as
 so1 as (select *, """ + ", ".join(f"case when stddev_pop({c}) over () > 0 then ({c} - avg({c}) over ()) / stddev_pop({c}) over () else 0 end as z{k}" for k, c in enumerate(_VP)) + " from so0), so2 as (select *, z0 + z1 + z2 + z3 + z4 - 0.25 * z5 as selection_score from so1), sel as (select *, row_number() over (order by round(selection_score, 9) desc nulls last, config_id) = 1 and selection_score is not null as selected from so2)"
 
 
-@query("selected_configuration", sql("g0 m", "select config_id, alpha, cast(win as bigint) as \"window\", thr as partial_corr_threshold, " + twin.rounded((*_VP, "selection_score")) + ", selected from sel join cf using (config_id)", _GR + ", " + _sampled("gi", False) + ", " + _SEL))
+@query("selected_configuration", sql("lp m", "select config_id, alpha, cast(win as bigint) as \"window\", thr as partial_corr_threshold, " + twin.rounded((*_VP, "selection_score")) + ", selected from sel join cf using (config_id)", _GR + ", " + _sampled("gi", False) + ", " + _SEL))
 def _(d):
     return selection.select_configuration(_grid(d)["robustness_overlay_metrics"])
 
 
-@query("oos_test_performance", sql("g0 m", f"select * from (select config_id, {_CFCOLS}, {_OM} from om join cf using (config_id)) where sample = 'test' and config_id in (select config_id from sel where selected)", _GR + ", " + _sampled("gi", False) + ", " + _SEL))
+@query("oos_test_performance", sql("lp m", f"select * from (select config_id, {_CFCOLS}, {_OM} from om join cf using (config_id)) where sample = 'test' and config_id in (select config_id from sel where selected)", _GR + ", " + _sampled("gi", False) + ", " + _SEL))
 def _(d):
     tables = _grid(d)
     return selection.oos_outputs(tables["robustness_overlay_metrics"], tables["robustness_benchmark_comparison"], selection.select_configuration(tables["robustness_overlay_metrics"]))["oos_test_performance"]
 
 
 def _scores(d):
-    return d._keep("scores", lambda: components.candidate_scores(d.ri(True), d.pca()))
+    return d._keep("scores", lambda: components.candidate_scores(d.net(), d.pca()))
 
 
 _SIX = ("ri", "graph_components_equal_weight_score", "transition_score", "pca_first_eigenvalue_share", "pca_first_eigenvalue_change", "pca_plus_graph_score")
@@ -838,7 +860,7 @@ fm as (select * exclude (z0, z1, z2, z3, z4), z0 + z1 + z2 + z3 - 0.5 * z4 as se
 _FMN = ("oos_sharpe", "oos_calmar", "oos_max_drawdown", "oos_sortino", "oos_worst_5pct", "turnover", "robustness_across_years", "cost_10bps_sharpe", "oos_stress_onset_auc", "oos_volatility_prediction_r2", "selection_score")
 
 
-@query("final_matrix", sql("ri pc m b tg", f"select candidate, simplicity_interpretability_score, depends_on_pca, depends_on_graph_components, {twin.rounded(_FMN)} from fm", _CAND + ", " + _rolled(False) + ", " + _ROS + ", " + _INFO + ", " + _FM, recursive=True))
+@query("final_matrix", sql("ri pc m bm tg", f"select candidate, simplicity_interpretability_score, depends_on_pca, depends_on_graph_components, {twin.rounded(_FMN)} from fm", _CAND + ", " + _rolled(False) + ", " + _ROS + ", " + _INFO + ", " + _FM, recursive=True))
 def _(d):
     return selection.final_matrix(_information(d), selection.rolling_origin(d.returns(), _scores(d), splits=ORIGINS)[1])
 
@@ -873,7 +895,7 @@ def _(d):
 
 @query("chart_features", sql("g", "select date, feature, round(value, 6) as value from (select date, unnest(['average_graph_strength', 'laplacian_frobenius_change']) as feature, unnest([average_graph_strength, laplacian_frobenius_change]) as value from g)"))
 def _(d):
-    return plotdata.feature_panel(d.ri(True), ["average_graph_strength", "modularity", "laplacian_frobenius_change"])
+    return plotdata.feature_panel(d.net(), ["average_graph_strength", "modularity", "laplacian_frobenius_change"])
 
 
 #: Years of lineitem, as the data model has them; other years would be further columns of the chart.
@@ -920,7 +942,8 @@ def _(d):
 
 
 _QUICK = selection.quick_grid()
-_GQ = _GR.replace(_CF, "cf(config_id, alpha, win, thr) as (values " + ", ".join(f"('{c.config_id}', {c.alpha}, {c.window}, {c.partial_corr_threshold})" for c in _QUICK) + "), gq as (select date, row_number() over (order by date) as n, covar_pop(a, c) over w / (stddev_pop(a) over w * stddev_pop(c) over w) as rho from prc window w as (order by date rows between 62 preceding and current row)), ").replace("from g0 cross join cf where n >= 52", "from gq cross join cf where n >= 63")
+_GR2 = _CF + "ga as (select config_id, date, case when greatest(abs(rho) - alpha, 0.0) > thr then greatest(abs(rho) - alpha, 0.0) else 0.0 end as a from g0 cross join cf where n >= 52), gb as (select config_id, date, a as average_graph_strength, 2 * a as algebraic_connectivity, case when a > 0 then 1.0 else 0.0 end as largest_laplacian_eigenvalue_share, 2 * abs(a - lag(a) over (partition by config_id order by date)) as laplacian_frobenius_change from ga), gi as (select config_id, date, zw + zx + zy + zz as x from (select config_id, date, " + twin.z({"zw": "average_graph_strength", "zx": "algebraic_connectivity", "zy": "largest_laplacian_eigenvalue_share", "zz": "laplacian_frobenius_change"}, "config_id") + " from gb))"
+_GQ = _GR2.replace(_CF, "cf(config_id, alpha, win, thr) as (values " + ", ".join(f"('{c.config_id}', {c.alpha}, {c.window}, {c.partial_corr_threshold})" for c in _QUICK) + "), gq as (select date, row_number() over (order by date) as n, covar_pop(a, c) over w / (stddev_pop(a) over w * stddev_pop(c) over w) as rho from prc window w as (order by date rows between 62 preceding and current row)), ").replace("from g0 cross join cf where n >= 52", "from gq cross join cf where n >= 63")
 
 
 @query("quick_grid_metrics", sql("prc m", f"select config_id, {_CFCOLS}, {_OM} from om join cf using (config_id)", _GQ + ", " + _sampled("gi", False)))

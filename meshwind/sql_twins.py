@@ -119,3 +119,45 @@ def regressors(specs: Mapping[str, Sequence[str]]) -> str:
 
 
 PERF, TURN = rounded(PERFORMANCE), rounded(TURNOVER)
+
+
+def lasso(source: str, alphas: Sequence[float], sweeps: int = 200) -> str:
+    """Graphical lasso of three assets by recursion: ``source`` has the date and the correlations x (1, 2), y (1, 3), z (2, 3). A sweep
+    takes the columns in turn; bij is the coefficient of asset j in the regression of asset i, wij the covariance fitted."""
+    soft = lambda v: f"sign({v}) * greatest(abs({v}) - alpha, 0.0)"
+
+    def column(v: str, s1: str, s2: str, old: str, n1: str, n2: str, f1: str, f2: str) -> str:
+        return f"{soft(f'({s1} - {v} * {old})')} as {n1}, {soft(f'({s2} - {v} * {n1})')} as {n2}, {n1} + {v} * {n2} as {f1}, {v} * {n1} + {n2} as {f2}"
+
+    steps = ", ".join([column("w23", "x", "y", "b13", "n12", "n13", "u12", "u13"), column("u13", "x", "z", "b23", "n21", "n23", "v12", "v23"), column("v12", "y", "z", "b32", "n31", "n32", "v13", "t23")])
+    values = ", ".join(f"({a})" for a in alphas)
+    zeros = ", ".join(f"0.0::double as b{k}" for k in ("12", "13", "21", "23", "31", "32"))
+    moved = ", ".join(f"n{k}" for k in ("12", "13", "21", "23", "31", "32"))
+    return f"""select cast(alpha as double) as alpha, date, x, y, z, 0 as k, 0.95 * x as w12, 0.95 * y as w13, 0.95 * z as w23, {zeros} from (select * from {source}) cross join (values {values}) as al(alpha)
+  union all select alpha, date, x, y, z, k + 1, v12, v13, t23, {moved} from (select *, {steps} from ls where k < {sweeps})"""
+
+
+def partials(source: str, sweeps: int = 200) -> str:
+    """Absolute partial correlations a (1, 2), b (1, 3), c (2, 3) of the last sweep."""
+    return f"""select alpha, date, least(abs(b21) * d2 / sqrt(d1 * d2), 1.0) as a, least(abs(b31) * d3 / sqrt(d1 * d3), 1.0) as b, least(abs(b32) * d3 / sqrt(d2 * d3), 1.0) as c
+  from (select *, 1 / (1 - w12 * b12 - w13 * b13) as d1, 1 / (1 - w12 * b21 - w23 * b23) as d2, 1 / (1 - w13 * b31 - w23 * b32) as d3 from {source} where k = {sweeps})"""
+
+
+def network(source: str, by: str = "") -> str:
+    """Features of graphs of three nodes with edges a, b, c: the Laplacian's eigenvalues are 0 and s -+ r; greedy merging joins the best
+    linked pair if that gains, then all if that gains more."""
+    part = f"partition by {by} " if by else ""
+    keys = f"{by}, " if by else ""
+    diffs = ", ".join(f"{x} - lag({x}) over ({part}order by date) as d{x}" for x in "abc")
+    gains = ", ".join(f"case when {e} > 0 then 2 * ({e} / (2 * s) - {i} * {j}) end" for e, i, j in (("a", "k1", "k2"), ("b", "k1", "k3"), ("c", "k2", "k3")))
+    return f"""select {keys}date, 2 * s / 3 as average_graph_strength, s / 3 as weighted_edge_density, greatest(s - r, 0.0) as algebraic_connectivity, s + r as largest_laplacian_eigenvalue, case when s > 0 then (s + r) / (2 * s) else 0.0 end as largest_laplacian_eigenvalue_share,
+  sqrt((da + db) ** 2 + (da + dc) ** 2 + (db + dc) ** 2 + 2 * (da ** 2 + db ** 2 + dc ** 2)) as laplacian_frobenius_change, cast((a > 0)::int + (b > 0)::int + (c > 0)::int as double) as number_of_edges, 2 * s / 3 as average_node_strength,
+  case when s > 0 then case when gain > 0 then greatest(gain - k1 ** 2 - k2 ** 2 - k3 ** 2, 0.0) else -(k1 ** 2) - k2 ** 2 - k3 ** 2 end end as modularity
+  from (select *, greatest({gains}) as gain from (select *, (a + b) / (2 * s) as k1, (a + c) / (2 * s) as k2, (b + c) / (2 * s) as k3 from (select *, a + b + c as s, sqrt(greatest(a * a + b * b + c * c - a * b - a * c - b * c, 0.0)) as r, {diffs} from {source})))"""
+
+
+def spectrum(source: str) -> str:
+    """First eigenvalue e, its share s and the effective rank k of correlation matrices of three assets, in closed form."""
+    entropy = " + ".join(f"case when {v} > 0 then {v} / 3 * ln({v} / 3) else 0 end" for v in ("e1", "e2", "e3"))
+    return f"""select date, case when ok then e1 end as e, case when ok then e1 / 3 end as s, case when ok then exp(-({entropy})) end as k from (select *, 3 - e1 - e3 as e2 from (select *, 1 + 2 * p * cos(t) as e1, 1 + 2 * p * cos(t + 2 * pi() / 3) as e3
+  from (select *, case when p > 0 then acos(greatest(least(x * y * z / p ** 3, 1.0), -1.0)) / 3 else 0 end as t from (select *, sqrt((x * x + y * y + z * z) / 3) as p from {source}))))"""
