@@ -6,12 +6,12 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions import kernels
 from ..functions.exprs import correlation, finite, melt, num, row_mean, z_scores
-from ..functions.scans import average_ranks
+from ..functions.scans import average_ranks, blocked
 from .evaluate import spearman_frame
 from .overlay import evaluate_variants
 from .stress import outer_join
@@ -44,8 +44,53 @@ def _check(method: str, min_history: int) -> None:
         raise ValueError("min_history: two rows or more")
 
 
+def _arrays(f: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    return f["y"].to_numpy(float), np.array([np.asarray(r, float) for r in f["x"]])
+
+
+def _sums(long: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, sums): kernels.moment_sums of each group of (component, x, y), in pieces that are added up by Spark."""
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        return f[list(keys)].head(1).assign(sums=[kernels.moment_sums(*_arrays(f))])
+
+    kinds = ", ".join(f"{k} {long.schema[k].dataType.simpleString()}" for k in keys)
+    return long.groupBy(*keys).applyInPandas(run, f"{kinds}, sums array<double>")
+
+
+def _added(window: WindowSpec, width: int) -> Column:
+    """Elementwise sum of the arrays of a window; zeros without a row."""
+    return F.array(*[F.coalesce(F.sum(F.col("sums")[k]).over(window), F.lit(0.0)) for k in range(width)])
+
+
+def _expanding(long: DataFrame, min_history: int, controls: int, kind: str) -> DataFrame:
+    """(component, date, r): expanding residuals in blocks of dates, each with the moments of all blocks before it."""
+    rows = blocked(long, ["component"], ["date"])
+    width = 1 + (controls + 1) * (controls + 2)
+    before = Window.partitionBy("component").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = _sums(rows, ["component", "_block"]).select("component", "_block", _added(before, width).alias("sums"))
+
+    def run(f: pd.DataFrame, carry: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("date")
+        earlier = np.asarray(carry["sums"].iloc[0], float)
+        return pd.DataFrame({"component": f["component"], "date": f["date"], "r": kernels.expanding_residuals(*_arrays(f), min_history, earlier)})
+
+    return rows.groupBy("component", "_block").cogroup(carried.groupBy("component", "_block")).applyInPandas(run, f"component string, date {kind}, r double")
+
+
+def _full_sample(long: DataFrame, controls: int, kind: str) -> DataFrame:
+    """(component, date, r): residuals of one fit on all complete rows, from the blocks' moments."""
+    rows = blocked(long, ["component"], ["date"])
+    width = 1 + (controls + 1) * (controls + 2)
+    parts = _sums(rows, ["component", "_block"]).groupBy("component").agg(F.array(*[F.sum(F.col("sums")[k]) for k in range(width)]).alias("sums"))
+    fits = parts.select("component", F.udf(lambda sums: kernels.solve_moments(np.asarray(sums)), "array<double>")("sums").alias("beta"))  # one row a component
+    known = F.col("y").isNotNull() & F.forall("x", lambda v: ~F.isnan(v))
+    fitted = F.aggregate(F.zip_with("x", F.slice("beta", 2, controls), lambda a, b: a * b), F.col("beta")[0], lambda s, v: s + v)
+    return rows.join(F.broadcast(fits), "component").select("component", "date", F.when(known, F.col("y") - fitted).alias("r"))
+
+
 def residualize(features: DataFrame, benchmarks: DataFrame, method: str = "expanding", min_history: int = 60) -> DataFrame:
-    """(date, orthogonal columns, orthogonal_graph_score): residuals of components on the benchmark controls, one group a component."""
+    """(date, orthogonal columns, orthogonal_graph_score): residuals of components on the benchmark controls."""
     _check(method, min_history)
     controls = [c for c in CONTROLS if c in benchmarks.columns]
     parts = [c for c in ORTHOGONAL if c in features.columns]
@@ -54,14 +99,8 @@ def residualize(features: DataFrame, benchmarks: DataFrame, method: str = "expan
     both = features.select("date", *[num(c).alias(c) for c in parts]).join(benchmarks.select("date", F.array(*[F.coalesce(num(c), F.lit(float("nan"))) for c in controls]).alias("x")), "date")
     kind = features.schema["date"].dataType.simpleString()
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("date")
-        y, x = f["y"].to_numpy(float), np.array([np.asarray(r, float) for r in f["x"]])
-        left = kernels.expanding_residuals(y, x, min_history) if method == "expanding" else kernels.full_residuals(y, x)
-        return pd.DataFrame({"component": f["component"], "date": f["date"], "r": left})
-
     long = melt(both, ["date", "x"], parts, "component", "y")
-    got = long.groupBy("component").applyInPandas(run, f"component string, date {kind}, r double")
+    got = _expanding(long, min_history, len(controls), kind) if method == "expanding" else _full_sample(long, len(controls), kind)
     wide = got.groupBy("date").pivot("component", parts).agg(F.first(finite("r"), ignorenulls=True))
     wide = features.select("date").join(wide.select("date", *[F.col(c).alias(ORTHOGONAL[c]) for c in parts]), "date", "left")
     names = [ORTHOGONAL[c] for c in parts]

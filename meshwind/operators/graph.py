@@ -58,30 +58,26 @@ def network_grid(returns: DataFrame, configs: Sequence[dict], *, min_periods: in
             raise ValueError("min_periods is at most the window")
         own = [c for c in configs if c["window"] == size]
 
-        def run(frames, own=own):
-            for f in frames:
-                by_rows = f["w"].map(len)
-                for rows in sorted(by_rows.unique()):
-                    part = f[by_rows == rows]
-                    x = kernels.standardized(np.stack(list(part["w"])))
-                    if x.shape[-1] < 2:
-                        raise ValueError("a network needs two assets that have returns")
-                    s = np.einsum("bni,bnj->bij", x, x) / x.shape[1]
-                    for alpha in sorted({c["alpha"] for c in own}):
-                        _, theta, done, sweeps = kernels.graphical_lasso(s, alpha, max_iter, tol, enet_tol, mode)
-                        partial = kernels.partial_correlations(theta)
-                        for c in own:
-                            if c["alpha"] != alpha:
-                                continue
-                            a = kernels.adjacency(partial, c["threshold"])
-                            lap = kernels.laplacian(a)
-                            got = pd.DataFrame({"config_id": c["config_id"], "date": part["date"].to_numpy(), **kernels.graph_features(a, lap, c.get("with_modularity", False))})
-                            got["laplacian"] = list(lap.reshape(len(lap), -1))
-                            got["graph_lasso_converged"], got["graph_lasso_n_iter"] = done, sweeps.astype(np.int32)
-                            got["graph_lasso_alpha"], got["graph_lasso_max_iter"], got["graph_lasso_tol"], got["graph_lasso_enet_tol"], got["graph_lasso_mode"] = float(alpha), np.int32(max_iter), tol, enet_tol, mode
-                            got["graph_lasso_warning_count"] = (~done).astype(np.int32)
-                            got["graph_lasso_warning_message"] = np.where(done, "", kernels.NO_CONVERGENCE.format(max_iter))
-                            yield got
+        def run(dates: np.ndarray, moments: kernels.Moments, own=own) -> pd.DataFrame:
+            if moments.n.shape[1] < 2:
+                raise ValueError("a network needs two assets that have returns")
+            s, out = moments.correlations(pairwise=False), []
+            for alpha in sorted({c["alpha"] for c in own}):
+                _, theta, done, sweeps = kernels.graphical_lasso(s, alpha, max_iter, tol, enet_tol, mode)
+                partial = kernels.partial_correlations(theta)
+                for c in own:
+                    if c["alpha"] != alpha:
+                        continue
+                    a = kernels.adjacency(partial, c["threshold"])
+                    lap = kernels.laplacian(a)
+                    got = pd.DataFrame({"config_id": c["config_id"], "date": dates, **kernels.graph_features(a, lap, c.get("with_modularity", False))})
+                    got["laplacian"] = list(lap.reshape(len(lap), -1))
+                    got["graph_lasso_converged"], got["graph_lasso_n_iter"] = done, sweeps.astype(np.int32)
+                    got["graph_lasso_alpha"], got["graph_lasso_max_iter"], got["graph_lasso_tol"], got["graph_lasso_enet_tol"], got["graph_lasso_mode"] = float(alpha), np.int32(max_iter), tol, enet_tol, mode
+                    got["graph_lasso_warning_count"] = (~done).astype(np.int32)
+                    got["graph_lasso_warning_message"] = np.where(done, "", kernels.NO_CONVERGENCE.format(max_iter))
+                    out.append(got)
+            return pd.concat(out)
 
         part = over_windows(cleaned, size, least, run, schema)
         out = part if out is None else out.unionAll(part)
@@ -169,11 +165,8 @@ def rolling_pca_features(returns: DataFrame, window: int = 126, min_periods: int
     if not 0 < min_non_missing <= 1:
         raise ValueError("min_non_missing is a share above 0 and up to 1")
 
-    def run(frames):
-        for f in frames:
-            got = [kernels.correlation_spectrum(w, min_non_missing) or (np.nan,) * 3 for w in f["w"]]
-            first, share, rank = zip(*got) if got else ((), (), ())
-            yield pd.DataFrame({"date": f["date"].to_numpy(), "a": first, "b": share, "c": rank})
+    def run(dates: np.ndarray, moments: kernels.Moments) -> pd.DataFrame:
+        return pd.DataFrame(kernels.correlation_spectra(moments, min_non_missing), columns=list("abc")).assign(date=dates)[["date", "a", "b", "c"]]
 
     got = over_windows(returns, window, least, run, f"date {returns.schema['date'].dataType.simpleString()}, a double, b double, c double").select("date", *[finite(x).alias(x) for x in "abc"])
     got = running(got, [], {"a0": ("last", F.col("a")), "c0": ("last", F.col("c"))}, strict=True)

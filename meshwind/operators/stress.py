@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import full_only, label, num, ordered, trailing
+from ..functions import kernels
+from ..functions.exprs import finite, full_only, label, num
 from ..functions.scans import blocked, halo_window, running, with_halo
 from ..sources.panels import stored
 from .returns import dense, market_return
@@ -40,20 +41,21 @@ def market_drawdown(prices: DataFrame, value: str = "value") -> DataFrame:
 
 def correlation_scores(returns: DataFrame, window: int = 126) -> DataFrame:
     """(date, average_correlation, average_absolute_correlation): means over pairs of assets of the pairwise-complete
-    correlations of each full window of dates, by windowed moments; the pairs are what is spread over tasks."""
+    correlations of each full window of dates, from sliding moments."""
     if window <= 1:
         raise ValueError("a correlation window needs two dates at least")
     if returns.where(num("value").isNotNull()).select("asset").distinct().limit(2).count() < 2:
         raise ValueError("average correlation needs returns of two assets at least")
-    d = dense(returns)
-    pairs = d.alias("a").join(d.alias("b"), (F.col("a.date") == F.col("b.date")) & (F.col("a.asset") < F.col("b.asset"))).select(F.col("a.date").alias("date"), F.concat_ws("~", "a.asset", "b.asset").alias("pair"), F.col("a.value").alias("x"), F.col("b.value").alias("y"))
-    both = F.col("x").isNotNull() & F.col("y").isNotNull()
-    pairs = pairs.select("date", "pair", F.when(both, F.col("x")).alias("x"), F.when(both, F.col("y")).alias("y"))
-    over = trailing(["pair"], window)
-    sx, sy = F.stddev_pop("x").over(over), F.stddev_pop("y").over(over)
-    c = F.when((sx > 1e-9) & (sy > 1e-9), F.try_divide(F.covar_pop("x", "y").over(over), sx * sy))
-    each = pairs.select("date", c.alias("c"), F.row_number().over(ordered(["pair"])).alias("n")).where(F.col("n") >= window)
-    return each.groupBy("date").agg(F.avg("c").alias("average_correlation"), F.avg(F.abs("c")).alias("average_absolute_correlation"))
+
+    def run(dates: np.ndarray, moments: kernels.Moments) -> pd.DataFrame:
+        c = moments.correlations()[:, *np.triu_indices(moments.n.shape[1], 1)]
+        known = np.isfinite(c)
+        count, c = known.sum(axis=1), np.where(known, c, 0.0)
+        mean = lambda v: np.where(count > 0, v.sum(axis=1) / np.maximum(count, 1), np.nan)
+        return pd.DataFrame({"date": dates, "a": mean(c), "b": mean(np.abs(c))})
+
+    got = over_windows(returns, window, window, run, f"date {returns.schema['date'].dataType.simpleString()}, a double, b double")
+    return got.select("date", finite("a").alias("average_correlation"), finite("b").alias("average_absolute_correlation"))
 
 
 def correlation_score(returns: DataFrame, window: int = 126, use_absolute: bool = False) -> DataFrame:
@@ -62,20 +64,18 @@ def correlation_score(returns: DataFrame, window: int = 126, use_absolute: bool
 
 
 def over_windows(returns: DataFrame, window: int, min_periods: int, run, schema: str) -> DataFrame:
-    """What ``run`` makes of frames (date, w), w being the matrix (rows, assets by name) of the last ``window`` dates, from
-    ``min_periods`` dates on.
+    """What ``run(dates, moments)`` makes of the windows of the last ``window`` dates that end at each date, from ``min_periods`` dates on;
+    moments are pairwise-complete sums over assets by name.
 
     Dates go out in blocks with the window before each block, so that a row travels about twice whatever the window."""
     rows = dense(returns).groupBy("date").agg(F.transform(F.array_sort(F.collect_list(F.struct("asset", F.coalesce("value", F.lit(float("nan"))).alias("v")))), lambda s: s["v"]).alias("row"))
-    size = max(window, 64)
-    blocks = with_halo(rows, [], window - 1, size=size).withColumnRenamed("part", "block")
+    blocks = with_halo(rows, [], window - 1, size=max(window, 64)).withColumnRenamed("part", "block")
 
-    def work(key, f):
+    def work(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values("n")
-        values, n = matrix(f["row"]), f["n"].to_numpy()
-        own = np.flatnonzero(f["own"].to_numpy() & (n + 1 >= min_periods))
-        frame = pd.DataFrame({"date": f["date"].to_numpy()[own], "w": [values[max(0, k - window + 1) : k + 1] for k in own]})
-        made = list(run([frame])) if len(own) else []
+        own = np.flatnonzero(f["own"].to_numpy() & (f["n"].to_numpy() + 1 >= min_periods))
+        dates = f["date"].to_numpy()
+        made = [run(dates[places], moments) for places, moments in kernels.sliding_moments(matrix(f["row"]), window, own)]
         return pd.concat(made) if made else pd.DataFrame({c.strip().split(" ")[0]: pd.Series([], dtype=object) for c in schema.split(",")})
 
     return blocks.groupBy("block").applyInPandas(work, schema)
