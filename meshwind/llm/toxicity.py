@@ -24,58 +24,117 @@ TRAIN_ROWS, STEMS = 3000, 600
 THRESHOLD = 0.3
 _TOKENS = re.compile(r"[^\W\d_]+|[.,;:!?\n|]")
 _BREAKS = frozenset(".,;:!?\n|")
-OTHER, INSULT, THREATS, TARGETS, NEG, SAID = range(6)
+#: Symbols of words, and those of the one word that a parse takes for the clause's insult or threat.
+OTHER, INSULT, THREATS, TARGETS, NEG, SAID, INSULT_HERE, THREAT_HERE = range(8)
+SYMBOLS = 8
+_HERE = {INSULT: INSULT_HERE, THREATS: THREAT_HERE}
 #: Symbols that a negation and a target reach.
 NEG_WIDTH, TARGET_WIDTH = 4, 3
-NEGATED, REPORTED, TARGETED, CLASSES = 1, 2, 4, 16
+#: Marks of arcs; a clause's class is the marks of its path.
+NEGATED, REPORTED, TARGETED, THREATENING, CLASSES = 1, 2, 4, 8, 16
+#: Weights (logarithms of factors) of the arcs with these marks, before anything is learned, and what may be learned in their place: negation and
+#: report always weaken a clause, a target never does.
+PRIOR = (-2.5, -2.0, 0.4, 0.0)
+CHOICES = ((-3.5, -3.0, -2.5, -2.0, -1.5), (-3.0, -2.5, -2.0, -1.5, -1.0), (0.1, 0.25, 0.4, 0.7, 1.0), (-0.5, -0.25, 0.0, 0.25, 0.5))
+#: How much the log-likelihood of the training rows pays for a unit of squared distance from the prior.
+HOLD = 4.0
+#: A threat weighs as much as this, or as the mean stem of the lexicon.
+THREAT_WEIGHT = 4.0
 
 
 @dataclass(frozen=True)
 class Transducer:
-    """Finite and deterministic: arcs[state][symbol] is (next state, marks); state 0 is the first."""
+    """Finite and deterministic: arcs[state][symbol] is (next state, marks), or None; state 0 is the first; finals are accepting."""
 
-    arcs: tuple[tuple[tuple[int, int], ...], ...]
+    arcs: tuple[tuple[tuple[int, int] | None, ...], ...]
+    finals: tuple[bool, ...]
 
     def __matmul__(self, other: Transducer) -> Transducer:
-        """Composition: both read each symbol, and it gets the marks of both. States are the pairs that can be reached."""
+        """Composition: both read each symbol, and it gets the marks of both; both have to accept. States are the pairs that can be reached."""
         number, todo, arcs = {(0, 0): 0}, [(0, 0)], []
         for left, right in todo:
-            row = []
-            for (a, m), (b, k) in zip(self.arcs[left], other.arcs[right]):
-                if (a, b) not in number:
-                    number[a, b] = len(number)
-                    todo.append((a, b))
-                row.append((number[a, b], m | k))
+            row: list[tuple[int, int] | None] = []
+            for x, y in zip(self.arcs[left], other.arcs[right]):
+                if x is None or y is None:
+                    row.append(None)
+                    continue
+                to = (x[0], y[0])
+                if to not in number:
+                    number[to] = len(number)
+                    todo.append(to)
+                row.append((number[to], x[1] | y[1]))
             arcs.append(tuple(row))
-        return Transducer(tuple(arcs))
-
-    def run(self, symbols) -> list[int]:
-        state, out = 0, []
-        for s in symbols:
-            state, marks = self.arcs[state][s]
-            out.append(marks)
+        return Transducer(tuple(arcs), tuple(self.finals[a] and other.finals[b] for a, b in todo))
+
+    def parses(self, symbols: list[int], bases: list[float]) -> dict[int, float]:
+        """Per class (the marks of a path) the summed bases of all accepted paths: every insult or threat may be the one that a path takes
+        for the clause's, and gives the path its base. One run from left to right; paths that meet in a state are summed."""
+        at: dict[int, dict[int, float]] = {0: {0: 1.0}}
+        for symbol, base in zip(symbols, bases):
+            after: dict[int, dict[int, float]] = {}
+            for state, paths in at.items():
+                row = self.arcs[state]
+                for arc, own in ((row[symbol], 1.0), (row[_HERE[symbol]], base)) if symbol in _HERE else ((row[symbol], 1.0),):
+                    if arc is not None:
+                        into = after.setdefault(arc[0], {})
+                        for marks, weight in paths.items():
+                            into[marks | arc[1]] = into.get(marks | arc[1], 0.0) + weight * own
+            at = after
+        out: dict[int, float] = {}
+        for state, paths in at.items():
+            if self.finals[state]:
+                for marks, weight in paths.items():
+                    out[marks] = out.get(marks, 0.0) + weight
         return out
 
 
-def scope(opener: int, width: int, mark: int) -> Transducer:
-    """Marks insults and threats among the ``width`` symbols after an opener (0: all after it); a state is what is left to reach."""
-    after = lambda left, s: (width or 1) if s == opener else left if not width else max(0, left - 1)
-    return Transducer(tuple(tuple((after(left, s), mark if left and s in (INSULT, THREATS) else 0) for s in range(6)) for left in range((width or 1) + 1)))
+def machine(states: int, arc, final=lambda state: True) -> Transducer:
+    """The transducer of a function from state and symbol to (next state, marks) or None."""
+    return Transducer(tuple(tuple(arc(q, s) for s in range(SYMBOLS)) for q in range(states)), tuple(final(q) for q in range(states)))
+
+
+#: One insult or threat a clause; the latter marks its arc.
+MATCH = machine(2, lambda q, s: (q, 0) if s < INSULT_HERE else None if q else (1, THREATENING * (s == THREAT_HERE)), lambda q: q == 1)
+#: The match is among the NEG_WIDTH symbols after a negation; a state is what is left to reach.
+NEGATION_SCOPE = machine(NEG_WIDTH + 1, lambda q, s: (NEG_WIDTH if s == NEG else max(0, q - 1), NEGATED * (s >= INSULT_HERE and q > 0)))
+#: The match comes after a verb of saying.
+REPORT_SCOPE = machine(2, lambda q, s: (1 if s == SAID else q, REPORTED * (s >= INSULT_HERE and q > 0)))
+
+
+def _target(q: int, s: int) -> tuple[int, int]:
+    """States: 0 to W, what a target before the match still reaches; W + 1, settled; then W, for an insult, and W + 1, for a threat, by
+    what is left for a target after it; the last state is a threat without one."""
+    w = TARGET_WIDTH
+    settled, insult, threat, lost = w + 1, w + 1, 2 * w + 1, 3 * w + 2  # insult + k, threat + k: k symbols are left
+    if q <= w:
+        if s >= INSULT_HERE:
+            return (settled, TARGETED) if q else (insult + w if s == INSULT_HERE else threat + w, 0)
+        return (w if s == TARGETS else max(0, q - 1), 0)
+    if q in (settled, lost):
+        return (q, 0)
+    if s == TARGETS:
+        return (settled, TARGETED)
+    return (lost if q == threat + 1 else q - 1, 0)
+
 
+#: A target is among the TARGET_WIDTH symbols before or after the match. A threat needs one.
+TARGET_SCOPE = machine(3 * TARGET_WIDTH + 3, _target, lambda q: q <= 2 * TARGET_WIDTH + 1)
+GRAMMAR = MATCH @ NEGATION_SCOPE @ REPORT_SCOPE @ TARGET_SCOPE
+FEATURES = ("evidence", "strongest", "density", "clauses")
 
-#: Read forwards: negation, reported speech and a target before; read backwards: a target after.
-FORWARDS = scope(NEG, NEG_WIDTH, NEGATED) @ scope(SAID, 0, REPORTED) @ scope(TARGETS, TARGET_WIDTH, TARGETED)
-BACKWARDS = scope(TARGETS, TARGET_WIDTH, TARGETED)
-#: Weights of the arcs into a clause's class are learned: class = 8 for a threat, and its marks.
-FEATURES = tuple(f"clauses_{k}" for k in range(CLASSES)) + ("log_weight", "best", "density")
+
+def arc_weights(arcs) -> list[float]:
+    """The weight of each set of marks."""
+    return [sum(a for k, a in enumerate(arcs) if marks >> k & 1) for marks in range(CLASSES)]
 
 
 class Lexicon(dict):
-    """Word to (symbol, weight); stems match word beginnings, longest first; symbols of words are kept while few."""
+    """Word to (symbol, base); stems match word beginnings, longest first; symbols of words are kept while few."""
 
     def __init__(self, stems: dict[str, float]):
         super().__init__()
-        self.stems, self.closed = stems, {w: (k, 0.0) for k, ws in ((THREATS, THREAT), (TARGETS, TARGET), (NEG, NEGATION), (SAID, REPORT)) for w in ws}
+        threat = sum(stems.values()) / len(stems) if stems else THREAT_WEIGHT
+        self.stems, self.closed = stems, {w: (k, threat if k == THREATS else 0.0) for k, ws in ((THREATS, THREAT), (TARGETS, TARGET), (NEG, NEGATION), (SAID, REPORT)) for w in ws}
 
     def __missing__(self, word: str):
         if len(self) > 60_000:
@@ -87,36 +146,40 @@ class Lexicon(dict):
         return found
 
 
-def clause_match(symbols: list[int], weights: list[float]) -> tuple[int, float] | None:
-    """Class and weight of a clause: its heaviest match gives the class, all give weight. Insults match with any marks, threats
-    only with a target before or after them."""
-    marks = [m | k for m, k in zip(FORWARDS.run(symbols), reversed(BACKWARDS.run(reversed(symbols))))]
-    found = [(w, m | 8 * (s == THREATS)) for s, w, m in zip(symbols, weights, marks) if s == INSULT or s == THREATS and m & TARGETED]
-    return (max(found)[1], sum(w for w, _ in found)) if found else None
-
-
-def matches(text: str | None, lexicon: Lexicon) -> tuple[list[tuple[int, float]], int]:
-    """(class, weight) of each matched clause, and the number of clauses."""
-    found, symbols, weights, hot, n = [], [], [], False, 0
+def matches(text: str | None, lexicon: Lexicon) -> tuple[list[dict[int, float]], int]:
+    """The parses of each clause that has any, and the number of clauses."""
+    found, symbols, bases, hot, n = [], [], [], False, 0
     for token in [*_TOKENS.findall((text or "").lower()), "."]:
         if token not in _BREAKS:
-            kind, weight = lexicon[token]
-            symbols.append(kind), weights.append(weight)
-            hot = hot or kind in (INSULT, THREATS)
+            kind, base = lexicon[token]
+            symbols.append(kind), bases.append(base)
+            hot = hot or kind in _HERE
             continue
         n += bool(symbols)
-        if hot and (match := clause_match(symbols, weights)):
-            found.append(match)
-        symbols, weights, hot = [], [], False
+        if hot and (parses := GRAMMAR.parses(symbols, bases)):
+            found.append(parses)
+        symbols, bases, hot = [], [], False
     return found, n
 
 
-def features(found: list[tuple[int, float]], n: int) -> list[float]:
-    each = [0] * CLASSES
-    for kind, _ in found:
-        each[kind] += 1
-    weights = [w for _, w in found]
-    return [*map(math.log1p, each), math.log1p(sum(weights)), max(weights, default=0.0), math.log1p(100 * len(found) / max(n, 1))]
+def class_sums(found: list[dict[int, float]], n: int) -> list[float]:
+    """Per class its share of the clauses that match, the sum of its parses' bases and the largest of a clause, then the number of all clauses."""
+    out = [[0.0, 0.0, 0.0] for _ in range(CLASSES)]
+    for parses in found:
+        total = sum(parses.values())
+        for kind, base in parses.items():
+            own = out[kind]
+            out[kind] = [own[0] + base / total, own[1] + base, max(own[2], base)]
+    return [x for own in zip(*out) for x in own] + [float(n)]
+
+
+def features(sums: np.ndarray, arcs) -> np.ndarray:
+    """(rows, FEATURES) of class_sums: parses weigh their base times what their arcs make of it; a clause without a parse weighs nothing."""
+    sums = np.asarray(sums, float).reshape(-1, 3 * CLASSES + 1)
+    scale = np.exp(arc_weights(arcs))
+    number, weight, most, n = sums[:, :CLASSES], sums[:, CLASSES : 2 * CLASSES], sums[:, 2 * CLASSES : -1], sums[:, -1]
+    share = (number * np.minimum(scale, 1.0)).sum(axis=1) / np.maximum(n, 1)
+    return np.c_[np.log1p((weight * scale).sum(axis=1)), (most * scale).max(axis=1), np.log1p(100 * share), np.log1p(n)]
 
 
 def stems_of(text: str | None) -> set[str]:
@@ -147,30 +210,50 @@ def best_stems(counts: list[tuple[str, int, int]], clean: int, toxic: int) -> di
 @dataclass
 class Model:
     stems: dict[str, float]
+    arcs: tuple[float, ...]
     center: np.ndarray
     scale: np.ndarray
     weights: np.ndarray
 
-    def score(self, rows: list[list[float]]) -> np.ndarray:
-        z = (np.array(rows, float).reshape(-1, len(FEATURES)) - self.center) / self.scale
+    def score(self, sums) -> np.ndarray:
+        z = (features(sums, self.arcs) - self.center) / self.scale
         return 1 / (1 + np.exp(-np.clip(z @ self.weights[1:] + self.weights[0], -30, 30)))
 
 
-def fit(rows: list[list[float]], labels: list[int], shift: float = 0.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Center, scale and weights of a logistic regression. shift: added to the intercept, to undo sampling by class."""
-    x, y = np.array(rows, float).reshape(-1, len(FEATURES)), np.array(labels, float)
-    w = np.zeros(1 + len(FEATURES))
-    if not len(x) or not 0 < y.mean() < 1:
-        w[0] = 30.0 if len(x) and y.mean() else -30.0
-        return np.zeros(len(FEATURES)), np.ones(len(FEATURES)), w
+def fit(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Center, scale, weights and penalised log-likelihood of a logistic regression. Evidence and the strongest clause never weigh
+    against toxicity: a feature that would is left out."""
+    used, w = np.ones(x.shape[1], bool), np.zeros(1 + x.shape[1])
     center, scale = x.mean(0), x.std(0) + 1e-6
-    x = np.c_[np.ones(len(x)), (x - center) / scale]
-    for _ in range(25):  # Newton steps with a ridge
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = x.T @ (x * (p * (1 - p))[:, None]) + np.eye(len(w))
-        w += np.linalg.solve(h, x.T @ (y - p) - w)
+    z = np.c_[np.ones(len(x)), (x - center) / scale]
+    while True:
+        keep, w = np.r_[True, used], np.zeros(1 + x.shape[1])
+        a = z[:, keep]
+        for _ in range(25):  # Newton steps with a ridge
+            p = 1 / (1 + np.exp(-np.clip(a @ w[keep], -30, 30)))
+            h = a.T @ (a * (p * (1 - p))[:, None]) + np.eye(keep.sum())
+            w[keep] += np.linalg.solve(h, a.T @ (y - p) - w[keep])
+        against = used & (w[1:] < 0) & np.array([f != "clauses" for f in FEATURES])
+        if not against.any():
+            break
+        used &= ~against
+    p = np.clip(1 / (1 + np.exp(-np.clip(z @ w, -30, 30))), 1e-12, 1 - 1e-12)
+    return center, scale, w, float((y * np.log(p) + (1 - y) * np.log(1 - p)).sum() - w @ w / 2)
+
+
+def learn(rows: list[list[float]], labels: list[int], stems: dict[str, float], shift: float = 0.0) -> Model:
+    """The model of class_sums and labels: each arc's weight is the choice of the highest likelihood, held to its prior; then the regression.
+    shift: added to the intercept, to undo sampling by class."""
+    sums, y = np.array(rows, float).reshape(-1, 3 * CLASSES + 1), np.array(labels, float)
+    if not len(y) or not 0 < y.mean() < 1:
+        return Model(stems, PRIOR, np.zeros(len(FEATURES)), np.ones(len(FEATURES)), np.array([30.0 if len(y) and y.mean() else -30.0, *[0.0] * len(FEATURES)]))
+    worth = lambda arcs: fit(features(sums, arcs), y)[3] - HOLD * sum((a - b) ** 2 for a, b in zip(arcs, PRIOR))
+    arcs = list(PRIOR)
+    for k, choices in enumerate(CHOICES):
+        arcs[k] = max(choices, key=lambda v: (worth([*arcs[:k], v, *arcs[k + 1 :]]), -abs(v - PRIOR[k])))  # noqa: B023
+    center, scale, w, _ = fit(features(sums, arcs), y)
     w[0] += shift
-    return center, scale, w
+    return Model(stems, tuple(arcs), center, scale, w)
 
 
 def train(docs: DataFrame, labels: DataFrame, *, id_col="doc_id", text_col="text", label_col="toxic", allowed=None) -> Model:
@@ -201,7 +284,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col="doc_id", text_col="text
     stems = [best_stems([(r["stem"], sum(r[f"n{h}0"] for h in halves), sum(r[f"n{h}1"] for h in halves)) for r in counted], size(0, *halves), size(1, *halves)) for halves in ((1,), (0,), (0, 1))]
     rows = arrow_map(sample, lambda: _featured(stems), "id " + docs.schema[id_col].dataType.simpleString() + ", y int, x array<double>").orderBy(F.xxhash64("id"), "id").collect()
     shift = math.log(shares[1] / shares[0]) - math.log(size(1, 0, 1) / size(0, 0, 1)) if size(0, 0, 1) and size(1, 0, 1) else 0.0
-    return Model(stems[2], *fit([r["x"] for r in rows], [r["y"] for r in rows], shift))
+    return learn([r["x"] for r in rows], [r["y"] for r in rows], stems[2], shift)
 
 
 def _stem_counts(batch: pa.RecordBatch) -> dict:
@@ -216,7 +299,7 @@ def _featured(stems: list[dict[str, float]]):
     lexicons = [Lexicon(s) for s in stems[:2]]
 
     def work(batch: pa.RecordBatch) -> dict:
-        x = [features(*matches(t, lexicons[h])) for t, h in zip(batch.column("text").to_pylist(), batch.column("half").to_pylist())]
+        x = [class_sums(*matches(t, lexicons[h])) for t, h in zip(batch.column("text").to_pylist(), batch.column("half").to_pylist())]
         return {"id": batch.column("id"), "y": batch.column("y"), "x": x}
 
     return work
@@ -232,7 +315,7 @@ def score_column(spark: SparkSession, model: Model, text: Column) -> Column:
 
         def work(texts: pa.Array) -> dict:
             found = [matches(t, lexicon) for t in texts.to_pylist()]
-            score = fitted.score([features(*m) for m in found])
+            score = fitted.score([class_sums(*m) for m in found])
             return {"score": score, "n_matches": [len(m) for m, _ in found], "predicted": (score >= THRESHOLD).astype(np.int32)}
 
         return work

@@ -1,5 +1,8 @@
+import math
 import random
 
+import pytest
+
 from meshwind.llm import toxicity as T
 
 
@@ -17,29 +20,50 @@ def corpus(n=600):
 
 
 def test_grammar_scores_clauses():
-    lexicon = T.Lexicon({"idiot": 2.0, "fool": 1.0})
-    kinds = lambda text: [k for k, _ in T.matches(text, lexicon)[0]]
+    lexicon = T.Lexicon({"idiot": 2.0, "fool": 1.5})
+    kinds = lambda text: [max(p) for p in T.matches(text, lexicon)[0]]
     assert kinds("you idiot") == [T.TARGETED] and kinds("idiot you are") == [T.TARGETED]
     assert kinds("not an idiot.") == [T.NEGATED] and kinds("he said something, idiot") == [0]
     assert kinds("she wrote that you idiots came") == [T.REPORTED | T.TARGETED]
-    assert kinds("i will kill you") == kinds("you will kill") == [8 | T.TARGETED] and kinds("kill the process") == []
-    assert T.matches("idiot and fool. a fool", lexicon) == ([(0, 3.0), (0, 1.0)], 2)
+    assert kinds("i will kill you") == kinds("you will kill") == [T.THREATENING | T.TARGETED] and kinds("kill the process") == []
+    assert kinds("idiot and fool. a fool") == [0, 0] and T.matches("idiot and fool", lexicon) == ([{0: 3.5}], 1)
     assert T.matches("clear sky", lexicon) == ([], 1) and T.matches(None, lexicon) == ([], 0)
 
 
-def test_machines_equal_windows_over_all_places():
+def test_one_run_equals_all_parses():
+    """Every insult and every threat of a clause, with marks by their definition, against one run of the composed machine."""
     rnd = random.Random(8)
-    assert len(T.FORWARDS.arcs) <= (T.NEG_WIDTH + 1) * 2 * (T.TARGET_WIDTH + 1)  # the pairs of states that can be reached
-    for _ in range(300):
+    assert len(T.GRAMMAR.arcs) <= 2 * (T.NEG_WIDTH + 1) * 2 * len(T.TARGET_SCOPE.arcs)  # the states that can be reached
+    for _ in range(600):
         s = [rnd.choice((T.OTHER, T.OTHER, T.INSULT, T.THREATS, T.TARGETS, T.NEG, T.SAID)) for _ in range(rnd.randint(1, 25))]
-        w = [float(rnd.randint(1, 9)) if x == T.INSULT else 0.0 for x in s]
-        found = []
+        base = [float(rnd.randint(1, 9)) if x in (T.INSULT, T.THREATS) else 0.0 for x in s]
+        want = {}
         for k, x in enumerate(s):
-            near = [j for j, y in enumerate(s) if y == T.TARGETS and 0 < abs(j - k) <= T.TARGET_WIDTH]
-            mark = T.TARGETED * bool(near) | T.NEGATED * (T.NEG in s[max(0, k - T.NEG_WIDTH) : k]) | T.REPORTED * (T.SAID in s[:k])
+            near = any(y == T.TARGETS and 0 < abs(j - k) <= T.TARGET_WIDTH for j, y in enumerate(s))
             if x == T.INSULT or x == T.THREATS and near:
-                found.append((w[k], mark | 8 * (x == T.THREATS)))
-        assert T.clause_match(s, w) == ((max(found)[1], sum(f[0] for f in found)) if found else None)
+                marks = T.TARGETED * near | T.NEGATED * (T.NEG in s[max(0, k - T.NEG_WIDTH) : k]) | T.REPORTED * (T.SAID in s[:k]) | T.THREATENING * (x == T.THREATS)
+                want[marks] = want.get(marks, 0.0) + base[k]
+        assert T.GRAMMAR.parses(s, base) == pytest.approx(want)
+
+
+def test_scores_follow_the_grammar(spark):
+    """Report and negation weaken a clause, a target strengthens it, threats count with a target alone; a document's score is
+    that of its clauses, computed here without class sums."""
+    rows, labels = corpus()
+    model = T.train(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    said = ["you grobblin.", "you are not a grobblin.", "he said you are a grobblin.", "a grobblin.", "i will kill you.", "kill the process.", "the sky is clear.", "he said that we kill you."]
+    got = [r["score"] for r in T.score_toxicity(spark.createDataFrame(list(enumerate(said)), "doc_id long, text string"), model).orderBy("id").collect()]
+    targeted, negated, reported, plain, threat, idle, clear, told = got
+    assert min(negated, reported) >= clear and max(negated, reported) < plain <= targeted
+    assert threat > 0.3 > told and idle == clear < 0.1
+    for text, score in zip(said, got):
+        found, n = T.matches(text, T.Lexicon(model.stems))
+        factor = lambda kind: math.exp(sum(a for k, a in enumerate(model.arcs) if kind >> k & 1))
+        weigh = [factor(kind) * base for parses in found for kind, base in parses.items()]
+        share = sum(min(1.0, factor(kind)) * base / sum(parses.values()) for parses in found for kind, base in parses.items()) / max(n, 1)
+        x = [math.log1p(sum(weigh)), max(weigh, default=0.0), math.log1p(100 * share), math.log1p(n)]
+        z = model.weights[0] + sum(w * (v - c) / s for w, v, c, s in zip(model.weights[1:], x, model.center, model.scale))
+        assert score == pytest.approx(1 / (1 + math.exp(-z)))
 
 
 def test_stem_weights_equal_counts(spark, monkeypatch):
