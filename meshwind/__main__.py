@@ -79,7 +79,8 @@ def main(argv: Sequence[str] | None = None) -> int:
     a = arguments(argv)
     spark = SparkSession.builder.appName("meshwind").getOrCreate()
     try:
-        run(spark, a)
+        with panels.scratch(spark):
+            run(spark, a)
     except (FileNotFoundError, ValueError, KeyError) as e:
         print(f"meshwind: {e}", file=sys.stderr)
         return 1

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.exprs import num
+from .functions.exprs import melt, num
 from .operators import components, evaluate, graph, models, overlay, selection, stress
 from .operators import returns as ret
 from . import sql_twins as twin
@@ -916,6 +916,24 @@ def _(d):
     return panels.to_long(panels.load_prices_csv(d.spark, f"{folder}/prices.csv"))
 
 
+@query("csv_returns_sniffed_dates", sql("r", "select date, asset, round(value, 6) as value from r"))
+def _(d):
+    """The first column is no known index name; its values tell that it holds dates."""
+    folder = panels.new_folder(d.spark)
+    panels.write_tables({"returns.csv": panels.to_wide(d.returns(), ["s0", "s1", "s2", "s3"]).withColumnRenamed("date", "week start")}, folder, "csv")
+    return panels.to_long(panels.load_returns_csv(d.spark, f"{folder}/returns.csv"))
+
+
+@query("csv_without_dates", sql("d", "select asset, count(value) as n, round(sum(value), 6) as total from d group by asset"))
+def _(d):
+    """The first column holds prices, so it is an asset like the others."""
+    folder = panels.new_folder(d.spark)
+    panels.write_tables({"prices.csv": panels.to_wide(ret.dense(d.prices()), ["s0", "s1", "s2", "s3"]).drop("date")}, folder, "csv")
+    wide = panels.load_prices_csv(d.spark, f"{folder}/prices.csv")
+    long = melt(wide, [], wide.columns, "asset", "value")
+    return long.groupBy("asset").agg(F.count("value").alias("n"), F.sum("value").alias("total"))
+
+
 @query("cached_returns", sql("r", "select date, asset, round(value, 6) as value from r"))
 def _(d):
     folder = panels.new_folder(d.spark)

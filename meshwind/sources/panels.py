@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -63,11 +64,63 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     return load_market_csv(spark, path) if path.endswith(".csv") else spark.read.parquet(path)
 
 
+def _store(spark: SparkSession, folder: str):
+    """Hadoop's path class and the file system of a folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    return path, path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def write_tables(tables: dict[str, DataFrame], folder: str, fmt: str = "parquet") -> None:
-    """One table a file name; fmt parquet or csv."""
-    for name, df in tables.items():
-        writer = df.write.mode("overwrite")
-        writer.parquet(f"{folder}/{name}") if fmt == "parquet" else writer.option("header", True).csv(f"{folder}/{name}")
+    """One table a file name; fmt parquet or csv. All tables are written aside first and put in place when the last is there, so that
+    one that fails leaves the folder as it was; tables may read what they replace. Where a rename fails midway, those before it are undone."""
+    if not tables:
+        return
+    spark = next(iter(tables.values())).sparkSession
+    path, store = _store(spark, folder)
+    aside = f"{folder}/_staged-{uuid.uuid4().hex}"
+    done: list[tuple[str, bool]] = []
+
+    def move(a: str, b: str) -> None:
+        if not store.rename(path(a), path(b)):
+            raise OSError(f"could not put {b} in place")
+
+    try:
+        for name, df in tables.items():
+            out = f"{aside}/{name}"
+            df.write.parquet(out) if fmt == "parquet" else df.write.option("header", True).csv(out)
+        for name in tables:
+            had = bool(store.exists(path(f"{folder}/{name}")))
+            if had:
+                move(f"{folder}/{name}", f"{aside}/_old-{name}")
+            done.append((name, had))
+            move(f"{aside}/{name}", f"{folder}/{name}")
+    except BaseException:
+        for name, had in reversed(done):
+            if had:
+                store.delete(path(f"{folder}/{name}"), True)
+                store.rename(path(f"{aside}/_old-{name}"), path(f"{folder}/{name}"))
+            else:
+                store.delete(path(f"{folder}/{name}"), True)
+        raise
+    finally:
+        store.delete(path(aside), True)
+
+
+#: Folders of intermediate tables that this process has named and not yet given back.
+_FOLDERS: list[str] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Deletes on leaving all intermediate tables that were written within; results have to be read or written by then."""
+    before = len(_FOLDERS)
+    try:
+        yield
+    finally:
+        for folder in _FOLDERS[before:]:
+            path, store = _store(spark, folder)
+            store.delete(path(folder), True)
+        del _FOLDERS[before:]
 
 
 def new_folder(spark: SparkSession) -> str:
@@ -81,7 +134,8 @@ def new_folder(spark: SparkSession) -> str:
         if spark.sparkContext.master.split("[")[0] != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="meshwind-")
-    return f"{root.rstrip('/')}/meshwind-{uuid.uuid4().hex}"
+    _FOLDERS.append(f"{root.rstrip('/')}/meshwind-{uuid.uuid4().hex}")
+    return _FOLDERS[-1]
 
 
 def stored(df: DataFrame) -> DataFrame:
