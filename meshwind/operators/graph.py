@@ -62,8 +62,7 @@ def network_grid(returns: DataFrame, configs: Sequence[dict], *, min_periods: in
             if moments.n.shape[1] < 2:
                 raise ValueError("a network needs two assets that have returns")
             s, out = moments.correlations(pairwise=False), []
-            for alpha in sorted({c["alpha"] for c in own}):
-                _, theta, done, sweeps = kernels.graphical_lasso(s, alpha, max_iter, tol, enet_tol, mode)
+            for alpha, theta, done, sweeps in kernels.fit_windows(s, {c["alpha"] for c in own}, max_iter, tol, enet_tol, mode):
                 partial = kernels.partial_correlations(theta)
                 for c in own:
                     if c["alpha"] != alpha:

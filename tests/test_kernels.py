@@ -108,3 +108,48 @@ def test_windows_in_blocks_equal_one_block(spark, monkeypatch):
         assert got[d]["average_correlation"] == pytest.approx(c.mean()) and got[d]["average_absolute_correlation"] == pytest.approx(np.abs(c).mean())
         if (w.notna().sum() >= 24).all():
             assert pca[d]["pca_first_eigenvalue"] == pytest.approx(np.linalg.eigvalsh(w.corr().to_numpy())[-1])
+
+
+def _windows(seed, n=60, p=8, mix=0.4):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n + 80, p)) + mix * np.repeat(rng.normal(size=(n + 80, 2)), p // 2, axis=1)
+    return np.stack([np.corrcoef(x[k : k + 80].T) for k in range(n)])
+
+
+def test_components_are_solved_apart():
+    s = _windows(1)
+    for alpha in (0.05, 0.25, 0.6):
+        w, theta, done, sweeps = K.graphical_lasso(s, alpha, tol=1e-10, inner_tol=1e-12)
+        whole = K._descend(s, alpha, 1000, 1e-10, 1e-12, "cd", None)
+        assert done.all() and np.allclose(theta, whole[1], atol=1e-7) and np.allclose(np.linalg.inv(theta), w, atol=1e-7)
+        off = ~np.eye(8, dtype=bool)
+        assert (np.abs((w - s)[:, off]) <= alpha + 1e-7).all()
+    parts = K.connected(np.abs(s) * (1 - np.eye(8)) > 0.25)
+    assert (parts > 0).any(axis=1).any()  # some of the graphs do fall apart
+    for a, label in list(zip(s, parts))[::9]:
+        seen = {0}
+        while more := {int(j) for i in seen for j in np.flatnonzero(np.abs(a[i]) > 0.25)} - seen:
+            seen |= more
+        assert set(np.flatnonzero(label == 0)) == seen
+    alone = K.graphical_lasso(s, 0.99)
+    assert (alone[3] == 1).all() and np.allclose(alone[1], np.eye(8))
+
+
+@pytest.mark.parametrize("mode", ["cd", "lars"])
+def test_warm_starts_change_sweeps_only(mode):
+    s, alphas = _windows(2, mix=1.0), (0.3, 0.05, 0.1)
+    total = {True: 0, False: 0}
+    for alpha, theta, done, sweeps in K.fit_windows(s, alphas, 1000, 1e-8, 1e-10, mode):
+        cold = K.graphical_lasso(s, alpha, tol=1e-8, inner_tol=1e-10, mode=mode)
+        assert done.all() and np.allclose(theta, cold[1], atol=1e-5)
+        total[True] += sweeps.sum()
+        total[False] += cold[3].sum()
+    assert total[True] < total[False]
+
+
+def test_precision_is_diagonal_where_alpha_exceeds_every_correlation(spark):
+    dates = pd.date_range("2020-01-01", periods=40).date
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(d, f"a{j}", float(v)) for d in dates for j, v in enumerate(rng.normal(size=3))], "date date, asset string, value double")
+    rows = graph.rolling_graph_features(df, 20, 0.95).collect()
+    assert len(rows) == 21 and all(r["number_of_edges"] == 0 and r["graph_lasso_n_iter"] == 1 and r["graph_lasso_converged"] for r in rows)
