@@ -406,7 +406,8 @@ def near_duplicates(docs: DataFrame, *, id_col="doc_id", text_col="text", width:
     pairs = materialize(candidate_pairs(keys.repartitionByRange(parts, "key").sortWithinPartitions("key"), percent))
     links = materialize(confirmed(pairs, base, nodes, width, percent))
     comp = materialize(components(links))
-    comp = materialize(components(links.unionAll(left_links(nodes, comp, base, width, percent))))
+    left = materialize(left_links(nodes, comp, base, width, percent))  # else each task holds two Python workers, which live on
+    comp = materialize(components(links.unionAll(left)))
     named = nodes.select("fp", "low").join(comp.withColumnRenamed("node", "fp"), "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
     lowest = named.groupBy("comp").agg(F.min("low").alias("component"))
     of = named.join(lowest, "comp").select("fp", "component")

@@ -154,3 +154,12 @@ def test_large_family_that_scatters_around_the_bound(spark):
     assert 1 < len({c for _, _, c in want}) < 400
     got = N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r.id, r.n_shingles, r.component_id) for r in got) == want
+
+
+def test_components_start_from_written_links(spark, monkeypatch):
+    """A task that finds links and draws them together at once holds two Python workers, which live on for later stages."""
+    seen, own = [], N.components
+    monkeypatch.setattr(N, "components", lambda edges: seen.append(edges._jdf.queryExecution().executedPlan().toString()) or own(edges))
+    docs = spark.createDataFrame([(i, " ".join(f"w{k * (i // 2 + 1)}" for k in range(40))) for i in range(20)], "doc_id long, text string")
+    assert N.near_duplicates(docs).where("kept").count() == 10
+    assert len(seen) == 3 and not any("InPandas" in p or "InArrow" in p for p in seen)
