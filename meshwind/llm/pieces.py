@@ -288,17 +288,18 @@ class Encoder:
 
     def _distinct(self, chars: np.ndarray, starts: np.ndarray, sizes: np.ndarray):
         """Number of each unit among the distinct ones, and one unit of each: by hashes, which are checked character by character."""
-        seed, place = 0x9E3779B97F4A7C15, np.arange(len(chars), dtype=np.int32) - np.repeat(starts, sizes)
+        seed, name = 0x9E3779B97F4A7C15, np.empty(len(starts), np.uint64)
+        blocks = [(lo, hi, int(starts[lo]), int(starts[hi - 1] + sizes[hi - 1])) for lo, hi in _blocks(np.cumsum(sizes), INDEX_CHARS)]
         while True:
             power = np.cumprod(np.full(int(sizes.max()), seed, np.uint64))
-            mixed = power[place]
-            mixed *= chars.astype(np.uint64) + np.uint64(0x5851F42D4C957F2D)
-            name = np.add.reduceat(mixed, starts)
-            del mixed
+            for lo, hi, a, b in blocks:
+                mixed = power[np.arange(a, b) - np.repeat(starts[lo:hi], sizes[lo:hi])]
+                mixed *= chars[a:b].astype(np.uint64) + np.uint64(0x5851F42D4C957F2D)
+                name[lo:hi] = np.add.reduceat(mixed, starts[lo:hi] - a)
             name ^= name >> np.uint64(31)
             _, reps, number = np.unique(name, return_index=True, return_inverse=True)
             other = reps[number]
-            if (sizes[other] == sizes).all() and (chars[np.repeat(starts[other], sizes) + place] == chars).all():
+            if (sizes[other] == sizes).all() and all((chars[_spread(starts[other[lo:hi]], sizes[lo:hi])] == chars[a:b]).all() for lo, hi, a, b in blocks):
                 return number, reps
             seed = (seed * 6364136223846793005 + 1442695040888963407) % 2**64 | 1
 
@@ -353,8 +354,13 @@ class Encoder:
 
 def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The places of all ranges in turn."""
-    ends = np.cumsum(sizes)
-    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
+    ends = np.cumsum(sizes, dtype=np.int64)
+    if not len(ends):
+        return np.empty(0, np.int32)
+    kind = np.int32 if max(int(ends[-1]), int((starts + sizes).max())) < 1 << 31 else np.int64  # half the memory
+    out = np.repeat((starts - (ends - sizes)).astype(kind), sizes)
+    out += np.arange(len(out), dtype=kind)
+    return out
 
 
 def _blocks(load: np.ndarray, size: int):

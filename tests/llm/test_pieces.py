@@ -1,5 +1,6 @@
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -52,6 +53,21 @@ def test_long_text_without_spaces(model, alphabet):
     assert model[0].encode([text, "a", text[:70]]) == model[1].encode([text, "a", text[:70]], num_threads=1)
 
 
+def test_encoding_takes_little_memory_beside_the_texts(model):
+    rnd = random.Random(5)
+    words = [x + y + z for x in ("inter", "under", "over", "counter") for y in ("nation", "stand", "order", "model") for z in ("al", "ing", "ed", "s", "")]
+    texts = [" ".join(rnd.choices(words, k=2000)) for _ in range(150)]
+    size = sum(map(len, texts))
+    model[0].encode_flat(texts[:2])
+    tracemalloc.start()
+    try:
+        flat, at = model[0].encode_flat(texts)
+        model[0].spelled_out(flat, at)
+        assert tracemalloc.get_traced_memory()[1] < 26 * size
+    finally:
+        tracemalloc.stop()
+
+
 def test_query_on_odd_rows(spark, model):
     texts = [None, "", "a  b", "▁", "word " * 20_000, "z" * 20_000]
     docs = spark.createDataFrame([(i, t, "k") for i, t in enumerate(texts)] + [(2, "a  b", "k"), (None, "x", "k")], "doc_id long, text string, ids string")
