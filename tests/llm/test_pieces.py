@@ -3,9 +3,10 @@ import random
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from meshwind.llm import pieces
+from meshwind.llm import common, pieces
 
 sentencepiece = pytest.importorskip("sentencepiece")
 POOL = ["  ", "   ", " ", "\n", "\t", "é", "ß", "the", "ing", "日本", "😀", "　", "▁", "\x00", "def", "_", "foo(", "0", "1234", ".", "http://", "=", "    return", "€", "ation", "un", "A", " " * 17]
@@ -68,6 +69,20 @@ def test_encoding_takes_little_memory_beside_the_texts(model):
         tracemalloc.stop()
 
 
+def test_a_batch_is_encoded_in_slices_of_little_memory(model):
+    rnd = random.Random(6)
+    texts = [" ".join(rnd.choices(["international", "understanding", "models", "the", "of", "0123", "x=y"], k=800)) for _ in range(500)]
+    batch = pa.RecordBatch.from_pydict({"text": texts})
+    model[0].encode_flat(texts[:2])
+    tracemalloc.start()
+    try:
+        count = sum(len(model[0].encode_flat(part.column(0).to_pylist())[0]) for part in common.slices(batch, pieces.AT_ONCE))
+        assert tracemalloc.get_traced_memory()[1] < 30 << 20
+    finally:
+        tracemalloc.stop()
+    assert count == sum(map(len, model[1].encode(texts, num_threads=1)))
+
+
 def test_query_on_odd_rows(spark, model):
     texts = [None, "", "a  b", "▁", "word " * 20_000, "z" * 20_000]
     docs = spark.createDataFrame([(i, t, "k") for i, t in enumerate(texts)] + [(2, "a  b", "k"), (None, "x", "k")], "doc_id long, text string, ids string")
